@@ -437,14 +437,14 @@ def q_sample_token(spark, d):
 def q_force_prompt(spark, d):
     m = decoding.prompt_matrix(_encoded_prompts(spark, d), fx.PAD_ID)
     m = m.withColumn("cur_pos", F.col("min_len"))
-    m = m.withColumn("_last", (F.element_at("tokens", F.col("cur_pos").cast("int")) % fx.SCORER_ROWS).cast("long"))
+    m = m.withColumn("_last", (F.try_element_at("tokens", F.col("cur_pos").cast("int")) % fx.SCORER_ROWS).cast("long"))
     sc = fx.scorer_frame(spark, d).select(F.col("vec_id").alias("_last"),
                                           scoring.argmax("logits").alias("candidate"))
     # the scorer has at most SCORER_ROWS rows: a bounded broadcast
     j = m.join(F.broadcast(sc), on="_last", how="left")
     nxt = decoding.force_prompt("tokens", "is_prompt", "cur_pos", "candidate")
     return j.select("conv_id", "cur_pos", nxt.cast("int").alias("token"),
-                    F.element_at("is_prompt", F.col("cur_pos").cast("int") + 1).alias("forced"))
+                    F.try_element_at("is_prompt", (F.col("cur_pos") + 1).cast("int")).alias("forced"))
 
 
 def _completed(spark, d, model=None):

@@ -80,7 +80,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Files are read whole (one row each), which is what a line file of
     prompts is: many small files, one per writer task.
     """
-    raw = spark.read.option("wholetext", "true").text(path) \
+    raw = spark.read.text(path, wholetext=True) \
         .select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     parts = raw.select("file", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "piece"),
                        F.size(F.split("value", "\n", -1)).alias("n_pieces"))
