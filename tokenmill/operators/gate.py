@@ -44,9 +44,9 @@ def stopword_coverage(stop: DataFrame, word_list: DataFrame, word: str = "word")
     """
     s = stop.select(word).distinct()
     miss = s.join(word_list.select(word).distinct(), on=word, how="left_anti")
-    tot = s.agg(F.count(F.lit(1)).alias("n_stop"))
-    m = miss.agg(F.count(F.lit(1)).alias("n_missing"), F.array_sort(F.collect_list(word)).alias("missing"))
-    return tot.join(m, how="inner", on=F.lit(True))
+    n_stop = s.select(F.count(F.lit(1))).scalar()
+    return miss.agg(n_stop.alias("n_stop"), F.count(F.lit(1)).alias("n_missing"),
+                    F.array_sort(F.collect_list(word)).alias("missing"))
 
 
 def list_size(word_list: DataFrame, word: str = "word") -> DataFrame:

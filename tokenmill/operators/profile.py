@@ -45,14 +45,25 @@ def lengths(df: DataFrame, ids: str = "ids", filter: bool = True, min_length: in
     return d
 
 
+def _quartile_fences(len_df: DataFrame, col: str):
+    """Scalar subqueries (one aggregate row each, no join) for the fences."""
+    v = F.col(col)
+    q1 = len_df.select(F.percentile(v, 0.25)).scalar()
+    q3 = len_df.select(F.percentile(v, 0.75)).scalar()
+    return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+
+
 def length_summary(len_df: DataFrame, col: str = "len") -> DataFrame:
     """D4 + D7: range, rounded mean, median, rounded sample std, quartiles,
     IQR, outlier count and the mean ± 1, 2 std bands — in one row.
 
-    Python's ``round`` is half-even, hence ``bround``.
+    Python's ``round`` is half-even, hence ``bround``. The outlier count is
+    a second aggregate whose fences are scalar subqueries.
     """
     v = F.col(col)
-    stats = len_df.agg(
+    lo, hi = _quartile_fences(len_df, col)
+    n_out = len_df.select(F.count(F.when((v < lo) | (v > hi), 1))).scalar()
+    res = len_df.agg(
         F.count(F.lit(1)).alias("n"),
         (F.max(v) - F.min(v)).cast("long").alias("range"),
         F.bround(F.avg(v), 0).cast("double").alias("mean"),
@@ -60,14 +71,7 @@ def length_summary(len_df: DataFrame, col: str = "len") -> DataFrame:
         F.bround(F.stddev_samp(v), 0).cast("double").alias("std"),
         F.percentile(v, 0.25).cast("double").alias("q1"),
         F.percentile(v, 0.75).cast("double").alias("q3"),
-    ).withColumn("iqr", F.col("q3") - F.col("q1"))
-    fence = stats.select(
-        (F.col("q1") - 1.5 * F.col("iqr")).alias("_lo"),
-        (F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
-    # One-row fence frame: broadcast (size 1 by construction).
-    n_out = (len_df.join(F.broadcast(fence), how="inner", on=F.lit(True))
-             .agg(F.count(F.when((v < F.col("_lo")) | (v > F.col("_hi")), 1)).alias("n_outliers")))
-    res = stats.join(F.broadcast(n_out), how="inner", on=F.lit(True))
+    ).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("n_outliers", n_out)
     for k in (1, 2):
         res = (res.withColumn(f"band_lo{k}", F.col("mean") - k * F.col("std"))
                .withColumn(f"band_hi{k}", F.col("mean") + k * F.col("std")))
@@ -77,33 +81,29 @@ def length_summary(len_df: DataFrame, col: str = "len") -> DataFrame:
 def length_outliers(len_df: DataFrame, col: str = "len") -> DataFrame:
     """Rows strictly outside ``[Q1 − 1.5·IQR, Q3 + 1.5·IQR]``."""
     v = F.col(col)
-    q = len_df.agg(F.percentile(v, 0.25).alias("_q1"), F.percentile(v, 0.75).alias("_q3"))
-    q = q.select((F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
-                 (F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
-    return (len_df.join(F.broadcast(q), how="inner", on=F.lit(True))
-            .filter((v < F.col("_lo")) | (v > F.col("_hi"))).drop("_lo", "_hi"))
+    lo, hi = _quartile_fences(len_df, col)
+    return len_df.filter((v < lo) | (v > hi))
 
 
 def length_histogram(len_df: DataFrame, col: str = "len", bins: int = 100) -> DataFrame:
     """``bins`` equal-width bins over ``[min, max]``, last bin closed,
     empty bins present; ``min = max`` puts every row in the middle bin of a
-    unit-wide range (as numpy does).
+    unit-wide range (as numpy does). Min and max are scalar subqueries; the
+    count is one partial + final aggregation over at most ``bins`` keys.
     """
     spark = len_df.sparkSession
     v = F.col(col).cast("double")
-    mm = len_df.agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"))
-    d = len_df.join(F.broadcast(mm), how="inner", on=F.lit(True))
-    same = F.col("_mx") == F.col("_mn")
-    b = F.when(same, F.lit(bins // 2)).otherwise(
-        F.least(F.floor((v - F.col("_mn")) * F.lit(float(bins)) / (F.col("_mx") - F.col("_mn"))), F.lit(bins - 1)))
-    counts = d.groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.range(bins).withColumnRenamed("id", "bin").join(F.broadcast(mm), how="inner", on=F.lit(True))
-    lo_edge = F.when(F.col("_mx") == F.col("_mn"), F.col("_mn") - 0.5 + F.col("bin") / F.lit(float(bins))) \
-        .otherwise(F.col("_mn") + F.col("bin") * (F.col("_mx") - F.col("_mn")) / F.lit(float(bins)))
-    hi_edge = F.when(F.col("_mx") == F.col("_mn"), F.col("_mn") - 0.5 + (F.col("bin") + 1) / F.lit(float(bins))) \
-        .otherwise(F.col("_mn") + (F.col("bin") + 1) * (F.col("_mx") - F.col("_mn")) / F.lit(float(bins)))
-    return (grid.filter(F.col("_mn").isNotNull())
-            .join(counts, on="bin", how="left")
+    mn = len_df.select(F.min(v)).scalar()
+    mx = len_df.select(F.max(v)).scalar()
+    nb = F.lit(float(bins))
+    same = mx == mn
+    b = F.when(same, F.lit(bins // 2)).otherwise(F.least(F.floor((v - mn) * nb / (mx - mn)), F.lit(bins - 1)))
+    counts = len_df.groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bin_c = F.col("bin")
+    lo_edge = F.when(same, mn - 0.5 + bin_c / nb).otherwise(mn + bin_c * (mx - mn) / nb)
+    hi_edge = F.when(same, mn - 0.5 + (bin_c + 1) / nb).otherwise(mn + (bin_c + 1) * (mx - mn) / nb)
+    grid = spark.range(bins).withColumnRenamed("id", "bin").filter(mn.isNotNull())
+    return (grid.join(counts, on="bin", how="left")
             .select("bin", lo_edge.alias("lo"), hi_edge.alias("hi"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 

@@ -106,11 +106,10 @@ def add_tokens(vocab: DataFrame, new_tokens: DataFrame | list[str], token_col: s
         new_tokens = new_tokens.select(F.col(token_col).alias("piece"), F.monotonically_increasing_id().alias("ord"))
     first = new_tokens.groupBy("piece").agg(F.min("ord").alias("ord"))
     fresh = first.join(vocab.select("piece"), on="piece", how="left_anti")
-    top = vocab.agg(F.max("id").alias("_top"))
+    top = vocab.select(F.max("id")).scalar()
     w = Window.orderBy("ord")  # over the new tokens only
-    added = (fresh.join(F.broadcast(top), how="inner", on=F.lit(True))
-             .select((F.col("_top") + F.row_number().over(w)).cast("int").alias("id"), "piece",
-                     F.lit(0.0).alias("score"), F.lit("user").alias("kind")))
+    added = fresh.select((top + F.row_number().over(w)).cast("int").alias("id"), "piece",
+                         F.lit(0.0).alias("score"), F.lit("user").alias("kind"))
     return vocab.unionByName(added)
 
 
@@ -118,23 +117,21 @@ def check_added(old: DataFrame, new: DataFrame, tokens: list[str]) -> DataFrame:
     """F8: new size = old size + number added; the id of each requested piece."""
     spark = new.sparkSession
     req = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "ord long, piece string")
-    sizes = old.agg(F.count(F.lit(1)).alias("old_size")).join(
-        new.agg(F.count(F.lit(1)).alias("new_size")), how="inner", on=F.lit(True))
-    n_added = new.join(old.select("id"), on="id", how="left_anti").agg(F.count(F.lit(1)).alias("n_added"))
-    hdr = sizes.join(n_added, how="inner", on=F.lit(True)).withColumn(
-        "size_ok", F.col("new_size") == F.col("old_size") + F.col("n_added"))
+    old_size = old.select(F.count(F.lit(1))).scalar()
+    new_size = new.select(F.count(F.lit(1))).scalar()
+    n_added = new.join(old.select("id"), on="id", how="left_anti").select(F.count(F.lit(1))).scalar()
     looked = req.join(new.select("piece", "id"), on="piece", how="left")
-    return looked.join(F.broadcast(hdr), how="inner", on=F.lit(True)).select(
-        "ord", "piece", F.coalesce("id", F.lit(-1)).cast("int").alias("id"),
-        "old_size", "new_size", "n_added", "size_ok")
+    return looked.select("ord", "piece", F.coalesce("id", F.lit(-1)).cast("int").alias("id"),
+                         old_size.alias("old_size"), new_size.alias("new_size"), n_added.alias("n_added"),
+                         (new_size == old_size + n_added).alias("size_ok"))
 
 
 def lookup_piece(df: DataFrame, vocab: DataFrame, piece: str = "piece") -> DataFrame:
     """piece → id (unknown → the unk id)."""
     unk = vocab.filter(F.col("kind") == "unk").select(F.col("id").alias("_unk"))
     v = vocab.filter(~F.col("kind").isin("unk", "bos", "eos", "pad")).select(F.col("piece").alias(piece), F.col("id").alias("_id"))
-    return (df.join(v, on=piece, how="left").join(F.broadcast(unk), how="left", on=F.lit(True))
-            .withColumn("id", F.coalesce("_id", "_unk").cast("int")).drop("_id", "_unk"))
+    return (df.join(v, on=piece, how="left")
+            .withColumn("id", F.coalesce("_id", unk.select(F.max("_unk")).scalar()).cast("int")).drop("_id"))
 
 
 def lookup_id(df: DataFrame, vocab: DataFrame, id_col: str = "id") -> DataFrame:
