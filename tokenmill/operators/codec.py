@@ -16,11 +16,12 @@ import unicodedata
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.exprs import SPACE_MARK, UNK_SURFACE, normalise_ws
+from tokenmill.session import ship_code, spread
 
 # Upper bound on pieces collected to the driver and broadcast.
 MAX_VOCAB_PIECES = 1_000_000
@@ -39,12 +40,17 @@ def _nfkc_series(s):
 
 def nfkc(col) -> "F.Column":
     """NFKC through an Arrow-batched pandas UDF."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_code(spark)
     udf = F.pandas_udf(_nfkc_series, T.StringType())
     return udf(F.col(col) if isinstance(col, str) else col)
 
 
 def normalise_text(df: DataFrame, text: str = "text", out: str = "norm", use_nfkc: bool = True) -> DataFrame:
     """NFKC, collapse whitespace, strip, blank → ``▁``, leading ``▁``."""
+    if use_nfkc:
+        df = spread(df)
     src = nfkc(text) if use_nfkc else F.col(text)
     return df.withColumn(out, normalise_ws(src))
 
@@ -199,6 +205,7 @@ def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out
     (the input must be a string).
     """
     model = vocab if isinstance(vocab, CodecModel) else CodecModel.from_vocab(vocab)
+    ship_code(df.sparkSession)
     sc = df.sparkSession.sparkContext
     payload = model.payload()
     token = payload[0]
@@ -230,7 +237,7 @@ def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out
             arr = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield b.append_column(out, arr)
 
-    res = df.mapInArrow(run, schema)
+    res = spread(df).mapInArrow(run, schema)
     return res.drop(text) if drop_text else res
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenmill.session import ship_code
+
 
 def lr_schedule(epochs: DataFrame, lr: float = 1e-4, gamma: float = 0.85, epoch: str = "epoch") -> DataFrame:
     """K1: step decay every epoch, ``lr · gamma^epoch``."""
@@ -52,6 +54,7 @@ def _fmt2(v: pd.Series) -> pd.Series:
 def checkpoint_name(df: DataFrame, epoch: str = "epoch", monitor: str = "val_loss",
                     prefix: str = "model") -> DataFrame:
     """K4: ``model-epoch=<e>-val_loss=<v:.2f>`` (Python's float formatting)."""
+    ship_code(df.sparkSession)
     return df.withColumn("ckpt_name", F.concat(F.lit(f"{prefix}-epoch="), F.col(epoch).cast("string"),
                                                F.lit(f"-{monitor}="), _fmt2(F.col(monitor).cast("double"))))
 

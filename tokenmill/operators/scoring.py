@@ -15,19 +15,28 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
+def _per_element(l, scalar, fn):
+    """Apply ``fn(v, scalar)`` to every element with ``scalar`` evaluated once
+    per row (a scalar referenced inside a lambda is re-evaluated per element)."""
+    return F.zip_with(l, F.array_repeat(scalar, F.size(l)), fn)
+
+
+def _sum(arr) -> Column:
+    return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
+
+
 def logsumexp(logits) -> Column:
     l = _c(logits)
     m = F.array_max(l)
-    return m + F.log(F.aggregate(l, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
+    return m + F.log(_sum(_per_element(l, m, lambda v, mm: F.exp(v - mm))))
 
 
 def softmax(logits, temperature: float = 1.0) -> Column:
-    """``softmax(l / T)``, max-shifted."""
+    """``softmax(l / T)``, max-shifted; O(V) per row."""
     l = _c(logits)
-    m = F.array_max(l)
     t = float(temperature)
-    z = F.aggregate(l, F.lit(0.0), lambda acc, v: acc + F.exp((v - m) / t))
-    return F.transform(l, lambda v: F.exp((v - m) / t) / z)
+    e = _per_element(l, F.array_max(l), lambda v, mm: F.exp((v - mm) / t))
+    return _per_element(e, _sum(e), lambda x, z: x / z)
 
 
 def token_loss(logits, target) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.operators.vocab import SPECIALS, layout_vocab, seed_pieces, word_counts
-from tokenmill.session import cut_lineage
+from tokenmill.session import cut_lineage, ship_code
 
 _NEG = float("-inf")
 _LL_KEY = "\u0000ll"
@@ -145,6 +145,7 @@ _ESTEP_SCHEMA = T.StructType([T.StructField("piece", T.StringType()), T.StructFi
 
 
 def _estep(words: DataFrame, pieces: dict[str, float], with_viterbi: bool):
+    ship_code(words.sparkSession)
     sc = words.sparkSession.sparkContext
     maxlen = max(len(p) for p in pieces)
     bc = sc.broadcast((pieces, maxlen))

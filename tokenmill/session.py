@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,9 +39,39 @@ def build_session(master: str | None = None, app: str = "tokenmill",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_code(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable in every Python worker (once per app).
+
+    Arrow UDFs and ``mapInPandas`` functions are pickled by module reference,
+    so executors need the package: it is zipped on the driver and handed to
+    ``addPyFile``, which distributes it with the application.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    with _SHIP_LOCK:
+        if key in _SHIPPED:
+            return
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        zpath = os.path.join(tempfile.mkdtemp(prefix="tokenmill-code-"), "tokenmill.zip")
+        with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+            for dirpath, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(zpath)
+        _SHIPPED.add(key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
@@ -63,6 +95,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tokenmill/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df, factor: int = 2):
+    """Round-robin rows over the cores before a Python-heavy stage when the
+    input arrived in fewer partitions than there are cores (e.g. one large
+    file). With normal input splits this is a no-op: no shuffle is added."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want * factor)
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
     """Reliable checkpoint (never a local one): survives executor loss."""
     spark = spark or df.sparkSession
