@@ -34,7 +34,7 @@ def global_index(df: DataFrame, keys: list[str], seed=None, by: list[str] | None
     """Dense ``0…n-1`` position under a stated total order.
 
     ``seed`` given → order by ``(md5(seed[:by]:keys), keys)`` (a seeded shuffle);
-    ``seed`` None → order by ``keys`` (must be unique and numeric/orderable).
+    ``seed`` None → order by ``keys`` (a total order; the first key numeric).
     ``by`` restarts the numbering per group (e.g. per epoch).
     """
     by = list(by or [])
@@ -43,8 +43,8 @@ def global_index(df: DataFrame, keys: list[str], seed=None, by: list[str] | None
         d = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"))
         order = ["_h", *keys]
     else:
-        if len(keys) != 1:
-            raise ValueError("an unseeded order needs one orderable key")
+        # Range buckets on the first key (numeric); later keys only break ties
+        # inside a bucket, since equal first keys always share a bucket.
         k = keys[0]
         # Range boundaries from a bounded quantile sketch (≤ n_range_buckets values
         # reach the driver); bucket = number of boundaries ≤ key.

@@ -4,10 +4,13 @@ The loop runs on the driver; the work runs on executors:
 
 * the word-type table ``(word, freq)`` is computed once and checkpointed
   to the shared folder (lineage never grows across rounds);
-* each E-step is one ``mapInPandas`` pass over the word types: forward–
-  backward over the piece lattice of every word, expected counts
-  pre-aggregated per partition, then one ``groupBy(piece)`` shuffle of at
-  most (pieces × partitions) rows;
+* the lattice — every occurrence of a seed piece in every word type — is
+  built once by Spark (substring explode + semi join with the seeds),
+  bucketed by word and checkpointed;
+* each E-step is one partition-local ``mapInArrow`` pass over the buckets: a
+  vectorised (numpy) forward–backward over all words of the bucket, expected
+  counts summed per bucket, then one ``groupBy(piece)`` shuffle of at most
+  (pieces × buckets) rows;
 * the M-step and pruning touch only the piece table, whose size is bounded
   by the seed size (checked before it is collected).
 
@@ -20,15 +23,16 @@ per round, single characters always kept) until ``vocab_size`` is reached.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenmill.operators.order import global_index
 from tokenmill.operators.vocab import SPECIALS, layout_vocab, seed_pieces, word_counts
-from tokenmill.session import cut_lineage, ship_code
+from tokenmill.session import cut_lineage, scratch_path, ship_code
 
 _NEG = float("-inf")
 _LL_KEY = "\u0000ll"
@@ -53,17 +57,6 @@ def _lae(a: float, b: float) -> float:
     return m + math.log(math.exp(a - m) + math.exp(b - m))
 
 
-def _edges(w: str, pieces: dict, maxlen: int):
-    n = len(w)
-    out = []
-    for i in range(n):
-        for j in range(i + 1, min(n, i + maxlen) + 1):
-            lp = pieces.get(w[i:j])
-            if lp is not None:
-                out.append((i, j, w[i:j], lp))
-    return out
-
-
 def _viterbi(w: str, pieces: dict, maxlen: int, exclude: str | None = None):
     n = len(w)
     best = [_NEG] * (n + 1)
@@ -90,102 +83,236 @@ def _viterbi(w: str, pieces: dict, maxlen: int, exclude: str | None = None):
     return seg[::-1], best[n]
 
 
+def _seg_logsumexp(vals: np.ndarray, seg_starts: np.ndarray) -> np.ndarray:
+    m = np.maximum.reduceat(vals, seg_starts)
+    m_rep = np.repeat(m, np.diff(np.append(seg_starts, len(vals))))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = np.add.reduceat(np.exp(vals - np.where(np.isfinite(m_rep), m_rep, 0.0)), seg_starts)
+        out = np.where(np.isfinite(m), m + np.log(s), _NEG)
+    return out
+
+
+class _Plan:
+    """Edge orderings for one bucket: by (end, dst) for the forward pass and
+    by (start desc, src) for the backward pass, with segment boundaries."""
+
+    def __init__(self, key_pos, key_flat, descending=False):
+        pos = -key_pos if descending else key_pos
+        self.order = np.lexsort((key_flat, pos))
+        p = key_pos[self.order]
+        f = key_flat[self.order]
+        self.flat = f
+        change = np.flatnonzero(np.diff(p)) + 1
+        self.step_bounds = np.concatenate([[0], change, [len(p)]])
+        self.seg = []
+        for a, b in zip(self.step_bounds[:-1], self.step_bounds[1:]):
+            fs = f[a:b]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(fs)) + 1])
+            self.seg.append((a, b, starts, fs[starts]))
+
+
+def _forward_backward(widx, st, en, pid, wlen, freq, logp: np.ndarray, with_viterbi: bool):
+    """Vectorised lattice pass over every word of one bucket.
+
+    Edge arrays ``(widx, start, end, pid)`` and word arrays ``(wlen, freq)``.
+    Positions of all words are laid out in one flat array
+    (``offset[w] + pos``); edges are processed position by position as
+    sorted segment reductions.
+    """
+    pid = pid.astype(np.int64)
+    lp = logp[pid]
+    keep = ~np.isnan(lp)
+    if not keep.all():
+        widx, st, en, pid, lp = widx[keep], st[keep], en[keep], pid[keep], lp[keep]
+    if len(pid) == 0:
+        return None
+    wlen = wlen.astype(np.int64)
+    freq = freq.astype(np.float64)
+    offset = np.concatenate([[0], np.cumsum(wlen + 1)[:-1]])
+    st = st.astype(np.int64)
+    en = en.astype(np.int64)
+    src = offset[widx] + st
+    dst = offset[widx] + en
+    size = int(offset[-1] + wlen[-1] + 1)
+    last = offset + wlen
+
+    fwd = _Plan(en, dst)
+    alpha = np.full(size, _NEG)
+    alpha[offset] = 0.0
+    for a, b, starts, targets in fwd.seg:
+        sel = fwd.order[a:b]
+        alpha[targets] = _seg_logsumexp(alpha[src[sel]] + lp[sel], starts)
+    bwd = _Plan(st, src, descending=True)
+    beta = np.full(size, _NEG)
+    beta[last] = 0.0
+    for a, b, starts, targets in bwd.seg:
+        sel = bwd.order[a:b]
+        beta[targets] = _seg_logsumexp(lp[sel] + beta[dst[sel]], starts)
+    z = alpha[last]
+    ok = np.isfinite(z)
+    with np.errstate(invalid="ignore"):
+        post = np.exp(alpha[src] + lp + beta[dst] - z[widx]) * freq[widx]
+    post[~ok[widx] | ~np.isfinite(post)] = 0.0
+    pcode, pnames = pd.factorize(pid)
+    expected = np.bincount(pcode, weights=post, minlength=len(pnames))
+    ll = float((freq[ok] * z[ok]).sum())
+    vf = np.zeros(len(pnames))
+    if with_viterbi:
+        vit = np.full(size, _NEG)
+        vit[offset] = 0.0
+        for a, b, starts, targets in fwd.seg:
+            sel = fwd.order[a:b]
+            vit[targets] = np.maximum.reduceat(vit[src[sel]] + lp[sel], starts)
+        cand = vit[src] + lp
+        best = np.flatnonzero(cand == vit[dst])
+        bp = np.full(size, -1, dtype=np.int64)
+        bp[dst[best[::-1]]] = best[::-1]  # the first best edge per position
+        cur = last[ok].copy()
+        wf = freq[ok]
+        home = offset[ok]
+        counts = np.zeros(len(pnames))
+        while len(cur):
+            e = bp[cur]
+            np.add.at(counts, pcode[e], wf)
+            cur = src[e]
+            more = cur != home
+            cur, wf, home = cur[more], wf[more], home[more]
+        vf = counts
+    return np.asarray(pnames), expected, vf, ll
+
+
+_COLS = ("wid", "freq", "wlen", "starts", "ends", "pids")
+
+
 def _estep_fn(bc, with_viterbi: bool):
     def run(batches):
-        pieces, maxlen = bc.value
-        expected: dict[str, float] = defaultdict(float)
-        vfreq: dict[str, float] = defaultdict(float)
-        ll = 0.0
-        for pdf in batches:
-            for w, f in zip(pdf["word"].tolist(), pdf["freq"].tolist()):
-                n = len(w)
-                edges = _edges(w, pieces, maxlen)
-                alpha = [_NEG] * (n + 1)
-                alpha[0] = 0.0
-                by_end: dict[int, list] = defaultdict(list)
-                by_start: dict[int, list] = defaultdict(list)
-                for e in edges:
-                    by_end[e[1]].append(e)
-                    by_start[e[0]].append(e)
-                for j in range(1, n + 1):
-                    a = _NEG
-                    for (i, _, _, lp) in by_end.get(j, ()):
-                        if alpha[i] != _NEG:
-                            a = _lae(a, alpha[i] + lp)
-                    alpha[j] = a
-                z = alpha[n]
-                if z == _NEG:
-                    continue
-                beta = [_NEG] * (n + 1)
-                beta[n] = 0.0
-                for i in range(n - 1, -1, -1):
-                    b = _NEG
-                    for (_, j, _, lp) in by_start.get(i, ()):
-                        if beta[j] != _NEG:
-                            b = _lae(b, lp + beta[j])
-                    beta[i] = b
-                for (i, j, p, lp) in edges:
-                    if alpha[i] == _NEG or beta[j] == _NEG:
-                        continue
-                    expected[p] += f * math.exp(alpha[i] + lp + beta[j] - z)
-                ll += f * z
-                if with_viterbi:
-                    seg, _ = _viterbi(w, pieces, maxlen)
-                    for p in seg or ():
-                        vfreq[p] += f
-        keys = list(expected)
-        yield pd.DataFrame({"piece": keys + [_LL_KEY],
-                            "expected": [expected[k] for k in keys] + [ll],
-                            "vfreq": [vfreq.get(k, 0.0) for k in keys] + [0.0]})
+        # One partition of the lattice table holds whole buckets (written
+        # hash-partitioned by bucket, one small file each), so no word is split
+        # across calls; its size is bounded by ``edges_per_bucket``.
+        parts = list(batches)
+        if not parts:
+            return
+        tbl = pa.Table.from_batches(parts)
+        starts = tbl.column("starts").combine_chunks()
+        lengths = starts.value_lengths().to_numpy()
+        widx = np.repeat(np.arange(len(lengths)), lengths)
+        flat = {c: tbl.column(c).combine_chunks().flatten().to_numpy() for c in ("starts", "ends", "pids")}
+        res = _forward_backward(widx, flat["starts"], flat["ends"], flat["pids"], tbl.column("wlen").to_numpy(),
+                                tbl.column("freq").to_numpy(), bc.value, with_viterbi)
+        if res is None:
+            return
+        names, expected, vf, ll = res
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(names, -1).astype(np.int64)), pa.array(np.append(expected, ll)),
+             pa.array(np.append(vf, 0.0))], names=["pid", "expected", "vfreq"])
     return run
 
 
-_ESTEP_SCHEMA = T.StructType([T.StructField("piece", T.StringType()), T.StructField("expected", T.DoubleType()),
+_ESTEP_SCHEMA = T.StructType([T.StructField("pid", T.LongType()), T.StructField("expected", T.DoubleType()),
                               T.StructField("vfreq", T.DoubleType())])
 
 
-def _estep(words: DataFrame, pieces: dict[str, float], with_viterbi: bool):
-    ship_code(words.sparkSession)
-    sc = words.sparkSession.sparkContext
-    maxlen = max(len(p) for p in pieces)
-    bc = sc.broadcast((pieces, maxlen))
+def _estep(lattice: DataFrame, logp: np.ndarray, with_viterbi: bool):
+    ship_code(lattice.sparkSession)
+    sc = lattice.sparkSession.sparkContext
+    bc = sc.broadcast(logp)
     try:
-        agg = (words.mapInPandas(_estep_fn(bc, with_viterbi), _ESTEP_SCHEMA)
-               .groupBy("piece").agg(F.sum("expected").alias("e"), F.sum("vfreq").alias("v")).collect())
+        # ≤ (pieces + 1) rows, fetched as Arrow
+        agg = (lattice.select(*_COLS).mapInArrow(_estep_fn(bc, with_viterbi), _ESTEP_SCHEMA)
+               .groupBy("pid").agg(F.sum("expected").alias("e"), F.sum("vfreq").alias("v")).toPandas())
     finally:
         bc.unpersist()
-    exp = {r.piece: r.e for r in agg}
-    vf = {r.piece: r.v for r in agg}
-    ll = exp.pop(_LL_KEY, 0.0)
-    vf.pop(_LL_KEY, None)
+    ll_rows = agg["pid"] == -1
+    ll = float(agg.loc[ll_rows, "e"].sum())
+    agg = agg[~ll_rows]
+    exp = np.zeros(len(logp))
+    vf = np.zeros(len(logp))
+    idx = agg["pid"].to_numpy()
+    exp[idx] = agg["e"].to_numpy()
+    vf[idx] = agg["v"].to_numpy()
     return exp, vf, ll
 
 
-def _mstep(pieces: dict[str, float], expected: dict[str, float], chars: set[str]) -> dict[str, float]:
-    kept = {p: c for p, c in expected.items() if p in pieces and (c >= 0.5 or p in chars)}
-    for ch in chars:
-        kept.setdefault(ch, 0.5)
-    total = sum(kept.values())
-    dt = _digamma(total)
-    return {p: _digamma(max(c, 1e-12)) - dt for p, c in kept.items()}
+def build_lattice(words: DataFrame, seeds: DataFrame, max_piece_len: int = 16,
+                  edges_per_bucket: int = 250_000) -> DataFrame:
+    """Every occurrence of a seed piece inside every word type, once.
+
+    ``(bucket, wid, freq, wlen, starts[], ends[], pids[])`` — one row per word
+    type; the bucket (a hash of the
+    word id) keeps all edges of a word in one partition and sizes each
+    partition to at most about ``edges_per_bucket`` edges (at least two per
+    core). Checkpointed: every E-step re-reads it partition-locally, with no
+    shuffle.
+    """
+    spark = words.sparkSession
+    L = F.length("word")
+    st = words.select("wid", "word", "freq", L.alias("wlen"), F.explode(F.sequence(F.lit(0), L - 1)).alias("start"))
+    sub = st.select("wid", "word", "freq", "wlen", "start", F.explode(
+        F.sequence(F.lit(1), F.least(F.lit(max_piece_len), F.col("wlen") - F.col("start")))).alias("n"))
+    sub = sub.select("wid", "freq", "wlen", "start", (F.col("start") + F.col("n")).cast("int").alias("end"),
+                     F.substring("word", F.col("start") + 1, F.col("n")).alias("piece"))
+    edges = sub.join(seeds.select("piece", "pid"), on="piece", how="inner")
+    # one row per word: its edges as three aligned arrays (bounded by 16 × length)
+    lat = (edges.groupBy("wid", "freq", "wlen").agg(F.collect_list(F.struct("start", "end", "pid")).alias("_e"))
+           .select("wid", "freq", "wlen", F.col("_e.start").alias("starts"), F.col("_e.end").alias("ends"),
+                   F.col("_e.pid").alias("pids")))
+    # upper bound of the edge count from the (checkpointed) word table
+    bound = words.select(F.sum(F.length("word") * F.least(F.lit(max_piece_len), F.length("word")))).first()[0] or 0
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-int(bound) // edges_per_bucket))
+    lat = lat.withColumn("bucket", F.pmod(F.xxhash64("wid"), F.lit(buckets)))
+    # A written table (columnar re-reads); one small file per bucket
+    # partition, so every read partition holds whole words.
+    path = scratch_path(spark, "lattice")
+    lat.repartition(buckets, "bucket").write.parquet(path)
+    return spark.read.parquet(path)
+
 
+def _digamma_np(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, dtype=np.float64).copy()
+    r = np.zeros_like(x)
+    for _ in range(6):
+        small = x < 6.0
+        if not small.any():
+            break
+        r[small] -= 1.0 / x[small]
+        x[small] += 1.0
+    f = 1.0 / (x * x)
+    return r + np.log(x) - 0.5 / x - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (1.0 / 240 - f / 132))))
 
-def _prune(pieces: dict[str, float], vfreq: dict[str, float], chars: set[str], target: int) -> dict[str, float]:
-    if len(pieces) <= target:
-        return pieces
+
+def _mstep(logp: np.ndarray, expected: np.ndarray, is_char: np.ndarray) -> np.ndarray:
+    """Variational M-step on the piece arrays; NaN marks a removed piece."""
+    alive = ~np.isnan(logp)
+    c = np.where(is_char & (expected < 0.5), 0.5, expected)
+    keep = alive & ((c >= 0.5) | is_char)
+    out = np.full(len(logp), np.nan)
+    out[keep] = _digamma_np(np.maximum(c[keep], 1e-12)) - _digamma(float(c[keep].sum()))
+    return out
+
+
+def _prune(logp: np.ndarray, vfreq: np.ndarray, names: list[str], is_char: np.ndarray,
+           target: int) -> np.ndarray:
+    """Keep the ``target`` pieces whose removal costs most likelihood
+    (Viterbi frequency × (log p − log p of the best split without it))."""
+    alive = np.flatnonzero(~np.isnan(logp))
+    if len(alive) <= target:
+        return logp
+    pieces = {names[i]: logp[i] for i in alive}
     maxlen = max(len(p) for p in pieces)
     loss = []
-    for p, lp in pieces.items():
-        if p in chars:
+    for i in alive:
+        if is_char[i]:
             continue
-        f = vfreq.get(p, 0.0)
+        p = names[i]
         _, alt = _viterbi(p, pieces, maxlen, exclude=p)
-        cost = f * (lp - alt) if alt != _NEG else float("inf")
-        loss.append((cost, p))
+        cost = vfreq[i] * (logp[i] - alt) if alt != _NEG else float("inf")
+        loss.append((cost, p, i))
     loss.sort(key=lambda t: (-t[0], t[1]))
-    n_keep = max(0, target - len(chars))
-    keep = {p for _, p in loss[:n_keep]}
-    return {p: lp for p, lp in pieces.items() if p in chars or p in keep}
+    n_keep = max(0, target - int(is_char[alive].sum()))
+    out = np.full(len(logp), np.nan)
+    keep = [i for _, _, i in loss[:n_keep]] + [i for i in alive if is_char[i]]
+    out[keep] = logp[keep]
+    return out
 
 
 def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
@@ -193,29 +320,34 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
                 shrink: float = 0.75, max_rounds: int = 64, with_pad: bool = True) -> DataFrame:
     """Train a unigram vocabulary of ``vocab_size`` ids (specials included)."""
     spark = norm_df.sparkSession
-    words = cut_lineage(word_counts(norm_df, norm).repartition(spark.sparkContext.defaultParallelism, "word"))
-    seeds = seed_pieces(words, top_k=seed_size, max_piece_len=max_piece_len)
+    words = cut_lineage(word_counts(norm_df, norm).withColumn("wid", F.monotonically_increasing_id()))
+    seeds = cut_lineage(global_index(seed_pieces(words, top_k=seed_size, max_piece_len=max_piece_len),
+                                     ["piece"], seed=0, idx_col="pid"))
     n_seeds = seeds.count()
     if n_seeds > MAX_SEED_PIECES:
         raise ValueError(f"{n_seeds} seed pieces exceed the driver bound {MAX_SEED_PIECES}")
-    rows = seeds.select("piece", "score", "n_chars").collect()
-    total = float(sum(r.score for r in rows)) or 1.0
-    pieces = {r.piece: math.log(r.score) - math.log(total) for r in rows if r.score > 0}
-    chars = {r.piece for r in rows if r.n_chars == 1}
+    seed_pdf = seeds.select("pid", "piece", "score", "n_chars").toPandas().sort_values("pid")
+    names = seed_pdf["piece"].tolist()
+    score = seed_pdf["score"].to_numpy(dtype=np.float64)
+    is_char = (seed_pdf["n_chars"] == 1).to_numpy()
+    total = float(score.sum()) or 1.0
+    with np.errstate(divide="ignore"):
+        logp = np.where(score > 0, np.log(score) - math.log(total), np.nan)
     n_special = len(SPECIALS) if with_pad else len(SPECIALS) - 1
-    goal = max(vocab_size - n_special, len(chars))
+    goal = max(vocab_size - n_special, int(is_char.sum()))
+    lattice = build_lattice(words, seeds, max_piece_len)
     for _ in range(max_rounds):
-        vfreq: dict[str, float] = {}
+        vfreq = np.zeros(n_seeds)
         for it in range(em_iters):
-            exp, vfreq, _ll = _estep(words, pieces, with_viterbi=(it == em_iters - 1))
-            pieces = _mstep(pieces, exp, chars)
-        if len(pieces) <= goal:
+            expected, vfreq, _ll = _estep(lattice, logp, with_viterbi=(it == em_iters - 1))
+            logp = _mstep(logp, expected, is_char)
+        if int((~np.isnan(logp)).sum()) <= goal:
             break
-        pieces = _prune(pieces, vfreq, chars, max(goal, int(len(pieces) * shrink)))
+        logp = _prune(logp, vfreq, names, is_char, max(goal, int((~np.isnan(logp)).sum() * shrink)))
     # final: the best `goal` pieces by score, characters always kept
-    ranked = sorted(pieces.items(), key=lambda t: (-t[1], t[0]))
-    keep = set(chars) | {p for p, _ in [t for t in ranked if t[0] not in chars][:max(0, goal - len(chars))]}
-    final = [(p, float(lp)) for p, lp in pieces.items() if p in keep]
+    alive = np.flatnonzero(~np.isnan(logp))
+    others = sorted((i for i in alive if not is_char[i]), key=lambda i: (-logp[i], names[i]))
+    keep = [i for i in alive if is_char[i]] + others[:max(0, goal - int(is_char[alive].sum()))]
+    final = [(names[i], float(logp[i])) for i in keep]
     df = spark.createDataFrame(final, "piece string, score double")
-    words.unpersist()
     return layout_vocab(df, score="score", with_pad=with_pad)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.exprs import SPACE_MARK
+from tokenmill.operators.order import global_index
+
+# Largest top-k kept as a per-task heap (TakeOrderedAndProject).
+TOP_K_IN_MEMORY = 100_000
 
 # Special pieces and their ids when padding is trained in
 # (unk 0, bos 1, eos 2, pad 3); without padding pad is off (-1).
@@ -45,8 +49,14 @@ def seed_pieces(wc: DataFrame, top_k: int = 1_000_000, max_piece_len: int = 16,
     agg = agg.filter((F.col("n_chars") == 1) | (F.col("freq") >= min_freq))
     agg = agg.withColumn("score", (F.col("freq") * F.col("n_chars")).cast("long"))
     chars = agg.filter(F.col("n_chars") == 1)
-    multi = agg.filter(F.col("n_chars") > 1).orderBy(F.desc("score"), "piece").limit(top_k)
-    return chars.unionByName(multi).select("piece", "freq", "n_chars", "score")
+    multi = agg.filter(F.col("n_chars") > 1)
+    if top_k <= TOP_K_IN_MEMORY:
+        multi = multi.orderBy(F.desc("score"), "piece").limit(top_k)
+    else:
+        # a large cut: bucketed, spillable ranking instead of a per-task heap
+        ranked = global_index(multi.withColumn("_neg", -F.col("score")), ["_neg", "piece"], seed=None, idx_col="_r")
+        multi = ranked.filter(F.col("_r") < top_k).drop("_neg", "_r")
+    return chars.unionByName(multi).select("piece", "freq", F.col("n_chars").cast("long").alias("n_chars"), "score")
 
 
 def char_pieces(norm_df: DataFrame, norm: str = "norm") -> DataFrame:

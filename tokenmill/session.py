@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app: str = "tokenmill",
     if master:
         b = b.master(master)
     conf = {
+        "spark.driver.memory": os.environ.get("TOKENMILL_DRIVER_MEMORY", "8g"),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
