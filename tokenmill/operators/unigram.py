@@ -11,13 +11,17 @@ The loop runs on the driver; the work runs on executors:
   vectorised (numpy) forward–backward over all words of the bucket, expected
   counts summed per bucket, then one ``groupBy(piece)`` shuffle of at most
   (pieces × buckets) rows;
+* pruning needs, for every piece, its best split without itself: the same
+  lattice built over the seed pieces (minus each piece's own full edge)
+  gives all of them in one vectorised Viterbi pass per round;
 * the M-step and pruning touch only the piece table, whose size is bounded
   by the seed size (checked before it is collected).
 
 Scores follow the variational M-step ``logp = ψ(c) − ψ(Σc)``; pieces with
 an expected count below 0.5 are dropped; after ``em_iters`` sub-iterations
 the pieces whose removal costs the least likelihood are pruned (75 % kept
-per round, single characters always kept) until ``vocab_size`` is reached.
+per round, single characters always kept) until 110 % of ``vocab_size`` is
+reached; the best-scoring pieces then fill the vocabulary exactly.
 """
 
 from __future__ import annotations
@@ -57,32 +61,6 @@ def _lae(a: float, b: float) -> float:
     return m + math.log(math.exp(a - m) + math.exp(b - m))
 
 
-def _viterbi(w: str, pieces: dict, maxlen: int, exclude: str | None = None):
-    n = len(w)
-    best = [_NEG] * (n + 1)
-    back: list = [None] * (n + 1)
-    best[0] = 0.0
-    for i in range(n):
-        if best[i] == _NEG:
-            continue
-        for j in range(i + 1, min(n, i + maxlen) + 1):
-            p = w[i:j]
-            if p == exclude:
-                continue
-            lp = pieces.get(p)
-            if lp is not None and best[i] + lp > best[j]:
-                best[j] = best[i] + lp
-                back[j] = (i, p)
-    if best[n] == _NEG:
-        return None, _NEG
-    seg, j = [], n
-    while j > 0:
-        i, p = back[j]
-        seg.append(p)
-        j = i
-    return seg[::-1], best[n]
-
-
 def _seg_logsumexp(vals: np.ndarray, seg_starts: np.ndarray) -> np.ndarray:
     m = np.maximum.reduceat(vals, seg_starts)
     m_rep = np.repeat(m, np.diff(np.append(seg_starts, len(vals))))
@@ -233,8 +211,58 @@ def _estep(lattice: DataFrame, logp: np.ndarray, with_viterbi: bool):
     return exp, vf, ll
 
 
+def _best_scores(widx, st, en, pid, wlen, logp: np.ndarray) -> np.ndarray:
+    """Best (Viterbi) log-prob of every word of a bucket; -inf if unsplittable."""
+    pid = pid.astype(np.int64)
+    lp = logp[pid]
+    keep = ~np.isnan(lp)
+    widx, st, en, lp = widx[keep], st[keep].astype(np.int64), en[keep].astype(np.int64), lp[keep]
+    wlen = wlen.astype(np.int64)
+    offset = np.concatenate([[0], np.cumsum(wlen + 1)[:-1]])
+    size = int(offset[-1] + wlen[-1] + 1) if len(wlen) else 0
+    vit = np.full(size, _NEG)
+    vit[offset] = 0.0
+    if len(lp):
+        src = offset[widx] + st
+        dst = offset[widx] + en
+        fwd = _Plan(en, dst)
+        for a, b, starts, targets in fwd.seg:
+            sel = fwd.order[a:b]
+            vit[targets] = np.maximum.reduceat(vit[src[sel]] + lp[sel], starts)
+    return vit[offset + wlen]
+
+
+def _alt_fn(bc):
+    def run(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        tbl = pa.Table.from_batches(parts)
+        starts = tbl.column("starts").combine_chunks()
+        lengths = starts.value_lengths().to_numpy()
+        widx = np.repeat(np.arange(len(lengths)), lengths)
+        flat = {c: tbl.column(c).combine_chunks().flatten().to_numpy() for c in ("starts", "ends", "pids")}
+        best = _best_scores(widx, flat["starts"], flat["ends"], flat["pids"], tbl.column("wlen").to_numpy(), bc.value)
+        yield pa.RecordBatch.from_arrays([pa.array(tbl.column("wid").to_numpy().astype(np.int64)), pa.array(best)],
+                                         names=["pid", "alt"])
+    return run
+
+
+def _alt_scores(piece_lattice: DataFrame, logp: np.ndarray) -> np.ndarray:
+    """Log-prob of the best split of every piece without itself (one pass)."""
+    sc = piece_lattice.sparkSession.sparkContext
+    bc = sc.broadcast(logp)
+    try:
+        out = (piece_lattice.select(*_COLS).mapInArrow(_alt_fn(bc), "pid long, alt double").toPandas())
+    finally:
+        bc.unpersist()
+    alt = np.full(len(logp), _NEG)
+    alt[out["pid"].to_numpy()] = out["alt"].to_numpy()
+    return alt
+
+
 def build_lattice(words: DataFrame, seeds: DataFrame, max_piece_len: int = 16,
-                  edges_per_bucket: int = 250_000) -> DataFrame:
+                  edges_per_bucket: int = 250_000, exclude_full: bool = False) -> DataFrame:
     """Every occurrence of a seed piece inside every word type, once.
 
     ``(bucket, wid, freq, wlen, starts[], ends[], pids[])`` — one row per word
@@ -251,6 +279,8 @@ def build_lattice(words: DataFrame, seeds: DataFrame, max_piece_len: int = 16,
         F.sequence(F.lit(1), F.least(F.lit(max_piece_len), F.col("wlen") - F.col("start")))).alias("n"))
     sub = sub.select("wid", "freq", "wlen", "start", (F.col("start") + F.col("n")).cast("int").alias("end"),
                      F.substring("word", F.col("start") + 1, F.col("n")).alias("piece"))
+    if exclude_full:  # the word itself is not its own alternative
+        sub = sub.filter(~((F.col("start") == 0) & (F.col("end") == F.col("wlen"))))
     edges = sub.join(seeds.select("piece", "pid"), on="piece", how="inner")
     # one row per word: its edges as three aligned arrays (bounded by 16 × length)
     lat = (edges.groupBy("wid", "freq", "wlen").agg(F.collect_list(F.struct("start", "end", "pid")).alias("_e"))
@@ -290,27 +320,21 @@ def _mstep(logp: np.ndarray, expected: np.ndarray, is_char: np.ndarray) -> np.nd
     return out
 
 
-def _prune(logp: np.ndarray, vfreq: np.ndarray, names: list[str], is_char: np.ndarray,
+def _prune(logp: np.ndarray, vfreq: np.ndarray, alt: np.ndarray, names: list[str], is_char: np.ndarray,
            target: int) -> np.ndarray:
     """Keep the ``target`` pieces whose removal costs most likelihood
-    (Viterbi frequency × (log p − log p of the best split without it))."""
-    alive = np.flatnonzero(~np.isnan(logp))
-    if len(alive) <= target:
+    (Viterbi frequency × (log p − log p of the best split without it));
+    single characters are always kept."""
+    alive = ~np.isnan(logp)
+    if int(alive.sum()) <= target:
         return logp
-    pieces = {names[i]: logp[i] for i in alive}
-    maxlen = max(len(p) for p in pieces)
-    loss = []
-    for i in alive:
-        if is_char[i]:
-            continue
-        p = names[i]
-        _, alt = _viterbi(p, pieces, maxlen, exclude=p)
-        cost = vfreq[i] * (logp[i] - alt) if alt != _NEG else float("inf")
-        loss.append((cost, p, i))
-    loss.sort(key=lambda t: (-t[0], t[1]))
-    n_keep = max(0, target - int(is_char[alive].sum()))
+    cand = np.flatnonzero(alive & ~is_char)
+    with np.errstate(invalid="ignore"):
+        cost = np.where(np.isfinite(alt[cand]), vfreq[cand] * (logp[cand] - alt[cand]), np.inf)
+    n_keep = max(0, target - int((alive & is_char).sum()))
+    order = sorted(range(len(cand)), key=lambda k: (-cost[k], names[cand[k]]))[:n_keep]
     out = np.full(len(logp), np.nan)
-    keep = [i for _, _, i in loss[:n_keep]] + [i for i in alive if is_char[i]]
+    keep = np.concatenate([cand[order], np.flatnonzero(alive & is_char)]).astype(np.int64)
     out[keep] = logp[keep]
     return out
 
@@ -336,14 +360,19 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
     n_special = len(SPECIALS) if with_pad else len(SPECIALS) - 1
     goal = max(vocab_size - n_special, int(is_char.sum()))
     lattice = build_lattice(words, seeds, max_piece_len)
+    piece_words = seeds.select(F.col("pid").alias("wid"), F.col("piece").alias("word"), F.lit(1).alias("freq"))
+    piece_lattice = build_lattice(piece_words, seeds, max_piece_len, exclude_full=True)
+    # train down to 110 % of the goal, then keep the best-scoring pieces
+    desired = int(goal * 1.1)
     for _ in range(max_rounds):
         vfreq = np.zeros(n_seeds)
         for it in range(em_iters):
             expected, vfreq, _ll = _estep(lattice, logp, with_viterbi=(it == em_iters - 1))
             logp = _mstep(logp, expected, is_char)
-        if int((~np.isnan(logp)).sum()) <= goal:
+        if int((~np.isnan(logp)).sum()) <= desired:
             break
-        logp = _prune(logp, vfreq, names, is_char, max(goal, int((~np.isnan(logp)).sum() * shrink)))
+        alt = _alt_scores(piece_lattice, logp)
+        logp = _prune(logp, vfreq, alt, names, is_char, max(desired, int((~np.isnan(logp)).sum() * shrink)))
     # final: the best `goal` pieces by score, characters always kept
     alive = np.flatnonzero(~np.isnan(logp))
     others = sorted((i for i in alive if not is_char[i]), key=lambda i: (-logp[i], names[i]))
