@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.session import cut_lineage
+
 
 def row_count(df: DataFrame) -> DataFrame:
     """D1."""
@@ -45,33 +47,42 @@ def lengths(df: DataFrame, ids: str = "ids", filter: bool = True, min_length: in
     return d
 
 
-def _quartile_fences(len_df: DataFrame, col: str):
-    """Scalar subqueries (one aggregate row each, no join) for the fences."""
-    v = F.col(col)
-    q1 = len_df.select(F.percentile(v, 0.25)).scalar()
-    q3 = len_df.select(F.percentile(v, 0.75)).scalar()
-    return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+def length_counts(len_df: DataFrame, col: str = "len") -> DataFrame:
+    """``(len, c)``: one partial + final aggregation; its size is bounded by
+    the number of distinct lengths, not by rows. It is checkpointed to the
+    shared folder, so the data is scanned once and every statistic (scalar
+    subqueries included) reads only this small table."""
+    return cut_lineage(len_df.groupBy(F.col(col).alias("len")).agg(F.count(F.lit(1)).alias("c")))
+
+
+def _fences(counts: DataFrame):
+    q1 = counts.select(F.percentile("len", 0.25, F.col("c"))).scalar()
+    q3 = counts.select(F.percentile("len", 0.75, F.col("c"))).scalar()
+    return q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
 
 
 def length_summary(len_df: DataFrame, col: str = "len") -> DataFrame:
     """D4 + D7: range, rounded mean, median, rounded sample std, quartiles,
     IQR, outlier count and the mean ± 1, 2 std bands — in one row.
 
-    Python's ``round`` is half-even, hence ``bround``. The outlier count is
-    a second aggregate whose fences are scalar subqueries.
+    Python's ``round`` is half-even, hence ``bround``. Everything is computed
+    from the length → count table: exact percentiles with frequencies, the
+    sample variance around the (scalar) mean.
     """
-    v = F.col(col)
-    lo, hi = _quartile_fences(len_df, col)
-    n_out = len_df.select(F.count(F.when((v < lo) | (v > hi), 1))).scalar()
-    res = len_df.agg(
-        F.count(F.lit(1)).alias("n"),
+    counts = length_counts(len_df, col)
+    n = F.sum("c")
+    mean_raw = counts.select(F.sum(F.col("len") * F.col("c")) / F.sum("c")).scalar()
+    q1, q3, lo, hi = _fences(counts)
+    v = F.col("len")
+    res = counts.agg(
+        n.alias("n"),
         (F.max(v) - F.min(v)).cast("long").alias("range"),
-        F.bround(F.avg(v), 0).cast("double").alias("mean"),
-        F.percentile(v, 0.5).cast("double").alias("median"),
-        F.bround(F.stddev_samp(v), 0).cast("double").alias("std"),
-        F.percentile(v, 0.25).cast("double").alias("q1"),
-        F.percentile(v, 0.75).cast("double").alias("q3"),
-    ).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("n_outliers", n_out)
+        F.bround(F.sum(v * F.col("c")) / n, 0).cast("double").alias("mean"),
+        F.percentile(v, 0.5, F.col("c")).cast("double").alias("median"),
+        F.bround(F.sqrt(F.sum(F.col("c") * F.pow(v - mean_raw, 2)) / (n - 1)), 0).cast("double").alias("std"),
+        F.sum(F.when((v < lo) | (v > hi), F.col("c")).otherwise(0)).alias("n_outliers"),
+    ).withColumn("q1", q1.cast("double")).withColumn("q3", q3.cast("double"))
+    res = res.withColumn("iqr", F.col("q3") - F.col("q1"))
     for k in (1, 2):
         res = (res.withColumn(f"band_lo{k}", F.col("mean") - k * F.col("std"))
                .withColumn(f"band_hi{k}", F.col("mean") + k * F.col("std")))
@@ -81,29 +92,29 @@ def length_summary(len_df: DataFrame, col: str = "len") -> DataFrame:
 def length_outliers(len_df: DataFrame, col: str = "len") -> DataFrame:
     """Rows strictly outside ``[Q1 − 1.5·IQR, Q3 + 1.5·IQR]``."""
     v = F.col(col)
-    lo, hi = _quartile_fences(len_df, col)
+    _, _, lo, hi = _fences(length_counts(len_df, col))
     return len_df.filter((v < lo) | (v > hi))
 
 
 def length_histogram(len_df: DataFrame, col: str = "len", bins: int = 100) -> DataFrame:
     """``bins`` equal-width bins over ``[min, max]``, last bin closed,
     empty bins present; ``min = max`` puts every row in the middle bin of a
-    unit-wide range (as numpy does). Min and max are scalar subqueries; the
-    count is one partial + final aggregation over at most ``bins`` keys.
+    unit-wide range (as numpy does). Computed from the length → count table.
     """
     spark = len_df.sparkSession
-    v = F.col(col).cast("double")
-    mn = len_df.select(F.min(v)).scalar()
-    mx = len_df.select(F.max(v)).scalar()
+    counts = length_counts(len_df, col)
+    v = F.col("len").cast("double")
+    mn = counts.select(F.min(v)).scalar()
+    mx = counts.select(F.max(v)).scalar()
     nb = F.lit(float(bins))
     same = mx == mn
     b = F.when(same, F.lit(bins // 2)).otherwise(F.least(F.floor((v - mn) * nb / (mx - mn)), F.lit(bins - 1)))
-    counts = len_df.groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    per_bin = counts.groupBy(b.cast("long").alias("bin")).agg(F.sum("c").alias("n"))
     bin_c = F.col("bin")
     lo_edge = F.when(same, mn - 0.5 + bin_c / nb).otherwise(mn + bin_c * (mx - mn) / nb)
     hi_edge = F.when(same, mn - 0.5 + (bin_c + 1) / nb).otherwise(mn + (bin_c + 1) * (mx - mn) / nb)
     grid = spark.range(bins).withColumnRenamed("id", "bin").filter(mn.isNotNull())
-    return (grid.join(counts, on="bin", how="left")
+    return (grid.join(per_bin, on="bin", how="left")
             .select("bin", lo_edge.alias("lo"), hi_edge.alias("hi"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
