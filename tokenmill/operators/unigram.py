@@ -11,6 +11,8 @@ The loop runs on the driver; the work runs on executors:
   vectorised (numpy) forward–backward over all words of the bucket, expected
   counts summed per bucket, then one ``groupBy(piece)`` shuffle of at most
   (pieces × buckets) rows;
+* whenever the live pieces have halved, both lattices are rewritten without
+  the dead edges (a partition-local map), so passes shrink with the vocabulary;
 * pruning needs, for every piece, its best split without itself: the same
   lattice built over the seed pieces (minus each piece's own full edge)
   gives all of them in one vectorised Viterbi pass per round;
@@ -159,10 +161,10 @@ def _forward_backward(widx, st, en, pid, wlen, freq, logp: np.ndarray, with_vite
     return np.asarray(pnames), expected, vf, ll
 
 
-_COLS = ("wid", "freq", "wlen", "starts", "ends", "pids")
+_COLS = ("wid", "freq", "wlen", "starts", "ends", "hashes")
 
 
-def _estep_fn(bc, with_viterbi: bool):
+def _estep_fn(bc, bc_index, with_viterbi: bool):
     def run(batches):
         # One partition of the lattice table holds whole buckets (written
         # hash-partitioned by bucket, one small file each), so no word is split
@@ -170,13 +172,8 @@ def _estep_fn(bc, with_viterbi: bool):
         parts = list(batches)
         if not parts:
             return
-        tbl = pa.Table.from_batches(parts)
-        starts = tbl.column("starts").combine_chunks()
-        lengths = starts.value_lengths().to_numpy()
-        widx = np.repeat(np.arange(len(lengths)), lengths)
-        flat = {c: tbl.column(c).combine_chunks().flatten().to_numpy() for c in ("starts", "ends", "pids")}
-        res = _forward_backward(widx, flat["starts"], flat["ends"], flat["pids"], tbl.column("wlen").to_numpy(),
-                                tbl.column("freq").to_numpy(), bc.value, with_viterbi)
+        tbl, widx, st, en, pid, wlen = _edges_of(parts, bc_index.value)
+        res = _forward_backward(widx, st, en, pid, wlen, tbl.column("freq").to_numpy(), bc.value, with_viterbi)
         if res is None:
             return
         names, expected, vf, ll = res
@@ -190,13 +187,13 @@ _ESTEP_SCHEMA = T.StructType([T.StructField("pid", T.LongType()), T.StructField(
                               T.StructField("vfreq", T.DoubleType())])
 
 
-def _estep(lattice: DataFrame, logp: np.ndarray, with_viterbi: bool):
+def _estep(lattice: DataFrame, logp: np.ndarray, with_viterbi: bool, bc_index):
     ship_code(lattice.sparkSession)
     sc = lattice.sparkSession.sparkContext
     bc = sc.broadcast(logp)
     try:
         # ≤ (pieces + 1) rows, fetched as Arrow
-        agg = (lattice.select(*_COLS).mapInArrow(_estep_fn(bc, with_viterbi), _ESTEP_SCHEMA)
+        agg = (lattice.select(*_COLS).mapInArrow(_estep_fn(bc, bc_index, with_viterbi), _ESTEP_SCHEMA)
                .groupBy("pid").agg(F.sum("expected").alias("e"), F.sum("vfreq").alias("v")).toPandas())
     finally:
         bc.unpersist()
@@ -232,28 +229,24 @@ def _best_scores(widx, st, en, pid, wlen, logp: np.ndarray) -> np.ndarray:
     return vit[offset + wlen]
 
 
-def _alt_fn(bc):
+def _alt_fn(bc, bc_index):
     def run(batches):
         parts = list(batches)
         if not parts:
             return
-        tbl = pa.Table.from_batches(parts)
-        starts = tbl.column("starts").combine_chunks()
-        lengths = starts.value_lengths().to_numpy()
-        widx = np.repeat(np.arange(len(lengths)), lengths)
-        flat = {c: tbl.column(c).combine_chunks().flatten().to_numpy() for c in ("starts", "ends", "pids")}
-        best = _best_scores(widx, flat["starts"], flat["ends"], flat["pids"], tbl.column("wlen").to_numpy(), bc.value)
+        tbl, widx, st, en, pid, wlen = _edges_of(parts, bc_index.value, drop_full=True)
+        best = _best_scores(widx, st, en, pid, wlen, bc.value)
         yield pa.RecordBatch.from_arrays([pa.array(tbl.column("wid").to_numpy().astype(np.int64)), pa.array(best)],
                                          names=["pid", "alt"])
     return run
 
 
-def _alt_scores(piece_lattice: DataFrame, logp: np.ndarray) -> np.ndarray:
+def _alt_scores(piece_lattice: DataFrame, logp: np.ndarray, bc_index) -> np.ndarray:
     """Log-prob of the best split of every piece without itself (one pass)."""
     sc = piece_lattice.sparkSession.sparkContext
     bc = sc.broadcast(logp)
     try:
-        out = (piece_lattice.select(*_COLS).mapInArrow(_alt_fn(bc), "pid long, alt double").toPandas())
+        out = (piece_lattice.select(*_COLS).mapInArrow(_alt_fn(bc, bc_index), "pid long, alt double").toPandas())
     finally:
         bc.unpersist()
     alt = np.full(len(logp), _NEG)
@@ -261,33 +254,30 @@ def _alt_scores(piece_lattice: DataFrame, logp: np.ndarray) -> np.ndarray:
     return alt
 
 
-def build_lattice(words: DataFrame, seeds: DataFrame, max_piece_len: int = 16,
-                  edges_per_bucket: int = 250_000, exclude_full: bool = False) -> DataFrame:
-    """Every occurrence of a seed piece inside every word type, once.
+def build_lattice(words: DataFrame, max_piece_len: int = 16, edges_per_bucket: int = 250_000) -> DataFrame:
+    """Every substring (≤ ``max_piece_len`` chars) of every word type, once.
 
-    ``(bucket, wid, freq, wlen, starts[], ends[], pids[])`` — one row per word
-    type; the bucket (a hash of the
-    word id) keeps all edges of a word in one partition and sizes each
-    partition to at most about ``edges_per_bucket`` edges (at least two per
-    core). Checkpointed: every E-step re-reads it partition-locally, with no
-    shuffle.
+    ``(bucket, wid, freq, wlen, starts[], ends[], hashes[])`` — one row per
+    word type, built with array expressions (no explode, no join): the
+    E-step resolves ``xxhash64(substring)`` against the seed table, so
+    non-seed substrings simply drop out. The bucket (a hash of the word id)
+    keeps a word in one partition and sizes each partition to about
+    ``edges_per_bucket`` edges (at least two per core). Written once to the
+    shared folder; every E-step re-reads it partition-locally, no shuffle.
     """
     spark = words.sparkSession
     L = F.length("word")
-    st = words.select("wid", "word", "freq", L.alias("wlen"), F.explode(F.sequence(F.lit(0), L - 1)).alias("start"))
-    sub = st.select("wid", "word", "freq", "wlen", "start", F.explode(
-        F.sequence(F.lit(1), F.least(F.lit(max_piece_len), F.col("wlen") - F.col("start")))).alias("n"))
-    sub = sub.select("wid", "freq", "wlen", "start", (F.col("start") + F.col("n")).cast("int").alias("end"),
-                     F.substring("word", F.col("start") + 1, F.col("n")).alias("piece"))
-    if exclude_full:  # the word itself is not its own alternative
-        sub = sub.filter(~((F.col("start") == 0) & (F.col("end") == F.col("wlen"))))
-    edges = sub.join(seeds.select("piece", "pid"), on="piece", how="inner")
-    # one row per word: its edges as three aligned arrays (bounded by 16 × length)
-    lat = (edges.groupBy("wid", "freq", "wlen").agg(F.collect_list(F.struct("start", "end", "pid")).alias("_e"))
-           .select("wid", "freq", "wlen", F.col("_e.start").alias("starts"), F.col("_e.end").alias("ends"),
-                   F.col("_e.pid").alias("pids")))
+    k = F.lit(max_piece_len)
+    pos = F.sequence(F.lit(0), L - 1)
+    starts = F.flatten(F.transform(pos, lambda s_: F.array_repeat(s_, F.least(k, L - s_))))
+    ends = F.flatten(F.transform(pos, lambda s_: F.sequence(s_ + 1, s_ + F.least(k, L - s_))))
+    lat = (words.select("wid", "word", "freq", L.alias("wlen"), starts.alias("starts"), ends.alias("ends"))
+           .withColumn("hashes", F.transform(F.arrays_zip("starts", "ends"),
+                                             lambda e: F.xxhash64(F.substring(F.col("word"), e["starts"] + 1,
+                                                                              e["ends"] - e["starts"]))))
+           .drop("word"))
     # upper bound of the edge count from the (checkpointed) word table
-    bound = words.select(F.sum(F.length("word") * F.least(F.lit(max_piece_len), F.length("word")))).first()[0] or 0
+    bound = words.select(F.sum(L * F.least(k, L))).first()[0] or 0
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-int(bound) // edges_per_bucket))
     lat = lat.withColumn("bucket", F.pmod(F.xxhash64("wid"), F.lit(buckets)))
     # A written table (columnar re-reads); one small file per bucket
@@ -297,6 +287,91 @@ def build_lattice(words: DataFrame, seeds: DataFrame, max_piece_len: int = 16,
     return spark.read.parquet(path)
 
 
+def _seed_index(seed_pdf: pd.DataFrame):
+    """Sorted seed hashes → pid, with each seed's length for a second check."""
+    order = np.argsort(seed_pdf["h"].to_numpy(), kind="stable")
+    return (seed_pdf["h"].to_numpy()[order], seed_pdf["pid"].to_numpy()[order].astype(np.int64),
+            seed_pdf.sort_values("pid")["n_chars"].to_numpy().astype(np.int64))
+
+
+def _resolve(hashes: np.ndarray, lengths: np.ndarray, index) -> np.ndarray:
+    """pid of each substring, -1 when it is not a seed (hash and length must match)."""
+    sorted_h, pid_of, n_chars = index
+    if len(sorted_h) == 0:
+        return np.full(len(hashes), -1, dtype=np.int64)
+    i = np.minimum(np.searchsorted(sorted_h, hashes), len(sorted_h) - 1)
+    pid = np.where(sorted_h[i] == hashes, pid_of[i], -1)
+    ok = pid >= 0
+    ok[ok] = n_chars[pid[ok]] == lengths[ok]
+    return np.where(ok, pid, -1)
+
+
+def _edges_of(batches, index, drop_full: bool = False):
+    """Flatten one partition of the lattice into seed edges."""
+    tbl = pa.Table.from_batches(batches)
+    starts = tbl.column("starts").combine_chunks()
+    lengths = starts.value_lengths().to_numpy()
+    widx = np.repeat(np.arange(len(lengths)), lengths)
+    st = starts.flatten().to_numpy().astype(np.int64)
+    en = tbl.column("ends").combine_chunks().flatten().to_numpy().astype(np.int64)
+    h = tbl.column("hashes").combine_chunks().flatten().to_numpy()
+    wlen = tbl.column("wlen").to_numpy().astype(np.int64)
+    pid = _resolve(h, en - st, index)
+    keep = pid >= 0
+    if drop_full:  # a piece is not its own alternative
+        keep &= ~((st == 0) & (en == wlen[widx]))
+    return tbl, widx[keep], st[keep], en[keep], pid[keep], wlen
+
+
+def _compact_fn(bc, bc_index, piece_rows: bool):
+    def run(batches):
+        logp = bc.value
+        for b in batches:  # every row is one whole word: batches are independent
+            tbl = pa.Table.from_batches([b])
+            n = tbl.num_rows
+            starts = tbl.column("starts").combine_chunks()
+            lengths = starts.value_lengths().to_numpy()
+            widx = np.repeat(np.arange(n), lengths)
+            st = starts.flatten().to_numpy()
+            en = tbl.column("ends").combine_chunks().flatten().to_numpy()
+            h = tbl.column("hashes").combine_chunks().flatten().to_numpy()
+            pid = _resolve(h, en.astype(np.int64) - st, bc_index.value)
+            keep = pid >= 0
+            keep[keep] = ~np.isnan(logp[pid[keep]])
+            rows = np.ones(n, dtype=bool)
+            if piece_rows:  # a dead piece needs no alternative any more
+                rows = ~np.isnan(logp[tbl.column("wid").to_numpy()])
+            keep &= rows[widx]
+            offs = np.concatenate([[0], np.cumsum(np.bincount(widx[keep], minlength=n))]).astype(np.int32)
+            cols = {c: tbl.column(c).combine_chunks() for c in ("wid", "freq", "wlen", "bucket")}
+            out = pa.RecordBatch.from_arrays(
+                [cols["wid"], cols["freq"], cols["wlen"],
+                 pa.ListArray.from_arrays(pa.array(offs), pa.array(st[keep], pa.int32())),
+                 pa.ListArray.from_arrays(pa.array(offs), pa.array(en[keep], pa.int32())),
+                 pa.ListArray.from_arrays(pa.array(offs), pa.array(h[keep], pa.int64())),
+                 cols["bucket"]],
+                names=["wid", "freq", "wlen", "starts", "ends", "hashes", "bucket"])
+            idx = np.flatnonzero(rows)
+            yield out if len(idx) == n else out.take(pa.array(idx))
+    return run
+
+
+def compact_lattice(lattice: DataFrame, logp: np.ndarray, bc_index, piece_rows: bool = False) -> DataFrame:
+    """Rewrite the lattice without edges of removed pieces (and, for the
+    piece lattice, without removed pieces' rows): later passes shrink with
+    the vocabulary. A partition-local map; written to the shared folder."""
+    spark = lattice.sparkSession
+    bc = spark.sparkContext.broadcast(logp)
+    cols = ["wid", "freq", "wlen", "starts", "ends", "hashes", "bucket"]
+    src = lattice.select(*cols)
+    path = scratch_path(spark, "lattice")
+    try:
+        src.mapInArrow(_compact_fn(bc, bc_index, piece_rows), src.schema).write.parquet(path)
+    finally:
+        bc.unpersist()
+    return spark.read.parquet(path)
+
+
 def _digamma_np(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, dtype=np.float64).copy()
     r = np.zeros_like(x)
@@ -350,7 +425,8 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
     n_seeds = seeds.count()
     if n_seeds > MAX_SEED_PIECES:
         raise ValueError(f"{n_seeds} seed pieces exceed the driver bound {MAX_SEED_PIECES}")
-    seed_pdf = seeds.select("pid", "piece", "score", "n_chars").toPandas().sort_values("pid")
+    seed_pdf = seeds.select("pid", "piece", "score", "n_chars", F.xxhash64("piece").alias("h")).toPandas() \
+        .sort_values("pid")
     names = seed_pdf["piece"].tolist()
     score = seed_pdf["score"].to_numpy(dtype=np.float64)
     is_char = (seed_pdf["n_chars"] == 1).to_numpy()
@@ -359,19 +435,26 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
         logp = np.where(score > 0, np.log(score) - math.log(total), np.nan)
     n_special = len(SPECIALS) if with_pad else len(SPECIALS) - 1
     goal = max(vocab_size - n_special, int(is_char.sum()))
-    lattice = build_lattice(words, seeds, max_piece_len)
+    bc_index = spark.sparkContext.broadcast(_seed_index(seed_pdf))
+    lattice = build_lattice(words, max_piece_len)
     piece_words = seeds.select(F.col("pid").alias("wid"), F.col("piece").alias("word"), F.lit(1).alias("freq"))
-    piece_lattice = build_lattice(piece_words, seeds, max_piece_len, exclude_full=True)
+    piece_lattice = build_lattice(piece_words, max_piece_len)
     # train down to 110 % of the goal, then keep the best-scoring pieces
     desired = int(goal * 1.1)
+    compacted_at = n_seeds
     for _ in range(max_rounds):
         vfreq = np.zeros(n_seeds)
         for it in range(em_iters):
-            expected, vfreq, _ll = _estep(lattice, logp, with_viterbi=(it == em_iters - 1))
+            alive_now = int((~np.isnan(logp)).sum())
+            if alive_now * 2 <= compacted_at:
+                lattice = compact_lattice(lattice, logp, bc_index)
+                piece_lattice = compact_lattice(piece_lattice, logp, bc_index, piece_rows=True)
+                compacted_at = alive_now
+            expected, vfreq, _ll = _estep(lattice, logp, (it == em_iters - 1), bc_index)
             logp = _mstep(logp, expected, is_char)
         if int((~np.isnan(logp)).sum()) <= desired:
             break
-        alt = _alt_scores(piece_lattice, logp)
+        alt = _alt_scores(piece_lattice, logp, bc_index)
         logp = _prune(logp, vfreq, alt, names, is_char, max(desired, int((~np.isnan(logp)).sum() * shrink)))
     # final: the best `goal` pieces by score, characters always kept
     alive = np.flatnonzero(~np.isnan(logp))
