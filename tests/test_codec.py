@@ -112,3 +112,12 @@ def test_sentencepiece_cross_check(spark):
     got = {r.k: list(r.ids) for r in codec.encode(df, v).collect()}
     for i, t in enumerate(texts):
         assert got[i] == sp.encode(t), t
+
+
+def test_add_tokens_twice_equals_once(spark):
+    v = spark.createDataFrame(VOCAB, vocab.VOCAB_SCHEMA)
+    once = vocab.add_tokens(v, ["<SEP>", "ab", "<X>"])
+    twice = vocab.add_tokens(once, ["<SEP>", "ab", "<X>"])
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    added = {r.piece: r.id for r in once.collect() if r.kind == "user"}
+    assert added == {"<SEP>": 11, "<X>": 12}

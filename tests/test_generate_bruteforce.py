@@ -1,0 +1,92 @@
+"""The registered ``generate`` query against a plain-Python rendering of the
+generation loop on the smallest fixture (no SQL oracle exists for it)."""
+
+import hashlib
+import math
+
+import pyarrow.parquet as pq
+
+import __spark_entry__ as E
+from conftest import SF_SMALL
+from tokenmill.plans import fixtures as fx
+
+V_SPECIAL = 4
+
+
+def _norm(t):
+    t = " ".join(t.replace("\x0b", " ").split())  # the data holds only blanks and newlines
+    return "▁" + t.replace(" ", "▁") if t else ""
+
+
+def _encode(text, vocab):
+    out = [1]
+    for ch in _norm(text):
+        i = vocab.get(ch, 0)
+        if i == 0 and out[-1] == 0 and len(out) > 1:
+            continue
+        out.append(i)
+    return out
+
+
+def _u(seed, step, key):
+    return int(hashlib.md5(f"{seed}:{step}:{key}".encode()).hexdigest()[:8], 16) / 2 ** 32
+
+
+def _run(prompts, table, *, seq_len, max_gen, temperature, top_p, penalty, seed, pad=3, eos=2):
+    plens = [len(p) for _, p in prompts]
+    total = min(seq_len, max_gen + max(plens))
+    tok = [(p + [pad] * total)[:total] for _, p in prompts]
+    mask = [[t != pad for t in row] for row in tok]
+    for cur in range(min(plens), total):
+        for r, (key, _) in enumerate(prompts):
+            logits = list(table[tok[r][cur - 1] % len(table)])
+            for t in set(tok[r]):
+                if 0 <= t < len(logits):
+                    logits[t] = logits[t] * penalty if logits[t] < 0 else logits[t] / penalty
+            m = max(v / temperature for v in logits)
+            ex = [math.exp(v / temperature - m) for v in logits]
+            z = sum(ex)
+            probs = [e / z for e in ex]
+            order = sorted(range(len(probs)), key=lambda i: (-probs[i], i))
+            kept, cum = [], 0.0
+            for i in order:
+                if cum <= top_p:  # cumsum before this token ≤ top_p
+                    kept.append(i)
+                cum += probs[i]
+            s = sum(probs[i] for i in kept)
+            u, acc, pick = _u(seed, cur, key), 0.0, kept[-1]
+            for i in kept:
+                acc += probs[i] / s
+                if acc > u:
+                    pick = i
+                    break
+            if not mask[r][cur]:
+                tok[r][cur] = pick
+    out = {}
+    for r, (key, p) in enumerate(prompts):
+        t = [eos if x == pad else x for x in tok[r]][: len(p) + max_gen]
+        if eos in t:
+            e = t.index(eos)
+            out[key] = (t[:e], e - len(p))
+        else:
+            out[key] = (t, max_gen)
+    return out
+
+
+def test_generate_matches_plain_loop(spark):
+    got = {r.conv_id: (r.digest, r.n_generated, r.n_input) for r in E.queries()["generate"](spark, SF_SMALL).collect()}
+    vocab = {r.piece: r.id for r in fx.charvocab(spark, SF_SMALL).collect() if r.kind == "normal"}
+    emb = pq.read_table(f"{SF_SMALL}/embeddings.parquet").to_pandas().sort_values("vec_id")
+    table = [list(map(float, e)) for e in emb[emb.vec_id < fx.SCORER_ROWS].embedding]
+    prompts = {r.conv_id: (r.batch_id, r.text) for r in fx.prompts(spark, SF_SMALL).collect()}
+    batches = {}
+    for cid, (b, text) in prompts.items():
+        batches.setdefault(b, []).append((cid, _encode(text, vocab)))
+    want = {}
+    for b, items in batches.items():
+        want.update(_run(sorted(items), table, seq_len=fx.SEQ_LEN, max_gen=fx.MAX_GEN_LEN, temperature=0.8,
+                         top_p=fx.TOP_P, penalty=fx.REPETITION_PENALTY, seed=fx.SEED))
+    assert set(got) == set(want)
+    for cid, (ids, n_gen) in want.items():
+        digest = hashlib.md5(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[cid][:2] == (digest, n_gen), cid
