@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tokenmill.functions.exprs import SPACE_MARK
 from tokenmill.operators.order import global_index
+from tokenmill.session import cut_lineage
 
 # Largest top-k kept as a per-task heap (TakeOrderedAndProject).
 TOP_K_IN_MEMORY = 100_000
@@ -41,13 +42,17 @@ def seed_pieces(wc: DataFrame, top_k: int = 1_000_000, max_piece_len: int = 16,
     """
     L = F.length("word")
     starts = wc.select("word", "freq", F.explode(F.sequence(F.lit(1), L)).alias("s"))
-    subs = starts.select("word", "freq", "s", F.explode(
-        F.sequence(F.lit(1), F.least(F.lit(max_piece_len), L - F.col("s") + 1))).alias("n"))
-    subs = subs.select(F.substring("word", F.col("s"), F.col("n")).alias("piece"), "freq", "n")
-    subs = subs.filter((F.col("n") == 1) | ~F.substring("piece", 2, 10_000).contains(SPACE_MARK))
-    agg = subs.groupBy("piece").agg(F.sum("freq").alias("freq"), F.first("n").alias("n_chars"))
+    subs = starts.select(F.explode(F.sequence(F.lit(1), F.least(F.lit(max_piece_len), F.length("word") - F.col("s") + 1)))
+                         .alias("n"), "word", "freq", "s")
+    # a word type is "▁" + text without "▁", so "▁" can only open a piece
+    subs = subs.select(F.substring("word", F.col("s"), F.col("n")).alias("piece"), "freq")
+    agg = subs.groupBy("piece").agg(F.sum("freq").alias("freq")).withColumn("n_chars", F.length("piece"))
     agg = agg.filter((F.col("n_chars") == 1) | (F.col("freq") >= min_freq))
     agg = agg.withColumn("score", (F.col("freq") * F.col("n_chars")).cast("long"))
+    if top_k > TOP_K_IN_MEMORY:
+        # the large-cut ranking reads its input three times: materialise the
+        # candidates once in the shared folder
+        agg = cut_lineage(agg)
     chars = agg.filter(F.col("n_chars") == 1)
     multi = agg.filter(F.col("n_chars") > 1)
     if top_k <= TOP_K_IN_MEMORY:
