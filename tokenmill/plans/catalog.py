@@ -393,7 +393,7 @@ def q_top1(spark, d):
 
 def _encoded_prompts(spark, d, model=None):
     model = model or _charvocab_model(spark, d)
-    return decoding.encode_prompts(fx.prompts(spark, d), model, S, fx.MAX_GEN_LEN)
+    return decoding.encode_prompts(fx.prompts(spark, d), model, S, fx.MAX_GEN_LEN, batch_size=B)
 
 
 def q_encode_prompts(spark, d):
