@@ -74,6 +74,6 @@ def scaled_loss(loss, accumulation_steps: int) -> Column:
 
 
 def prediction_lines(decoded: DataFrame, epoch, text: str = "text") -> DataFrame:
-    """``"<epoch>: <text>"``."""
-    return decoded.withColumn("line", F.concat(F.lit(str(epoch)) if not hasattr(epoch, "alias") else epoch.cast("string"),
-                                               F.lit(": "), F.col(text)))
+    """``"<epoch>: <text>"``; ``epoch`` is a number or a Column."""
+    e = epoch.cast("string") if isinstance(epoch, Column) else F.lit(str(epoch))
+    return decoded.withColumn("line", F.concat(e, F.lit(": "), F.col(text)))
