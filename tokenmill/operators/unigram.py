@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from tokenmill.operators.order import global_index
 from tokenmill.operators.vocab import SPECIALS, layout_vocab, seed_pieces, word_counts
-from tokenmill.session import cut_lineage, scratch_path, ship_code
+from tokenmill.session import cut_lineage, drop_path, scratch_path, ship_code
 
 _NEG = float("-inf")
 _LL_KEY = "\u0000ll"
@@ -447,8 +447,12 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
         for it in range(em_iters):
             alive_now = int((~np.isnan(logp)).sum())
             if alive_now * 2 <= compacted_at:
+                old = (lattice, piece_lattice)
                 lattice = compact_lattice(lattice, logp, bc_index)
                 piece_lattice = compact_lattice(piece_lattice, logp, bc_index, piece_rows=True)
+                for t in old:  # superseded generations are no longer read
+                    for f in t.inputFiles()[:1]:
+                        drop_path(spark, f.rsplit("/", 1)[0])
                 compacted_at = alive_now
             expected, vfreq, _ll = _estep(lattice, logp, (it == em_iters - 1), bc_index)
             logp = _mstep(logp, expected, is_char)
@@ -461,5 +465,9 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
     others = sorted((i for i in alive if not is_char[i]), key=lambda i: (-logp[i], names[i]))
     keep = [i for i in alive if is_char[i]] + others[:max(0, goal - int(is_char[alive].sum()))]
     final = [(names[i], float(logp[i])) for i in keep]
-    df = spark.createDataFrame(final, "piece string, score double")
+    df = spark.createDataFrame(final, "piece string, score double")  # built from driver arrays
+    for t in (lattice, piece_lattice):
+        for f in t.inputFiles()[:1]:
+            drop_path(spark, f.rsplit("/", 1)[0])
+    bc_index.unpersist()
     return layout_vocab(df, score="score", with_pad=with_pad)

@@ -26,6 +26,8 @@ def build_session(master: str | None = None, app: str = "tokenmill",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        # reliable checkpoints are deleted once their lineage is unreachable
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -107,6 +109,13 @@ def spread(df, factor: int = 2):
     return df.repartition(want * factor)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table this package wrote (any Hadoop filesystem)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
     """Reliable checkpoint (never a local one): survives executor loss."""
     spark = spark or df.sparkSession
