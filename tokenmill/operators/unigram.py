@@ -194,7 +194,7 @@ def _estep(lattice: DataFrame, logp: np.ndarray, with_viterbi: bool, bc_index):
     try:
         # ≤ (pieces + 1) rows, fetched as Arrow
         agg = (lattice.select(*_COLS).mapInArrow(_estep_fn(bc, bc_index, with_viterbi), _ESTEP_SCHEMA)
-               .groupBy("pid").agg(F.sum("expected").alias("e"), F.sum("vfreq").alias("v")).toPandas())
+               .groupBy("pid").agg(F.sum("expected").alias("e"), F.sum("vfreq").alias("v")).toArrow().to_pandas())
     finally:
         bc.unpersist()
     ll_rows = agg["pid"] == -1
@@ -246,7 +246,7 @@ def _alt_scores(piece_lattice: DataFrame, logp: np.ndarray, bc_index) -> np.ndar
     sc = piece_lattice.sparkSession.sparkContext
     bc = sc.broadcast(logp)
     try:
-        out = (piece_lattice.select(*_COLS).mapInArrow(_alt_fn(bc, bc_index), "pid long, alt double").toPandas())
+        out = (piece_lattice.select(*_COLS).mapInArrow(_alt_fn(bc, bc_index), "pid long, alt double").toArrow().to_pandas())
     finally:
         bc.unpersist()
     alt = np.full(len(logp), _NEG)
@@ -425,7 +425,7 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
     n_seeds = seeds.count()
     if n_seeds > MAX_SEED_PIECES:
         raise ValueError(f"{n_seeds} seed pieces exceed the driver bound {MAX_SEED_PIECES}")
-    seed_pdf = seeds.select("pid", "piece", "score", "n_chars", F.xxhash64("piece").alias("h")).toPandas() \
+    seed_pdf = seeds.select("pid", "piece", "score", "n_chars", F.xxhash64("piece").alias("h")).toArrow().to_pandas() \
         .sort_values("pid")
     names = seed_pdf["piece"].tolist()
     score = seed_pdf["score"].to_numpy(dtype=np.float64)
