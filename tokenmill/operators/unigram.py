@@ -41,7 +41,6 @@ from tokenmill.operators.vocab import SPECIALS, layout_vocab, seed_pieces, word_
 from tokenmill.session import cut_lineage, drop_path, scratch_path, ship_code
 
 _NEG = float("-inf")
-_LL_KEY = "\u0000ll"
 MAX_SEED_PIECES = 2_000_000
 
 
@@ -54,15 +53,6 @@ def _digamma(x: float) -> float:
     return r + math.log(x) - 0.5 / x - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (1.0 / 240 - f / 132))))
 
 
-def _lae(a: float, b: float) -> float:
-    if a == _NEG:
-        return b
-    if b == _NEG:
-        return a
-    m = a if a > b else b
-    return m + math.log(math.exp(a - m) + math.exp(b - m))
-
-
 def _seg_logsumexp(vals: np.ndarray, seg_starts: np.ndarray) -> np.ndarray:
     m = np.maximum.reduceat(vals, seg_starts)
     m_rep = np.repeat(m, np.diff(np.append(seg_starts, len(vals))))
