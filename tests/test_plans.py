@@ -49,3 +49,17 @@ def test_expression_operators_stay_in_the_jvm(spark, key):
 def test_no_cartesian_or_nested_loop_join(spark, key):
     plan = _plan(E.queries()[key](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, plan
+
+
+def test_stored_length_filter_reaches_the_scan(spark):
+    from tokenmill.operators import codec, columns, vocab
+    from tokenmill.plans import fixtures as fx
+    from tokenmill.session import scratch_path
+    docs = fx.text(spark, SF_SMALL)
+    v = fx.charvocab(spark, SF_SMALL)
+    path = scratch_path(spark, "t_len")
+    codec.tokenize_text(docs, v, out="ids", length_col="n_tokens").write.parquet(path)
+    f = columns.length_filter(spark.read.parquet(path), "ids", 0, 2000, length_col="n_tokens")
+    plan = _plan(f)
+    assert "GreaterThanOrEqual(n_tokens,0)" in plan and "LessThanOrEqual(n_tokens,2000)" in plan
+    assert f.count() == spark.read.parquet(path).filter("size(ids) <= 2000").count()

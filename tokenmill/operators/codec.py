@@ -270,9 +270,15 @@ def decode(df: DataFrame, vocab: DataFrame | CodecModel, ids: str = "ids", out:
     return d.withColumn("_j", joined).withColumn(out, txt).drop("_k", "_j")
 
 
-def tokenize_text(df: DataFrame, vocab, text: str = "text", out: str = "Tokenized_Data") -> DataFrame:
-    """encode ``text`` with both ends, drop ``text``."""
-    return encode(df, vocab, text=text, out=out, bos=True, eos=True, drop_text=True)
+def tokenize_text(df: DataFrame, vocab, text: str = "text", out: str = "Tokenized_Data",
+                  length_col: str | None = None) -> DataFrame:
+    """encode ``text`` with both ends, drop ``text``.
+
+    ``length_col`` stores the token count beside the list: once written to
+    parquet, length filters on it are pushed down to the row-group statistics.
+    """
+    res = encode(df, vocab, text=text, out=out, bos=True, eos=True, drop_text=True)
+    return res.withColumn(length_col, F.size(out).cast("int")) if length_col else res
 
 
 def tokenize_triples(df: DataFrame, vocab, out: str = "Tokenized_Data") -> DataFrame:

@@ -43,9 +43,13 @@ def token_column(df: DataFrame, name: str | None = "ids", position: int | None =
 
 
 def length_filter(df: DataFrame, ids: str = "ids", min_length: int = 0,
-                  max_length: int = 2000) -> DataFrame:
-    """Keep rows with ``min_length <= len <= max_length`` (both inclusive)."""
-    return df.filter(F.size(ids).between(min_length, max_length))
+                  max_length: int = 2000, length_col: str | None = None) -> DataFrame:
+    """Keep rows with ``min_length <= len <= max_length`` (both inclusive).
+
+    With a stored ``length_col`` the predicate is a plain column range, which
+    reaches the parquet scan as a pushed filter."""
+    n = F.col(length_col) if length_col else F.size(ids)
+    return df.filter(n.between(min_length, max_length))
 
 
 def remap_token(df: DataFrame, ids: str = "ids", old: int = -1, new: int = 32000) -> DataFrame:

@@ -314,7 +314,7 @@ def _split_summary(back):
 
 
 def q_tokenize_and_split(spark, d):
-    tok = codec.tokenize_text(fx.text(spark, d), _charvocab_model(spark, d))
+    tok = codec.tokenize_text(fx.text(spark, d), _charvocab_model(spark, d), length_col="n_tokens")
     # written once: the split reads the tokens twice (counts + rows)
     tok_path = scratch_path(spark, "tokenized")
     tok.write.parquet(tok_path)
