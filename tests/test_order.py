@@ -64,3 +64,12 @@ def test_sample_lines_both_paths_agree(spark):
     a = {r.k: r.idx for r in order.sample_lines(df, ["k"], 40, seed=3).collect()}
     b = {r.k: r.idx for r in order.sample_lines(df, ["k"], 40, seed=3, top_k_limit=0).collect()}
     assert a == b and len(a) == 40
+
+
+def test_key_order_with_a_hot_first_key(spark):
+    # a third of the rows share the first key; the second key is a string
+    rows = [(1 if i % 3 == 0 else i, f"p{i * 7919 % 10007:05d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "score long, piece string")
+    got = {(r.score, r.piece): r.idx for r in order.global_index(df, ["score", "piece"]).collect()}
+    want = sorted(rows)
+    assert [got[k] for k in want] == list(range(len(rows)))

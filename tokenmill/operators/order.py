@@ -1,10 +1,10 @@
 """Order without a global window.
 
 A bare ``row_number() over (order by …)`` runs in one task. Here the
-order key is cut into buckets that preserve the order (a prefix of the
-md5 sort key, or range boundaries of a key); only the per-bucket counts
-(≤ a few thousand rows) are summed on one partition, and the row number
-inside each bucket runs in parallel.
+order is cut into pieces that preserve it — a prefix of the md5 sort key
+(seeded orders) or range partitions of the composite key (key orders) —
+only the per-piece counts (≤ a few thousand rows) are summed on one
+partition, and the numbering inside each piece runs in parallel.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.functions.exprs import md5_key
+from tokenmill.session import cut_lineage
 
 _IDX = "idx"
 
@@ -23,44 +24,27 @@ def _offsets(counts: DataFrame, by: list[str]) -> DataFrame:
     """Exclusive prefix sums of bucket counts (+ group totals)."""
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wt = Window.partitionBy(*by)
-    return counts.select(*by, "_b",
-                         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
-                         F.sum("_n").over(wt).alias("_total"))
+    return (counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+            .withColumn("_total", F.sum("_n").over(wt)).drop("_n"))
 
 
 def global_index(df: DataFrame, keys: list[str], seed=None, by: list[str] | None = None,
-                 idx_col: str = _IDX, bucket_hex: int = 3, n_range_buckets: int = 1024,
-                 with_total: str | None = None) -> DataFrame:
+                 idx_col: str = _IDX, bucket_hex: int = 3, with_total: str | None = None) -> DataFrame:
     """Dense ``0…n-1`` position under a stated total order.
 
     ``seed`` given → order by ``(md5(seed[:by]:keys), keys)`` (a seeded shuffle);
-    ``seed`` None → order by ``keys`` (a total order; the first key numeric).
+    ``seed`` None → order by ``keys`` (a total order; any orderable types).
     ``by`` restarts the numbering per group (e.g. per epoch).
     """
     by = list(by or [])
-    if seed is not None:
-        h = md5_key(seed, *by, *keys)
-        d = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"))
-        order = ["_h", *keys]
-    else:
-        # Range buckets on the first key (numeric); later keys only break ties
-        # inside a bucket, since equal first keys always share a bucket.
-        k = keys[0]
-        # Range boundaries from a bounded quantile sketch (≤ n_range_buckets values
-        # reach the driver); bucket = number of boundaries ≤ key.
-        probs = [i / n_range_buckets for i in range(1, n_range_buckets)]
-        bounds = sorted(set(x for x in df.approxQuantile(k, probs, 0.001) if x is not None))
-        d = df.withColumn("_h", F.lit(None).cast("string"))
-        if bounds:
-            arr = F.array(*[F.lit(float(b)) for b in bounds])
-            d = d.withColumn("_b", F.size(F.filter(arr, lambda b: b <= F.col(k).cast("double"))))
-        else:
-            d = d.withColumn("_b", F.lit(0))
-        order = keys
+    if seed is None:
+        return _range_index(df, keys, by, idx_col, with_total)
+    h = md5_key(seed, *by, *keys)
+    d = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"))
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = _offsets(counts, by)
     # Offsets are one row per (group, bucket): bounded by 16**bucket_hex × groups.
-    w = Window.partitionBy(*by, "_b").orderBy(*order)
+    w = Window.partitionBy(*by, "_b").orderBy("_h", *keys)
     out = (d.join(F.broadcast(offs), on=[*by, "_b"], how="inner")
            .withColumn(idx_col, (F.row_number().over(w) - 1 + F.col("_off")).cast("long")))
     if with_total:
@@ -68,6 +52,34 @@ def global_index(df: DataFrame, keys: list[str], seed=None, by: list[str] | None
     return out.drop("_h", "_b", "_off", "_total")
 
 
+def _range_index(df: DataFrame, keys: list[str], by: list[str], idx_col: str,
+                 with_total: str | None) -> DataFrame:
+    """Key order: range partitions on the whole composite key (sampled bounds
+    split tie groups of the first key, so no bucket turns hot), sorted inside;
+    a row's position is its place in its partition, plus the counts of the
+    partitions before it.
+
+    Positions depend on the row order inside each range partition, so the
+    numbered rows are materialised once (reliable checkpoint): a recomputed
+    range exchange could sample other bounds.
+    """
+    spark = df.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*by, *keys]
+    d = cut_lineage(df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+                    .withColumn("_m", F.monotonically_increasing_id()))
+    d = (d.withColumn("_b", F.shiftright("_m", 33))
+         .withColumn("_r", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0"))
+    # one row per (group, partition): bounded by partitions × groups
+    offs = _offsets(counts, by)
+    out = (d.join(F.broadcast(offs), on=[*by, "_b"], how="inner")
+           .withColumn(idx_col, (F.col("_off") + F.col("_r") - F.col("_r0")).cast("long")))
+    if with_total:
+        out = out.withColumnRenamed("_total", with_total)
+    return out.drop("_m", "_b", "_r", "_r0", "_off", "_total")
+
+
 def split_sizes(n: int, hold_out: float = 0.15, test_of_hold: float = 0.25) -> tuple[int, int, int]:
     """Two-stage split sizes: ``n_hold = ceil(0.15 n)``, ``test = ceil(0.25 n_hold)``."""
     n_hold = math.ceil(hold_out * n) if n else 0
