@@ -37,7 +37,8 @@ def test_codec_is_one_arrow_map_and_no_row_udf(spark):
 
 
 @pytest.mark.parametrize("key", ["cross_entropy", "softmax", "repetition_penalty", "pad_or_cut", "loss_tokens",
-                                 "early_stop", "best_checkpoints", "length_filter", "split_words"])
+                                 "early_stop", "best_checkpoints", "length_filter", "split_words",
+                                 "checkpoint_name"])
 def test_expression_operators_stay_in_the_jvm(spark, key):
     plan = _plan(E.queries()[key](spark, SF_SMALL))
     assert not re.search(r"Python|ArrowEval|MapInArrow|MapInPandas", plan), plan

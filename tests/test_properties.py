@@ -44,3 +44,14 @@ def test_rank_shards_cover_and_balance(spark, n, world):
     assert set(per_rank) == set(range(world))
     assert {len(v) for v in per_rank.values()} == {math.ceil(n / world)}
     assert {i for v in per_rank.values() for i in v} == set(range(n))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.floats(-1e6, 1e6, allow_nan=False), st.integers(-100000, 100000).map(lambda i: i / 1000),
+                          st.sampled_from([0.005, 0.125, 1.005, 1.015, 2.675, -1.015, 2.0 ** 53, 1e20])),
+                min_size=1, max_size=300))
+def test_fixed2_matches_python_formatting(spark, values):
+    from tokenmill.operators.runlog import with_fixed2
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, v double")
+    got = {r.i: r.s for r in with_fixed2(df, "v", "s").collect()}
+    assert [got[i] for i in range(len(values))] == [f"{float(v):.2f}" for v in values]

@@ -67,3 +67,4 @@ def pad_or_cut_expr(ids, seq_len: int, pad_id: int) -> Column:
         F.slice(ids, 1, width),
         F.array_repeat(F.lit(pad_id), F.greatest(F.lit(0), F.lit(width) - F.size(ids))),
     )
+

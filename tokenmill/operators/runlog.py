@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tokenmill.session import ship_code
 
 
 def lr_schedule(epochs: DataFrame, lr: float = 1e-4, gamma: float = 0.85, epoch: str = "epoch") -> DataFrame:
@@ -45,18 +41,46 @@ def early_stop_epoch(log: DataFrame, patience: int = 5, run: str = "run", epoch:
     return stops
 
 
-@F.pandas_udf(T.StringType())
-def _fmt2(v: pd.Series) -> pd.Series:
-    # Python float formatting: exact binary value, round half to even.
-    return v.map(lambda x: None if x is None or pd.isna(x) else f"{x:.2f}")
+def with_fixed2(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``out = f"{col:.2f}"`` as Python (and C) print it: the exact binary
+    value rounded half to even. Spark's ``format_string`` rounds the
+    shortest decimal form half-up, which differs on ties such as 1.015.
+
+    Exact 64-bit integer arithmetic, no Python: ``|v| = M / 2**k`` with an
+    integer mantissa ``M`` in ``[2**52, 2**53)``; cents are ``(100·M) div 2**k``
+    and twice the remainder against ``2**k`` settles the rounding.
+    """
+    v = F.col(col).cast("double")
+    a = F.abs(v)
+    normal = (a >= F.lit(2.0 ** -8)) & (a < F.lit(2.0 ** 53))  # else: 0 cents, or already whole
+    d = df.withColumn("_a", F.when(normal, a).otherwise(F.lit(1.0)))
+    d = d.withColumn("_k0", (F.lit(52) - F.floor(F.log2("_a"))).cast("int"))
+    scaled = F.col("_a") * F.pow(F.lit(2.0), F.col("_k0"))
+    # log2 can be off by one next to a power of two: put M in [2^52, 2^53)
+    d = d.withColumn("_k", F.when(scaled >= F.lit(2.0 ** 53), F.col("_k0") - 1)
+                     .when(scaled < F.lit(2.0 ** 52), F.col("_k0") + 1).otherwise(F.col("_k0")))
+    d = (d.withColumn("_m", (F.col("_a") * F.pow(F.lit(2.0), F.col("_k"))).cast("long"))
+         .withColumn("_p", F.expr("shiftleft(1L, _k)")))
+    d = d.withColumn("_q", F.expr("(_m * 100) div _p")).withColumn("_r", F.expr("_m * 100 - _q * _p"))
+    half = (F.when(F.col("_r") * 2 > F.col("_p"), 1).when(F.col("_r") * 2 < F.col("_p"), 0)
+            .otherwise(F.col("_q") % 2))
+    cents = F.when(a < F.lit(2.0 ** -8), F.lit(0).cast("long")).otherwise(F.col("_q") + half)
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    small = F.concat(sign, (cents / 100).cast("long").cast("string"), F.lit("."),
+                     F.lpad((cents % 100).cast("string"), 2, "0"))
+    text = (F.when(F.isnan(v), F.lit("nan"))
+            .when(a == F.lit(float("inf")), F.concat(sign, F.lit("inf")))
+            .when(a >= F.lit(2.0 ** 53), F.format_string("%.2f", v))  # whole numbers: exact either way
+            .otherwise(small))
+    return d.withColumn(out, text).drop("_a", "_k0", "_k", "_m", "_p", "_q", "_r")
 
 
 def checkpoint_name(df: DataFrame, epoch: str = "epoch", monitor: str = "val_loss",
                     prefix: str = "model") -> DataFrame:
     """K4: ``model-epoch=<e>-val_loss=<v:.2f>`` (Python's float formatting)."""
-    ship_code(df.sparkSession)
-    return df.withColumn("ckpt_name", F.concat(F.lit(f"{prefix}-epoch="), F.col(epoch).cast("string"),
-                                               F.lit(f"-{monitor}="), _fmt2(F.col(monitor).cast("double"))))
+    d = with_fixed2(df, monitor, "_v2")
+    return d.withColumn("ckpt_name", F.concat(F.lit(f"{prefix}-epoch="), F.col(epoch).cast("string"),
+                                              F.lit(f"-{monitor}="), F.col("_v2"))).drop("_v2")
 
 
 def run_stamp(df: DataFrame, ts: str = "ts", out: str = "stamp") -> DataFrame:
