@@ -77,8 +77,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     ``\\n`` back; a last piece of ``''`` (file ended with a newline) is
     dropped. Output ``(file, line_no, line)``; ``line_no`` from 0.
 
-    Files are read whole (one row each), which is what a line file of
-    prompts is: many small files, one per writer task.
+    Files are read whole (one row each, so each file must stay below the
+    2 GB row limit), which is what a line file of prompts is: many small
+    files, one per writer task, read in parallel.
     """
     raw = spark.read.text(path, wholetext=True) \
         .select(F.col("_metadata.file_path").alias("file"), F.col("value"))
