@@ -129,3 +129,24 @@ def test_run_stamp(spark):
 def test_lr_schedule(spark):
     r = runlog.lr_schedule(spark.range(3).withColumnRenamed("id", "epoch")).orderBy("epoch").collect()
     assert [x.lr for x in r] == pytest.approx([1e-4, 1e-4 * 0.85, 1e-4 * 0.85 ** 2])
+
+
+def test_read_tokenized_and_token_column(spark):
+    good = scratch_path(spark, "t_tok")
+    spark.createDataFrame([(1, [1, 5, 2])], "doc_id long, ids array<int>").write.parquet(good)
+    df = io.read_tokenized(spark, good)
+    assert df.select(columns.token_column(df, "ids")).first()[0] == [1, 5, 2]
+    assert df.select(columns.token_column(df, None, position=1)).first()[0] == [1, 5, 2]
+    with pytest.raises(TypeError):
+        columns.token_column(df, None, position=0)
+    bad = scratch_path(spark, "t_tok_bad")
+    spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(bad)
+    with pytest.raises(ValueError):
+        io.read_tokenized(spark, bad)
+
+
+def test_land_if_absent_keeps_first(spark):
+    path = scratch_path(spark, "t_land")
+    io.land_if_absent(spark.range(3), path)
+    io.land_if_absent(spark.range(10), path)
+    assert spark.read.parquet(path).count() == 3
