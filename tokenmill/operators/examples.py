@@ -51,3 +51,18 @@ def build_batches(pairs: DataFrame, by=("epoch", "batch_id"), slot: str = "slot"
     return (pairs.groupBy(*by).agg(F.array_sort(F.collect_list(st)).alias("_items"))
             .select(*by, *[F.col("_items")[c].alias(c) for c in cols],
                     F.size("_items").cast("long").alias("n_pairs")))
+
+
+def epoch_batches(df: DataFrame, keys: list[str], epochs: int, batch_size: int, seq_len: int, pad_id: int,
+                  seed=42, ids: str = "ids") -> DataFrame:
+    """E3 → E4 → G1/G2 → G5 as one plan that moves little data.
+
+    The fixed-length pairs are built once per row (2 × ``seq_len`` ids,
+    whatever the document length), the per-epoch order is computed on the
+    keys alone, and the two meet in one join on the key: token lists are
+    never replicated per epoch before the shuffle.
+    """
+    from tokenmill.operators.order import assign_batches, epoch_shuffle
+    pairs = shift_pair(df.select(*keys, ids), seq_len, pad_id, ids=ids)
+    plan = assign_batches(epoch_shuffle(df.select(*keys), keys, epochs, seed=seed), batch_size)
+    return build_batches(plan.join(pairs, on=keys, how="inner"), cols=(*keys, "x", "y"))

@@ -356,9 +356,7 @@ def q_check_examples(spark, d):
 
 
 def q_build_batches(spark, d):
-    sh = order.assign_batches(_shuffled(spark, d, ("doc_id", "ids")), B)
-    pairs = examples.shift_pair(sh, S, fx.PAD_ID)
-    bb = examples.build_batches(pairs)
+    bb = examples.epoch_batches(fx.ids(spark, d), ["doc_id"], fx.EPOCHS, B, S, fx.PAD_ID, seed=SEED)
     return bb.select("epoch", "batch_id", "n_pairs", F.array_join("doc_id", ",").alias("doc_ids"),
                      ids_digest(F.flatten("x")).alias("x_digest"), ids_digest(F.flatten("y")).alias("y_digest"))
 
