@@ -13,6 +13,15 @@ from pyspark.sql import SparkSession
 _CKPT_KEY = "spark.checkpoint.dir"
 
 
+def _default_driver_memory() -> str:
+    """8 GB, but never more than 60 % of this machine's memory (local mode)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(8, int(total * 0.6 / 2 ** 30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def build_session(master: str | None = None, app: str = "tokenmill",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -21,7 +30,7 @@ def build_session(master: str | None = None, app: str = "tokenmill",
     if master:
         b = b.master(master)
     conf = {
-        "spark.driver.memory": os.environ.get("TOKENMILL_DRIVER_MEMORY", "8g"),
+        "spark.driver.memory": os.environ.get("TOKENMILL_DRIVER_MEMORY", _default_driver_memory()),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
