@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from tokenmill.llm import (
+    chat_format,
     decontaminate,
     embedding_dedup,
+    html_text,
     language_id,
     line_chunks,
     near_dedup,
     packing,
     secrets,
+    suffix_dedup,
 )
 
 QUERIES = {
+    "op1_chat_format": chat_format.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_decontaminate": decontaminate.query,
     "op4_language_id": language_id.query,
     "op5_embedding_dedup": embedding_dedup.query,
@@ -20,6 +25,7 @@ QUERIES = {
     "op7_secrets": secrets.query,
     "op8_near_dedup": near_dedup.query,
     "op9_line_chunks": line_chunks.query,
+    "op10_html_text": html_text.query,
 }
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
