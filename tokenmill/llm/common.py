@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -106,6 +109,26 @@ def byte_values(seed: int) -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64), seed)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows sorted by ``by``; a group may reach over batches."""
+    rest: pa.Table | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+        if rest is None or not len(rest):
+            continue
+        rest = rest.combine_chunks()
+        cols = [rest.column(c).to_numpy() for c in by]
+        edge = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])))
+        edge = np.append(edge, len(rest)).tolist()
+        for a, b in zip(edge[:-2], edge[1:-1], strict=True):
+            yield rest.slice(a, b - a)
+        rest = rest.slice(edge[-2])
+    if rest is not None and len(rest):
+        yield rest
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: ``(node, component)`` for every node on an edge,
     the component being its smallest node.

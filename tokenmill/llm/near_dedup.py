@@ -17,14 +17,17 @@ without listing their pairs:
 1. documents with equal multisets are one node;
 2. in each bucket every node is compared with the bucket's smallest node;
 3. links make connected components;
-4. in buckets that still hold several components, nodes outside the centre's
-   component are compared with all nodes of other components whose distance to
-   the centre differs by at most 1 - similarity. The weighted Jaccard distance
-   is a metric, so by the triangle inequality no other pair can be a link.
-
-So every pair that shares a bucket is either verified, proven to be no link,
-or already in one component. At similarity 0.8 two documents share none of the
-25 buckets with probability 2e-6.
+4. in buckets that still hold several components, nodes are compared with two
+   random pivots, again and again, as long as that joins many;
+5. in what is left, sizes and sketches (a byte per register) of all nodes of
+   different components are compared, a large bucket as pairs of blocks. Sizes
+   must allow the similarity, and at least 60 of 100 registers must agree; the
+   pairs left are verified within the block, which gives out a forest of links.
+
+So of the pairs that share a bucket none is passed over but those in one
+component already and those whose sketches disagree. At similarity 0.8 two
+documents share none of the 25 buckets, or less than 60 registers, with
+probability 2e-6 each.
 
 Defined results: null texts, empty texts and texts without a word are in no
 group (a class of their own); texts of fewer than five words are one shingle;
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import components, landed, mixed, numbered, row_chunks, table, utf8
+from tokenmill.llm.common import components, landed, mixed, numbered, row_chunks, sorted_groups, table, utf8
 from tokenmill.llm.words import shingles
 from tokenmill.session import ship_code
 
@@ -122,7 +125,10 @@ def band_keys(sig: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return h
 
 
-_SIGNED = "struct<same:long,n:long,bands:array<long>>"
+_SIGNED = "struct<same:long,n:long,bands:array<long>,sketch:binary>"
+BLOCK = 2048      # nodes of a bucket that one task compares with as many others
+AGREE = 0.6       # share of registers that agree at least, at similarity 0.8
+_SLICE = 64
 
 
 def signed(df: DataFrame, text: str = "text", registers: int = REGISTERS, rows: int = BAND_ROWS) -> DataFrame:
@@ -134,6 +140,7 @@ def signed(df: DataFrame, text: str = "text", registers: int = REGISTERS, rows:
         for arr in col:
             raw, off = utf8(arr)
             same, size, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            sketches = []
             for a, b in row_chunks(off):
                 doc, sh = shingles(raw[off[a]:off[b]], off[a:b + 1] - off[a])
                 n = np.bincount(doc, minlength=b - a)
@@ -144,13 +151,17 @@ def signed(df: DataFrame, text: str = "text", registers: int = REGISTERS, rows:
                         total[doc[first]] = np.add.reduceat(mixed(sh, 31), first)
                 same.append(mixed(total ^ mixed(n.astype(np.uint64), 32), 33).view(np.int64))
                 size.append(n)
-                keys.append(band_keys(bag_minhash(doc, sh, b - a, registers), rows).reshape(-1).view(np.int64))
+                sig = bag_minhash(doc, sh, b - a, registers)
+                keys.append(band_keys(sig, rows).reshape(-1).view(np.int64))
+                sketches.append((mixed(sig, 35) & np.uint64(255)).astype(np.uint8).tobytes())
             n = len(off) - 1
             per = registers // rows
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * per, pa.int32()),
                                              pa.array(np.concatenate(keys), pa.int64()))
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(same)), pa.array(
-                np.concatenate(size), pa.int64()), lists], ["same", "n", "bands"])
+                np.concatenate(size), pa.int64()), lists, pa.Array.from_buffers(
+                    pa.binary(registers), n, [None, pa.py_buffer(b"".join(sketches))]).cast(pa.binary())],
+                ["same", "n", "bands", "sketch"])
 
     return df.withColumn("s", sign(F.col(text)))
 
@@ -159,10 +170,11 @@ def overlaps(raw_a, off_a, raw_b, off_b) -> tuple[np.ndarray, np.ndarray]:
     """Sums of minima and of maxima of the two multisets, pair by pair."""
     da, sa = shingles(raw_a, off_a)
     db, sb = shingles(raw_b, off_b)
-    n = len(off_a) - 1
-    pair = np.concatenate([da, db])
-    key = np.concatenate([sa, sb])
     side = np.concatenate([np.zeros(len(da), np.int64), np.ones(len(db), np.int64)])
+    return _overlap(np.concatenate([da, db]), np.concatenate([sa, sb]), side, len(off_a) - 1)
+
+
+def _overlap(pair, key, side, n) -> tuple[np.ndarray, np.ndarray]:
     if not len(key):
         return np.zeros(n, np.int64), np.zeros(n, np.int64)
     order = np.argsort(mixed(pair.astype(np.uint64), 5) + key)
@@ -194,6 +206,89 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return got.select("a", "b", "s.low", "s.high")
 
 
+def _with_components(held: DataFrame, comp: DataFrame) -> DataFrame:
+    return held.join(comp, "node", "left").select("key", "c", "node", F.coalesce("component", "node").alias("comp"))
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    return landed(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "classes")
+
+
+def _candidates(t: pa.Table, similarity: float, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block pair that are in different components, whose
+    sizes and sketches allow a link, and that share no earlier bucket."""
+    part, node, comp, n = (t.column(c).to_numpy() for c in ("part", "node", "comp", "n"))
+    none = np.zeros(0, np.int64)
+    if len(t) < 2 or (comp == comp[0]).all():
+        return none, none
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    key = t.column("key")[0].as_py()
+    crossing = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+    left, right = [none], [none]
+    for k in range(0, len(t), _SLICE):
+        s = slice(k, k + _SLICE)
+        ok = (comp[s, None] != comp[None, :]) & (node[s, None] < node[None, :])
+        ok &= np.minimum(n[s, None], n[None, :]) >= similarity * np.maximum(n[s, None], n[None, :]) - 1e-9
+        if crossing:
+            ok &= part[s, None] != part[None, :]
+        a, b = np.nonzero(ok)
+        a += k
+        for x in range(0, len(a), 65536):
+            c, d = a[x:x + 65536], b[x:x + 65536]
+            near = (sketch[c] == sketch[d]).sum(1) >= agree
+            c, d = c[near], d[near]
+            first = (bands[c] == bands[d]).argmax(1)
+            own = bands[c, first] == key
+            left.append(c[own])
+            right.append(d[own])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _suspects(batches: Iterator[pa.RecordBatch], similarity: float, agree: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each block pair that are in some candidate pair."""
+    for t in sorted_groups(batches, ["key", "i", "j"]):
+        a, b = _candidates(t, similarity, agree)
+        if len(a):
+            yield from t.take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch], similarity: float, agree: int) -> Iterator[pa.RecordBatch]:
+    """Verify the candidate pairs of each block pair; give out a forest of the links."""
+    for t in sorted_groups(batches, ["key", "i", "j"]):
+        a, b = _candidates(t, similarity, agree)
+        if not len(a):
+            continue
+        raw, off = utf8(t.column("text"))
+        doc, sh = shingles(raw, off)
+        at = np.searchsorted(doc, np.arange(len(t) + 1))
+        size = np.diff(at)
+        hit = []
+        for x in range(0, len(a), 1000):
+            c, d = a[x:x + 1000], b[x:x + 1000]
+            row = np.concatenate([c, d])
+            m = size[row]
+            pos = np.repeat(at[row] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            pair = np.repeat(np.tile(np.arange(len(c)), 2), m)
+            side = np.repeat(np.repeat([0, 1], len(c)), m)
+            low, high = _overlap(pair, sh[pos], side, len(c))
+            hit.append(low >= high * similarity - 1e-9)
+        hit = np.concatenate(hit)
+        a, b = a[hit], b[hit]
+        if not len(a):
+            continue
+        node = t.column("node").to_numpy()
+        label = node.copy()
+        while True:
+            low, before = np.minimum(label[a], label[b]), label.copy()
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            if (label == before).all():
+                break
+        used = np.flatnonzero(label != node)
+        yield pa.RecordBatch.from_arrays([pa.array(node[used]), pa.array(label[used])], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                     registers: int = REGISTERS, band_rows: int = BAND_ROWS) -> DataFrame:
     """``docs`` with ``class_id`` (smallest id of the class), ``class_size`` and
@@ -202,7 +297,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sig = landed(signed(rows.select(F.col(doc_id).alias("id"), "_row", F.col(text).alias("t")), "t", registers,
                         band_rows).drop("t"), "signatures")
     nodes = sig.filter("s.n > 0").groupBy(F.col("s.same").alias("node")).agg(
-        F.min("_row").alias("_row"), F.first("s.bands").alias("bands"))
+        F.min("_row").alias("_row"), F.first("s.bands").alias("bands"), F.first("s.n").alias("n"),
+        F.first("s.sketch").alias("sketch"))
     members = nodes.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("c"), F.count(F.lit(1)).alias("n")) \
         .filter("n > 1").drop("n")
@@ -216,22 +312,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = landed(verified(star, texts), "star")
     comp = landed(components(near.filter(link)), "classes")
 
-    far = near.select(F.col("a").alias("c"), F.col("b").alias("node"), (1 - F.col("low") / F.col("high")).alias("d"))
-    name = comp.select("node", F.col("component"))
-    seen = held.join(far, ["c", "node"], "left").join(name, "node", "left") \
-        .join(name.toDF("c", "c_component"), "c", "left") \
-        .select("key", "c", "node", F.coalesce("d", F.lit(0.0)).alias("d"),
-                F.coalesce("component", "node").alias("comp"), F.coalesce("c_component", "c").alias("c_comp"))
-    outside = landed(seen.filter("comp <> c_comp").select("key", F.col("node").alias("x"), F.col("d").alias("dx"),
-                                                          F.col("comp").alias("cx")), "outside")
-    reach = 1 - similarity + 1e-6
-    cross = outside.join(seen.filter("node <> c").select("key", F.col("node").alias("y"), F.col("d").alias("dy"),
-                                                         F.col("comp").alias("cy")), "key") \
-        .filter((F.col("cx") != F.col("cy")) & (F.abs(F.col("dx") - F.col("dy")) <= reach)) \
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = landed(verified(cross, texts).filter(link), "cross")
-    comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                      .union(more.select("a", "b")))
+    # random pivots join what the centre left apart, as long as they find many links
+    turn, tested, joined = 0, 1, 1
+    while joined * 20 >= tested > 0:
+        seen = _with_components(held, comp)
+        pivots = seen.select("key", F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp").alias("p")) \
+            .groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+        cross = landed(seen.join(pivots, "key").select("node", "comp", F.explode(F.array("low", "high")).alias("p"))
+                       .filter("comp <> p.comp").select(F.least("node", "p.node").alias("a"),
+                                                        F.greatest("node", "p.node").alias("b")).distinct(), "pivots")
+        found = landed(verified(cross, texts).filter(link).select("a", "b"), "pivots")
+        tested, joined = cross.count(), found.count()
+        if joined:
+            comp = _joined(comp, found)
+        turn += 1
+
+    # what is still apart: compare the sketches of different components
+    seen = _with_components(held, comp)
+    mixed_keys = seen.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")) \
+        .filter("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    shared = seen.join(mixed_keys, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), "parts").cast("int"))
+    dealt = shared.select("key", "node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")) \
+        .join(nodes.select("node", "n", "sketch", "bands"), "node") \
+        .select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "node", "comp", "n",
+                "sketch", "bands")
+    agree = int(AGREE * registers)
+    by = ["key", "i", "j"]
+    work = dealt.repartition(*by).sortWithinPartitions(*by, "node")
+    suspects = landed(work.mapInArrow(lambda b: _suspects(b, similarity, agree), work.schema), "suspects")
+    read = suspects.join(texts, "node").repartition(*by).sortWithinPartitions(*by, "node") \
+        .select(*suspects.columns, "text")
+    comp = _joined(comp, read.mapInArrow(lambda b: _linked(b, similarity, agree), "a long, b long"))
 
     named = sig.select("id", "_row", F.when(F.col("s.n") > 0, F.col("s.same")).alias("node")) \
         .join(comp, "node", "left").withColumn("g", F.coalesce("component", "node"))
