@@ -107,7 +107,7 @@ def q_export_vocab(spark, d):
 # ------------------------------------------------------------------ B, C
 
 def q_drop_id(spark, d):
-    return columns.drop_columns_strict(fx.triples(spark, d), "id")
+    return columns.drop_columns_strict(fx.triples(spark, d).drop("conv_id"), "id")
 
 
 def q_assemble_prompt(spark, d):
@@ -118,9 +118,11 @@ def q_length_filter(spark, d):
     return columns.length_filter(fx.ids(spark, d)).select("doc_id", F.size("ids").cast("long").alias("n_ids"))
 
 
+REMAP_FROM = ord("e") + 4  # a frequent id
+
+
 def q_remap_token(spark, d):
-    p = examples.pad_or_cut(fx.ids(spark, d), S, -1, out="ids2").select("doc_id", F.col("ids2").alias("ids"))
-    r = columns.remap_token(p, "ids", -1, 32000)
+    r = columns.remap_token(fx.ids(spark, d), "ids", REMAP_FROM, 32000)
     return r.select("doc_id", ids_digest("ids").alias("digest"),
                     F.size(F.filter("ids", lambda x: x == 32000)).cast("long").alias("n_remapped"))
 
@@ -396,13 +398,13 @@ def _encoded_prompts(spark, d, model=None):
 
 def q_encode_prompts(spark, d):
     e = _encoded_prompts(spark, d)
-    return e.select("conv_id", "batch_id", "n_input", "min_len", "max_len", "total_len",
+    return e.select("prompt_id", "batch_id", "n_input", "min_len", "max_len", "total_len",
                     ids_digest("ids").alias("digest"))
 
 
 def q_prompt_matrix(spark, d):
     m = decoding.prompt_matrix(_encoded_prompts(spark, d), fx.PAD_ID)
-    return m.select("conv_id", F.size("tokens").cast("long").alias("n_tokens"), ids_digest("tokens").alias("digest"),
+    return m.select("prompt_id", F.size("tokens").cast("long").alias("n_tokens"), ids_digest("tokens").alias("digest"),
                     F.size(F.filter("is_prompt", lambda x: x)).cast("long").alias("n_prompt"))
 
 
@@ -435,24 +437,21 @@ def q_sample_token(spark, d):
 def q_force_prompt(spark, d):
     m = decoding.prompt_matrix(_encoded_prompts(spark, d), fx.PAD_ID)
     m = m.withColumn("cur_pos", F.col("min_len"))
-    m = m.withColumn("_last", (F.try_element_at("tokens", F.col("cur_pos").cast("int")) % fx.SCORER_ROWS).cast("long"))
-    sc = fx.scorer_frame(spark, d).select(F.col("vec_id").alias("_last"),
-                                          scoring.argmax("logits").alias("candidate"))
-    # the scorer has at most SCORER_ROWS rows: a bounded broadcast
-    j = m.join(F.broadcast(sc), on="_last", how="left")
+    m = m.withColumn("_last", F.try_element_at("tokens", F.col("cur_pos").cast("int")).cast("long"))
+    j = m.join(fx.candidates(spark, d).withColumnRenamed("vec_id", "_last"), on="_last", how="left")
     nxt = decoding.force_prompt("tokens", "is_prompt", "cur_pos", "candidate")
-    return j.select("conv_id", "cur_pos", nxt.cast("int").alias("token"),
+    return j.select("prompt_id", "cur_pos", nxt.cast("int").alias("token"),
                     F.try_element_at("is_prompt", (F.col("cur_pos") + 1).cast("int")).alias("forced"))
 
 
 def _completed(spark, d, model=None):
     """Prompt + reply sequences: ``encode(question, bos) ++ encode(response) ++ [eos]``."""
     model = model or _charvocab_model(spark, d)
-    t = fx.triples(spark, d).withColumn("conv_id", F.col("id").cast("long"))
-    q = codec.encode(t.select("conv_id", "question", "response"), model, text="question", out="q_ids", bos=True)
+    t = fx.triples(spark, d)
+    q = codec.encode(t.select("id", "conv_id", "question", "response"), model, text="question", out="q_ids", bos=True)
     r = codec.encode(q, model, text="response", out="r_ids")
     eos = model.special["eos"]
-    return r.select("conv_id", F.expr("conv_id div 8").alias("batch_id"),
+    return r.select(F.col("id").alias("prompt_id"), F.expr("conv_id div 4").alias("batch_id"),
                     F.size("q_ids").cast("long").alias("n_input"),
                     F.concat("q_ids", "r_ids", F.array(F.lit(eos))).alias("tokens"))
 
@@ -479,38 +478,29 @@ def _trimmed(spark, d):
 
 def q_trim_and_count(spark, d):
     t = _trimmed(spark, d)
-    return t.select("conv_id", "n_generated", ids_digest("trimmed").alias("digest"))
-
-
-def q_generate(spark, d):
-    model = _charvocab_model(spark, d)
-    g = decoding.generate(fx.prompts(spark, d), model, fx.scorer_table(spark, d), seq_len=S,
-                          max_gen_len=fx.MAX_GEN_LEN, batch_size=B, temperature=0.8, top_p=fx.TOP_P,
-                          penalty=fx.REPETITION_PENALTY, seed=SEED)
-    return g.select("conv_id", "batch_id", "n_input", "n_generated", ids_digest("generated").alias("digest"),
-                    "completion")
+    return t.select("prompt_id", "n_generated", ids_digest("trimmed").alias("digest"))
 
 
 def q_generation_report(spark, d):
-    return decoding.generation_report(_trimmed(spark, d))
+    return decoding.generation_report(_trimmed(spark, d), "prompt_id")
 
 
 # ------------------------------------------------------------------ H
 
 def q_split_words(spark, d):
     w = gate.split_words(fx.prompts(spark, d))
-    return w.select("conv_id", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"))
+    return w.select("prompt_id", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"))
 
 
 def q_out_of_vocab(spark, d):
     w = gate.split_words(fx.prompts(spark, d))
-    o = gate.out_of_vocab(w, fx.words(spark, d), "conv_id")
-    return o.select("conv_id", F.array_join("missing", " ").alias("missing"))
+    o = gate.out_of_vocab(w, fx.words(spark, d), "prompt_id")
+    return o.select("prompt_id", F.array_join("missing", " ").alias("missing"))
 
 
 def q_flag_prompts(spark, d):
-    f = gate.flag_prompts(fx.prompts(spark, d), fx.words(spark, d), "conv_id")
-    return f.select("conv_id", "status", "n_missing")
+    f = gate.flag_prompts(fx.prompts(spark, d), fx.words(spark, d), "prompt_id")
+    return f.select("prompt_id", "status", "n_missing")
 
 
 def q_flag_stream(spark, d):
@@ -519,10 +509,10 @@ def q_flag_stream(spark, d):
     # land the prompts as several files so the stream sees several micro-batches
     p.repartition(4, "batch_id").write.parquet(src)
     sink, ckpt = scratch_path(spark, "gate_sink"), scratch_path(spark, "gate_ckpt")
-    q = gate_stream.start_gate_stream(spark, src, p.schema, fx.words(spark, d), sink, ckpt, "conv_id",
+    q = gate_stream.start_gate_stream(spark, src, p.schema, fx.words(spark, d), sink, ckpt, "prompt_id",
                                       max_files_per_trigger=1)
     q.awaitTermination()
-    return gate_stream.read_gate_sink(spark, sink).select("conv_id", "status", "n_missing")
+    return gate_stream.read_gate_sink(spark, sink).select("prompt_id", "status", "n_missing")
 
 
 def q_stopword_coverage(spark, d):

@@ -6,17 +6,17 @@ its work grows with them. The DuckDB twins live in ``oracle.py``.
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenmill.functions.exprs import words_of
 from tokenmill.operators.codec import normalise_text
+from tokenmill.operators.scoring import argmax
 from tokenmill.operators.vocab import char_vocab
 from tokenmill.session import table_path
 
 # Fixed values (small parameters of the reference configuration).
-SEQ_LEN = 128
+SEQ_LEN = 1024
 BATCH_SIZE = 32
 SEED = 42
 WORLD_SIZE = 8
@@ -29,7 +29,6 @@ MAX_GEN_LEN = 20
 LR = 1e-4
 GAMMA = 0.85
 PAD_ID = 3
-SCORER_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,16 +41,19 @@ def text(spark, sf_dir) -> DataFrame:
 
 
 def triples(spark, sf_dir) -> DataFrame:
-    """TRIPLES: one instruction triple per conversation."""
-    c = table(spark, sf_dir, "conversations")
-    first = lambda role: F.min(F.when(F.col("role") == role, F.struct("turn", "text")))
-    return (c.groupBy("conv_id").agg(
-        F.max(F.when((F.col("turn") == 0) & (F.col("role") == "system"), F.col("text"))).alias("system_prompt"),
-        first("user").alias("_q"), first("assistant").alias("_r"))
-        .select(F.col("conv_id").cast("string").alias("id"),
-                F.coalesce("system_prompt", F.lit("")).alias("system_prompt"),
-                F.coalesce(F.col("_q.text"), F.lit("")).alias("question"),
-                F.coalesce(F.col("_r.text"), F.lit("")).alias("response")))
+    """TRIPLES: one instruction triple per user turn: the turn-0 system text,
+    the user text and the next assistant text of the conversation (``''`` if
+    there is none before the next user turn); ``id = conv_id-turn``."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    nxt = lambda col: F.first(F.when(F.col("role").isin("user", "assistant"), F.col(col)), ignorenulls=True).over(
+        w.rowsBetween(1, Window.unboundedFollowing))
+    d = c.withColumns({"_role": nxt("role"), "_text": nxt("text"),
+                       "_sys": F.max(F.when((F.col("turn") == 0) & (F.col("role") == "system"), F.col("text")))
+                       .over(Window.partitionBy("conv_id"))}).filter("role = 'user'")
+    return d.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id",
+                    F.coalesce("_sys", F.lit("")).alias("system_prompt"), F.col("text").alias("question"),
+                    F.when(F.col("_role") == "assistant", F.col("_text")).otherwise("").alias("response"))
 
 
 def corpus_a(spark, sf_dir) -> DataFrame:
@@ -104,11 +106,11 @@ def stop(spark, sf_dir, n: int = 50) -> DataFrame:
 
 
 def prompts(spark, sf_dir) -> DataFrame:
-    """PROMPTS: first user turn per conversation, one line each."""
+    """PROMPTS: every user turn as one line, in batches of four conversations."""
     c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    return (c.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("_f"))
-            .select("conv_id", F.replace(F.col("_f.text"), F.lit("\n"), F.lit(" ")).alias("text"),
-                    F.expr(f"conv_id div {8}").alias("batch_id")))
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"),
+                    F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"),
+                    F.expr("conv_id div 4").alias("batch_id"))
 
 
 def logits(spark, sf_dir) -> DataFrame:
@@ -124,18 +126,10 @@ def context_ids():
                    ((F.col("vec_id") * 7) % 64).cast("int"))
 
 
-def scorer_frame(spark, sf_dir) -> DataFrame:
-    """SCORER rows: ``embeddings`` with ``vec_id < 500`` (bounded)."""
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < SCORER_ROWS) \
-        .select("vec_id", F.col("embedding").cast("array<double>").alias("logits"))
-
-
-def scorer_table(spark, sf_dir) -> np.ndarray:
-    """The scorer as a dense ``[rows, V]`` table (≤ 500 rows, checked)."""
-    rows = scorer_frame(spark, sf_dir).orderBy("vec_id").collect()
-    if len(rows) > SCORER_ROWS:
-        raise ValueError("scorer larger than its bound")
-    return np.array([r.logits for r in rows], dtype=np.float64)
+def candidates(spark, sf_dir) -> DataFrame:
+    """CANDIDATES: each embedding's top id, as the next-token choice of a prompt."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", argmax(F.col("embedding").cast("array<double>")).alias("candidate"))
 
 
 def runlog_steps(spark, sf_dir) -> DataFrame:

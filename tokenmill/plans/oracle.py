@@ -4,7 +4,7 @@ pre-registered driver tables. Fixture CTEs mirror ``fixtures.py``.
 
 from __future__ import annotations
 
-# Fixed values mirrored from fixtures.py: seq 128 (+1 = 129), pad 3, bos 1,
+# Fixed values mirrored from fixtures.py: seq 1024 (+1 = 1025), pad 3, bos 1,
 # eos 2, unk 0, seed 42, batch 32, 10 epochs, 8 workers, max_gen 20, top_p 0.95.
 
 _NORM = r"""CASE WHEN trim(regexp_replace({t}, '\s+', ' ', 'g')) = '' THEN ''
@@ -28,14 +28,15 @@ IDS = """ids AS (SELECT doc_id, text, list_concat([1],
     CASE WHEN text = '' THEN []::INTEGER[] ELSE list_transform(string_split(text, ''), lambda c: unicode(c) + 4) END,
     [2]) AS ids FROM documents)"""
 
-TRIPLES = """triples AS (SELECT CAST(conv_id AS VARCHAR) AS id,
-    coalesce(max(CASE WHEN turn = 0 AND role = 'system' THEN text END), '') AS system_prompt,
-    coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), '') AS question,
-    coalesce(arg_min(text, turn) FILTER (WHERE role = 'assistant'), '') AS response
-  FROM conversations GROUP BY conv_id)"""
+TRIPLES = """turns AS (SELECT *, max(CASE WHEN turn = 0 AND role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS sys,
+    arg_min(turn, turn) FILTER (role IN ('user', 'assistant')) OVER (PARTITION BY conv_id ORDER BY turn
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM conversations),
+triples AS (SELECT t.conv_id || '-' || t.turn AS id, t.conv_id, coalesce(t.sys, '') AS system_prompt, t.text AS question,
+    CASE WHEN n.role = 'assistant' THEN n.text ELSE '' END AS response
+  FROM turns t LEFT JOIN conversations n ON n.conv_id = t.conv_id AND n.turn = t.nt WHERE t.role = 'user')"""
 
-PROMPTS = """prompts AS (SELECT conv_id, replace(arg_min(text, turn), chr(10), ' ') AS text, conv_id // 8 AS batch_id
-  FROM conversations WHERE role = 'user' GROUP BY conv_id)"""
+PROMPTS = """prompts AS (SELECT conv_id || '-' || turn AS prompt_id, replace(text, chr(10), ' ') AS text, conv_id // 4 AS batch_id
+  FROM conversations WHERE role = 'user')"""
 
 WORDS = r"""words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM benchmark)"""
 
@@ -97,8 +98,8 @@ def _with(*ctes: str) -> str:
 
 
 _LENS = "lens AS (SELECT doc_id, CAST(len(ids) AS BIGINT) AS len FROM ids WHERE len(ids) BETWEEN 0 AND 2000)"
-_PAD = "list_resize(ids[1:129], 129, 3)"
-_COMPLETED = f"""comp AS (SELECT CAST(q.id AS BIGINT) AS conv_id, CAST(q.id AS BIGINT) // 8 AS batch_id,
+_PAD = "list_resize(ids[1:1025], 1025, 3)"
+_COMPLETED = f"""comp AS (SELECT q.id AS prompt_id, CAST(split_part(q.id, '-', 1) AS BIGINT) // 4 AS batch_id,
     CAST(len(q.ids) AS BIGINT) AS n_input, list_concat(q.ids, r.ids, [2]) AS tokens
   FROM enc_q q JOIN enc_r r USING (id))"""
 _COMP_CTES = (NORM_DOCS, CHARVOCAB, TRIPLES, enc("enc_q", "triples", "id", "question", True, False),
@@ -110,16 +111,16 @@ w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p0 DESC, token_i
     sum(p0) OVER (PARTITION BY vec_id ORDER BY p0 DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
   FROM ex),
 kept AS (SELECT vec_id, token_id, rank, p0 / sum(p0) OVER (PARTITION BY vec_id) AS p FROM w WHERE cum - p0 <= 0.95)"""
-_ENC_PROMPTS = f"""ep AS (SELECT e.conv_id, p.batch_id, e.ids, CAST(len(e.ids) AS BIGINT) AS n_input FROM enc_p e JOIN prompts p USING (conv_id)),
+_ENC_PROMPTS = f"""ep AS (SELECT e.prompt_id, p.batch_id, e.ids, CAST(len(e.ids) AS BIGINT) AS n_input FROM enc_p e JOIN prompts p USING (prompt_id)),
 ep2 AS (SELECT *, min(n_input) OVER (PARTITION BY batch_id) AS min_len, max(n_input) OVER (PARTITION BY batch_id) AS max_len,
-    CAST(least(128, 20 + max(n_input) OVER (PARTITION BY batch_id)) AS BIGINT) AS total_len FROM ep),
+    CAST(least(1024, 20 + max(n_input) OVER (PARTITION BY batch_id)) AS BIGINT) AS total_len FROM ep),
 pm AS (SELECT *, list_resize(ids[1:total_len], total_len, 3) AS tokens FROM ep2)"""
-_PROMPT_CTES = (NORM_DOCS, CHARVOCAB, PROMPTS, enc("enc_p", "prompts", "conv_id", "text", True, False), _ENC_PROMPTS)
-_FLAG = r"""ex AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM prompts),
-miss AS (SELECT conv_id, list_sort(list(word)) AS missing FROM ex WHERE word NOT IN (SELECT word FROM words) GROUP BY conv_id)"""
-_TRIM = """tr AS (SELECT conv_id, n_input, list_transform(tokens, lambda x: CASE WHEN x = 3 THEN 2 ELSE x END)[1:n_input + 20] AS t FROM comp),
+_PROMPT_CTES = (NORM_DOCS, CHARVOCAB, PROMPTS, enc("enc_p", "prompts", "prompt_id", "text", True, False), _ENC_PROMPTS)
+_FLAG = r"""ex AS (SELECT DISTINCT prompt_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM prompts),
+miss AS (SELECT prompt_id, list_sort(list(word)) AS missing FROM ex WHERE word NOT IN (SELECT word FROM words) GROUP BY prompt_id)"""
+_TRIM = """tr AS (SELECT prompt_id, n_input, list_transform(tokens, lambda x: CASE WHEN x = 3 THEN 2 ELSE x END)[1:n_input + 20] AS t FROM comp),
 tr2 AS (SELECT *, coalesce(list_position(t, 2), 0) AS e FROM tr),
-trimmed AS (SELECT conv_id, n_input, CAST(CASE WHEN e > 0 THEN e - 1 - n_input ELSE 20 END AS BIGINT) AS n_generated,
+trimmed AS (SELECT prompt_id, n_input, CAST(CASE WHEN e > 0 THEN e - 1 - n_input ELSE 20 END AS BIGINT) AS n_generated,
     CASE WHEN e > 0 THEN t[1:e - 1] ELSE t END AS trimmed FROM tr2)"""
 _BEST = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY val_loss, epoch) AS rank FROM runlog)
   WHERE rank <= 3)"""
@@ -147,9 +148,9 @@ FROM documents""",
     "length_filter": _with(IDS) + "SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_ids FROM ids WHERE len(ids) BETWEEN 0 AND 2000",
     "remap_token": _with(IDS) + """SELECT doc_id, md5(array_to_string(r, ',')) AS digest,
     CAST(len(list_filter(r, lambda x: x = 32000)) AS BIGINT) AS n_remapped
-FROM (SELECT doc_id, list_transform(list_resize(ids[1:129], 129, -1), lambda x: CASE WHEN x = -1 THEN 32000 ELSE x END) AS r FROM ids)""",
-    "head_examples": _with(IDS) + f"""SELECT idx, doc_id, md5(array_to_string(p[1:128], ',')) AS x_digest,
-    md5(array_to_string(p[2:129], ',')) AS y_digest
+FROM (SELECT doc_id, list_transform(ids, lambda x: CASE WHEN x = 105 THEN 32000 ELSE x END) AS r FROM ids)""",
+    "head_examples": _with(IDS) + f"""SELECT idx, doc_id, md5(array_to_string(p[1:1024], ',')) AS x_digest,
+    md5(array_to_string(p[2:1025], ',')) AS y_digest
 FROM (SELECT row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS idx, doc_id, {_PAD} AS p
       FROM ids) WHERE idx < 201""",
     "union_corpora": """SELECT doc_id, lang, CAST(NULL AS VARCHAR) AS source, md5(text) AS text_md5 FROM documents WHERE doc_id % 2 = 0
@@ -250,20 +251,20 @@ LEFT JOIN charvocab v ON v.piece = c.piece AND v.kind NOT IN ('unk', 'bos', 'eos
     + """SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split,
     count(*) AS n_rows, CAST(sum(len(ids)) AS BIGINT) AS n_tokens FROM ed GROUP BY 1""",
     "pad_or_cut": _with(IDS) + """SELECT doc_id, CAST(len(p) AS BIGINT) AS n_padded, md5(array_to_string(p, ',')) AS digest,
-    CAST(len(list_filter(p, lambda x: x = 3)) AS BIGINT) AS n_pad FROM (SELECT doc_id, list_resize(ids[1:129], 129, 3) AS p FROM ids)""",
+    CAST(len(list_filter(p, lambda x: x = 3)) AS BIGINT) AS n_pad FROM (SELECT doc_id, list_resize(ids[1:1025], 1025, 3) AS p FROM ids)""",
     "shift_pair": _with(NORM_DOCS, CHARVOCAB, enc("ed", "documents", "doc_id", "text"))
-    + f"""SELECT doc_id, md5(array_to_string(p[1:128], ',')) AS x_digest, md5(array_to_string(p[2:129], ',')) AS y_digest
+    + f"""SELECT doc_id, md5(array_to_string(p[1:1024], ',')) AS x_digest, md5(array_to_string(p[2:1025], ',')) AS y_digest
 FROM (SELECT doc_id, {_PAD} AS p FROM ed)""",
-    "loss_tokens": _with(IDS) + f"""SELECT doc_id, n_targets, round((128 - n_targets) / 128.0::DOUBLE, 6) AS pad_share, n_cut FROM (
-  SELECT doc_id, CAST(len(list_filter(({_PAD})[2:129], lambda t: t <> 3)) AS BIGINT) AS n_targets,
-    CAST(greatest(0, len(ids) - 129) AS BIGINT) AS n_cut FROM ids)""",
-    "check_examples": _with(IDS) + f"""SELECT count(*) AS n_pairs, count(*) FILTER (WHERE len(x) <> 128 OR len(y) <> 128) AS n_bad,
-    count(*) FILTER (WHERE x[2:128] <> y[1:127]) AS n_misaligned
-FROM (SELECT p[1:128] AS x, p[2:129] AS y FROM (SELECT {_PAD} AS p FROM ids))""",
+    "loss_tokens": _with(IDS) + f"""SELECT doc_id, n_targets, round((1024 - n_targets) / 1024.0::DOUBLE, 6) AS pad_share, n_cut FROM (
+  SELECT doc_id, CAST(len(list_filter(({_PAD})[2:1025], lambda t: t <> 3)) AS BIGINT) AS n_targets,
+    CAST(greatest(0, len(ids) - 1025) AS BIGINT) AS n_cut FROM ids)""",
+    "check_examples": _with(IDS) + f"""SELECT count(*) AS n_pairs, count(*) FILTER (WHERE len(x) <> 1024 OR len(y) <> 1024) AS n_bad,
+    count(*) FILTER (WHERE x[2:1024] <> y[1:1023]) AS n_misaligned
+FROM (SELECT p[1:1024] AS x, p[2:1025] AS y FROM (SELECT {_PAD} AS p FROM ids))""",
     "build_batches": _with(IDS, SHUFFLED) + f"""SELECT epoch, batch_id, count(*) AS n_pairs,
     string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY slot) AS doc_ids,
-    md5(array_to_string(flatten(list(p[1:128] ORDER BY slot)), ',')) AS x_digest,
-    md5(array_to_string(flatten(list(p[2:129] ORDER BY slot)), ',')) AS y_digest
+    md5(array_to_string(flatten(list(p[1:1024] ORDER BY slot)), ',')) AS x_digest,
+    md5(array_to_string(flatten(list(p[2:1025] ORDER BY slot)), ',')) AS y_digest
 FROM (SELECT sh.epoch, sh.pos // 32 AS batch_id, sh.pos % 32 AS slot, sh.doc_id, {_PAD} AS p FROM sh JOIN ids USING (doc_id))
 GROUP BY epoch, batch_id""",
     "softmax": _with(LOGITS, """z AS (SELECT *, list_reduce(list_transform(l, lambda v: exp((v - mx) / 0.7::DOUBLE)), lambda a, b: a + b) AS z FROM lg)""",
@@ -278,9 +279,9 @@ GROUP BY epoch, batch_id""",
                         "b AS (SELECT batch_id, coalesce(avg(loss), 'NaN'::DOUBLE) AS loss FROM r GROUP BY batch_id)")
     + "SELECT count(*) AS n_batches, round(avg(loss), 6) AS val_loss, round(avg(exp(loss)), 6) AS val_perplexity FROM b",
     "top1": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS top1 FROM embeddings",
-    "encode_prompts": _with(*_PROMPT_CTES) + """SELECT conv_id, batch_id, n_input, min_len, max_len, total_len,
+    "encode_prompts": _with(*_PROMPT_CTES) + """SELECT prompt_id, batch_id, n_input, min_len, max_len, total_len,
     md5(array_to_string(ids, ',')) AS digest FROM ep2""",
-    "prompt_matrix": _with(*_PROMPT_CTES) + """SELECT conv_id, CAST(len(tokens) AS BIGINT) AS n_tokens, md5(array_to_string(tokens, ',')) AS digest,
+    "prompt_matrix": _with(*_PROMPT_CTES) + """SELECT prompt_id, CAST(len(tokens) AS BIGINT) AS n_tokens, md5(array_to_string(tokens, ',')) AS digest,
     CAST(len(list_filter(tokens, lambda x: x <> 3)) AS BIGINT) AS n_prompt FROM pm""",
     "batch_guard": _with(PROMPTS) + "SELECT batch_id, count(*) AS n_prompts, count(*) <= 32 AS ok FROM prompts GROUP BY batch_id",
     "repetition_penalty": _with(LOGITS, """q AS (SELECT vec_id, target, list_transform(l, lambda v, i: CASE
@@ -293,25 +294,25 @@ GROUP BY epoch, batch_id""",
     + """SELECT vec_id, CAST(coalesce(arg_min(token_id, rank) FILTER (WHERE cum > u), arg_max(token_id, rank)) AS INTEGER) AS token
 FROM c GROUP BY vec_id""",
     "force_prompt": _with(*_PROMPT_CTES, """sc AS (SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS candidate
-  FROM embeddings WHERE vec_id < 500)""") + """SELECT pm.conv_id, pm.min_len AS cur_pos,
+  FROM embeddings)""") + """SELECT pm.prompt_id, pm.min_len AS cur_pos,
     CAST(CASE WHEN tokens[min_len + 1] <> 3 THEN tokens[min_len + 1] ELSE sc.candidate END AS INTEGER) AS token,
     tokens[min_len + 1] <> 3 AS forced
-FROM pm LEFT JOIN sc ON sc.vec_id = tokens[min_len] % 500""",
+FROM pm LEFT JOIN sc ON sc.vec_id = tokens[min_len]""",
     "stop_ids": _with(*_COMP_CTES) + """SELECT batch_id, bool_and(coalesce(list_has_any(tokens[n_input + 1:],
     (SELECT list(id) FROM charvocab WHERE kind = 'normal' AND piece IN ('.', '!'))), false)) AS stop, count(*) AS n_rows
 FROM comp GROUP BY batch_id""",
-    "stop_words": _with(*_COMP_CTES, """g AS (SELECT conv_id, batch_id,
+    "stop_words": _with(*_COMP_CTES, """g AS (SELECT prompt_id, batch_id,
     list_transform(tokens[n_input + 1:], lambda x: CASE WHEN x = 3 THEN 2 ELSE x END) AS gen FROM comp)""",
-                        dec("dg", "g", "conv_id", "gen"))
-    + """SELECT g.batch_id, bool_and(contains(dg.text, 'the')) AS stop, count(*) AS n_rows FROM g JOIN dg USING (conv_id)
+                        dec("dg", "g", "prompt_id", "gen"))
+    + """SELECT g.batch_id, bool_and(contains(dg.text, 'the')) AS stop, count(*) AS n_rows FROM g JOIN dg USING (prompt_id)
 GROUP BY g.batch_id""",
-    "trim_and_count": _with(*_COMP_CTES, _TRIM) + """SELECT conv_id, n_generated, md5(array_to_string(trimmed, ',')) AS digest FROM trimmed""",
-    "generation_report": _with(*_COMP_CTES, _TRIM) + """SELECT conv_id, n_input AS num_input_tokens, n_generated AS num_generated_tokens FROM trimmed""",
-    "split_words": _with(PROMPTS) + r"""SELECT conv_id, CAST(len(w) AS BIGINT) AS n_words, array_to_string(w, ' ') AS words
-FROM (SELECT conv_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM prompts)""",
-    "out_of_vocab": _with(PROMPTS, WORDS, _FLAG) + "SELECT conv_id, array_to_string(missing, ' ') AS missing FROM miss",
-    "flag_prompts": _with(PROMPTS, WORDS, _FLAG) + """SELECT p.conv_id, CASE WHEN m.missing IS NULL THEN 'clear' ELSE 'flagged' END AS status,
-    CAST(coalesce(len(m.missing), 0) AS BIGINT) AS n_missing FROM prompts p LEFT JOIN miss m USING (conv_id)""",
+    "trim_and_count": _with(*_COMP_CTES, _TRIM) + """SELECT prompt_id, n_generated, md5(array_to_string(trimmed, ',')) AS digest FROM trimmed""",
+    "generation_report": _with(*_COMP_CTES, _TRIM) + """SELECT prompt_id, n_input AS num_input_tokens, n_generated AS num_generated_tokens FROM trimmed""",
+    "split_words": _with(PROMPTS) + r"""SELECT prompt_id, CAST(len(w) AS BIGINT) AS n_words, array_to_string(w, ' ') AS words
+FROM (SELECT prompt_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM prompts)""",
+    "out_of_vocab": _with(PROMPTS, WORDS, _FLAG) + "SELECT prompt_id, array_to_string(missing, ' ') AS missing FROM miss",
+    "flag_prompts": _with(PROMPTS, WORDS, _FLAG) + """SELECT p.prompt_id, CASE WHEN m.missing IS NULL THEN 'clear' ELSE 'flagged' END AS status,
+    CAST(coalesce(len(m.missing), 0) AS BIGINT) AS n_missing FROM prompts p LEFT JOIN miss m USING (prompt_id)""",
     "stopword_coverage": _with(WORDS, STOP) + """SELECT (SELECT count(*) FROM stop) AS n_stop, count(*) AS n_missing,
     coalesce(array_to_string(list_sort(list(word)), ' '), '') AS missing FROM stop WHERE word NOT IN (SELECT word FROM words)""",
     "list_size": _with(WORDS) + "SELECT count(DISTINCT word) AS n_words FROM words",
