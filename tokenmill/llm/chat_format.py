@@ -37,7 +37,7 @@ from tokenmill.llm.common import landed, numbered, table, text_or_empty
 from tokenmill.session import ship_code
 
 # Costs of the acts, and the template's marks.
-MERGE, RELABEL, INSERT = 2, 3, 4
+MERGE, RELABEL, INSERT = 1, 4, 2
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 BLOCK_ROWS = 100_000
 

@@ -125,7 +125,7 @@ class ByteModel:
             zero = one.sum(0)
             for a in range(size):
                 self.cost[a, :, :, k] = np.rint(_code_lengths(full[a], one, zero) * UNIT)
-        self.cost = self.cost.reshape(-1, len(self.langs))
+        self.cost = self.cost.reshape(size ** 3, len(self.langs))
 
     def bits(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length of every row per language, in bits (exact in 1/65536)."""
