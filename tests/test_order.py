@@ -59,11 +59,30 @@ def test_assign_batches_short_last_batch(spark):
     assert sorted((r.batch_id, r["count"]) for r in rows) == [(0, 32), (1, 32), (2, 6)]
 
 
-def test_sample_lines_both_paths_agree(spark):
+@pytest.mark.parametrize("bucket_hex", [1, 3])
+@pytest.mark.parametrize("n", [0, 1, 40, 300, 500])
+def test_sample_lines_is_the_front_of_the_seeded_order(spark, n, bucket_hex):
     df = spark.range(300).withColumnRenamed("id", "k")
-    a = {r.k: r.idx for r in order.sample_lines(df, ["k"], 40, seed=3).collect()}
-    b = {r.k: r.idx for r in order.sample_lines(df, ["k"], 40, seed=3, top_k_limit=0).collect()}
-    assert a == b and len(a) == 40
+    got = {r.k: r.idx for r in order.sample_lines(df, ["k"], n, seed=3, bucket_hex=bucket_hex).collect()}
+    want = sorted(range(300), key=lambda k: (_md5(f"3:{k}"), k))[:n]
+    assert got == {k: i for i, k in enumerate(want)}
+
+
+def test_exact_split_membership_and_no_row_shuffle(spark):
+    df = spark.range(400).select(F.col("id").alias("k"), F.array_repeat("id", 5).alias("ids"))
+    split = order.exact_split(df, ["k"], seed=9)
+    want = sorted(range(400), key=lambda k: (_md5(f"9:{k}"), k))
+    name = {k: "train" if i < 340 else "val" if i < 385 else "test" for i, k in enumerate(want)}
+    assert {r.k: r.split for r in split.collect()} == name
+    # the token lists are only projected: every exchange belongs to the key subqueries
+    rows = split._jdf.queryExecution().optimizedPlan().toString().split("scalar-subquery")[0]
+    assert "Join" not in rows and "Window" not in rows and "Aggregate" not in rows
+
+
+def test_split_counts_of_an_empty_table(spark):
+    from tokenmill.operators import profile
+    df = spark.createDataFrame([], "split string")
+    assert [tuple(r) for r in profile.split_counts(df).collect()] == [("all", 0)]
 
 
 def test_key_order_with_a_hot_first_key(spark):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.exprs import SPACE_MARK, UNK_SURFACE, normalise_ws
-from tokenmill.session import ship_code, spread
+from tokenmill.session import ship_code
 
 # Upper bound on pieces collected to the driver and broadcast.
 MAX_VOCAB_PIECES = 1_000_000
@@ -39,18 +39,18 @@ def _nfkc_series(s):
 
 
 def nfkc(col) -> "F.Column":
-    """NFKC through an Arrow-batched pandas UDF."""
+    """NFKC through an Arrow-batched pandas UDF. ASCII texts, which NFKC never
+    changes, reach Python as nulls and are taken over in the JVM."""
     spark = SparkSession.getActiveSession()
     if spark is not None:
         ship_code(spark)
     udf = F.pandas_udf(_nfkc_series, T.StringType())
-    return udf(F.col(col) if isinstance(col, str) else col)
+    src = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(udf(F.when(src.rlike(r"[^\x00-\x7F]"), src)), src)
 
 
 def normalise_text(df: DataFrame, text: str = "text", out: str = "norm", use_nfkc: bool = True) -> DataFrame:
     """NFKC, collapse whitespace, strip, blank → ``▁``, leading ``▁``."""
-    if use_nfkc:
-        df = spread(df)
     src = nfkc(text) if use_nfkc else F.col(text)
     return df.withColumn(out, normalise_ws(src))
 
@@ -97,10 +97,10 @@ class CodecModel:
 
     @classmethod
     def from_vocab(cls, vocab: DataFrame, max_pieces: int = MAX_VOCAB_PIECES) -> "CodecModel":
-        n = vocab.count()
-        if n > max_pieces:
-            raise ValueError(f"vocabulary of {n} pieces exceeds the broadcast bound {max_pieces}")
-        rows = [tuple(r) for r in vocab.select("id", "piece", "score", "kind").collect()]
+        # one job: the bound is checked on the rows themselves
+        rows = [tuple(r) for r in vocab.select("id", "piece", "score", "kind").limit(max_pieces + 1).collect()]
+        if len(rows) > max_pieces:
+            raise ValueError(f"the vocabulary exceeds the broadcast bound of {max_pieces} pieces")
         return cls(rows)
 
     def payload(self):
@@ -198,11 +198,15 @@ def _segmenter(bc, token: str) -> _Segmenter:
 # --------------------------------------------------------------------------
 
 def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out: str = "ids",
-           bos: bool = False, eos: bool = False, drop_text: bool = False) -> DataFrame:
+           bos: bool = False, eos: bool = False, drop_text: bool = False,
+           partitions: int | None = None) -> DataFrame:
     """text → best-segmentation ids, with optional bos / eos ends.
 
     ``''`` → ``[]`` before the ends are added; a NULL text is an error
-    (the input must be a string).
+    (the input must be a string). Between segmentations of equal score the
+    one with the longer last piece wins. ``drop_text`` keeps the text from
+    coming back from Python. ``partitions`` deals the rows out first, for
+    inputs of fewer splits than cores; there is no shuffle without it.
     """
     model = vocab if isinstance(vocab, CodecModel) else CodecModel.from_vocab(vocab)
     ship_code(df.sparkSession)
@@ -215,14 +219,14 @@ def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out
     if bos and bos_id is None or eos and eos_id is None:
         raise ValueError("vocabulary has no bos/eos id")
     field = T.StructField(out, T.ArrayType(T.IntegerType(), True), True)
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [field])
+    gone = {out, text} if drop_text else {out}
+    schema = T.StructType([f for f in df.schema.fields if f.name not in gone] + [field])
 
     def run(batches):
         seg = _segmenter(bc, token)
         for b in batches:
-            if out in b.schema.names:
-                b = b.drop_columns([out])
             texts = b.column(text).to_pylist()
+            b = b.drop_columns([c for c in b.schema.names if c in gone])
             offsets = [0]
             flat: list[int] = []
             for t in texts:
@@ -235,10 +239,10 @@ def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out
                     flat.append(eos_id)
                 offsets.append(len(flat))
             arr = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield b.append_column(out, arr)
+            # without a column left, a batch could not be appended to
+            yield pa.RecordBatch.from_arrays([*b.columns, arr], names=[*b.schema.names, out])
 
-    res = spread(df).mapInArrow(run, schema)
-    return res.drop(text) if drop_text else res
+    return (df.repartition(partitions) if partitions else df).mapInArrow(run, schema)
 
 
 def _const_array(values: list[str]):
@@ -271,13 +275,13 @@ def decode(df: DataFrame, vocab: DataFrame | CodecModel, ids: str = "ids", out:
 
 
 def tokenize_text(df: DataFrame, vocab, text: str = "text", out: str = "Tokenized_Data",
-                  length_col: str | None = None) -> DataFrame:
+                  length_col: str | None = None, partitions: int | None = None) -> DataFrame:
     """encode ``text`` with both ends, drop ``text``.
 
     ``length_col`` stores the token count beside the list: once written to
     parquet, length filters on it are pushed down to the row-group statistics.
     """
-    res = encode(df, vocab, text=text, out=out, bos=True, eos=True, drop_text=True)
+    res = encode(df, vocab, text=text, out=out, bos=True, eos=True, drop_text=True, partitions=partitions)
     return res.withColumn(length_col, F.size(out).cast("int")) if length_col else res
 
 

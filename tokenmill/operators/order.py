@@ -43,9 +43,10 @@ def global_index(df: DataFrame, keys: list[str], seed=None, by: list[str] | None
     d = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"))
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = _offsets(counts, by)
-    # Offsets are one row per (group, bucket): bounded by 16**bucket_hex × groups.
+    # Offsets are one row per (group, bucket). The planner broadcasts them if
+    # they are small; else the join shuffles on the keys the window needs anyway.
     w = Window.partitionBy(*by, "_b").orderBy("_h", *keys)
-    out = (d.join(F.broadcast(offs), on=[*by, "_b"], how="inner")
+    out = (d.join(offs, on=[*by, "_b"], how="inner")
            .withColumn(idx_col, (F.row_number().over(w) - 1 + F.col("_off")).cast("long")))
     if with_total:
         out = out.withColumnRenamed("_total", with_total)
@@ -71,9 +72,9 @@ def _range_index(df: DataFrame, keys: list[str], by: list[str], idx_col: str,
     d = (d.withColumn("_b", F.shiftright("_m", 33))
          .withColumn("_r", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))))
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0"))
-    # one row per (group, partition): bounded by partitions × groups
+    # one row per (group, partition); broadcast by the planner if small
     offs = _offsets(counts, by)
-    out = (d.join(F.broadcast(offs), on=[*by, "_b"], how="inner")
+    out = (d.join(offs, on=[*by, "_b"], how="inner")
            .withColumn(idx_col, (F.col("_off") + F.col("_r") - F.col("_r0")).cast("long")))
     if with_total:
         out = out.withColumnRenamed("_total", with_total)
@@ -94,17 +95,28 @@ def exact_split(df: DataFrame, keys: list[str], seed=42, hold_out: float = 0.15,
     Positions ``[0, n_train)`` → train, then val, then test, under the
     seeded order of E1. Sizes are computed from the total in double
     arithmetic, on the executors (no driver round trip).
+
+    No row moves: keys are counted per bucket of the order, only the two
+    buckets that hold the first val and the first test row are ranked, and
+    every row is compared with these two rows in a projection. ``keys``
+    must be unique; rows of equal keys stay in one split.
     """
-    d = global_index(df, keys, seed=seed, idx_col="_idx", with_total="_n")
-    n = F.col("_n").cast("double")
-    n_hold = F.when(F.col("_n") > 0, F.ceil(F.lit(hold_out) * n)).otherwise(F.lit(0))
+    key = F.struct(md5_key(seed, *keys).alias("_h"), *keys)
+    d = df.select(key.alias("_k")).withColumn("_b", F.conv(F.substring("_k._h", 1, 3), 16, 10).cast("int"))
+    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.count(F.lit(1)).alias("_size"))
+    n = F.col("_total").cast("double")
+    n_hold = F.ceil(F.lit(hold_out) * n)
     n_test = F.when(n_hold > 0, F.ceil(F.lit(test_of_hold) * n_hold)).otherwise(F.lit(0))
-    n_train = F.col("_n") - n_hold
-    n_val = n_hold - n_test
-    return (d.withColumn(split_col, F.when(F.col("_idx") < n_train, F.lit("train"))
-                         .when(F.col("_idx") < n_train + n_val, F.lit("val"))
-                         .otherwise(F.lit("test")))
-            .drop("_idx", "_n"))
+    buckets = (_offsets(counts, [])
+               .withColumn("_val", F.col("_total") - n_hold).withColumn("_test", F.col("_total") - n_test))
+    inside = lambda c: (F.col("_off") <= F.col(c)) & (F.col(c) < F.col("_off") + F.col("_size"))
+    cut = buckets.filter(inside("_val") | inside("_test")).select("_b", "_off", "_val", "_test")
+    w = Window.partitionBy("_b").orderBy("_k")
+    # at most two buckets of the order are left
+    near = d.join(F.broadcast(cut), "_b").withColumn("_idx", F.row_number().over(w) - 1 + F.col("_off"))
+    val, test = (near.filter(F.col("_idx") == F.col(c)).select("_k").scalar() for c in ("_val", "_test"))
+    return df.withColumn(split_col, F.when(test.isNotNull() & (key >= test), F.lit("test"))
+                         .when(val.isNotNull() & (key >= val), F.lit("val")).otherwise(F.lit("train")))
 
 
 def epoch_shuffle(df: DataFrame, keys: list[str], epochs: int, seed=42, shuffle: bool = True,
@@ -145,15 +157,18 @@ def rank_shards(df: DataFrame, world_size: int, idx_col: str = "idx", total_col:
 
 
 def sample_lines(df: DataFrame, keys: list[str], n: int, seed=42, idx_col: str = "idx",
-                 top_k_limit: int = 100_000) -> DataFrame:
+                 bucket_hex: int = 3) -> DataFrame:
     """Shuffle and keep at most ``n`` rows.
 
-    Small ``n``: a top-k over the seeded hash (TakeOrderedAndProject);
-    large ``n``: the bucketed index of E1 and ``idx < n``.
+    Rows are counted per bucket of the seeded order; only the buckets that
+    start before position ``n`` are kept, ranked and cut, which is ``n`` rows
+    and at most one bucket more.
     """
-    if n <= top_k_limit:
-        h = md5_key(seed, *keys)
-        top = df.withColumn("_h", h).orderBy("_h", *keys).limit(n)
-        w = Window.orderBy("_h", *keys)  # over ≤ n rows only
-        return top.withColumn(idx_col, (F.row_number().over(w) - 1).cast("long")).drop("_h")
-    return global_index(df, keys, seed=seed, idx_col=idx_col).filter(F.col(idx_col) < n)
+    d = df.withColumn("_h", md5_key(seed, *keys)) \
+        .withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"))
+    offs = _offsets(d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")), [])
+    last = offs.filter(F.col("_off") < n).agg(F.max("_b").alias("_b")).scalar()
+    few = d.filter(F.col("_b") <= last)
+    w = Window.partitionBy("_b").orderBy("_h", *keys)
+    return (few.join(offs, "_b").withColumn(idx_col, (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
+            .filter(F.col(idx_col) < n).drop("_h", "_b", "_off", "_total"))

@@ -19,9 +19,12 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def split_counts(df: DataFrame, split_col: str = "split") -> DataFrame:
-    """Rows per split plus an ``all`` row (one grouping-sets pass)."""
-    return (df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n_rows"))
-            .unionByName(df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(split_col, F.lit("all"))))
+    """Rows per split plus an ``all`` row, from one pass (grouping sets);
+    an empty table has the ``all`` row alone."""
+    got = df.rollup(split_col).agg(F.count(F.lit(1)).alias("n_rows"), F.grouping(split_col).alias("_g"))
+    got = got.select(F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.col(split_col)).alias(split_col), "n_rows")
+    none = df.sparkSession.range(1).select(F.lit("all").alias(split_col), F.lit(0).cast("long").alias("n_rows"))
+    return got.unionByName(none).groupBy(split_col).agg(F.sum("n_rows").alias("n_rows"))
 
 
 def corpus_footprint(df: DataFrame, text: str | None = "text", ids: str | None = "ids") -> DataFrame:

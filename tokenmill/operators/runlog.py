@@ -83,6 +83,12 @@ def checkpoint_name(df: DataFrame, epoch: str = "epoch", monitor: str = "val_los
                                               F.lit(f"-{monitor}="), F.col("_v2"))).drop("_v2")
 
 
+def checkpoint_path(df: DataFrame, folder: str, epoch: str = "epoch", prefix: str = "model") -> DataFrame:
+    """K4, second form: ``<folder>-<model>/<model>-<epoch>.pt``."""
+    return df.withColumn("ckpt_path", F.concat(F.lit(f"{folder}-{prefix}/{prefix}-"), F.col(epoch).cast("string"),
+                                               F.lit(".pt")))
+
+
 def run_stamp(df: DataFrame, ts: str = "ts", out: str = "stamp") -> DataFrame:
     """K5: ``%Y-%m-%d-%I:%M:%S_%p``."""
     return df.withColumn(out, F.date_format(F.col(ts), "yyyy-MM-dd-hh:mm:ss_a"))

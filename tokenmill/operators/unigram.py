@@ -5,8 +5,8 @@ The loop runs on the driver; the work runs on executors:
 * the word-type table ``(word, freq)`` is computed once and checkpointed
   to the shared folder (lineage never grows across rounds);
 * the lattice — every occurrence of a seed piece in every word type — is
-  built once by Spark (substring explode + semi join with the seeds),
-  bucketed by word and checkpointed;
+  built once: Spark hashes the substrings, one pass replaces the hashes by
+  piece ids, and the result is written to the shared folder;
 * each E-step is one partition-local ``mapInArrow`` pass over the buckets: a
   vectorised (numpy) forward–backward over all words of the bucket, expected
   counts summed per bucket, then one ``groupBy(piece)`` shuffle of at most
@@ -151,25 +151,26 @@ def _forward_backward(widx, st, en, pid, wlen, freq, logp: np.ndarray, with_vite
     return np.asarray(pnames), expected, vf, ll
 
 
-_COLS = ("wid", "freq", "wlen", "starts", "ends", "hashes")
+_COLS = ("wid", "freq", "wlen", "starts", "ends", "pids")
 
 
-def _estep_fn(bc, bc_index, with_viterbi: bool):
+def _estep_fn(bc, with_viterbi: bool):
     def run(batches):
-        # One partition of the lattice table holds whole buckets (written
-        # hash-partitioned by bucket, one small file each), so no word is split
-        # across calls; its size is bounded by ``edges_per_bucket``.
-        parts = list(batches)
-        if not parts:
-            return
-        tbl, widx, st, en, pid, wlen = _edges_of(parts, bc_index.value)
-        res = _forward_backward(widx, st, en, pid, wlen, tbl.column("freq").to_numpy(), bc.value, with_viterbi)
-        if res is None:
-            return
-        names, expected, vf, ll = res
+        # Every row is one whole word, so batches are independent; a task holds
+        # one batch and its sums by piece, which the seed bound limits.
+        logp = bc.value
+        exp, vf, ll = np.zeros(len(logp)), np.zeros(len(logp)), 0.0
+        for b in batches:
+            widx, st, en, pid, wlen = _edges_of(b)
+            res = _forward_backward(widx, st, en, pid, wlen, b.column("freq").to_numpy(), logp, with_viterbi)
+            if res is not None:
+                exp[res[0]] += res[1]
+                vf[res[0]] += res[2]
+                ll += res[3]
+        pid = np.flatnonzero((exp != 0) | (vf != 0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(names, -1).astype(np.int64)), pa.array(np.append(expected, ll)),
-             pa.array(np.append(vf, 0.0))], names=["pid", "expected", "vfreq"])
+            [pa.array(np.append(pid, -1).astype(np.int64)), pa.array(np.append(exp[pid], ll)),
+             pa.array(np.append(vf[pid], 0.0))], names=["pid", "expected", "vfreq"])
     return run
 
 
@@ -177,13 +178,13 @@ _ESTEP_SCHEMA = T.StructType([T.StructField("pid", T.LongType()), T.StructField(
                               T.StructField("vfreq", T.DoubleType())])
 
 
-def _estep(lattice: DataFrame, logp: np.ndarray, with_viterbi: bool, bc_index):
+def _estep(lattice: DataFrame, logp: np.ndarray, with_viterbi: bool):
     ship_code(lattice.sparkSession)
     sc = lattice.sparkSession.sparkContext
     bc = sc.broadcast(logp)
     try:
         # ≤ (pieces + 1) rows, fetched as Arrow
-        agg = (lattice.select(*_COLS).mapInArrow(_estep_fn(bc, bc_index, with_viterbi), _ESTEP_SCHEMA)
+        agg = (lattice.select(*_COLS).mapInArrow(_estep_fn(bc, with_viterbi), _ESTEP_SCHEMA)
                .groupBy("pid").agg(F.sum("expected").alias("e"), F.sum("vfreq").alias("v")).toArrow().to_pandas())
     finally:
         bc.unpersist()
@@ -219,24 +220,23 @@ def _best_scores(widx, st, en, pid, wlen, logp: np.ndarray) -> np.ndarray:
     return vit[offset + wlen]
 
 
-def _alt_fn(bc, bc_index):
+def _alt_fn(bc):
     def run(batches):
-        parts = list(batches)
-        if not parts:
-            return
-        tbl, widx, st, en, pid, wlen = _edges_of(parts, bc_index.value, drop_full=True)
-        best = _best_scores(widx, st, en, pid, wlen, bc.value)
-        yield pa.RecordBatch.from_arrays([pa.array(tbl.column("wid").to_numpy().astype(np.int64)), pa.array(best)],
-                                         names=["pid", "alt"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            widx, st, en, pid, wlen = _edges_of(b, drop_full=True)
+            best = _best_scores(widx, st, en, pid, wlen, bc.value)
+            yield pa.RecordBatch.from_arrays([b.column("wid").cast(pa.int64()), pa.array(best)], names=["pid", "alt"])
     return run
 
 
-def _alt_scores(piece_lattice: DataFrame, logp: np.ndarray, bc_index) -> np.ndarray:
+def _alt_scores(piece_lattice: DataFrame, logp: np.ndarray) -> np.ndarray:
     """Log-prob of the best split of every piece without itself (one pass)."""
     sc = piece_lattice.sparkSession.sparkContext
     bc = sc.broadcast(logp)
     try:
-        out = (piece_lattice.select(*_COLS).mapInArrow(_alt_fn(bc, bc_index), "pid long, alt double").toArrow().to_pandas())
+        out = (piece_lattice.select(*_COLS).mapInArrow(_alt_fn(bc), "pid long, alt double").toArrow().to_pandas())
     finally:
         bc.unpersist()
     alt = np.full(len(logp), _NEG)
@@ -296,70 +296,84 @@ def _resolve(hashes: np.ndarray, lengths: np.ndarray, index) -> np.ndarray:
     return np.where(ok, pid, -1)
 
 
-def _edges_of(batches, index, drop_full: bool = False):
-    """Flatten one partition of the lattice into seed edges."""
-    tbl = pa.Table.from_batches(batches)
-    starts = tbl.column("starts").combine_chunks()
-    lengths = starts.value_lengths().to_numpy()
+def _edges_of(b: pa.RecordBatch, drop_full: bool = False):
+    """Flatten the edges of one batch of the lattice."""
+    lengths = b.column("starts").value_lengths().to_numpy()
     widx = np.repeat(np.arange(len(lengths)), lengths)
-    st = starts.flatten().to_numpy().astype(np.int64)
-    en = tbl.column("ends").combine_chunks().flatten().to_numpy().astype(np.int64)
-    h = tbl.column("hashes").combine_chunks().flatten().to_numpy()
-    wlen = tbl.column("wlen").to_numpy().astype(np.int64)
-    pid = _resolve(h, en - st, index)
-    keep = pid >= 0
+    st, en, pid = (b.column(c).flatten().to_numpy().astype(np.int64) for c in ("starts", "ends", "pids"))
+    wlen = b.column("wlen").to_numpy().astype(np.int64)
     if drop_full:  # a piece is not its own alternative
-        keep &= ~((st == 0) & (en == wlen[widx]))
-    return tbl, widx[keep], st[keep], en[keep], pid[keep], wlen
+        keep = ~((st == 0) & (en == wlen[widx]))
+        widx, st, en, pid = widx[keep], st[keep], en[keep], pid[keep]
+    return widx, st, en, pid, wlen
+
+
+def _live_edges(b: pa.RecordBatch, pid: np.ndarray, keep: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
+    """The batch with only the edges of ``keep``, named by piece id."""
+    n = b.num_rows
+    lengths = b.column("starts").value_lengths().to_numpy()
+    widx = np.repeat(np.arange(n), lengths)
+    offs = pa.array(np.concatenate([[0], np.cumsum(np.bincount(widx[keep], minlength=n))]).astype(np.int32))
+    lists = [b.column("starts").flatten().to_numpy()[keep], b.column("ends").flatten().to_numpy()[keep], pid[keep]]
+    out = pa.RecordBatch.from_arrays(
+        [b.column("wid"), b.column("freq"), b.column("wlen"),
+         *(pa.ListArray.from_arrays(offs, pa.array(x, pa.int32())) for x in lists)], names=list(_COLS))
+    return out if rows is None or rows.all() else out.take(pa.array(np.flatnonzero(rows)))
 
 
-def _compact_fn(bc, bc_index, piece_rows: bool):
+def _resolve_fn(bc_index):
+    def run(batches):
+        for b in batches:
+            n_chars = (b.column("ends").flatten().to_numpy().astype(np.int64)
+                       - b.column("starts").flatten().to_numpy())
+            pid = _resolve(b.column("hashes").flatten().to_numpy(), n_chars, bc_index.value)
+            yield _live_edges(b, pid, pid >= 0)
+    return run
+
+
+def _compact_fn(bc, piece_rows: bool):
     def run(batches):
         logp = bc.value
-        for b in batches:  # every row is one whole word: batches are independent
-            tbl = pa.Table.from_batches([b])
-            n = tbl.num_rows
-            starts = tbl.column("starts").combine_chunks()
-            lengths = starts.value_lengths().to_numpy()
-            widx = np.repeat(np.arange(n), lengths)
-            st = starts.flatten().to_numpy()
-            en = tbl.column("ends").combine_chunks().flatten().to_numpy()
-            h = tbl.column("hashes").combine_chunks().flatten().to_numpy()
-            pid = _resolve(h, en.astype(np.int64) - st, bc_index.value)
-            keep = pid >= 0
-            keep[keep] = ~np.isnan(logp[pid[keep]])
-            rows = np.ones(n, dtype=bool)
+        for b in batches:
+            widx, _, _, pid, _ = _edges_of(b)
+            rows = np.ones(b.num_rows, dtype=bool)
             if piece_rows:  # a dead piece needs no alternative any more
-                rows = ~np.isnan(logp[tbl.column("wid").to_numpy()])
-            keep &= rows[widx]
-            offs = np.concatenate([[0], np.cumsum(np.bincount(widx[keep], minlength=n))]).astype(np.int32)
-            cols = {c: tbl.column(c).combine_chunks() for c in ("wid", "freq", "wlen", "bucket")}
-            out = pa.RecordBatch.from_arrays(
-                [cols["wid"], cols["freq"], cols["wlen"],
-                 pa.ListArray.from_arrays(pa.array(offs), pa.array(st[keep], pa.int32())),
-                 pa.ListArray.from_arrays(pa.array(offs), pa.array(en[keep], pa.int32())),
-                 pa.ListArray.from_arrays(pa.array(offs), pa.array(h[keep], pa.int64())),
-                 cols["bucket"]],
-                names=["wid", "freq", "wlen", "starts", "ends", "hashes", "bucket"])
-            idx = np.flatnonzero(rows)
-            yield out if len(idx) == n else out.take(pa.array(idx))
+                rows = ~np.isnan(logp[b.column("wid").to_numpy()])
+            yield _live_edges(b, pid, ~np.isnan(logp[pid]) & rows[widx], rows)
     return run
 
 
-def compact_lattice(lattice: DataFrame, logp: np.ndarray, bc_index, piece_rows: bool = False) -> DataFrame:
-    """Rewrite the lattice without edges of removed pieces (and, for the
-    piece lattice, without removed pieces' rows): later passes shrink with
-    the vocabulary. A partition-local map; written to the shared folder."""
+def _rewritten(lattice: DataFrame, fn, columns) -> DataFrame:
+    """A partition-local map of the lattice, written to the shared folder."""
     spark = lattice.sparkSession
-    bc = spark.sparkContext.broadcast(logp)
-    cols = ["wid", "freq", "wlen", "starts", "ends", "hashes", "bucket"]
-    src = lattice.select(*cols)
+    types = {"wid": "long", "freq": "long", "wlen": "int"}
+    schema = ", ".join(f"{c} {types.get(c, 'array<int>')}" for c in _COLS)
+    src = lattice.select(*(F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in columns))
     path = scratch_path(spark, "lattice")
+    src.mapInArrow(fn, schema).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def resolve_lattice(lattice: DataFrame, bc_index) -> DataFrame:
+    """Replace the substrings' hashes by piece ids, once; substrings that are
+    no seed are dropped."""
+    return _rewritten(lattice, _resolve_fn(bc_index), ("wid", "freq", "wlen", "starts", "ends", "hashes"))
+
+
+def compact_lattice(lattice: DataFrame, logp: np.ndarray, piece_rows: bool = False) -> DataFrame:
+    """Rewrite the lattice without edges of removed pieces (and, for the
+    piece lattice, without removed pieces' rows): later passes shrink with
+    the vocabulary."""
+    bc = lattice.sparkSession.sparkContext.broadcast(logp)
     try:
-        src.mapInArrow(_compact_fn(bc, bc_index, piece_rows), src.schema).write.parquet(path)
+        return _rewritten(lattice, _compact_fn(bc, piece_rows), _COLS)
     finally:
         bc.unpersist()
-    return spark.read.parquet(path)
+
+
+def _drop_table(t: DataFrame) -> None:
+    for f in t.inputFiles()[:1]:
+        drop_path(t.sparkSession, f.rsplit("/", 1)[0])
 
 
 def _digamma_np(x: np.ndarray) -> np.ndarray:
@@ -385,11 +399,11 @@ def _mstep(logp: np.ndarray, expected: np.ndarray, is_char: np.ndarray) -> np.nd
     return out
 
 
-def _prune(logp: np.ndarray, vfreq: np.ndarray, alt: np.ndarray, names: list[str], is_char: np.ndarray,
+def _prune(logp: np.ndarray, vfreq: np.ndarray, alt: np.ndarray, place: np.ndarray, is_char: np.ndarray,
            target: int) -> np.ndarray:
     """Keep the ``target`` pieces whose removal costs most likelihood
     (Viterbi frequency × (log p − log p of the best split without it));
-    single characters are always kept."""
+    single characters are always kept; ``place`` breaks ties."""
     alive = ~np.isnan(logp)
     if int(alive.sum()) <= target:
         return logp
@@ -397,7 +411,7 @@ def _prune(logp: np.ndarray, vfreq: np.ndarray, alt: np.ndarray, names: list[str
     with np.errstate(invalid="ignore"):
         cost = np.where(np.isfinite(alt[cand]), vfreq[cand] * (logp[cand] - alt[cand]), np.inf)
     n_keep = max(0, target - int((alive & is_char).sum()))
-    order = sorted(range(len(cand)), key=lambda k: (-cost[k], names[cand[k]]))[:n_keep]
+    order = np.lexsort((place[cand], -cost))[:n_keep]
     out = np.full(len(logp), np.nan)
     keep = np.concatenate([cand[order], np.flatnonzero(alive & is_char)]).astype(np.int64)
     out[keep] = logp[keep]
@@ -426,9 +440,15 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
     n_special = len(SPECIALS) if with_pad else len(SPECIALS) - 1
     goal = max(vocab_size - n_special, int(is_char.sum()))
     bc_index = spark.sparkContext.broadcast(_seed_index(seed_pdf))
-    lattice = build_lattice(words, max_piece_len)
+    # a piece's place in the order of the pieces' code points
+    place = np.empty(n_seeds, dtype=np.int64)
+    place[np.argsort(seed_pdf["piece"].to_numpy(dtype=object), kind="stable")] = np.arange(n_seeds)
     piece_words = seeds.select(F.col("pid").alias("wid"), F.col("piece").alias("word"), F.lit(1).alias("freq"))
-    piece_lattice = build_lattice(piece_words, max_piece_len)
+    raw = build_lattice(words, max_piece_len), build_lattice(piece_words, max_piece_len)
+    lattice, piece_lattice = (resolve_lattice(t, bc_index) for t in raw)
+    for t in raw:
+        _drop_table(t)
+    bc_index.unpersist()
     # train down to 110 % of the goal, then keep the best-scoring pieces
     desired = int(goal * 1.1)
     compacted_at = n_seeds
@@ -438,26 +458,24 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
             alive_now = int((~np.isnan(logp)).sum())
             if alive_now * 2 <= compacted_at:
                 old = (lattice, piece_lattice)
-                lattice = compact_lattice(lattice, logp, bc_index)
-                piece_lattice = compact_lattice(piece_lattice, logp, bc_index, piece_rows=True)
+                lattice = compact_lattice(lattice, logp)
+                piece_lattice = compact_lattice(piece_lattice, logp, piece_rows=True)
                 for t in old:  # superseded generations are no longer read
-                    for f in t.inputFiles()[:1]:
-                        drop_path(spark, f.rsplit("/", 1)[0])
+                    _drop_table(t)
                 compacted_at = alive_now
-            expected, vfreq, _ll = _estep(lattice, logp, (it == em_iters - 1), bc_index)
+            expected, vfreq, _ll = _estep(lattice, logp, it == em_iters - 1)
             logp = _mstep(logp, expected, is_char)
         if int((~np.isnan(logp)).sum()) <= desired:
             break
-        alt = _alt_scores(piece_lattice, logp, bc_index)
-        logp = _prune(logp, vfreq, alt, names, is_char, max(desired, int((~np.isnan(logp)).sum() * shrink)))
+        alt = _alt_scores(piece_lattice, logp)
+        logp = _prune(logp, vfreq, alt, place, is_char, max(desired, int((~np.isnan(logp)).sum() * shrink)))
     # final: the best `goal` pieces by score, characters always kept
     alive = np.flatnonzero(~np.isnan(logp))
-    others = sorted((i for i in alive if not is_char[i]), key=lambda i: (-logp[i], names[i]))
-    keep = [i for i in alive if is_char[i]] + others[:max(0, goal - int(is_char[alive].sum()))]
+    others = alive[~is_char[alive]]
+    others = others[np.lexsort((place[others], -logp[others]))]
+    keep = [*alive[is_char[alive]], *others[:max(0, goal - int(is_char[alive].sum()))]]
     final = [(names[i], float(logp[i])) for i in keep]
     df = spark.createDataFrame(final, "piece string, score double")  # built from driver arrays
     for t in (lattice, piece_lattice):
-        for f in t.inputFiles()[:1]:
-            drop_path(spark, f.rsplit("/", 1)[0])
-    bc_index.unpersist()
+        _drop_table(t)
     return layout_vocab(df, score="score", with_pad=with_pad)

@@ -64,8 +64,9 @@ def seed_pieces(wc: DataFrame, top_k: int = 1_000_000, max_piece_len: int = 16,
 
 
 def char_pieces(norm_df: DataFrame, norm: str = "norm") -> DataFrame:
-    """Distinct characters of the normalised text (one aggregation)."""
-    return (norm_df.select(F.explode(F.split(F.col(norm), "")).alias("piece"))
+    """Distinct characters of the normalised text: distinct within each row
+    first, so a text gives out no more rows than it has different characters."""
+    return (norm_df.select(F.explode(F.array_distinct(F.split(F.col(norm), ""))).alias("piece"))
             .filter(F.col("piece") != "").distinct())
 
 

@@ -13,7 +13,7 @@ from tokenmill.functions.exprs import ids_digest, md5_key, round6, words_of
 from tokenmill.operators import (codec, columns, decoding, examples, gate, order, profile,
                                  runlog, scoring, vocab)
 from tokenmill.plans import fixtures as fx
-from tokenmill.session import scratch_path, table_path
+from tokenmill.session import cut_lineage, scratch_path, table_path
 from tokenmill.sources import io
 from tokenmill.streaming import gate_stream
 
@@ -71,6 +71,21 @@ def q_write_splits(spark, d):
     return back.select("doc_id", "split", F.size("ids").cast("long").alias("n_ids"))
 
 
+def q_write_splits_csv(spark, d):
+    raw = io.load_splits(fx.presplit(spark, d))
+    path = io.write_splits(raw, scratch_path(spark, "splits_csv"), format="csv")
+    back = io.read_splits(spark, path, format="csv")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "split", F.md5("text").alias("text_md5"))
+
+
+def q_saved_split_pairs(spark, d):
+    """The training side's path: a saved split, its token column, its pairs."""
+    path = io.write_splits(_split_ids(spark, d), scratch_path(spark, "saved_splits"))
+    train = io.read_tokenized(spark, f"{path}/split=train")
+    rows = train.select("doc_id", columns.token_column(train, "ids").alias("tokens"))
+    return _digest_pair(examples.shift_pair(rows, S, fx.PAD_ID, ids="tokens"))
+
+
 def q_land_if_absent(spark, d):
     path = scratch_path(spark, "landed")
     docs = fx.table(spark, d, "documents").select("doc_id", "lang")
@@ -177,6 +192,11 @@ def q_length_outliers(spark, d):
     return profile.length_outliers(_lengths(spark, d)).select("doc_id", "len")
 
 
+def q_length_outliers_all(spark, d):
+    n = profile.lengths(fx.ids(spark, d), "ids", filter=False)
+    return profile.length_outliers(n).select("doc_id", "len")
+
+
 def q_length_histogram(spark, d):
     h = profile.length_histogram(_lengths(spark, d))
     return h.select("bin", round6("lo").alias("lo"), round6("hi").alias("hi"), "n")
@@ -189,6 +209,16 @@ def q_epoch_metrics(spark, d):
                     round6("train_loss_scaled").alias("train_loss_scaled"), "n_steps")
 
 
+def q_epoch_metrics_weighted(spark, d):
+    """Weighted means of a loss, its perplexity and the loss scaled for four accumulation steps."""
+    s = fx.runlog_steps(spark, d).withColumn("w", F.col("step") % 3 + 1)
+    s = s.withColumn("val_perplexity", F.exp(F.col("val_loss") / 100)) \
+        .withColumn("train_loss_scaled", scoring.scaled_loss("train_loss", 4))
+    m = profile.epoch_metrics(s, ["val_loss", "val_perplexity", "train_loss_scaled"], weight="w")
+    return m.select("run", "epoch", round6("val_loss").alias("val_loss"), round6("val_perplexity").alias("val_perplexity"),
+                    round6("train_loss_scaled").alias("train_loss_scaled"), "n_steps")
+
+
 # ------------------------------------------------------------------ E
 
 def q_global_index(spark, d):
@@ -207,13 +237,23 @@ def q_epoch_shuffle(spark, d):
     return _shuffled(spark, d).select("epoch", "doc_id", "pos")
 
 
+def q_epoch_order_val(spark, d):
+    v = order.epoch_shuffle(fx.text(spark, d).select("doc_id"), ["doc_id"], fx.EPOCHS, shuffle=False)
+    return v.select("epoch", "doc_id", "pos")
+
+
 def q_assign_batches(spark, d):
     return order.assign_batches(_shuffled(spark, d), B).select("epoch", "doc_id", "batch_id", "slot")
 
 
-def q_rank_shards(spark, d):
+def q_rank_shards(spark, d, world_size: int = fx.WORLD_SIZE):
     g = order.global_index(fx.text(spark, d).select("doc_id"), ["doc_id"], seed=SEED, with_total="n")
-    return order.rank_shards(g, fx.WORLD_SIZE).select("doc_id", "global_pos", "rank", "rank_pos")
+    return order.rank_shards(g, world_size).select("doc_id", "global_pos", "rank", "rank_pos")
+
+
+def q_rank_shards_wrap(spark, d):
+    """Seven workers: the last positions wrap to the front."""
+    return q_rank_shards(spark, d, 7)
 
 
 def _sentences(spark, d):
@@ -227,6 +267,10 @@ def q_sample_sentences(spark, d, n: int = 1_000_000):
     return s.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "idx")
 
 
+def q_sample_sentences_cut(spark, d):
+    return q_sample_sentences(spark, d, 2000)
+
+
 # ------------------------------------------------------------------ F
 
 def q_normalise_text(spark, d):
@@ -234,6 +278,18 @@ def q_normalise_text(spark, d):
     return n.select("doc_id", F.md5("norm").alias("norm_md5"), F.length("norm").cast("long").alias("n_chars"))
 
 
+# Printable ASCII and its full-width forms, which NFKC folds back
+_ASCII = "".join(chr(c) for c in range(0x21, 0x7F))
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+
+
+def q_normalise_wide(spark, d):
+    """Full-width texts: NFKC gives the plain texts back."""
+    wide = fx.text(spark, d).withColumn("text", F.translate("text", _ASCII, _WIDE))
+    n = codec.normalise_text(wide, "text", "norm")
+    return n.select("doc_id", F.md5("norm").alias("norm_md5"), F.length("norm").cast("long").alias("n_chars"))
+
+
 def q_word_counts(spark, d):
     return vocab.word_counts(fx.norm(spark, d))
 
@@ -242,6 +298,10 @@ def q_seed_pieces(spark, d):
     return vocab.seed_pieces(vocab.word_counts(fx.norm(spark, d)))
 
 
+def q_seed_pieces_top(spark, d):
+    return vocab.seed_pieces(vocab.word_counts(fx.norm(spark, d)), top_k=5000)
+
+
 def q_train_vocab(spark, d):
     from tokenmill.operators import unigram
     v = unigram.train_vocab(fx.norm(spark, d), vocab_size=1000)
@@ -264,14 +324,31 @@ def q_add_tokens(spark, d):
 
 
 def q_check_added(spark, d):
-    old = fx.charvocab(spark, d)
+    old = cut_lineage(fx.charvocab(spark, d))
     new = vocab.add_tokens(old, NEW_TOKENS)
     return vocab.check_added(old, new, NEW_TOKENS)
 
 
 def _encoded_docs(spark, d, model=None, bos=True, eos=True):
     model = model or _charvocab_model(spark, d)
-    return codec.encode(fx.text(spark, d), model, text="text", out="ids", bos=bos, eos=eos)
+    t = fx.text(spark, d)
+    return codec.encode(t, model, text="text", out="ids", bos=bos, eos=eos, drop_text=True, partitions=fx.splits(t))
+
+
+def _piece_model(spark, d):
+    return codec.CodecModel.from_vocab(fx.piecevocab(spark, d))
+
+
+def q_encode_pieces(spark, d):
+    """Best segmentation into pieces of several characters; ties go to the longer last piece."""
+    e = _encoded_docs(spark, d, _piece_model(spark, d))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("digest"))
+
+
+def q_decode_pieces(spark, d):
+    model = _piece_model(spark, d)
+    e = codec.decode(_encoded_docs(spark, d, model), model, ids="ids", out="decoded")
+    return e.select("doc_id", F.md5("decoded").alias("text_md5"), F.length("decoded").cast("long").alias("n_chars"))
 
 
 def q_encode_text(spark, d):
@@ -281,13 +358,14 @@ def q_encode_text(spark, d):
 
 def q_decode_ids(spark, d):
     model = _charvocab_model(spark, d)
-    e = codec.decode(_encoded_docs(spark, d, model).drop("text"), model, ids="ids", out="decoded")
+    e = codec.decode(_encoded_docs(spark, d, model), model, ids="ids", out="decoded")
     return e.select("doc_id", F.md5("decoded").alias("text_md5"), F.length("decoded").cast("long").alias("n_chars"))
 
 
 def q_round_trip(spark, d):
     model = _charvocab_model(spark, d)
-    e = codec.decode(_encoded_docs(spark, d, model), model, ids="ids", out="decoded")
+    e = codec.decode(codec.encode(fx.text(spark, d), model, bos=True, eos=True, partitions=fx.splits(fx.text(spark, d))),
+                     model, ids="ids", out="decoded")
     expect = F.trim(F.regexp_replace("text", r"\s+", " "))
     return e.select("doc_id", (F.col("decoded") == expect).alias("ok"), F.size("ids").cast("long").alias("n_tokens"))
 
@@ -298,8 +376,14 @@ def q_lookup_piece(spark, d):
     return vocab.lookup_piece(chars, fx.charvocab(spark, d)).select("piece", "id")
 
 
+def q_lookup_id(spark, d):
+    top = fx.logits(spark, d).select("vec_id", scoring.argmax("logits").alias("id"))
+    return vocab.lookup_id(top, fx.charvocab(spark, d)).select("vec_id", "id", "piece")
+
+
 def q_tokenize_text(spark, d):
-    t = codec.tokenize_text(fx.text(spark, d), _charvocab_model(spark, d))
+    docs = fx.text(spark, d)
+    t = codec.tokenize_text(docs, _charvocab_model(spark, d), partitions=fx.splits(docs))
     return t.select("doc_id", F.size("Tokenized_Data").cast("long").alias("n_tokens"),
                     ids_digest("Tokenized_Data").alias("digest"))
 
@@ -316,7 +400,8 @@ def _split_summary(back):
 
 
 def q_tokenize_and_split(spark, d):
-    tok = codec.tokenize_text(fx.text(spark, d), _charvocab_model(spark, d), length_col="n_tokens")
+    docs = fx.text(spark, d)
+    tok = codec.tokenize_text(docs, _charvocab_model(spark, d), length_col="n_tokens", partitions=fx.splits(docs))
     # written once: the split reads the tokens twice (counts + rows)
     tok_path = scratch_path(spark, "tokenized")
     tok.write.parquet(tok_path)
@@ -343,7 +428,7 @@ def q_pad_or_cut(spark, d):
 
 def q_shift_pair(spark, d):
     """Flagship: text → character vocabulary → encode(bos, eos) → pairs."""
-    pairs = examples.shift_pair(_encoded_docs(spark, d).drop("text"), S, fx.PAD_ID)
+    pairs = examples.shift_pair(_encoded_docs(spark, d), S, fx.PAD_ID)
     return _digest_pair(pairs)
 
 
@@ -431,7 +516,8 @@ def q_nucleus_filter(spark, d):
 
 
 def q_sample_token(spark, d):
-    return decoding.sample_token(_kept(spark, d), ["vec_id"], seed=SEED, step=0)
+    lg = fx.logits(spark, d).withColumn("probs", scoring.softmax("logits", 1.0))
+    return decoding.sample_nucleus(lg, ["vec_id"], fx.TOP_P, seed=SEED, step=0)
 
 
 def q_force_prompt(spark, d):
@@ -545,6 +631,11 @@ def q_checkpoint_name(spark, d):
     return runlog.checkpoint_name(b).select("run", "epoch", "ckpt_name")
 
 
+def q_checkpoint_path(spark, d):
+    b = runlog.best_checkpoints(fx.runlog(spark, d), fx.TOP_K_CKPT)
+    return runlog.checkpoint_path(b, "checkpoints").select("run", "epoch", "ckpt_path")
+
+
 def q_run_stamp(spark, d):
     return runlog.run_stamp(fx.table(spark, d, "events")).select("event_id", "stamp")
 

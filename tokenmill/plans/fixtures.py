@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tokenmill.functions.exprs import words_of
 from tokenmill.operators.codec import normalise_text
 from tokenmill.operators.scoring import argmax
-from tokenmill.operators.vocab import char_vocab
-from tokenmill.session import table_path
+from tokenmill.operators.vocab import char_vocab, layout_vocab, seed_pieces, word_counts
+from tokenmill.session import cut_lineage, table_path
 
 # Fixed values (small parameters of the reference configuration).
 SEQ_LEN = 1024
@@ -83,8 +83,18 @@ def ids(spark, sf_dir) -> DataFrame:
     return text(spark, sf_dir).withColumn("ids", ids_expr())
 
 
+def splits(scan: DataFrame) -> int | None:
+    """Partitions to deal a scan's rows out to before Python, or None if the
+    files have a split per core already (as all but test tables do). Plans
+    the scan alone, so it starts no job."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return 2 * cores if scan.rdd.getNumPartitions() < cores else None
+
+
 def norm(spark, sf_dir) -> DataFrame:
-    return normalise_text(text(spark, sf_dir), "text", "norm")
+    d = text(spark, sf_dir)
+    n = splits(d)
+    return normalise_text(d.repartition(n) if n else d, "text", "norm")
 
 
 def charvocab(spark, sf_dir) -> DataFrame:
@@ -92,6 +102,15 @@ def charvocab(spark, sf_dir) -> DataFrame:
     return char_vocab(norm(spark, sf_dir), "norm")
 
 
+def piecevocab(spark, sf_dir, top_k: int = 2000) -> DataFrame:
+    """PIECEVOCAB: all characters and the best ``top_k`` longer seed pieces,
+    scored ``ln(freq / total)`` to six places; written once, since encoding
+    and decoding both read it."""
+    p = cut_lineage(seed_pieces(word_counts(norm(spark, sf_dir)), top_k=top_k))
+    total = p.agg(F.sum("freq").cast("double").alias("t")).scalar()
+    return cut_lineage(layout_vocab(p.select("piece", F.round(F.log(F.col("freq") / total), 6).alias("score"))))
+
+
 def words(spark, sf_dir) -> DataFrame:
     """WORDS: distinct words of the benchmark texts."""
     b = table(spark, sf_dir, "benchmark")

@@ -82,17 +82,54 @@ def enc(name: str, src: str, key: str, txt: str, bos: bool = True, eos: bool = T
   FROM {name}_n n LEFT JOIN {name}_l l ON l.k = n.k)"""
 
 
-def dec(name: str, src: str, key: str, ids: str) -> str:
-    """Decode ``src.ids`` with the character vocabulary."""
+def dec(name: str, src: str, key: str, ids: str, vocab: str = "charvocab") -> str:
+    """Decode ``src.ids`` with a vocabulary."""
     return f"""{name}_e AS (SELECT {key} AS k, unnest({ids}) AS id, generate_subscripts({ids}, 1) AS pos FROM {src}),
 {name}_s AS (SELECT e.k, e.pos, e.id, CASE WHEN e.id = 0 THEN ' ⁇ ' ELSE replace(v.piece, '▁', ' ') END AS surf
-  FROM {name}_e e LEFT JOIN charvocab v ON v.id = e.id WHERE e.id NOT IN (1, 2, 3)),
+  FROM {name}_e e LEFT JOIN {vocab} v ON v.id = e.id WHERE e.id NOT IN (1, 2, 3)),
 {name}_j AS (SELECT k, string_agg(surf, '' ORDER BY pos) AS j, arg_min(id, pos) AS first_id FROM {name}_s GROUP BY k),
 {name} AS (SELECT s.{key} AS {key}, CASE WHEN j.k IS NULL THEN ''
     WHEN j.first_id <> 0 AND starts_with(j.j, ' ') THEN substr(j.j, 2) ELSE j.j END AS text
   FROM {src} s LEFT JOIN {name}_j j ON j.k = s.{key})"""
 
 
+SEEDS = (NORM_DOCS, """wc AS (SELECT '▁' || w AS word, count(*) AS freq
+  FROM (SELECT unnest(string_split(norm, '▁')) AS w FROM norm_docs) WHERE w <> '' GROUP BY w)""",
+         "st AS (SELECT word, freq, unnest(generate_series(1, length(word))) AS s FROM wc)",
+         """sub AS (SELECT word, s, n, substr(word, s, n) AS piece, freq FROM (
+    SELECT word, freq, s, unnest(generate_series(1, least(16, length(word) - s + 1))) AS n FROM st))""",
+         "agg AS (SELECT piece, CAST(sum(freq) AS BIGINT) AS freq, CAST(min(n) AS BIGINT) AS n_chars FROM sub GROUP BY piece)",
+         "agg2 AS (SELECT piece, freq, n_chars, freq * n_chars AS score FROM agg WHERE n_chars = 1 OR freq >= 2)")
+
+
+def _seeds(top_k: int) -> str:
+    return f"""SELECT * FROM agg2 WHERE n_chars = 1
+UNION ALL (SELECT * FROM agg2 WHERE n_chars > 1 ORDER BY score DESC, piece LIMIT {top_k})"""
+
+
+# Characters and the best 2,000 longer pieces; per word type the best segmentation, position by position: ``bw`` holds the
+# best sums of the last 16 positions; between equal sums the longer last piece wins. Then the pieces from the word's end back.
+PIECES = (*SEEDS, f"pv0 AS ({_seeds(2000)})",
+          """pv AS MATERIALIZED (SELECT CAST(3 + row_number() OVER (ORDER BY s DESC, piece) AS INTEGER) AS id, piece, s
+  FROM (SELECT piece, round(ln(freq / (SELECT CAST(sum(freq) AS DOUBLE) FROM pv0)), 6) AS s FROM pv0))""",
+          """ed AS MATERIALIZED (SELECT word, sub.s + n - 1 AS e, list({'n': n, 's': pv.s, 'id': pv.id} ORDER BY n DESC) AS es
+  FROM sub JOIN pv USING (piece) GROUP BY word, e)""",
+          """vit AS (SELECT word, CAST(0 AS BIGINT) AS j, [0.0::DOUBLE] AS bw, CAST(0 AS BIGINT) AS n, 0 AS id FROM wc
+  UNION ALL
+  SELECT word, j + 1, list_append(bw, list_max(cs))[-16:], es[list_position(cs, list_max(cs))].n,
+         es[list_position(cs, list_max(cs))].id
+  FROM (SELECT v.word, v.j, v.bw, ed.es, list_transform(ed.es, lambda x: v.bw[-x.n] + x.s) AS cs
+        FROM vit v JOIN ed ON ed.word = v.word AND ed.e = v.j + 1))""",
+          """bt AS (SELECT word, CAST(length(word) AS BIGINT) AS cur, []::INTEGER[] AS ids FROM wc
+  UNION ALL
+  SELECT b.word, b.cur - v.n, list_prepend(v.id, b.ids) FROM bt b JOIN vit v ON v.word = b.word AND v.j = b.cur WHERE b.cur > 0)""",
+          """dw AS (SELECT doc_id, '▁' || w AS word, pos FROM (SELECT doc_id, unnest(string_split(norm, '▁')) AS w,
+    generate_subscripts(string_split(norm, '▁'), 1) AS pos FROM norm_docs) WHERE w <> '')""",
+          "di AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM dw JOIN bt USING (word) WHERE cur = 0 GROUP BY doc_id)",
+          """ep AS (SELECT doc_id, list_concat([1], coalesce(di.ids, []::INTEGER[]), [2]) AS ids
+  FROM documents LEFT JOIN di USING (doc_id))""")
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -136,6 +173,11 @@ FROM occ GROUP BY word""",
     "load_splits": """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split
 FROM documents""",
     "write_splits": _with(IDS, SPLITS) + "SELECT s.doc_id, s.split, CAST(len(i.ids) AS BIGINT) AS n_ids FROM splits s JOIN ids i USING (doc_id)",
+    "write_splits_csv": """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split,
+    md5(text) AS text_md5 FROM documents""",
+    "saved_split_pairs": _with(IDS, SPLITS) + f"""SELECT doc_id, md5(array_to_string(p[1:1024], ',')) AS x_digest,
+    md5(array_to_string(p[2:1025], ',')) AS y_digest
+FROM (SELECT doc_id, {_PAD} AS p FROM ids JOIN splits USING (doc_id) WHERE split = 'train')""",
     "land_if_absent": "SELECT doc_id, lang FROM documents",
     "prediction_log": _with(NORM_DOCS, CHARVOCAB,
                             """tp AS (SELECT vec_id, vec_id // 32 AS batch_id,
@@ -171,6 +213,9 @@ UNION ALL SELECT doc_id, CAST(NULL AS VARCHAR), source, md5(text) FROM documents
     mean - std AS band_lo1, mean + std AS band_hi1, mean - 2 * std AS band_lo2, mean + 2 * std AS band_hi2 FROM st""",
     "length_outliers": _with(IDS, _LENS, """q AS (SELECT quantile_cont(len, 0.25) AS q1, quantile_cont(len, 0.75) AS q3 FROM lens)""")
     + "SELECT doc_id, len FROM lens, q WHERE len < q1 - 1.5 * (q3 - q1) OR len > q3 + 1.5 * (q3 - q1)",
+    "length_outliers_all": _with(IDS, "lens AS (SELECT doc_id, CAST(len(ids) AS BIGINT) AS len FROM ids)",
+                                 "q AS (SELECT quantile_cont(len, 0.25) AS q1, quantile_cont(len, 0.75) AS q3 FROM lens)")
+    + "SELECT doc_id, len FROM lens, q WHERE len < q1 - 1.5 * (q3 - q1) OR len > q3 + 1.5 * (q3 - q1)",
     "length_histogram": _with(IDS, _LENS,
                               "mm AS (SELECT CAST(min(len) AS DOUBLE) AS mn, CAST(max(len) AS DOUBLE) AS mx FROM lens)",
                               """b AS (SELECT CAST(CASE WHEN mx = mn THEN 50 ELSE least(floor((len - mn) * 100.0::DOUBLE / (mx - mn)), 99) END AS BIGINT) AS bin
@@ -182,13 +227,22 @@ FROM (SELECT range AS bin FROM range(100)) g CROSS JOIN mm LEFT JOIN c ON c.bin
     "epoch_metrics": """SELECT user_id AS run, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch,
     round(avg(value), 6) AS val_loss, round(avg(value / 1.0::DOUBLE), 6) AS train_loss_scaled, count(*) AS n_steps
 FROM events GROUP BY ALL""",
+    "epoch_metrics_weighted": """SELECT user_id AS run, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch,
+    round(sum(value * w) / sum(w), 6) AS val_loss, round(sum(exp(value / 100) * w) / sum(w), 6) AS val_perplexity,
+    round(sum(value / 4 * w) / sum(w), 6) AS train_loss_scaled, count(*) AS n_steps
+FROM (SELECT *, CAST(event_id % 3 + 1 AS DOUBLE) AS w FROM events) GROUP BY ALL""",
     "global_index": "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS idx FROM documents",
     "exact_split": _with(SPLITS) + "SELECT doc_id, split FROM splits",
     "epoch_shuffle": _with(SHUFFLED) + "SELECT epoch, doc_id, pos FROM sh",
+    "epoch_order_val": """SELECT CAST(e AS INTEGER) AS epoch, doc_id, row_number() OVER (PARTITION BY e ORDER BY doc_id) - 1 AS pos
+FROM documents, range(10) t(e)""",
     "assign_batches": _with(SHUFFLED) + "SELECT epoch, doc_id, pos // 32 AS batch_id, pos % 32 AS slot FROM sh",
     "rank_shards": f"""WITH g AS ({_rank()}),
 p AS (SELECT doc_id, idx + k * n AS global_pos, CAST(ceil(n / 8.0::DOUBLE) * 8 AS BIGINT) AS total FROM g, range(0, 8) t(k))
 SELECT doc_id, global_pos, CAST(global_pos % 8 AS INTEGER) AS rank, global_pos // 8 AS rank_pos FROM p WHERE global_pos < total""",
+    "rank_shards_wrap": f"""WITH g AS ({_rank()}),
+p AS (SELECT doc_id, idx + k * n AS global_pos, CAST(ceil(n / 7.0::DOUBLE) * 7 AS BIGINT) AS total FROM g, range(0, 7) t(k))
+SELECT doc_id, global_pos, CAST(global_pos % 7 AS INTEGER) AS rank, global_pos // 7 AS rank_pos FROM p WHERE global_pos < total""",
     "sample_sentences": """WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
     CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS line_no FROM documents),
 f AS (SELECT * FROM s WHERE trim(line) <> ''),
@@ -208,6 +262,11 @@ FROM (SELECT unnest(string_split(norm, '▁')) AS w FROM norm_docs) WHERE w <> '
                          "agg2 AS (SELECT piece, freq, n_chars, freq * n_chars AS score FROM agg WHERE n_chars = 1 OR freq >= 2)")
     + """SELECT * FROM agg2 WHERE n_chars = 1
 UNION ALL (SELECT * FROM agg2 WHERE n_chars > 1 ORDER BY score DESC, piece LIMIT 1000000)""",
+    "seed_pieces_top": _with(*SEEDS) + _seeds(5000),
+    "encode_pieces": _with(*PIECES).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, md5(array_to_string(ids, ',')) AS digest FROM ep",
+    "decode_pieces": _with(*PIECES, dec("dd", "ep", "doc_id", "ids", "pv")).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM dd",
     "layout_vocab": _with(NORM_DOCS, CHARVOCAB) + "SELECT id, piece, score, kind FROM charvocab",
     "tokenizer_info": _with(NORM_DOCS, CHARVOCAB) + """SELECT count(*) AS vocab_size,
     CAST(coalesce(max(CASE WHEN kind = 'unk' THEN id END), -1) AS INTEGER) AS unk_id,
@@ -239,6 +298,9 @@ FROM documents d JOIN ed USING (doc_id) JOIN dd USING (doc_id)""",
     "lookup_piece": _with(NORM_DOCS, CHARVOCAB) + """SELECT c.piece, CAST(coalesce(v.id, 0) AS INTEGER) AS id
 FROM (SELECT DISTINCT unnest(string_split(text, '')) AS piece FROM benchmark) c
 LEFT JOIN charvocab v ON v.piece = c.piece AND v.kind NOT IN ('unk', 'bos', 'eos', 'pad') WHERE c.piece <> ''""",
+    "lookup_id": _with(NORM_DOCS, CHARVOCAB) + """SELECT vec_id, t.id, piece
+FROM (SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS id FROM embeddings) t
+LEFT JOIN charvocab v ON v.id = t.id""",
     "tokenize_text": _with(NORM_DOCS, CHARVOCAB, enc("ed", "documents", "doc_id", "text"))
     + "SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, md5(array_to_string(ids, ',')) AS digest FROM ed",
     "tokenize_triples": _with(NORM_DOCS, CHARVOCAB, TRIPLES,
@@ -324,6 +386,9 @@ FROM (SELECT prompt_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FR
     OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM c)""")
     + "SELECT run, min(CASE WHEN chk - last_imp >= 5 THEN epoch END) AS stop_epoch, count(*) AS n_checks FROM l GROUP BY run",
     "checkpoint_name": _with(RUNLOG, _BEST) + "SELECT run, epoch, printf('model-epoch=%d-val_loss=%.2f', epoch, val_loss) AS ckpt_name FROM best",
+    "checkpoint_path": _with(RUNLOG, _BEST) + "SELECT run, epoch, 'checkpoints-model/model-' || epoch || '.pt' AS ckpt_path FROM best",
     "run_stamp": "SELECT event_id, strftime(ts, '%Y-%m-%d-%I:%M:%S_%p') AS stamp FROM events",
 }
 ORACLE["flag_stream"] = ORACLE["flag_prompts"]
+ORACLE["normalise_wide"] = ORACLE["normalise_text"]
+ORACLE["sample_sentences_cut"] = ORACLE["sample_sentences"].replace("idx < 1000000", "idx < 2000")

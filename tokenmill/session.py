@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -87,14 +88,16 @@ def ship_code(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when it is unset (local tests) a private
-    folder is created and registered, so lineage cuts and scratch tables
-    always land on storage every executor can reach.
+    Read from the session. Only a local master, where driver and executors
+    are one process, gets a private folder when it is unset; on a cluster
+    that is an error, since executors could not reach the driver's disk.
     """
     base = spark.conf.get(_CKPT_KEY, None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_CKPT_KEY} to a folder that all executors of this cluster share")
         base = tempfile.mkdtemp(prefix="tokenmill-ckpt-")
         spark.conf.set(_CKPT_KEY, base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -107,17 +110,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tokenmill/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df, factor: int = 2):
-    """Round-robin rows over the cores before a Python-heavy stage when the
-    input arrived in fewer partitions than there are cores (e.g. one large
-    file). With normal input splits this is a no-op: no shuffle is added."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want * factor)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table this package wrote (any Hadoop filesystem)."""
     jvm = spark.sparkContext._jvm

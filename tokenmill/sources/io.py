@@ -128,16 +128,20 @@ def load_splits(frames: dict[str, DataFrame], split_col: str = "split") -> DataF
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split",
-                 mode: str = "overwrite") -> str:
-    """One output directory per split (``split=<name>``)."""
-    df.write.mode(mode).partitionBy(split_col).parquet(path)
+                 mode: str = "overwrite", format: str = "parquet") -> str:
+    """One output directory per split (``split=<name>``), as ``parquet``
+    or as ``csv`` (all columns as strings, quoted like A8)."""
+    if format == "csv":
+        df = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+    w = df.write.mode(mode).partitionBy(split_col)
+    w.options(**(_CSV_WRITE if format == "csv" else {})).format(format).save(path)
     return path
 
 
 def read_splits(spark: SparkSession, path: str, splits: list[str] | None = None,
-                split_col: str = "split") -> DataFrame:
+                split_col: str = "split", format: str = "parquet") -> DataFrame:
     """Read back a split set; a split filter prunes directories."""
-    df = spark.read.parquet(path)
+    df = spark.read.options(**(_CSV_READ if format == "csv" else {})).format(format).load(path)
     return df.filter(F.col(split_col).isin(splits)) if splits else df
 
 
