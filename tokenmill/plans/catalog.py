@@ -210,10 +210,10 @@ def q_epoch_metrics(spark, d):
 
 
 def q_epoch_metrics_weighted(spark, d):
-    """Weighted means of a loss, its perplexity and the loss scaled for four accumulation steps."""
+    """Weighted means of a loss, its perplexity and the loss scaled for three accumulation steps."""
     s = fx.runlog_steps(spark, d).withColumn("w", F.col("step") % 3 + 1)
     s = s.withColumn("val_perplexity", F.exp(F.col("val_loss") / 100)) \
-        .withColumn("train_loss_scaled", scoring.scaled_loss("train_loss", 4))
+        .withColumn("train_loss_scaled", scoring.scaled_loss("train_loss", 3))
     m = profile.epoch_metrics(s, ["val_loss", "val_perplexity", "train_loss_scaled"], weight="w")
     return m.select("run", "epoch", round6("val_loss").alias("val_loss"), round6("val_perplexity").alias("val_perplexity"),
                     round6("train_loss_scaled").alias("train_loss_scaled"), "n_steps")

@@ -229,7 +229,7 @@ FROM (SELECT range AS bin FROM range(100)) g CROSS JOIN mm LEFT JOIN c ON c.bin
 FROM events GROUP BY ALL""",
     "epoch_metrics_weighted": """SELECT user_id AS run, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch,
     round(sum(value * w) / sum(w), 6) AS val_loss, round(sum(exp(value / 100) * w) / sum(w), 6) AS val_perplexity,
-    round(sum(value / 4 * w) / sum(w), 6) AS train_loss_scaled, count(*) AS n_steps
+    round(sum(value / 3 * w) / sum(w), 6) AS train_loss_scaled, count(*) AS n_steps
 FROM (SELECT *, CAST(event_id % 3 + 1 AS DOUBLE) AS w FROM events) GROUP BY ALL""",
     "global_index": "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS idx FROM documents",
     "exact_split": _with(SPLITS) + "SELECT doc_id, split FROM splits",
