@@ -64,12 +64,15 @@ def repeated_chunks(rows: DataFrame, order: list[str], min_lines: int = MIN_LINE
             F.slice("_lines", F.col("_c.s") + 1, F.col("_c.e") - F.col("_c.s")), "\n").alias("_text")) \
         .withColumn("_fp", F.xxhash64("_text"))
     suspects = chunks.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_fp")
-    seen = chunks.join(suspects, "_fp", "left_semi")
+    # another key from here on: with the fingerprint itself, the planner would
+    # keep a hot chunk's rows in the join's one task for the aggregation too.
+    # So it aggregates before the shuffle, and both joins may be split
+    seen = chunks.join(suspects, "_fp", "left_semi").withColumn("_key", F.bitwise_not("_fp")).drop("_fp")
     # bytes decide: the text is the key, the first place stays
     place = F.struct(*order, "_row", "_no")
-    first = seen.groupBy("_fp", "_text").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")) \
+    first = seen.groupBy("_key", "_text").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")) \
         .filter("_n > 1").drop("_n")
-    return seen.join(first, ["_fp", "_text"]).filter(~place.eqNullSafe(F.col("_first"))) \
+    return seen.join(first, ["_key", "_text"]).filter(~place.eqNullSafe(F.col("_first"))) \
         .groupBy("_row").agg(F.collect_set("_no").alias("_drop"))
 
 
