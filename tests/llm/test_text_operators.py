@@ -224,6 +224,27 @@ def test_line_chunks_edges(docs, empty):
     assert line_chunks.drop_repeated_chunks(empty).isEmpty()
 
 
+def test_line_chunks_find_passages_in_any_place(spark):
+    """Passages of over 50 words, on one to three lines, before, between and behind other lines."""
+    rows, planted = [], set()
+    for size in (1, 2, 3):
+        common = [f"s{size}x{i}ing" for i in range(54)]
+        passage = [" ".join(common[i * 54 // size:(i + 1) * 54 // size]) for i in range(size)]
+        for before, behind in ((0, 0), (0, 2), (3, 0), (1, 1), (4, 5)):
+            i = len(rows)
+            own = [f"own line {k} of {i}" + " and longer" * (5 * (k % 2)) for k in range(before + behind)]
+            rows.append((i, "\n".join(own[:before] + passage + own[before:])))
+            if (before, behind) != (0, 0):
+                planted.add(i)
+                rows.append((i + 1, "\n".join(f"clean {k} of {i}" + " words" * (k * 7) for k in range(6))))
+    got = line_chunks.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed} == planted
+    texts = dict(rows)
+    for r in got:
+        common = [x for x in texts[r.doc_id].split("\n") if x not in r.text.split("\n")]
+        assert len(common) == r.n_lines_removed and all("ing" in x for x in common)
+
+
 # --- near-duplicates
 
 def brute_classes(rows, similarity=0.8):

@@ -1,12 +1,18 @@
 """Line dedup by content-defined chunks (operator 9, native).
 
 A text's lines are hashed; a rolling hash over the last ``span`` line hashes
-ends a chunk wherever it is 0 modulo ``spread``. Boundaries depend only on
-nearby lines, so they come back to the same places behind inserted or dropped
-lines. Chunks of at least ``min_lines`` lines that occur more than once in the
-corpus, the same document included, are removed except their first occurrence
-(smallest id, then position). Fingerprints find the suspects, with only
-16 bytes per chunk shuffled; the suspects' bytes decide.
+ends a chunk wherever it is 0 modulo ``spread``. A line of ``wide`` or more
+characters is a paragraph, several lines when printed, and a chunk of its own.
+Boundaries depend only on nearby lines, so they come back to the same places
+behind inserted or dropped lines. Chunks of at least ``min_lines`` lines or
+``wide`` characters that occur more than once in the corpus, the same document
+included, are removed except their first occurrence (smallest id, then
+position). Fingerprints find the suspects, with only 16 bytes per chunk
+shuffled; the suspects' bytes decide.
+
+So a repeated passage is found wherever it lies if one of its lines is wide, as
+in any passage of over 50 words on up to three lines of common prose. A passage
+of narrow lines is found if two of its boundaries lie two lines or more apart.
 
 Defined results: null texts count as empty and have no lines; lines are parted
 by newline alone, so empty lines count; repeated rows are different rows, the
@@ -24,8 +30,9 @@ from pyspark.sql import functions as F
 from tokenmill.llm.common import numbered, table, text_or_empty
 
 SPAN = 2          # lines in the rolling hash
-SPREAD = 4        # a line ends a chunk with probability 1 / SPREAD
-MIN_LINES = 2     # only multi-line chunks are removed
+SPREAD = 2        # a line ends a chunk with probability 1 / SPREAD
+MIN_LINES = 2     # only multi-line chunks are removed,
+WIDE = 72         # a line of this many characters counting as several
 
 # Fixed values of the rolling hash
 FACTOR = 1_000_003
@@ -36,32 +43,36 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def chunked(docs: DataFrame, text: str = "text", span: int = SPAN, spread: int = SPREAD) -> DataFrame:
+def chunked(docs: DataFrame, text: str = "text", span: int = SPAN, spread: int = SPREAD,
+            wide: int = WIDE) -> DataFrame:
     """Add ``_lines`` and ``_cuts``: the line numbers (from 0) at which chunks end, exclusive."""
     t = text_or_empty(text)
     df = docs.withColumn("_lines", F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "\n", -1))) \
-        .withColumn("_hash", F.transform("_lines", _line_hash))
+        .withColumn("_hash", F.transform("_lines", _line_hash)) \
+        .withColumn("_wide", F.transform("_lines", lambda line: F.length(line) >= wide))
 
     def ends(i: Column) -> Column:
         value = F.lit(0).cast("long")
         for k in range(span - 1, -1, -1):
             earlier = F.coalesce(F.try_element_at("_hash", F.when(i - k > 0, (i - k).cast("int"))), F.lit(0))
             value = (value * FACTOR + earlier) % MODULUS
-        return value % spread == 0
+        beside = F.coalesce(F.try_element_at("_wide", (i + 1).cast("int")), F.lit(False))
+        return F.try_element_at("_wide", i.cast("int")) | beside | (value % spread == 0)
 
     n = F.size("_lines")
     return df.withColumn("_cuts", F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ends(i) | (i == n)))).drop("_hash")
+        F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ends(i) | (i == n)))).drop("_hash", "_wide")
 
 
-def repeated_chunks(rows: DataFrame, order: list[str], min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_chunks(rows: DataFrame, order: list[str], min_lines: int = MIN_LINES, wide: int = WIDE) -> DataFrame:
     """``(_row, _drop)``: per row the numbers of its chunks to remove."""
     chunks = rows.select("_row", *order, "_lines", F.posexplode(F.arrays_zip(
         F.col("_cuts").alias("e"),
         F.concat(F.array(F.lit(0)), F.slice("_cuts", F.lit(1), F.greatest(F.size("_cuts") - 1, F.lit(0)))).alias("s"))
-    ).alias("_no", "_c")).filter(F.col("_c.e") - F.col("_c.s") >= min_lines) \
-        .select("_row", *order, "_no", F.array_join(
+    ).alias("_no", "_c")) \
+        .select("_row", *order, "_no", (F.col("_c.e") - F.col("_c.s")).alias("_size"), F.array_join(
             F.slice("_lines", F.col("_c.s") + 1, F.col("_c.e") - F.col("_c.s")), "\n").alias("_text")) \
+        .filter((F.col("_size") >= min_lines) | (F.length("_text") >= wide)).drop("_size") \
         .withColumn("_fp", F.xxhash64("_text"))
     suspects = chunks.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_fp")
     # another key from here on: with the fingerprint itself, the planner would
@@ -77,14 +88,14 @@ def repeated_chunks(rows: DataFrame, order: list[str], min_lines: int = MIN_LINE
 
 
 def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN,
-                         spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
+                         spread: int = SPREAD, min_lines: int = MIN_LINES, wide: int = WIDE) -> DataFrame:
     """``docs`` with repeated chunks gone from ``text``, and ``n_lines``,
     ``n_chunks``, ``n_removed`` (chunks) and ``n_lines_removed``."""
     placed = numbered(docs).withColumn("_order", F.col(doc_id))
-    rows = chunked(placed, text, span, spread)
-    drop = repeated_chunks(rows.select("_row", "_order", "_lines", "_cuts"), ["_order"], min_lines)
+    rows = chunked(placed, text, span, spread, wide)
+    drop = repeated_chunks(rows.select("_row", "_order", "_lines", "_cuts"), ["_order"], min_lines, wide)
     got = placed.join(drop, "_row", "left")
-    got = chunked(got, text, span, spread)
+    got = chunked(got, text, span, spread, wide)
     gone = F.coalesce("_drop", F.array().cast("array<int>"))
     kept = F.filter(F.transform("_cuts", lambda e, k: F.when(~F.array_contains(gone, k), F.array_join(F.slice(
         "_lines", F.when(k > 0, F.try_element_at("_cuts", k)).otherwise(0) + 1,

@@ -80,14 +80,14 @@ WITH l AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE s
      x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM l),
      h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM x),
      r AS (SELECT *, ((coalesce(lag(h) OVER w, 0) % {line_chunks.MODULUS}) * {line_chunks.FACTOR} + h)
-                     % {line_chunks.MODULUS} % {line_chunks.SPREAD} = 0 OR i = n AS cut
+                     % {line_chunks.MODULUS} % {line_chunks.SPREAD} = 0 OR i = n OR length(line) >= {line_chunks.WIDE}
+                     OR length(lead(line) OVER w) >= {line_chunks.WIDE} AS cut
            FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
      c AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM r),
      k AS (SELECT doc_id, no, count(*) AS m, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, no),
-     f AS (SELECT *, m >= {line_chunks.MIN_LINES}
-                     AND row_number() OVER (PARTITION BY body, m >= {line_chunks.MIN_LINES} ORDER BY doc_id, no) > 1 AS gone
-           FROM k),
+     o AS (SELECT *, m >= {line_chunks.MIN_LINES} OR length(body) >= {line_chunks.WIDE} AS multi FROM k),
+     f AS (SELECT *, multi AND row_number() OVER (PARTITION BY body, multi ORDER BY doc_id, no) > 1 AS gone FROM o),
      s AS (SELECT doc_id, sum(m) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed,
                   coalesce(sum(m) FILTER (gone), 0) AS n_lines_removed,
                   coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept
