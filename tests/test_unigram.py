@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tokenmill.operators import codec, unigram
@@ -25,3 +26,16 @@ def test_unigram_vocab_is_consistent_and_compresses(spark):
     assert back.filter(F.col("back") != F.col("text")).count() == 0
     n_tok = enc.select(F.sum(F.size("ids"))).first()[0]
     assert n_tok < sum(len(t) for _, t in rows) * 0.6
+
+
+def test_character_coverage_and_sentence_sample(spark):
+    rows = [(i, "abab baba " * 10 + ("qx" if i == 0 else "")) for i in range(20)]
+    norm = codec.normalise_text(spark.createDataFrame(rows, "doc_id long, text string"), "text", "norm")
+    full = {r.piece for r in unigram.train_vocab(norm, vocab_size=20, seed_size=50).collect()}
+    cut = {r.piece for r in unigram.train_vocab(norm, vocab_size=20, seed_size=50, character_coverage=0.99).collect()}
+    assert {"a", "b", "q", "x", "▁"} <= full
+    assert {"a", "b", "▁"} <= cut and not any(c in p for c in "qx" for p in cut - {"<pad>"})
+    few = unigram.train_vocab(norm, vocab_size=20, seed_size=50, input_sentence_size=0, sentence_keys=["doc_id"])
+    assert [r.kind for r in few.orderBy("id").collect()] == ["unk", "bos", "eos", "pad"]
+    with pytest.raises(ValueError):
+        unigram.train_vocab(norm, input_sentence_size=5)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.operators.order import global_index
+from tokenmill.operators.order import global_index, sample_lines
 from tokenmill.operators.vocab import SPECIALS, layout_vocab, seed_pieces, word_counts
 from tokenmill.session import cut_lineage, drop_path, scratch_path, ship_code
 
@@ -63,12 +63,17 @@ def _seg_logsumexp(vals: np.ndarray, seg_starts: np.ndarray) -> np.ndarray:
 
 
 class _Plan:
-    """Edge orderings for one bucket: by (end, dst) for the forward pass and
-    by (start desc, src) for the backward pass, with segment boundaries."""
+    """Edge orderings for one batch: by (end, dst) for the forward pass and
+    by (start desc, src) for the backward pass, with segment boundaries.
+
+    Edges come in the order of their words, so a stable sort by position
+    leaves each position's targets in order; positions that fit 16 bits are
+    sorted by radix."""
 
     def __init__(self, key_pos, key_flat, descending=False):
         pos = -key_pos if descending else key_pos
-        self.order = np.lexsort((key_flat, pos))
+        small = len(pos) and np.abs(pos).max() < 2 ** 15
+        self.order = np.argsort(pos.astype(np.int16) if small else pos, kind="stable")
         p = key_pos[self.order]
         f = key_flat[self.order]
         self.flat = f
@@ -271,9 +276,10 @@ def build_lattice(words: DataFrame, max_piece_len: int = 16, edges_per_bucket: i
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-int(bound) // edges_per_bucket))
     lat = lat.withColumn("bucket", F.pmod(F.xxhash64("wid"), F.lit(buckets)))
     # A written table (columnar re-reads); one small file per bucket
-    # partition, so every read partition holds whole words.
+    # partition, so every read partition holds whole words. Passes go position
+    # by position through a batch, so words of like length lie together.
     path = scratch_path(spark, "lattice")
-    lat.repartition(buckets, "bucket").write.parquet(path)
+    lat.repartition(buckets, "bucket").sortWithinPartitions("wlen", "wid").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -395,7 +401,8 @@ def _mstep(logp: np.ndarray, expected: np.ndarray, is_char: np.ndarray) -> np.nd
     c = np.where(is_char & (expected < 0.5), 0.5, expected)
     keep = alive & ((c >= 0.5) | is_char)
     out = np.full(len(logp), np.nan)
-    out[keep] = _digamma_np(np.maximum(c[keep], 1e-12)) - _digamma(float(c[keep].sum()))
+    if keep.any():   # an empty corpus has no pieces
+        out[keep] = _digamma_np(np.maximum(c[keep], 1e-12)) - _digamma(float(c[keep].sum()))
     return out
 
 
@@ -418,11 +425,32 @@ def _prune(logp: np.ndarray, vfreq: np.ndarray, alt: np.ndarray, place: np.ndarr
     return out
 
 
+def _rare_characters(seeds: pd.DataFrame, coverage: float) -> set[str]:
+    """Characters beyond the most frequent ones that make up ``coverage`` of
+    the text; a tie goes to the smaller code point."""
+    chars = seeds[seeds["n_chars"] == 1].sort_values(["score", "piece"], ascending=[False, True])
+    before = chars["score"].cumsum() - chars["score"]
+    return set(chars["piece"][before >= coverage * chars["score"].sum()])
+
+
 def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
                 seed_size: int = 1_000_000, max_piece_len: int = 16, em_iters: int = 2,
-                shrink: float = 0.75, max_rounds: int = 64, with_pad: bool = True) -> DataFrame:
-    """Train a unigram vocabulary of ``vocab_size`` ids (specials included)."""
+                shrink: float = 0.75, max_rounds: int = 64, with_pad: bool = True,
+                character_coverage: float = 1.0, input_sentence_size: int | None = None,
+                sentence_keys: list[str] | None = None) -> DataFrame:
+    """Train a unigram vocabulary of ``vocab_size`` ids (specials included).
+
+    ``character_coverage`` below 1 keeps only the most frequent characters
+    that make up this share of the text; pieces with another character are no
+    candidates and words with one are not learned from.
+    ``input_sentence_size`` learns from that many rows of ``norm_df``, drawn in
+    the seeded order of their ``sentence_keys`` (off by default: all rows).
+    """
     spark = norm_df.sparkSession
+    if input_sentence_size is not None:
+        if not sentence_keys:
+            raise ValueError("input_sentence_size needs sentence_keys")
+        norm_df = sample_lines(norm_df, sentence_keys, input_sentence_size)
     words = cut_lineage(word_counts(norm_df, norm).withColumn("wid", F.monotonically_increasing_id()))
     seeds = cut_lineage(global_index(seed_pieces(words, top_k=seed_size, max_piece_len=max_piece_len),
                                      ["piece"], seed=0, idx_col="pid"))
@@ -437,6 +465,11 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
     total = float(score.sum()) or 1.0
     with np.errstate(divide="ignore"):
         logp = np.where(score > 0, np.log(score) - math.log(total), np.nan)
+    rare = _rare_characters(seed_pdf, character_coverage)
+    if rare:
+        out = seed_pdf["piece"].map(lambda piece: not rare.isdisjoint(piece)).to_numpy()
+        logp[out] = np.nan
+        is_char &= ~out
     n_special = len(SPECIALS) if with_pad else len(SPECIALS) - 1
     goal = max(vocab_size - n_special, int(is_char.sum()))
     bc_index = spark.sparkContext.broadcast(_seed_index(seed_pdf))

@@ -308,6 +308,20 @@ def q_train_vocab(spark, d):
     return v.select("id", "piece", round6("score").alias("score"), "kind")
 
 
+def q_train_vocab_report(spark, d, vocab_size: int = 1000):
+    """What any trained vocabulary must fulfil: dense ids, no more than asked
+    for, and every character of the corpus a piece."""
+    from tokenmill.operators import unigram
+    n = fx.norm(spark, d)
+    v = unigram.train_vocab(n, vocab_size=vocab_size)
+    missing = vocab.char_pieces(n).join(v.filter("kind = 'normal'"), "piece", "left_anti")
+    size = F.count(F.lit(1))
+    return v.agg(((F.min("id") == 0) & (F.max("id") == size - 1) & (F.count_distinct("id") == size)).alias("dense"),
+                 (size <= vocab_size).alias("fits"),
+                 F.count(F.when((F.col("kind") == "normal") & (F.length("piece") == 1), 1)).alias("n_chars"),
+                 missing.select(F.count(F.lit(1))).scalar().alias("n_missing"))
+
+
 def q_layout_vocab(spark, d):
     return fx.charvocab(spark, d)
 

@@ -267,6 +267,8 @@ UNION ALL (SELECT * FROM agg2 WHERE n_chars > 1 ORDER BY score DESC, piece LIMIT
     + "SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, md5(array_to_string(ids, ',')) AS digest FROM ep",
     "decode_pieces": _with(*PIECES, dec("dd", "ep", "doc_id", "ids", "pv")).replace("WITH ", "WITH RECURSIVE ", 1)
     + "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM dd",
+    "train_vocab_report": _with(NORM_DOCS, CHARVOCAB) + """SELECT true AS dense, true AS fits,
+    count(*) FILTER (kind = 'normal') AS n_chars, 0::BIGINT AS n_missing FROM charvocab""",
     "layout_vocab": _with(NORM_DOCS, CHARVOCAB) + "SELECT id, piece, score, kind FROM charvocab",
     "tokenizer_info": _with(NORM_DOCS, CHARVOCAB) + """SELECT count(*) AS vocab_size,
     CAST(coalesce(max(CASE WHEN kind = 'unk' THEN id END), -1) AS INTEGER) AS unk_id,
