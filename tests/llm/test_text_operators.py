@@ -245,6 +245,24 @@ def test_line_chunks_find_passages_in_any_place(spark):
         assert len(common) == r.n_lines_removed and all("ing" in x for x in common)
 
 
+def test_line_stage_removes_narrow_copies_and_passages_whole(spark):
+    """The stage leaves no line of exact copies, and of passages of 5 to 8 narrow lines inside other text."""
+    rows = []
+    for k in range(40):
+        whole = [f"narrow line {j} of text {k}" for j in range(3 + k % 9)]
+        passage = [f"passage {k} has line {j}" for j in range(5 + k % 4)]
+        own = [[f"own {j} of {k} in {side}" for j in range(6)] for side in range(2)]
+        rows += [(4 * k, "\n".join(whole)), (4 * k + 1, "\n".join(whole)),
+                 (4 * k + 2, "\n".join(own[0][:k % 4] + passage + own[0][k % 4:])),
+                 (4 * k + 3, "\n".join(own[1][:3] + passage + own[1][3:]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_chunks.stage(spark, d, "").collect()}
+    for k in range(40):
+        first, copy, a, b = (dict(rows)[4 * k + j] for j in range(4))
+        assert got[4 * k] == first and 4 * k + 1 not in got and got[4 * k + 2] == a
+        assert got[4 * k + 3].split("\n") == [x for x in b.split("\n") if x.startswith("own")]
+
+
 # --- near-duplicates
 
 def brute_classes(rows, similarity=0.8):

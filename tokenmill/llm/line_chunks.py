@@ -13,6 +13,9 @@ shuffled; the suspects' bytes decide.
 So a repeated passage is found wherever it lies if one of its lines is wide, as
 in any passage of over 50 words on up to three lines of common prose. A passage
 of narrow lines is found if two of its boundaries lie two lines or more apart.
+The pipeline's stage (``drop_repeated_lines``) also removes every two neighbouring
+lines that stand earlier in the corpus, so copies and passages of two or more
+lines go whole; the registered query keeps the chunk rule that its SQL defines.
 
 Defined results: null texts count as empty and have no lines; lines are parted
 by newline alone, so empty lines count; repeated rows are different rows, the
@@ -33,6 +36,7 @@ SPAN = 2          # lines in the rolling hash
 SPREAD = 2        # a line ends a chunk with probability 1 / SPREAD
 MIN_LINES = 2     # only multi-line chunks are removed,
 WIDE = 72         # a line of this many characters counting as several
+WORDED = r"(?U)\S"  # a text or line that is more than white space
 
 # Fixed values of the rolling hash
 FACTOR = 1_000_003
@@ -109,6 +113,49 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     }).drop("_row", "_order", "_drop", "_lines", "_cuts")
 
 
+def repeated_pairs(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``(_row, _pairs)``: per row the numbers of the lines in pairs of
+    neighbouring lines that stand earlier too; blank lines between them go along."""
+    words = F.filter(F.transform("_lines", lambda line, i: F.struct(i.alias("i"), line.alias("line"))),
+                     lambda x: x["line"].rlike(WORDED))
+    n = F.greatest(F.size("_words") - 1, F.lit(0))
+    pairs = rows.withColumn("_words", words).select("_row", *order, F.explode(F.zip_with(
+        F.slice("_words", F.lit(1), n), F.slice("_words", F.lit(2), n), lambda a, b: F.struct(
+            a["i"].alias("a"), b["i"].alias("b"), F.concat(a["line"], F.lit("\n"), b["line"]).alias("t")))).alias("_p")) \
+        .select("_row", *order, F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b"), F.xxhash64("_p.t").alias("_fp"),
+                F.unhex(F.md5("_p.t")).alias("_key"))
+    suspects = pairs.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_fp")
+    seen = pairs.join(suspects, "_fp", "left_semi").drop("_fp")
+    # 128 bits decide, so that no pair's text is shuffled
+    place = F.struct(*order, "_row", "_a")
+    first = seen.groupBy("_key").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")) \
+        .filter("_n > 1").drop("_n")
+    return seen.join(first, "_key").filter(~place.eqNullSafe(F.col("_first"))) \
+        .groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("_a", "_b")))).alias("_pairs"))
+
+
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN,
+                        spread: int = SPREAD, min_lines: int = MIN_LINES, wide: int = WIDE) -> DataFrame:
+    """``docs`` without repeated chunks and without repeated pairs of lines, and
+    ``n_lines``, ``n_lines_removed``. Where a passage or a copy starts and ends
+    doesn't matter: lines that chunk boundaries part from it are in its pairs."""
+    placed = numbered(docs).withColumn("_order", F.col(doc_id))
+    rows = chunked(placed, text, span, spread, wide)
+    drop = repeated_chunks(rows.select("_row", "_order", "_lines", "_cuts"), ["_order"], min_lines, wide)
+    pairs = repeated_pairs(rows.select("_row", "_order", "_lines"), ["_order"])
+    got = chunked(placed.join(drop, "_row", "left").join(pairs, "_row", "left"), text, span, spread, wide)
+    none = F.array().cast("array<int>")
+    in_chunks = F.flatten(F.transform(F.coalesce("_drop", none), lambda k: F.sequence(
+        F.when(k > 0, F.try_element_at("_cuts", k)).otherwise(0), F.try_element_at("_cuts", k + 1) - 1)))
+    got = got.withColumn("_gone", F.array_union(in_chunks, F.coalesce("_pairs", none)))
+    every = F.when(F.size("_lines") == 0, none).otherwise(F.sequence(F.lit(0), F.greatest(F.size("_lines") - 1, F.lit(0))))
+    kept = F.transform(F.array_except(every, "_gone"), lambda i: F.try_element_at("_lines", i + 1))
+    return got.withColumns({
+        text: F.when(F.size("_gone") == 0, F.col(text)).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.size("_lines").cast("long"), "n_lines_removed": F.size("_gone").cast("long"),
+    }).drop("_row", "_order", "_drop", "_pairs", "_gone", "_lines", "_cuts")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated_chunks(docs).select(
@@ -116,13 +163,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks go from the texts; a document left without text goes too."""
+    """Repeated chunks and pairs of lines go from the texts; a document left without text goes too."""
     names = docs.columns
     # the generated column keeps the filter above the texts' projection: pushed
     # below it, the optimiser would write the line hashes into each use of them
-    got = drop_repeated_chunks(docs).withColumn("_at", F.monotonically_increasing_id())
-    kept = got.filter(((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)) & (F.col("_at") >= 0))
+    got = drop_repeated_lines(docs).withColumn("_at", F.monotonically_increasing_id())
+    kept = got.filter(((F.col("n_lines_removed") == 0) | (F.length(F.trim("text")) > 0)) & (F.col("_at") >= 0))
     if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars"))
+        kept = kept.withColumn("n_chars", F.when(F.col("n_lines_removed") == 0, F.col("n_chars"))
                                .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return kept.select(*names)
