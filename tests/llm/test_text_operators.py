@@ -263,6 +263,19 @@ def test_line_stage_removes_narrow_copies_and_passages_whole(spark):
         assert got[4 * k + 3].split("\n") == [x for x in b.split("\n") if x.startswith("own")]
 
 
+def test_line_stage_drops_copies_with_blank_lines(spark):
+    """Copies whose paragraphs are parted by headings and blank lines leave no empty documents behind."""
+    paragraphs = [f"paragraph {j} " + f"of many words {j} " * 8 for j in range(4)]
+    headed = [x for j, p in enumerate(paragraphs) for x in (f"Heading {j}", "", p.replace("many", "several"), "\t", "")]
+    texts = ["\n\n".join(paragraphs), "\n" + "\n\n\n".join(paragraphs) + "\n\n", "\n".join(headed), "\n".join(headed),
+             "\n".join([*headed, "\u00a0", "one more line", "another"]), " \n\u3000"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_chunks.stage(spark, d, "").collect()}
+    assert set(got) == {0, 2, 4, 5} and all(got[i].split() == texts[i].split() for i in (0, 2))
+    assert got[4].split() == "one more line another".split()
+    assert got[5] == texts[5]     # nothing was removed from it
+
+
 # --- near-duplicates
 
 def brute_classes(rows, similarity=0.8):

@@ -168,7 +168,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the generated column keeps the filter above the texts' projection: pushed
     # below it, the optimiser would write the line hashes into each use of them
     got = drop_repeated_lines(docs).withColumn("_at", F.monotonically_increasing_id())
-    kept = got.filter(((F.col("n_lines_removed") == 0) | (F.length(F.trim("text")) > 0)) & (F.col("_at") >= 0))
+    kept = got.filter(((F.col("n_lines_removed") == 0) | F.col("text").rlike(WORDED)) & (F.col("_at") >= 0))
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.when(F.col("n_lines_removed") == 0, F.col("n_chars"))
                                .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
