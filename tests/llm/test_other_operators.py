@@ -94,6 +94,25 @@ def test_pages_without_mark_up(spark):
     assert sum(len(b[k] - a[k]) for k in a) <= 0.02 * sum(map(len, a.values()))
 
 
+def test_pages_whose_content_bears_names_of_parts(spark):
+    """A class or id of a wrapper, of the content itself or of a section in it loses no content."""
+    body, text = "<h1>T</h1><p>" + "word " * 20 + "</p>", "T\n" + ("word " * 20).strip()
+    pages = [(f"<div class='{c}'><div><{e}>{body}</{e}></div></div>", text) for e in ("main", "article")
+             for c in ("layout has-sidebar", "no-comments", "sidebar", "modal social", "withSidebar", "page-layout nav-open")]
+    pages += [(f"<{e} {a}>{body}</{e}>", text) for e in ("main", "article")
+              for a in ("class='post social'", "id=comments", "class='hentry tag-legal has-ads'", "class='comment'")]
+    pages += [(f"<article>{body}<section id=discussion><p>more</p></section><h2 id='related-work'>Related</h2><p>end</p></article>",
+               text + "\nmore\nRelated\nend"),
+              (f"<article>{body}</article><div id=comments><article class=comment><p>nice</p></article></div>", text),
+              (f"<div class=sidebar><article><p>teaser</p></article></div><div class=sidebar><main>{body}"
+               "<section id=comments><article><p>nice</p></article></section></main></div>", text),
+              (f"<div class='sidebar' hidden><article>{body}</article></div>", ""),
+              ("<div class='legal'><p>" + "word " * 20 + "</p></div><div class=related><ul><li>x<li>y</ul></div>", text[2:])]
+    d = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(pages)], "page_id long, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(d, ({}, {}, (1.0, -0.5))).collect()}
+    assert got == {k: t for k, (_, t) in enumerate(pages)}
+
+
 def test_pages_tables(spark):
     import html
     for r in html_text.query(spark, SF_SMALL).join(spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "html"),

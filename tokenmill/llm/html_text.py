@@ -8,7 +8,10 @@ region of the highest total. The region's blocks are the text; if the region
 lies in an ``article`` or ``main`` element, the blocks of that whole element are.
 Elements that are never content (menus, headers and footers of the page,
 sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden
-parts) are left out by their name, class, id or role.
+parts) are left out by their name, class, id or role. A class or id leaves out
+no main element and nothing around it, and an article or what is around it only
+on pages with other content. Names that content has too ("discussion",
+"related") cost points in the scan instead.
 
 The weights come from a sample of at most ``sample`` labelled pages (the
 documented bound of the fit; its counts are summed by Spark and are as many as
@@ -45,15 +48,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
 NEVER = RAW | frozenset("head nav footer aside form button dialog menu label input datalist".split())
 CONTENT = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH_ENDS = BLOCKS - {"body", "html"}
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
-# words in a class or id that name a part which is never content
+# words of a class or id that name a part which is never content
 PARTS = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|"
+    r"(?:^|[-_])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|"
     r"menus?|nav(?:bar|igation)?|breadcrumbs?|sidebars?|side-?bar|aside|footers?|site-?header|page-?header|masthead|topbar|"
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|"
-    r"comments?|disqus|replies|responses|discussion|share|sharing|social|related|recommended|recommendations|"
-    r"login|search(?:box|form|bar)?|pagination|pager|toolbar|widgets?|skip-?link|copyright|legal)(?=$|[-_ ])", re.I)
+    r"comments?|disqus|replies|(?:share|sharing|social)[-_](?:share|sharing|links?|icons?|media|bar|buttons?|tools?)|"
+    r"(?:related|recommended)[-_](?:posts?|articles?|stories|links?|content|news|items?)|"
+    r"login|search(?:box|form|bar)?|pagination|pager|toolbar|widgets?|skip-?link|copyright)(?=$|[-_])", re.I)
+# words that also name content: they cost points in the scan, and cut nothing
+LOOSE = re.compile(r"(?:^|[-_])(?:responses|discussion|share|sharing|social|related|recommended|recommendations|legal)(?=$|[-_])",
+                   re.I)
+# names that tell of a part elsewhere, or of a state
+STATES = re.compile(r"(?:has|no|not|non|with|without|is|category|tag|type|format|status)[-_]|"
+                    r".*[-_](?:open|closed|enabled|disabled|active|visible|layout)$", re.I)
+# what an article may call itself when it is no content
+ASIDES = frozenset("comment comments comment-body reply ad advert advertisement sponsored".split())
+LOOSE_COST = 3 * TAG_COST
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
                     re.S)
@@ -61,37 +75,53 @@ _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_part(attrs: str) -> bool:
-    """Whether the attributes say that an element is never content."""
+def _is_part(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether the attributes say that an element is never content, whether
+    its class or id does, and whether they only hint at it."""
+    sure = named = loose = False
     for m in _ATTR.finditer(attrs):
-        name = m[1].lower()
+        key = m[1].lower()
         if attrs[m.start() - 1:m.start()] not in ("", " ", "\n", "\t", "\r", "/", '"', "'"):
             continue
         value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and PARTS.search(_CAMEL.sub("-", value)):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if key in ("class", "id"):
+            for x in _CAMEL.sub("-", value).split():
+                if name in CONTENT:
+                    named |= name == "article" and x.lower() in ASIDES
+                elif not STATES.match(x) and not (key == "id" and name in HEADINGS):   # a heading's id is its anchor
+                    named |= bool(PARTS.search(x))
+                    loose |= bool(LOOSE.search(x))
+        sure |= key == "role" and value.lower() in ROLES
+        sure |= key == "hidden" or key == "aria-hidden" and value.lower() == "true"
+        sure |= key == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+    return sure, named, loose and not named
 
 
 class Page:
     """Tokens of one page: ``(kind, feature, words, block, content)`` with
     block the number of the text block (words) and content the number of the
-    enclosing article or main element, or -1."""
+    enclosing article or main element, or -1.
+
+    A part that only its class or id names is no part if a main element opens
+    in it, or, on a page without other content, an article."""
 
     def __init__(self, page: str):
+        self._reset(False)
+        self._read(page)
+        if not self.contents and self._missed:
+            self._reset(True)
+            self._read(page)
+
+    def _reset(self, rescue: bool) -> None:
+        self._rescue = rescue            # articles open in parts that only a class or id names
+        self._missed = False             # there was one
         self.tokens: list[tuple[str, str, int, int, int]] = []
         self.blocks: list[list[str]] = [[]]
         self.homes: list[int] = [-1]     # content element of each block
         self.contents = 0
-        self._stack: list[tuple[str, bool, int]] = []   # name, part that is left out, content element
+        # name, part that is left out, content element, left out by class or id alone, hint at a part
+        self._stack: list[tuple[str, bool, int, bool, bool]] = []
         self._out = 0
-        self._read(page)
 
     def _home(self) -> int:
         return self._stack[-1][2] if self._stack else -1
@@ -104,8 +134,10 @@ class Page:
             self.homes[-1] = self._home()
 
     def _close_to(self, depth: int) -> None:
-        for _, part, _ in self._stack[depth:]:
+        for _, part, home, _, loose in self._stack[depth:]:
             self._out -= part
+            if loose and not self._out:
+                self.tokens.append(("loose", "/", 1, -1, home))
         del self._stack[depth:]
 
     def _open(self, name: str, attrs: str) -> None:
@@ -120,26 +152,38 @@ class Page:
                     break
         if name in CONTENT:
             # a menu or header left open ends where the content starts
-            for k, (n, part, _) in enumerate(self._stack):
+            for k, (n, part, *_) in enumerate(self._stack):
                 if part and n in ("head", "nav", "header", "menu", "title"):
                     self._close_to(k)
                     break
         home = self._home()
-        part = _is_part(attrs) if attrs else False
+        sure, named, loose = _is_part(name, attrs) if attrs else (False, False, False)
+        if name in CONTENT and home < 0 and not sure and (named or self._out) \
+                and all(soft for _, part, _, soft, _ in self._stack if part):
+            if name == "main" or self._rescue:
+                self._stack = [(n, part and not soft, h, False, lo) for n, part, h, soft, lo in self._stack]
+                self._out, named = 0, False
+            else:
+                self._missed = True
+        part = sure or named
         if name in CONTENT and not self._out and not part and home < 0:
             home = self.contents
             self.contents += 1
         if name in NEVER or name == "header" and home < 0:
-            part = True
+            part = sure = True
         if name in ("html", "body") or name in CONTENT and home >= 0 and self._home() < 0:
-            part = False
+            part = loose = False
+        loose = loose and not part and home < 0
+        if loose and not self._out:
+            self.tokens.append(("loose", name, 1, -1, home))
+        entry = (name, part, home, part and not sure, loose)
         if block and not self._out:
             if name not in VOID:
-                self._stack.append((name, part, home))
+                self._stack.append(entry)
                 self._out += part
             self._cut()
         elif name not in VOID:
-            self._stack.append((name, part, home))
+            self._stack.append(entry)
             self._out += part
         if self._out <= part:
             self.tokens.append(("tag", name, 1, -1, home))
@@ -204,7 +248,10 @@ def _best_region(tokens, words, tags, other) -> tuple[float, int, int]:
     best = total = 0.0
     a = b = start = 0
     for k, (kind, feature, n, _, _) in enumerate(tokens):
-        total += words.get(feature, other[0]) * n if kind == "word" else tags.get(feature, other[1])
+        if kind == "loose":
+            total -= LOOSE_COST
+        else:
+            total += words.get(feature, other[0]) * n if kind == "word" else tags.get(feature, other[1])
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
@@ -219,6 +266,8 @@ def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = Page(page.as_py() or "")
             if p.contents:
                 for kind, feature, n, _, home in p.tokens:
+                    if kind == "loose":
+                        continue
                     seen[kind, feature if feature.lstrip("/") in BLOCKS or feature == "a" else "other", home >= 0] += n
         rows = [(k, f, inside, n) for (k, f, inside), n in sorted(seen.items())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
