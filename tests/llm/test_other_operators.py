@@ -113,6 +113,17 @@ def test_pages_whose_content_bears_names_of_parts(spark):
     assert got == {k: t for k, (_, t) in enumerate(pages)}
 
 
+def test_pages_score_inline_tags_by_the_learned_weight(spark):
+    """Inline tags count as one kind of tag, in the fit and in the scan; links are a kind of their own."""
+    article = "<article><p>one <b>two</b> <a href=x>three</a></p></article>"
+    pages = spark.createDataFrame([(0, article + "<p>" + "<i>x</i> " * 9 + "</p>")], "page_id long, html string")
+    words, tags, _ = html_text.learn_weights(pages)
+    assert {"other", "a", "/a"} <= set(tags) and not {"b", "i"} & set(tags)
+    page = html_text.Page("<p>" + "word " * 5 + "</p><p><b><i><span>x</span></i></b> " + "word " * 5 + "</p>")
+    cheap, dear = (page.text({}, {"other": w}, (1.0, -0.5)).split("\n") for w in (-0.1, -6.0))
+    assert len(cheap) == 2 and len(dear) == 1
+
+
 def test_pages_tables(spark):
     import html
     for r in html_text.query(spark, SF_SMALL).join(spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "html"),

@@ -243,6 +243,11 @@ class Page:
         return "\n".join(x for x in lines if x)
 
 
+def _feature(name: str) -> str:
+    """The name under which a kind of element is counted and scored."""
+    return name if name.lstrip("/") in BLOCKS or name in ("a", "/a") else "other"
+
+
 def _best_region(tokens, words, tags, other) -> tuple[float, int, int]:
     """Highest total and the range of tokens that has it (the first, shortest one)."""
     best = total = 0.0
@@ -251,7 +256,7 @@ def _best_region(tokens, words, tags, other) -> tuple[float, int, int]:
         if kind == "loose":
             total -= LOOSE_COST
         else:
-            total += words.get(feature, other[0]) * n if kind == "word" else tags.get(feature, other[1])
+            total += words.get(_feature(feature), other[0]) * n if kind == "word" else tags.get(_feature(feature), other[1])
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
@@ -268,7 +273,7 @@ def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for kind, feature, n, _, home in p.tokens:
                     if kind == "loose":
                         continue
-                    seen[kind, feature if feature.lstrip("/") in BLOCKS or feature == "a" else "other", home >= 0] += n
+                    seen[kind, _feature(feature), home >= 0] += n
         rows = [(k, f, inside, n) for (k, f, inside), n in sorted(seen.items())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
             (pa.string(), pa.string(), pa.bool_(), pa.int64()))], ["kind", "feature", "inside", "n"])
