@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tokenmill.llm import (
+    best_fit,
     chat_format,
     decontaminate,
     embedding_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_line_chunks": line_chunks.query,
     "op10_html_text": html_text.query,
+    "op13_best_fit": best_fit.query,
 }
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
