@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tokenmill.llm import (
+    ball_tree,
     best_fit,
     chat_format,
     decontaminate,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_line_chunks": line_chunks.query,
     "op10_html_text": html_text.query,
+    "op11_ball_tree": ball_tree.query,
     "op13_best_fit": best_fit.query,
 }
 
@@ -100,7 +102,23 @@ SELECT l.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_chunks, 0):
 FROM l LEFT JOIN s USING (doc_id)
 """
 
+_BALL_TREE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+     b AS (SELECT DISTINCT item_id, unnest({_WORDS.format("coalesce(text, '')")}) AS t FROM benchmark),
+     dn AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+     s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM dn),
+     tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) SEMI JOIN b USING (t) GROUP BY r, t),
+     wt AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM tf CROSS JOIN s GROUP BY t, docs),
+     x AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))) AS x
+           FROM tf JOIN dn USING (r) JOIN wt USING (t) CROSS JOIN s),
+     sc AS (SELECT item_id, r, doc_id, sum(x)::BIGINT AS score FROM b JOIN x USING (t) GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM sc WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLE = {
+    "op11_ball_tree": _BALL_TREE,
     "op3_decontaminate": _DECONTAMINATE,
     "op7_secrets": _SECRETS,
     "op9_line_chunks": _LINE_CHUNKS,
