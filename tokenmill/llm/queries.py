@@ -15,6 +15,7 @@ from tokenmill.llm import (
     packing,
     secrets,
     suffix_dedup,
+    whitening,
 )
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_line_chunks": line_chunks.query,
     "op10_html_text": html_text.query,
     "op11_ball_tree": ball_tree.query,
+    "op12_whitening": whitening.query,
     "op13_best_fit": best_fit.query,
 }
 
