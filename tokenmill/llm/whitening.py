@@ -71,25 +71,31 @@ def secular_roots(d: np.ndarray, z2: np.ndarray, rho: float) -> tuple[np.ndarray
     left, upper = np.where(right, -width, 0.0), np.where(right, 0.0, width)   # the poles around the root
     below = np.tri(n)
     at = (low + high) / 2
+    todo = np.arange(n)
+    z2 = rho * z2
     with np.errstate(all="ignore"):
         for _ in range(100):
-            delta = gap - at[:, None]
-            part = (rho * z2) / delta
+            t = at[todo]
+            delta = gap[todo] - t[:, None]
+            part = z2 / delta
             f = 1 + part.sum(1)
             slopes = part / delta
-            to_left = (slopes * below).sum(1)
+            to_left = (slopes * below[todo]).sum(1)
             slope = slopes.sum(1)
-            low, high = np.where(f < 0, at, low), np.where(f < 0, high, at)
-            d1, d2 = left - at, upper - at
+            lo, hi = np.where(f < 0, t, low[todo]), np.where(f < 0, high[todo], t)
+            d1, d2 = left[todo] - t, upper[todo] - t
             c = f - d1 * to_left - d2 * (slope - to_left)
             a = (d1 + d2) * f - d1 * d2 * slope
             b = d1 * d2 * f
             root = np.sqrt(np.maximum(a * a - 4 * b * c, 0))
-            after = at + np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
-            after = np.where((after > low) & (after < high), after, (low + high) / 2)
-            done = (np.abs(after - at) <= _ROOT * np.abs(after)) | (f == 0)
-            at = np.where(f == 0, at, after)
-            if done.all():
+            after = t + np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
+            after = np.where((after > lo) & (after < hi), after, (lo + hi) / 2)
+            # as near as f can tell: its terms cancel
+            exact = np.abs(f) <= _EPS * n * (1 + np.abs(part).sum(1))
+            at[todo] = np.where(exact, t, after)
+            low[todo], high[todo] = lo, hi
+            todo = todo[~exact & (np.abs(after - t) > _ROOT * np.abs(after))]
+            if not len(todo):
                 break
     return near, at
 
