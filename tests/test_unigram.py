@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +42,96 @@ def test_character_coverage_and_sentence_sample(spark):
     assert [r.kind for r in few.orderBy("id").collect()] == ["unk", "bos", "eos", "pad"]
     with pytest.raises(ValueError):
         unigram.train_vocab(norm, input_sentence_size=5)
+
+
+def _forward_backward(word, scores):
+    """Expected counts of one word by listing all segmentations."""
+    paths = []
+
+    def walk(at, used, lp):
+        if at == len(word):
+            paths.append((lp, used))
+        for j in range(at + 1, len(word) + 1):
+            if word[at:j] in scores:
+                walk(j, [*used, word[at:j]], lp + scores[word[at:j]])
+
+    walk(0, [], 0.0)
+    total = sum(math.exp(lp) for lp, _ in paths)
+    out = {}
+    for lp, used in paths:
+        for p in used:
+            out[p] = out.get(p, 0.0) + math.exp(lp) / total
+    best = max(paths)[1] if paths else []
+    return out, best
+
+
+def test_expected_counts_match_all_segmentations(spark):
+    scores = {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.1, "bc": -3.3, "abc": -4.0, "ca": -4.2}
+    words = {"abcabc": 3, "cab": 2, "bbb": 1, "axb": 5, "a": 7}   # "axb" has no segmentation
+    w = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(words.items())], "wid long, word string, freq long")
+    v = spark.createDataFrame([(10 * i, p, s) for i, (p, s) in enumerate(scores.items())], "pid long, piece string, logp double")
+    lattice = unigram.build_lattice(w, v, max_piece_len=3)
+    got = {r.piece: (r.expected, r.vfreq) for r in unigram.expected_counts(lattice, v, True).join(v, "pid").collect()}
+    want, vit = {}, {}
+    for t, n in words.items():
+        e, best = _forward_backward(t, scores)
+        for p, x in e.items():
+            want[p] = want.get(p, 0.0) + n * x
+        for p in best:
+            vit[p] = vit.get(p, 0.0) + n
+    assert set(got) == set(want)
+    assert all(got[p][0] == pytest.approx(x) and got[p][1] == vit.get(p, 0.0) for p, x in want.items())
+    lattice.drop()
+
+
+def test_long_words_in_segments(spark):
+    """Segments of any length give the counts of the unsplit word."""
+    rng = random.Random(3)
+    pieces = ["a", "b", "c", "ab", "bc", "cab", "abca", "aa", "bbbb"]
+    v = spark.createDataFrame([(i, p, -1.0 - rng.random() * len(p)) for i, p in enumerate(pieces)], "pid long, piece string, logp double")
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (700, 9, 64, 31, 1)] + ["ab" * 200, "abc" * 5 + "x" + "abc" * 20]
+    w = spark.createDataFrame([(i, t, 1 + i) for i, t in enumerate(texts)], "wid long, word string, freq long")
+    results = []
+    for segment in (4096, 16, 50):
+        lattice = unigram.build_lattice(w, v, max_piece_len=4, segment=segment)
+        assert (lattice.cut is not None) == (segment < 4096)
+        results.append({r.pid: (r.expected, r.vfreq) for r in unigram.expected_counts(lattice, v, True).collect()})
+        lattice.drop()
+    for other in results[1:]:
+        assert set(other) == set(results[0])
+        for pid, (e, f) in results[0].items():
+            assert other[pid][0] == pytest.approx(e, rel=1e-9)
+        # between best paths of equal score any may be counted
+        assert sum(f * len(pieces[p]) for p, (_, f) in other.items()) == sum(f * len(pieces[p]) for p, (_, f) in results[0].items())
+
+
+def test_one_very_long_word(spark):
+    """A word of 100,000 characters is many rows; its counts are those of its repeated part."""
+    v = spark.createDataFrame([(0, "a", -1.0), (1, "b", -1.5), (2, "ab", -1.2)], "pid long, piece string, logp double")
+    n = 50_000
+    w = spark.createDataFrame([(0, 1)], "wid long, freq long").select("wid", F.repeat(F.lit("ab"), n).alias("word"), "freq")
+    lattice = unigram.build_lattice(w, v, max_piece_len=2)
+    assert lattice.cut.rows.select(F.sum(F.length("size") / 4)).first()[0] > 20   # segments
+    got = {r.pid: (r.expected, r.vfreq) for r in unigram.expected_counts(lattice, v, True).collect()}
+    pair = math.exp(-1.2) / (math.exp(-1.2) + math.exp(-2.5))
+    assert got[2] == (pytest.approx(n * pair, rel=1e-6), n)
+    assert got[0][0] == pytest.approx(n * (1 - pair), rel=1e-6) and got[0][1] == 0.0
+    lattice.drop()
+
+
+def test_digamma(spark):
+    got = spark.createDataFrame([(x,) for x in (0.5, 1.0, 2.0, 10.0, 1e6)], "x double").select(unigram.digamma(F.col("x")).alias("d")).collect()
+    want = [-1.9635100260214235, -0.5772156649015329, 0.42278433509846713, 2.251752589066721, 13.815510057964274]
+    assert [r.d for r in got] == pytest.approx(want, abs=1e-10)
+
+
+@pytest.mark.parametrize("few", [5, 20_000])
+def test_best_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(unigram, "_FEW", few)
+    rng = random.Random(1)
+    rows = [(i, rng.choice([0.0, 1.0, 2.5, rng.random(), 1e300])) for i in range(300)] + [(1000 + i, 7.0) for i in range(200)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "pid long, key double").cache()
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for k in (0, 1, 40, 130, 300, 420, 500, 900):
+        assert {r.pid for r in unigram.best_rows(df, "key", k).collect()} == {r[0] for r in order[:k]}, k

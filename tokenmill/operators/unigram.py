@@ -1,57 +1,65 @@
 """unigram-LM vocabulary training (Kudo 2018) as an iterative Spark job.
 
-The loop runs on the driver; the work runs on executors:
-
-* the word-type table ``(word, freq)`` is computed once and checkpointed
-  to the shared folder (lineage never grows across rounds);
-* the lattice — every occurrence of a seed piece in every word type — is
-  built once: Spark hashes the substrings, one pass replaces the hashes by
-  piece ids, and the result is written to the shared folder;
-* each E-step is one partition-local ``mapInArrow`` pass over the buckets: a
-  vectorised (numpy) forward–backward over all words of the bucket, expected
-  counts summed per bucket, then one ``groupBy(piece)`` shuffle of at most
-  (pieces × buckets) rows;
-* whenever the live pieces have halved, both lattices are rewritten without
-  the dead edges (a partition-local map), so passes shrink with the vocabulary;
-* pruning needs, for every piece, its best split without itself: the same
-  lattice built over the seed pieces (minus each piece's own full edge)
-  gives all of them in one vectorised Viterbi pass per round;
-* the M-step and pruning touch only the piece table, whose size is bounded
-  by the seed size (checked before it is collected).
-
-Scores follow the variational M-step ``logp = ψ(c) − ψ(Σc)``; pieces with
-an expected count below 0.5 are dropped; after ``em_iters`` sub-iterations
-the pieces whose removal costs the least likelihood are pruned (75 % kept
-per round, single characters always kept) until 110 % of ``vocab_size`` is
-reached; the best-scoring pieces then fill the vocabulary exactly.
+The loop runs on the driver; pieces, scores, counts and lattices are tables:
+
+* **Lattice.** Every occurrence of a candidate piece in every word type is an
+  edge, found by a join on the piece's text, once. The edges of some thousand
+  words are packed into one row (binary columns, each a numpy array) of a
+  bucketed table, so no later pass sorts or shuffles them. Words of two
+  segments or more are cut into segments of ``SEGMENT`` positions, each with
+  the edges that start in it.
+* **State.** ``(pid, is_char, c, vfreq)``, rewritten by every E-step. The log
+  scores follow from ``c`` and its total (variational M-step,
+  ``ψ(c) − ψ(Σc)``) in a projection.
+* **E-step.** The scores that a bucket needs (its distinct pieces joined with
+  the state) meet the bucket in a cogroup; a vectorised numpy
+  forward–backward over the bucket's words gives its expected and Viterbi
+  counts, and one aggregation by piece sums them.
+* **Long words.** A segment maps the log-sums of the paths that enter it (at
+  its first ``max_piece_len`` positions, as pieces reach over the cut) to those
+  that leave it: a small matrix under (log-sum, +), and one under (max, +). A
+  word's matrices are composed in both directions, and every segment then runs
+  forward–backward on its own between the sums at its two ends.
+* **Pruning** needs each piece's best split without itself: the same lattice
+  over the pieces, without each piece's own edge. The cut is a distributed
+  threshold: a histogram of costs, refined until the k-th is isolated.
+* Whenever the live pieces have halved, the lattices are rewritten without the
+  dead edges, so passes shrink with the vocabulary.
+
+Pieces with an expected count below 0.5 are dropped; after ``em_iters``
+sub-iterations the pieces whose removal costs the least likelihood are pruned
+(75 % kept per round, single characters always kept) until 110 % of
+``vocab_size`` is reached; the best-scoring pieces then fill the vocabulary
+exactly. The driver holds totals and histograms, nothing that grows with the
+pieces or the text.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tokenmill.operators.order import global_index, sample_lines
+from tokenmill.operators.order import sample_lines
 from tokenmill.operators.vocab import SPECIALS, layout_vocab, seed_pieces, word_counts
 from tokenmill.session import cut_lineage, drop_path, scratch_path, ship_code
 
 _NEG = float("-inf")
-MAX_SEED_PIECES = 2_000_000
-
+#: Positions of a long word's segment; edges of a bucket (one cogroup); bins of a histogram; rows sorted at its end.
+SEGMENT = 4096
+BUCKET_EDGES = 1_000_000
+_BINS = 512
+_FEW = 20_000
 
-def _digamma(x: float) -> float:
-    r = 0.0
-    while x < 6.0:
-        r -= 1.0 / x
-        x += 1.0
-    f = 1.0 / (x * x)
-    return r + math.log(x) - 0.5 / x - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (1.0 / 240 - f / 132))))
 
+# --------------------------------------------------------------------------
+# numeric kernel of one bucket
+# --------------------------------------------------------------------------
 
 def _seg_logsumexp(vals: np.ndarray, seg_starts: np.ndarray) -> np.ndarray:
     m = np.maximum.reduceat(vals, seg_starts)
@@ -80,364 +88,510 @@ class _Plan:
         change = np.flatnonzero(np.diff(p)) + 1
         self.step_bounds = np.concatenate([[0], change, [len(p)]])
         self.seg = []
+        if not len(p):
+            return
         for a, b in zip(self.step_bounds[:-1], self.step_bounds[1:]):
             fs = f[a:b]
             starts = np.concatenate([[0], np.flatnonzero(np.diff(fs)) + 1])
             self.seg.append((a, b, starts, fs[starts]))
 
 
-def _forward_backward(widx, st, en, pid, wlen, freq, logp: np.ndarray, with_viterbi: bool):
-    """Vectorised lattice pass over every word of one bucket.
-
-    Edge arrays ``(widx, start, end, pid)`` and word arrays ``(wlen, freq)``.
-    Positions of all words are laid out in one flat array
-    (``offset[w] + pos``); edges are processed position by position as
-    sorted segment reductions.
-    """
-    pid = pid.astype(np.int64)
-    lp = logp[pid]
-    keep = ~np.isnan(lp)
-    if not keep.all():
-        widx, st, en, pid, lp = widx[keep], st[keep], en[keep], pid[keep], lp[keep]
-    if len(pid) == 0:
-        return None
-    wlen = wlen.astype(np.int64)
-    freq = freq.astype(np.float64)
-    offset = np.concatenate([[0], np.cumsum(wlen + 1)[:-1]])
-    st = st.astype(np.int64)
-    en = en.astype(np.int64)
-    src = offset[widx] + st
-    dst = offset[widx] + en
-    size = int(offset[-1] + wlen[-1] + 1)
-    last = offset + wlen
-
-    fwd = _Plan(en, dst)
-    alpha = np.full(size, _NEG)
-    alpha[offset] = 0.0
-    for a, b, starts, targets in fwd.seg:
-        sel = fwd.order[a:b]
-        alpha[targets] = _seg_logsumexp(alpha[src[sel]] + lp[sel], starts)
-    bwd = _Plan(st, src, descending=True)
-    beta = np.full(size, _NEG)
-    beta[last] = 0.0
-    for a, b, starts, targets in bwd.seg:
-        sel = bwd.order[a:b]
-        beta[targets] = _seg_logsumexp(lp[sel] + beta[dst[sel]], starts)
-    z = alpha[last]
-    ok = np.isfinite(z)
-    with np.errstate(invalid="ignore"):
-        post = np.exp(alpha[src] + lp + beta[dst] - z[widx]) * freq[widx]
-    post[~ok[widx] | ~np.isfinite(post)] = 0.0
-    pcode, pnames = pd.factorize(pid)
-    expected = np.bincount(pcode, weights=post, minlength=len(pnames))
-    ll = float((freq[ok] * z[ok]).sum())
-    vf = np.zeros(len(pnames))
-    if with_viterbi:
-        vit = np.full(size, _NEG)
-        vit[offset] = 0.0
-        for a, b, starts, targets in fwd.seg:
-            sel = fwd.order[a:b]
-            vit[targets] = np.maximum.reduceat(vit[src[sel]] + lp[sel], starts)
-        cand = vit[src] + lp
-        best = np.flatnonzero(cand == vit[dst])
-        bp = np.full(size, -1, dtype=np.int64)
-        bp[dst[best[::-1]]] = best[::-1]  # the first best edge per position
-        cur = last[ok].copy()
-        wf = freq[ok]
-        home = offset[ok]
-        counts = np.zeros(len(pnames))
+@dataclass
+class _Words:
+    """Edges of one bucket, word by word: local piece code, log score, places in one flat array of positions."""
+    widx: np.ndarray
+    st: np.ndarray
+    en: np.ndarray
+    code: np.ndarray
+    lp: np.ndarray
+    size: np.ndarray   # last position of each word
+    freq: np.ndarray
+
+    def __post_init__(self):
+        self.first = np.concatenate([[0], np.cumsum(self.size + 1)[:-1]]).astype(np.int64)
+        self.last = self.first + self.size
+        self.cells = int(self.last[-1] + 1) if len(self.size) else 0
+        self.src, self.dst = self.first[self.widx] + self.st, self.first[self.widx] + self.en
+        self.fwd = _Plan(self.en, self.dst)
+
+    def forward(self, best: bool = False) -> np.ndarray:
+        """Log-sum (or, with ``best``, the maximum) of the paths to each position."""
+        at = np.full(self.cells, _NEG)
+        at[self.first] = 0.0
+        join = np.maximum.reduceat if best else _seg_logsumexp
+        for a, b, starts, targets in self.fwd.seg:
+            sel = self.fwd.order[a:b]
+            at[targets] = join(at[self.src[sel]] + self.lp[sel], starts)
+        return at
+
+    def backward(self) -> np.ndarray:
+        bwd = _Plan(self.st, self.src, descending=True)
+        at = np.full(self.cells, _NEG)
+        at[self.last] = 0.0
+        for a, b, starts, targets in bwd.seg:
+            sel = bwd.order[a:b]
+            at[targets] = _seg_logsumexp(self.lp[sel] + at[self.dst[sel]], starts)
+        return at
+
+    def expected(self, n: int) -> np.ndarray:
+        """Expected counts by code."""
+        alpha, beta = self.forward(), self.backward()
+        z = alpha[self.last][self.widx]
+        with np.errstate(invalid="ignore"):
+            post = np.exp(alpha[self.src] + self.lp + beta[self.dst] - z) * self.freq[self.widx]
+        post[~np.isfinite(z) | ~np.isfinite(post)] = 0.0
+        own = self.code >= 0
+        return np.bincount(self.code[own], post[own], n)
+
+    def viterbi(self, n: int) -> np.ndarray:
+        """Counts by code on the best paths."""
+        vit = self.forward(best=True)
+        cand = vit[self.src] + self.lp
+        best = np.flatnonzero((cand == vit[self.dst]) & np.isfinite(cand))
+        back = np.full(self.cells, -1, dtype=np.int64)
+        back[self.dst[best[::-1]]] = best[::-1]  # the first best edge per position
+        ok = np.isfinite(vit[self.last])
+        cur, freq, home = self.last[ok].copy(), self.freq[ok], self.first[ok]
+        counts = np.zeros(n + 1)   # the last for edges that are no piece
         while len(cur):
-            e = bp[cur]
-            np.add.at(counts, pcode[e], wf)
-            cur = src[e]
+            e = back[cur]
+            np.add.at(counts, self.code[e], freq)
+            cur = self.src[e]
             more = cur != home
-            cur, wf, home = cur[more], wf[more], home[more]
-        vf = counts
-    return np.asarray(pnames), expected, vf, ll
+            cur, freq, home = cur[more], freq[more], home[more]
+        return counts[:n]
+
+
+#: An edge's start and length in one integer.
+_LENGTH_BITS = 10
+_ARRAYS = {"st": np.int32, "en": np.int32, "code": np.int32, "pids": np.int64, "wid": np.int64, "seg": np.int32,
+           "size": np.int32, "freq": np.int64, "n": np.int32}
+_PACKED = "bucket long, " + ", ".join(f"{c} binary" for c in _ARRAYS)
+_PACKED_TYPE = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in _ARRAYS)])
+
+
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(c).to_numpy() for c in names]
+
+
+def _packed(bucket: int, **arrays: np.ndarray) -> pa.Table:
+    return pa.table([pa.array([bucket], pa.int64()), *(pa.array([arrays[c].astype(t).tobytes()], pa.binary()) for c, t in _ARRAYS.items())],
+                    schema=_PACKED_TYPE)
+
+
+def _pack(edges: pa.Table, words: pa.Table) -> pa.Table:
+    """One bucket's edges as one row; words of like length lie together, as passes go position by position."""
+    if not len(edges):
+        return _PACKED_TYPE.empty_table()
+    wid, seg, size, freq = _columns(words, "wid", "seg", "size", "freq")
+    order = np.lexsort((seg, wid, size))
+    wid, seg, size, freq = (x[order] for x in (wid, seg, size, freq))
+    # each edge's word: its place in this order
+    e_wid, e_seg, at, pid = _columns(edges, "wid", "seg", "at", "pid")
+    ids = np.unique(wid)
+    name = np.searchsorted(ids, wid) << 32 | seg
+    by_name = np.argsort(name, kind="stable")
+    word = by_name[np.searchsorted(name[by_name], np.searchsorted(ids, e_wid) << 32 | e_seg)]
+    order = np.lexsort((at, word))
+    word, at, pid = word[order], at[order], pid[order]
+    n = np.bincount(word, minlength=len(wid))
+    pids, code = np.unique(pid, return_inverse=True)
+    st = at >> _LENGTH_BITS
+    used = n > 0
+    return _packed(words.column("bucket")[0].as_py(), st=st, en=st + (at & ((1 << _LENGTH_BITS) - 1)), code=code, pids=pids,
+                   wid=wid[used], seg=seg[used], size=size[used], freq=freq[used], n=n[used])
+
+
+def _words_of(row: pa.Table, scores: pa.Table) -> tuple[np.ndarray, _Words, np.ndarray]:
+    """Piece ids by local code, the words, and the (wid, seg) of each. Edges of dead pieces have score -inf."""
+    a = {c: np.frombuffer(row.column(c)[0].as_py(), t) for c, t in _ARRAYS.items()}
+    pid, logp = _columns(scores, "pid", "logp")
+    value = np.full(len(a["pids"]), _NEG)
+    at = np.minimum(np.searchsorted(a["pids"], pid), len(a["pids"]) - 1)
+    own = a["pids"][at] == pid
+    value[at[own]] = logp[own]
+    code = a["code"].astype(np.int64)
+    w = _Words(np.repeat(np.arange(len(a["n"])), a["n"]), a["st"].astype(np.int64), a["en"].astype(np.int64), code, value[code],
+               a["size"].astype(np.int64), a["freq"].astype(np.float64))
+    return a["pids"], w, np.stack([a["wid"], a["seg"]])
+
+
+def _compact_fn(piece_rows: bool):
+    def run(row: pa.Table, scores: pa.Table) -> pa.Table:
+        a = {c: np.frombuffer(row.column(c)[0].as_py(), t) for c, t in _ARRAYS.items()} if len(row) else None
+        if a is None:
+            return _PACKED_TYPE.empty_table()
+        alive = np.sort(scores.column("pid").to_numpy())
+        live = lambda x: np.isin(x, alive)
+        words = live(a["wid"]) if piece_rows else np.ones(len(a["wid"]), bool)
+        pieces = live(a["pids"])
+        widx = np.repeat(np.arange(len(a["n"])), a["n"])
+        keep = pieces[a["code"]] & words[widx]
+        n = np.bincount(widx[keep], minlength=len(a["n"]))
+        words = n > 0
+        if not keep.any():
+            return _PACKED_TYPE.empty_table()
+        pids, code = np.unique(a["pids"][a["code"][keep]], return_inverse=True)
+        return _packed(row.column("bucket")[0].as_py(), st=a["st"][keep], en=a["en"][keep], code=code, pids=pids, n=n[words],
+                       **{c: a[c][words] for c in ("wid", "seg", "size", "freq")})
+    return run
 
 
-_COLS = ("wid", "freq", "wlen", "starts", "ends", "pids")
+_COUNTS = "pid long, expected double, vfreq double"
 
 
-def _estep_fn(bc, with_viterbi: bool):
-    def run(batches):
-        # Every row is one whole word, so batches are independent; a task holds
-        # one batch and its sums by piece, which the seed bound limits.
-        logp = bc.value
-        exp, vf, ll = np.zeros(len(logp)), np.zeros(len(logp)), 0.0
-        for b in batches:
-            widx, st, en, pid, wlen = _edges_of(b)
-            res = _forward_backward(widx, st, en, pid, wlen, b.column("freq").to_numpy(), logp, with_viterbi)
-            if res is not None:
-                exp[res[0]] += res[1]
-                vf[res[0]] += res[2]
-                ll += res[3]
-        pid = np.flatnonzero((exp != 0) | (vf != 0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(pid, -1).astype(np.int64)), pa.array(np.append(exp[pid], ll)),
-             pa.array(np.append(vf[pid], 0.0))], names=["pid", "expected", "vfreq"])
+def _counted(pid: np.ndarray, expected: np.ndarray, vfreq: np.ndarray) -> pa.Table:
+    use = (expected != 0) | (vfreq != 0)
+    return pa.table({"pid": pid[use].astype(np.int64), "expected": expected[use], "vfreq": vfreq[use]})
+
+
+def _counts_fn(viterbi: bool):
+    def run(row: pa.Table, scores: pa.Table) -> pa.Table:
+        if not len(row):
+            return _counted(*np.zeros((3, 0)))
+        pid, w, _ = _words_of(row, scores)
+        return _counted(pid, w.expected(len(pid)), w.viterbi(len(pid)) if viterbi else np.zeros(len(pid)))
     return run
 
 
-_ESTEP_SCHEMA = T.StructType([T.StructField("pid", T.LongType()), T.StructField("expected", T.DoubleType()),
-                              T.StructField("vfreq", T.DoubleType())])
-
-
-def _estep(lattice: DataFrame, logp: np.ndarray, with_viterbi: bool):
-    ship_code(lattice.sparkSession)
-    sc = lattice.sparkSession.sparkContext
-    bc = sc.broadcast(logp)
-    try:
-        # ≤ (pieces + 1) rows, fetched as Arrow
-        agg = (lattice.select(*_COLS).mapInArrow(_estep_fn(bc, with_viterbi), _ESTEP_SCHEMA)
-               .groupBy("pid").agg(F.sum("expected").alias("e"), F.sum("vfreq").alias("v")).toArrow().to_pandas())
-    finally:
-        bc.unpersist()
-    ll_rows = agg["pid"] == -1
-    ll = float(agg.loc[ll_rows, "e"].sum())
-    agg = agg[~ll_rows]
-    exp = np.zeros(len(logp))
-    vf = np.zeros(len(logp))
-    idx = agg["pid"].to_numpy()
-    exp[idx] = agg["e"].to_numpy()
-    vf[idx] = agg["v"].to_numpy()
-    return exp, vf, ll
-
-
-def _best_scores(widx, st, en, pid, wlen, logp: np.ndarray) -> np.ndarray:
-    """Best (Viterbi) log-prob of every word of a bucket; -inf if unsplittable."""
-    pid = pid.astype(np.int64)
-    lp = logp[pid]
-    keep = ~np.isnan(lp)
-    widx, st, en, lp = widx[keep], st[keep].astype(np.int64), en[keep].astype(np.int64), lp[keep]
-    wlen = wlen.astype(np.int64)
-    offset = np.concatenate([[0], np.cumsum(wlen + 1)[:-1]])
-    size = int(offset[-1] + wlen[-1] + 1) if len(wlen) else 0
-    vit = np.full(size, _NEG)
-    vit[offset] = 0.0
-    if len(lp):
-        src = offset[widx] + st
-        dst = offset[widx] + en
-        fwd = _Plan(en, dst)
-        for a, b, starts, targets in fwd.seg:
-            sel = fwd.order[a:b]
-            vit[targets] = np.maximum.reduceat(vit[src[sel]] + lp[sel], starts)
-    return vit[offset + wlen]
-
-
-def _alt_fn(bc):
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            widx, st, en, pid, wlen = _edges_of(b, drop_full=True)
-            best = _best_scores(widx, st, en, pid, wlen, bc.value)
-            yield pa.RecordBatch.from_arrays([b.column("wid").cast(pa.int64()), pa.array(best)], names=["pid", "alt"])
+def _best_fn(row: pa.Table, scores: pa.Table) -> pa.Table:
+    """Best log score of every word (here: of every piece without itself)."""
+    if not len(row):
+        return pa.table({"pid": pa.array([], pa.int64()), "alt": pa.array([], pa.float64())})
+    _, w, name = _words_of(row, scores)
+    return pa.table({"pid": name[0].astype(np.int64), "alt": w.forward(best=True)[w.last]})
+
+
+# --------------------------------------------------------------------------
+# long words: segments between boundary sums
+# --------------------------------------------------------------------------
+
+def _framed(w: _Words, enter: np.ndarray, leave: np.ndarray) -> _Words:
+    """The segments of ``w`` with a node before and one behind: edges of no piece (code -1) enter position ``j`` with
+    score ``enter[:, j]`` and leave ``j`` positions behind the segment's size with ``leave[:, j]``."""
+    n, k = enter.shape
+    word = np.repeat(np.arange(n), k)
+    j = np.tile(np.arange(k), n)
+    end = w.size + k + 1
+    widx = np.concatenate([w.widx, word, word])
+    st = np.concatenate([w.st + 1, np.zeros(n * k, np.int64), w.size[word] + j + 1])
+    en = np.concatenate([w.en + 1, j + 1, end[word]])
+    code = np.concatenate([w.code, np.full(2 * n * k, -1, np.int64)])
+    lp = np.concatenate([w.lp, enter.ravel(), leave.ravel()])
+    keep = np.isfinite(lp)
+    order = np.argsort(widx[keep], kind="stable")
+    return _Words(*(x[keep][order] for x in (widx, st, en, code, lp)), end, w.freq)
+
+
+def _matrices_fn(k: int):
+    """Per segment: the (log-sum, +) and (max, +) matrices from entry to exit offsets."""
+    def run(row: pa.Table, scores: pa.Table) -> pa.Table:
+        _, w, name = _words_of(row, scores)
+        rows = {"wid": [], "seg": [], "sums": [], "best": []}
+        for s in range(len(w.size)):
+            own = w.widx == s
+            m = own.sum()
+            # one copy of the segment for each entry
+            copies = _Words(np.repeat(np.arange(k), m), *(np.tile(x[own], k) for x in (w.st, w.en, w.code, w.lp)),
+                            np.repeat(w.size[s:s + 1], k), np.repeat(w.freq[s:s + 1], k))
+            f = _framed(copies, np.where(np.eye(k, dtype=bool), 0.0, _NEG), np.zeros((k, k)))
+            out = (f.first + 1 + w.size[s])[:, None] + np.arange(k)
+            rows["wid"].append(name[0, s])
+            rows["seg"].append(name[1, s])
+            rows["sums"].append(f.forward()[out].ravel())
+            rows["best"].append(f.forward(best=True)[out].ravel())
+        lists = pa.list_(pa.float64())
+        return pa.table({"wid": pa.array(rows["wid"], pa.int64()), "seg": pa.array(rows["seg"], pa.int32()),
+                         "sums": pa.array(rows["sums"], lists), "best": pa.array(rows["best"], lists)})
     return run
 
 
-def _alt_scores(piece_lattice: DataFrame, logp: np.ndarray) -> np.ndarray:
-    """Log-prob of the best split of every piece without itself (one pass)."""
-    sc = piece_lattice.sparkSession.sparkContext
-    bc = sc.broadcast(logp)
-    try:
-        out = (piece_lattice.select(*_COLS).mapInArrow(_alt_fn(bc), "pid long, alt double").toArrow().to_pandas())
-    finally:
-        bc.unpersist()
-    alt = np.full(len(logp), _NEG)
-    alt[out["pid"].to_numpy()] = out["alt"].to_numpy()
-    return alt
-
-
-def build_lattice(words: DataFrame, max_piece_len: int = 16, edges_per_bucket: int = 250_000) -> DataFrame:
-    """Every substring (≤ ``max_piece_len`` chars) of every word type, once.
-
-    ``(bucket, wid, freq, wlen, starts[], ends[], hashes[])`` — one row per
-    word type, built with array expressions (no explode, no join): the
-    E-step resolves ``xxhash64(substring)`` against the seed table, so
-    non-seed substrings simply drop out. The bucket (a hash of the word id)
-    keeps a word in one partition and sizes each partition to about
-    ``edges_per_bucket`` edges (at least two per core). Written once to the
-    shared folder; every E-step re-reads it partition-locally, no shuffle.
-    """
-    spark = words.sparkSession
-    L = F.length("word")
-    k = F.lit(max_piece_len)
-    pos = F.sequence(F.lit(0), L - 1)
-    starts = F.flatten(F.transform(pos, lambda s_: F.array_repeat(s_, F.least(k, L - s_))))
-    ends = F.flatten(F.transform(pos, lambda s_: F.sequence(s_ + 1, s_ + F.least(k, L - s_))))
-    lat = (words.select("wid", "word", "freq", L.alias("wlen"), starts.alias("starts"), ends.alias("ends"))
-           .withColumn("hashes", F.transform(F.arrays_zip("starts", "ends"),
-                                             lambda e: F.xxhash64(F.substring(F.col("word"), e["starts"] + 1,
-                                                                              e["ends"] - e["starts"]))))
-           .drop("word"))
-    # upper bound of the edge count from the (checkpointed) word table
-    bound = words.select(F.sum(L * F.least(k, L))).first()[0] or 0
-    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-int(bound) // edges_per_bucket))
-    lat = lat.withColumn("bucket", F.pmod(F.xxhash64("wid"), F.lit(buckets)))
-    # A written table (columnar re-reads); one small file per bucket
-    # partition, so every read partition holds whole words. Passes go position
-    # by position through a batch, so words of like length lie together.
-    path = scratch_path(spark, "lattice")
-    lat.repartition(buckets, "bucket").sortWithinPartitions("wlen", "wid").write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def _seed_index(seed_pdf: pd.DataFrame):
-    """Sorted seed hashes → pid, with each seed's length for a second check."""
-    order = np.argsort(seed_pdf["h"].to_numpy(), kind="stable")
-    return (seed_pdf["h"].to_numpy()[order], seed_pdf["pid"].to_numpy()[order].astype(np.int64),
-            seed_pdf.sort_values("pid")["n_chars"].to_numpy().astype(np.int64))
-
-
-def _resolve(hashes: np.ndarray, lengths: np.ndarray, index) -> np.ndarray:
-    """pid of each substring, -1 when it is not a seed (hash and length must match)."""
-    sorted_h, pid_of, n_chars = index
-    if len(sorted_h) == 0:
-        return np.full(len(hashes), -1, dtype=np.int64)
-    i = np.minimum(np.searchsorted(sorted_h, hashes), len(sorted_h) - 1)
-    pid = np.where(sorted_h[i] == hashes, pid_of[i], -1)
-    ok = pid >= 0
-    ok[ok] = n_chars[pid[ok]] == lengths[ok]
-    return np.where(ok, pid, -1)
-
-
-def _edges_of(b: pa.RecordBatch, drop_full: bool = False):
-    """Flatten the edges of one batch of the lattice."""
-    lengths = b.column("starts").value_lengths().to_numpy()
-    widx = np.repeat(np.arange(len(lengths)), lengths)
-    st, en, pid = (b.column(c).flatten().to_numpy().astype(np.int64) for c in ("starts", "ends", "pids"))
-    wlen = b.column("wlen").to_numpy().astype(np.int64)
-    if drop_full:  # a piece is not its own alternative
-        keep = ~((st == 0) & (en == wlen[widx]))
-        widx, st, en, pid = widx[keep], st[keep], en[keep], pid[keep]
-    return widx, st, en, pid, wlen
-
-
-def _live_edges(b: pa.RecordBatch, pid: np.ndarray, keep: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
-    """The batch with only the edges of ``keep``, named by piece id."""
-    n = b.num_rows
-    lengths = b.column("starts").value_lengths().to_numpy()
-    widx = np.repeat(np.arange(n), lengths)
-    offs = pa.array(np.concatenate([[0], np.cumsum(np.bincount(widx[keep], minlength=n))]).astype(np.int32))
-    lists = [b.column("starts").flatten().to_numpy()[keep], b.column("ends").flatten().to_numpy()[keep], pid[keep]]
-    out = pa.RecordBatch.from_arrays(
-        [b.column("wid"), b.column("freq"), b.column("wlen"),
-         *(pa.ListArray.from_arrays(offs, pa.array(x, pa.int32())) for x in lists)], names=list(_COLS))
-    return out if rows is None or rows.all() else out.take(pa.array(np.flatnonzero(rows)))
-
-
-def _resolve_fn(bc_index):
-    def run(batches):
-        for b in batches:
-            n_chars = (b.column("ends").flatten().to_numpy().astype(np.int64)
-                       - b.column("starts").flatten().to_numpy())
-            pid = _resolve(b.column("hashes").flatten().to_numpy(), n_chars, bc_index.value)
-            yield _live_edges(b, pid, pid >= 0)
+_ENDS = "wid long, seg int, enter array<double>, leave array<double>, best_in int, best_out int"
+
+
+def _compose_fn(k: int):
+    """Sums at both ends of every segment of one word, and where its best path crosses them."""
+    def plus(a, axis):
+        with np.errstate(divide="ignore"):
+            return np.logaddexp.reduce(a, axis=axis)
+
+    def run(word: pd.DataFrame) -> pd.DataFrame:
+        word = word.sort_values("seg")
+        sums = [np.reshape(m, (k, k)) for m in word["sums"]]
+        best = [np.reshape(m, (k, k)) for m in word["best"]]
+        start = np.where(np.arange(k) == 0, 0.0, _NEG)
+        enter, reach = [start], [start]
+        for a, b in zip(sums, best, strict=True):
+            enter.append(plus(enter[-1][:, None] + a, 0))
+            reach.append((reach[-1][:, None] + b).max(0))
+        leave, cross = [start], [0]
+        for a, b, r in zip(sums[::-1], best[::-1], reach[-2::-1], strict=True):
+            leave.append(plus(a + leave[-1][None, :], 1))
+            cross.append(int((r + b[:, cross[-1]]).argmax()))
+        leave, cross = leave[::-1], cross[::-1]
+        if not np.isfinite(reach[-1][0]):   # no path through the whole word
+            cross = [-1] * len(cross)
+        return pd.DataFrame({"wid": word["wid"], "seg": word["seg"], "enter": [x.tolist() for x in enter[:-1]],
+                             "leave": [x.tolist() for x in leave[1:]], "best_in": cross[:-1], "best_out": cross[1:]})
     return run
 
 
-def _compact_fn(bc, piece_rows: bool):
-    def run(batches):
-        logp = bc.value
-        for b in batches:
-            widx, _, _, pid, _ = _edges_of(b)
-            rows = np.ones(b.num_rows, dtype=bool)
-            if piece_rows:  # a dead piece needs no alternative any more
-                rows = ~np.isnan(logp[b.column("wid").to_numpy()])
-            yield _live_edges(b, pid, ~np.isnan(logp[pid]) & rows[widx], rows)
+def _long_counts_fn(k: int, viterbi: bool):
+    def run(edges: pa.Table, right: pa.Table) -> pa.Table:
+        kind = right.column("wid").is_null().to_numpy()
+        scores, ends = right.filter(pa.array(kind)), right.filter(pa.array(~kind))
+        pid, w, name = _words_of(edges, scores)
+        at = {key: i for i, key in enumerate(zip(*(c.tolist() for c in _columns(ends, "wid", "seg")), strict=True))}
+        row = [at[int(a), int(b)] for a, b in name.T]
+        enter, leave = (np.array(ends.column(c).to_pylist(), np.float64)[row] for c in ("enter", "leave"))
+        expected = _framed(w, enter, leave).expected(len(pid))
+        if not viterbi:
+            return _counted(pid, expected, np.zeros(len(pid)))
+        one = np.arange(k)[None, :]
+        gate = [np.where(one == ends.column(c).to_numpy()[row][:, None], 0.0, _NEG) for c in ("best_in", "best_out")]
+        return _counted(pid, expected, _framed(w, *gate).viterbi(len(pid)))
     return run
 
 
-def _rewritten(lattice: DataFrame, fn, columns) -> DataFrame:
-    """A partition-local map of the lattice, written to the shared folder."""
-    spark = lattice.sparkSession
-    types = {"wid": "long", "freq": "long", "wlen": "int"}
-    schema = ", ".join(f"{c} {types.get(c, 'array<int>')}" for c in _COLS)
-    src = lattice.select(*(F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in columns))
-    path = scratch_path(spark, "lattice")
-    src.mapInArrow(fn, schema).write.parquet(path)
-    return spark.read.parquet(path)
+# --------------------------------------------------------------------------
+# lattice tables
+# --------------------------------------------------------------------------
 
+@dataclass
+class Part:
+    """Packed rows as a table bucketed by ``bucket``, and the pieces of each bucket."""
+    rows: DataFrame
+    used: DataFrame
+    name: str
+    paths: list[str]
 
-def resolve_lattice(lattice: DataFrame, bc_index) -> DataFrame:
-    """Replace the substrings' hashes by piece ids, once; substrings that are
-    no seed are dropped."""
-    return _rewritten(lattice, _resolve_fn(bc_index), ("wid", "freq", "wlen", "starts", "ends", "hashes"))
+    def drop(self) -> None:
+        self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for p in self.paths:
+            drop_path(self.rows.sparkSession, p)
 
 
-def compact_lattice(lattice: DataFrame, logp: np.ndarray, piece_rows: bool = False) -> DataFrame:
-    """Rewrite the lattice without edges of removed pieces (and, for the
-    piece lattice, without removed pieces' rows): later passes shrink with
-    the vocabulary."""
-    bc = lattice.sparkSession.sparkContext.broadcast(logp)
-    try:
-        return _rewritten(lattice, _compact_fn(bc, piece_rows), _COLS)
-    finally:
-        bc.unpersist()
+@dataclass
+class Lattice:
+    """Words in one segment, and the segments of longer words (None if there are none)."""
+    whole: Part
+    cut: Part | None
+    max_piece_len: int
+    tasks: int
+    proper: bool
 
+    def drop(self) -> None:
+        for p in filter(None, (self.whole, self.cut)):
+            p.drop()
 
-def _drop_table(t: DataFrame) -> None:
-    for f in t.inputFiles()[:1]:
-        drop_path(t.sparkSession, f.rsplit("/", 1)[0])
 
+def _written(rows: DataFrame, tasks: int, proper: bool) -> Part:
+    spark = rows.sparkSession
+    name, path = f"lattice_{uuid.uuid4().hex[:12]}", scratch_path(spark, "lattice")
+    rows.repartition(tasks, "bucket").write.bucketBy(tasks, "bucket").option("path", path).saveAsTable(name)
+    table = spark.table(name)
 
-def _digamma_np(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, dtype=np.float64).copy()
-    r = np.zeros_like(x)
-    for _ in range(6):
-        small = x < 6.0
-        if not small.any():
-            break
-        r[small] -= 1.0 / x[small]
-        x[small] += 1.0
-    f = 1.0 / (x * x)
-    return r + np.log(x) - 0.5 / x - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (1.0 / 240 - f / 132))))
-
-
-def _mstep(logp: np.ndarray, expected: np.ndarray, is_char: np.ndarray) -> np.ndarray:
-    """Variational M-step on the piece arrays; NaN marks a removed piece."""
-    alive = ~np.isnan(logp)
-    c = np.where(is_char & (expected < 0.5), 0.5, expected)
-    keep = alive & ((c >= 0.5) | is_char)
-    out = np.full(len(logp), np.nan)
-    if keep.any():   # an empty corpus has no pieces
-        out[keep] = _digamma_np(np.maximum(c[keep], 1e-12)) - _digamma(float(c[keep].sum()))
-    return out
+    def pieces(batches):
+        for b in batches:
+            for bucket, pids, wid in zip(*(b.column(c).to_pylist() for c in ("bucket", "pids", "wid")), strict=True):
+                ids = np.frombuffer(pids, np.int64)
+                if proper:   # a piece's own row goes with it
+                    ids = np.union1d(ids, np.frombuffer(wid, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket)), pa.array(ids)], names=["bucket", "pid"])
 
+    used = scratch_path(spark, "used")
+    table.select("bucket", "pids", "wid").mapInArrow(pieces, "bucket long, pid long").write.parquet(used)
+    return Part(table, spark.read.parquet(used), name, [path, used])
 
-def _prune(logp: np.ndarray, vfreq: np.ndarray, alt: np.ndarray, place: np.ndarray, is_char: np.ndarray,
-           target: int) -> np.ndarray:
-    """Keep the ``target`` pieces whose removal costs most likelihood
-    (Viterbi frequency × (log p − log p of the best split without it));
-    single characters are always kept; ``place`` breaks ties."""
-    alive = ~np.isnan(logp)
-    if int(alive.sum()) <= target:
-        return logp
-    cand = np.flatnonzero(alive & ~is_char)
-    with np.errstate(invalid="ignore"):
-        cost = np.where(np.isfinite(alt[cand]), vfreq[cand] * (logp[cand] - alt[cand]), np.inf)
-    n_keep = max(0, target - int((alive & is_char).sum()))
-    order = np.lexsort((place[cand], -cost))[:n_keep]
-    out = np.full(len(logp), np.nan)
-    keep = np.concatenate([cand[order], np.flatnonzero(alive & is_char)]).astype(np.int64)
-    out[keep] = logp[keep]
-    return out
 
+def build_lattice(words: DataFrame, pieces: DataFrame, max_piece_len: int = 16, segment: int = SEGMENT,
+                  bucket_edges: int = BUCKET_EDGES, proper: bool = False) -> Lattice:
+    """Every occurrence of a piece (``pid, piece``) in every word (``wid, word, freq``), written once.
 
-def _rare_characters(seeds: pd.DataFrame, coverage: float) -> set[str]:
-    """Characters beyond the most frequent ones that make up ``coverage`` of
-    the text; a tie goes to the smaller code point."""
-    chars = seeds[seeds["n_chars"] == 1].sort_values(["score", "piece"], ascending=[False, True])
-    before = chars["score"].cumsum() - chars["score"]
-    return set(chars["piece"][before >= coverage * chars["score"].sum()])
+    ``proper`` leaves out a word's edge over its whole length (a piece is not
+    its own alternative). Segments hold at least ``segment`` positions, which
+    must not be less than ``max_piece_len``.
+    """
+    if max_piece_len >= 1 << _LENGTH_BITS:
+        raise ValueError(f"pieces of at most {(1 << _LENGTH_BITS) - 1} characters")
+    spark = words.sparkSession
+    ship_code(spark)
+    segment = max(segment, max_piece_len)
+    length = F.length("word")
+    rows, positions, longest = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0)),
+                                         F.coalesce(F.max(length), F.lit(0))).first()
+    # of the max_piece_len substrings at a position, about a third are pieces
+    cores = spark.sparkContext.defaultParallelism
+    buckets = max(3 * cores, -(-int(positions) * max_piece_len // (3 * bucket_edges)))
+    tasks = max(cores, -(-buckets // 8))
+    n_segs = F.greatest(F.lit(1), (length / segment).cast("int"))
+    parts = words.select("wid", "freq", "word", n_segs.alias("n_segs"),
+                         F.explode(F.sequence(F.lit(0), n_segs - 1)).alias("seg"))
+    begin = F.col("seg") * segment
+    parts = parts.select("wid", "freq", "n_segs", "seg", length.alias("full"),
+                         F.when(F.col("seg") == F.col("n_segs") - 1, length - begin).otherwise(F.lit(segment)).alias("size"),
+                         F.substring("word", begin + 1, F.lit(2 * segment + max_piece_len)).alias("text"))
+    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("wid", "seg"), F.lit(buckets)))
+    starts = parts.select("wid", "seg", "n_segs", "full", "text", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("st"))
+    subs = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_piece_len), F.length("text") - F.col("st")))))
+    if proper:
+        subs = subs.filter(F.col("n") < F.col("full"))
+    # only numbers move: a fingerprint of the text, compared with its length
+    subs = subs.select("wid", "seg", "n_segs", "n", F.xxhash64(F.substring("text", F.col("st") + 1, F.col("n"))).alias("h"),
+                       F.shiftleft("st", _LENGTH_BITS).bitwiseOR(F.col("n")).alias("at"))
+    named = pieces.select("pid", F.xxhash64("piece").alias("h"), F.length("piece").alias("n"))
+    # the planner sees neither explode, so it would broadcast the substrings
+    edges = subs.join(named.hint("shuffle_hash"), ["h", "n"]) \
+        .select(F.pmod(F.xxhash64("wid", "seg"), F.lit(buckets)).alias("bucket"), "wid", "seg", "n_segs", "at", "pid")
+    has_long = longest >= 2 * segment
+    if has_long:   # both parts read the edges
+        edges = _stored(edges, "edges")
+
+    def pack(which: str) -> Part:
+        own = edges.filter(which).drop("n_segs")
+        words_of = parts.filter(which).select("bucket", "wid", "seg", "size", "freq") \
+            .toDF("bucket", "wid", "seg", "size", "freq")
+        return _written(own.groupBy("bucket").cogroup(words_of.groupBy("bucket")).applyInArrow(_pack, _PACKED), tasks, proper)
+
+    return Lattice(pack("n_segs = 1"), pack("n_segs > 1") if has_long else None, max_piece_len, tasks, proper)
+
+
+def compact_lattice(lattice: Lattice, state: DataFrame) -> Lattice:
+    """The lattice without the edges of removed pieces (and, of pieces, without removed pieces' own rows)."""
+    alive = state.select("pid", F.lit(0.0).alias("logp"))
+    parts = [p and _written(_meet(p, alive, _compact_fn(lattice.proper), _PACKED), lattice.tasks, lattice.proper)
+             for p in (lattice.whole, lattice.cut)]
+    lattice.drop()
+    return Lattice(*parts, lattice.max_piece_len, lattice.tasks, lattice.proper)
+
+
+def _meet(part: Part, scores: DataFrame, fn, schema: str, more: DataFrame | None = None) -> DataFrame:
+    """Each bucket with the scores of its pieces; the lattice is bucketed, so only the other side moves."""
+    need = part.used.join(scores.select("pid", "logp"), "pid").select("bucket", "pid", "logp")
+    if more is not None:
+        need = need.unionByName(more, allowMissingColumns=True)
+    return part.rows.groupBy("bucket").cogroup(need.groupBy("bucket")).applyInArrow(fn, schema)
+
+
+def _segment_names(batches):
+    for b in batches:
+        for bucket, wid, seg in zip(*(b.column(c).to_pylist() for c in ("bucket", "wid", "seg")), strict=True):
+            wid, seg = np.frombuffer(wid, np.int64), np.frombuffer(seg, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wid), bucket)), pa.array(wid), pa.array(seg)],
+                                             names=["bucket", "wid", "seg"])
+
+
+def expected_counts(lattice: Lattice, scores: DataFrame, viterbi: bool = False) -> DataFrame:
+    """E-step: ``pid, expected, vfreq`` under ``scores(pid, logp)``."""
+    k = lattice.max_piece_len
+    counts = _meet(lattice.whole, scores, _counts_fn(viterbi), _COUNTS)
+    if lattice.cut:
+        matrices = _meet(lattice.cut, scores, _matrices_fn(k), "wid long, seg int, sums array<double>, best array<double>")
+        ends = _stored(matrices.groupBy("wid").applyInPandas(_compose_fn(k), _ENDS), "ends")
+        names = lattice.cut.rows.select("bucket", "wid", "seg").mapInArrow(_segment_names, "bucket long, wid long, seg int")
+        counts = counts.unionByName(_meet(lattice.cut, scores, _long_counts_fn(k, viterbi), _COUNTS, ends.join(names, ["wid", "seg"])))
+    return counts.groupBy("pid").agg(F.sum("expected").alias("expected"), F.sum("vfreq").alias("vfreq"))
+
+
+# --------------------------------------------------------------------------
+# piece table
+# --------------------------------------------------------------------------
+
+def digamma(x: Column) -> Column:
+    """ψ(x) for x > 0: the recurrence up to x + 6, then the asymptotic series."""
+    y = x + 6
+    f = F.lit(1.0) / (y * y)
+    series = F.log(y) - F.lit(0.5) / y - f * (F.lit(1.0 / 12) - f * (F.lit(1.0 / 120) - f * (F.lit(1.0 / 252) - f * (
+        F.lit(1.0 / 240) - f * F.lit(1.0 / 132)))))
+    for k in range(6):
+        series = series - F.lit(1.0) / (x + k)
+    return series
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _m_step(state: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
+    """The next state ``(pid, is_char, vfreq, logp)`` and its size."""
+    c = F.coalesce("expected", F.lit(0.0))
+    joined = _stored(state.select("pid", "is_char").join(counts, "pid", "left")
+                     .select("pid", "is_char", F.coalesce("vfreq", F.lit(0.0)).alias("vfreq"),
+                             F.when(F.col("is_char"), F.greatest(c, F.lit(0.5))).otherwise(c).alias("c"))
+                     .filter("c >= 0.5"), "pieces")
+    n, total = joined.agg(F.count(F.lit(1)), F.sum("c")).first()
+    if not n:
+        return joined.withColumn("logp", F.lit(0.0)), 0
+    return joined.select("pid", "is_char", "vfreq", (digamma(F.col("c")) - digamma(F.lit(float(total)))).alias("logp")), n
+
+
+def best_rows(df: DataFrame, key: str, k: int) -> DataFrame:
+    """The ``k`` rows with the largest ``key`` (a finite double), ties by ascending ``pid`` (unique).
+
+    A histogram between the extremes finds the bin with the k-th row and is
+    refined there until few rows, or only ties, are left.
+    """
+    if k <= 0:
+        return df.limit(0)
+    part, value, left = df, F.col(key), k
+    ties = False
+    while True:
+        n, low, high = part.agg(F.count(F.lit(1)), F.min(value), F.max(value)).first()
+        if n <= left:
+            cut = None
+            break
+        if n <= _FEW:
+            cut = part.orderBy(F.desc(key), "pid").limit(left).orderBy(F.asc(key), F.desc("pid")).select(key, "pid").first()
+            break
+        if low == high:    # only ties are left: by id
+            value, ties = -F.col("pid").cast("double"), True
+            continue
+        at = F.least(F.floor((value - low) / F.lit(high - low) * _BINS), F.lit(_BINS - 1))
+        bins = part.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")) \
+            .orderBy(F.desc("at")).collect()   # at most _BINS rows
+        for b in bins:
+            if b.n >= left:
+                part = part.filter((value >= b.low) & (value <= b.high))
+                break
+            left -= b.n
+    if cut is None:        # the bin's rows all belong to the best
+        low = part.agg(F.min(value)).first()[0]
+        if not ties:
+            return df.filter(F.col(key) >= low)
+        tie = part.select(key).first()[0]
+        return df.filter((F.col(key) > tie) | ((F.col(key) == tie) & (-F.col("pid").cast("double") >= low)))
+    return df.filter((F.col(key) > cut[0]) | ((F.col(key) == cut[0]) & (F.col("pid") <= cut[1])))
+
+
+def _prune(state: DataFrame, pieces: Lattice, n_chars: int, target: int) -> DataFrame:
+    """Keep the ``target`` pieces whose removal costs most likelihood (Viterbi
+    frequency × (log p − log p of the best split without it)); single
+    characters are always kept."""
+    alt = _meet(pieces.whole, state, _best_fn, "pid long, alt double")
+    cost = F.when(F.col("alt") > F.lit(_NEG), F.col("vfreq") * (F.col("logp") - F.col("alt"))).otherwise(F.lit(1e300))
+    costs = _stored(state.join(alt, "pid", "left").withColumn("cost", cost).drop("alt"), "costs")
+    kept = best_rows(costs.filter(~F.col("is_char")), "cost", target - n_chars)
+    return costs.filter("is_char").unionByName(kept).drop("cost")
+
+
+def _without_rare(seeds: DataFrame, coverage: float) -> DataFrame:
+    """Pieces of the most frequent characters that make up ``coverage`` of the text; a tie goes to the smaller one."""
+    chars = seeds.filter("n_chars = 1")   # no more rows than characters exist
+    before = F.sum("freq").over(Window.orderBy(F.desc("freq"), "piece").rowsBetween(Window.unboundedPreceding, -1))
+    rare = chars.select("piece", F.coalesce(before, F.lit(0)).alias("b"), F.sum("freq").over(Window.partitionBy()).alias("t")) \
+        .filter(F.col("b") >= F.lit(coverage) * F.col("t")).select(F.col("piece").alias("ch"))
+    hit = seeds.select("pid", F.explode(F.array_distinct(F.split("piece", ""))).alias("ch")).join(rare, "ch", "left_semi")
+    return seeds.join(hit.select("pid").distinct(), "pid", "left_anti")
 
 
 def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
                 seed_size: int = 1_000_000, max_piece_len: int = 16, em_iters: int = 2,
-                shrink: float = 0.75, max_rounds: int = 64, with_pad: bool = True,
+                shrink: float = 0.75, with_pad: bool = True,
                 character_coverage: float = 1.0, input_sentence_size: int | None = None,
-                sentence_keys: list[str] | None = None) -> DataFrame:
+                sentence_keys: list[str] | None = None, segment: int = SEGMENT) -> DataFrame:
     """Train a unigram vocabulary of ``vocab_size`` ids (specials included).
 
     ``character_coverage`` below 1 keeps only the most frequent characters
@@ -445,70 +599,47 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
     candidates and words with one are not learned from.
     ``input_sentence_size`` learns from that many rows of ``norm_df``, drawn in
     the seeded order of their ``sentence_keys`` (off by default: all rows).
+    Words of ``2 * segment`` characters or more are cut into segments.
     """
     spark = norm_df.sparkSession
     if input_sentence_size is not None:
         if not sentence_keys:
             raise ValueError("input_sentence_size needs sentence_keys")
         norm_df = sample_lines(norm_df, sentence_keys, input_sentence_size)
-    words = cut_lineage(word_counts(norm_df, norm).withColumn("wid", F.monotonically_increasing_id()))
-    seeds = cut_lineage(global_index(seed_pieces(words, top_k=seed_size, max_piece_len=max_piece_len),
-                                     ["piece"], seed=0, idx_col="pid"))
-    n_seeds = seeds.count()
-    if n_seeds > MAX_SEED_PIECES:
-        raise ValueError(f"{n_seeds} seed pieces exceed the driver bound {MAX_SEED_PIECES}")
-    seed_pdf = seeds.select("pid", "piece", "score", "n_chars", F.xxhash64("piece").alias("h")).toArrow().to_pandas() \
-        .sort_values("pid")
-    names = seed_pdf["piece"].tolist()
-    score = seed_pdf["score"].to_numpy(dtype=np.float64)
-    is_char = (seed_pdf["n_chars"] == 1).to_numpy()
-    total = float(score.sum()) or 1.0
-    with np.errstate(divide="ignore"):
-        logp = np.where(score > 0, np.log(score) - math.log(total), np.nan)
-    rare = _rare_characters(seed_pdf, character_coverage)
-    if rare:
-        out = seed_pdf["piece"].map(lambda piece: not rare.isdisjoint(piece)).to_numpy()
-        logp[out] = np.nan
-        is_char &= ~out
+    words = _stored(word_counts(norm_df, norm).withColumn("wid", F.monotonically_increasing_id()), "words")
+    seeds = _stored(seed_pieces(words, top_k=seed_size, max_piece_len=max_piece_len)
+                    .withColumn("pid", F.monotonically_increasing_id()), "seeds")
+    all_seeds = seeds
+    if character_coverage < 1:
+        seeds = _stored(_without_rare(seeds, character_coverage), "seeds")
+    alive, n_chars, total = seeds.agg(F.count(F.lit(1)), F.count(F.when(F.col("n_chars") == 1, 1)), F.sum("score")).first()
     n_special = len(SPECIALS) if with_pad else len(SPECIALS) - 1
-    goal = max(vocab_size - n_special, int(is_char.sum()))
-    bc_index = spark.sparkContext.broadcast(_seed_index(seed_pdf))
-    # a piece's place in the order of the pieces' code points
-    place = np.empty(n_seeds, dtype=np.int64)
-    place[np.argsort(seed_pdf["piece"].to_numpy(dtype=object), kind="stable")] = np.arange(n_seeds)
-    piece_words = seeds.select(F.col("pid").alias("wid"), F.col("piece").alias("word"), F.lit(1).alias("freq"))
-    raw = build_lattice(words, max_piece_len), build_lattice(piece_words, max_piece_len)
-    lattice, piece_lattice = (resolve_lattice(t, bc_index) for t in raw)
-    for t in raw:
-        _drop_table(t)
-    bc_index.unpersist()
-    # train down to 110 % of the goal, then keep the best-scoring pieces
-    desired = int(goal * 1.1)
-    compacted_at = n_seeds
-    for _ in range(max_rounds):
-        vfreq = np.zeros(n_seeds)
-        for it in range(em_iters):
-            alive_now = int((~np.isnan(logp)).sum())
-            if alive_now * 2 <= compacted_at:
-                old = (lattice, piece_lattice)
-                lattice = compact_lattice(lattice, logp)
-                piece_lattice = compact_lattice(piece_lattice, logp, piece_rows=True)
-                for t in old:  # superseded generations are no longer read
-                    _drop_table(t)
-                compacted_at = alive_now
-            expected, vfreq, _ll = _estep(lattice, logp, it == em_iters - 1)
-            logp = _mstep(logp, expected, is_char)
-        if int((~np.isnan(logp)).sum()) <= desired:
-            break
-        alt = _alt_scores(piece_lattice, logp)
-        logp = _prune(logp, vfreq, alt, place, is_char, max(desired, int((~np.isnan(logp)).sum() * shrink)))
+    goal = max(vocab_size - n_special, n_chars)
+    state = seeds.select("pid", (F.col("n_chars") == 1).alias("is_char"), F.lit(0.0).alias("vfreq"),
+                         F.log(F.col("score") / F.lit(float(total or 1))).alias("logp"))
+    if alive:
+        lattice = build_lattice(words, seeds, max_piece_len, segment)
+        whole = None   # built over the pieces that the first round leaves
+        # train down to 110 % of the goal, then keep the best-scoring pieces
+        desired = int(goal * 1.1)
+        compacted_at = alive
+        while True:
+            for it in range(em_iters):
+                if alive * 2 <= compacted_at:
+                    lattice, whole = compact_lattice(lattice, state), whole and compact_lattice(whole, state)
+                    compacted_at = alive
+                state, alive = _m_step(state, expected_counts(lattice, state, it == em_iters - 1))
+            if alive <= desired:
+                break
+            if whole is None:
+                left = seeds.join(state.select("pid"), "pid", "left_semi")
+                whole = build_lattice(left.select(F.col("pid").alias("wid"), F.col("piece").alias("word"),
+                                                  F.lit(1).cast("long").alias("freq")), left, max_piece_len, proper=True)
+            alive = max(desired, int(alive * shrink))
+            state = _prune(state, whole, n_chars, alive)
+        for t in filter(None, (lattice, whole)):
+            t.drop()
     # final: the best `goal` pieces by score, characters always kept
-    alive = np.flatnonzero(~np.isnan(logp))
-    others = alive[~is_char[alive]]
-    others = others[np.lexsort((place[others], -logp[others]))]
-    keep = [*alive[is_char[alive]], *others[:max(0, goal - int(is_char[alive].sum()))]]
-    final = [(names[i], float(logp[i])) for i in keep]
-    df = spark.createDataFrame(final, "piece string, score double")  # built from driver arrays
-    for t in (lattice, piece_lattice):
-        _drop_table(t)
-    return layout_vocab(df, score="score", with_pad=with_pad)
+    chosen = state.filter("is_char").unionByName(best_rows(state.filter(~F.col("is_char")), "logp", goal - n_chars))
+    final = cut_lineage(chosen.join(all_seeds.select("pid", "piece"), "pid").select("piece", F.col("logp").alias("score")), spark)
+    return layout_vocab(final, score="score", with_pad=with_pad)

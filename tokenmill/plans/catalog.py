@@ -302,12 +302,26 @@ def q_seed_pieces_top(spark, d):
     return vocab.seed_pieces(vocab.word_counts(fx.norm(spark, d)), top_k=5000)
 
 
-def q_train_vocab(spark, d):
+def q_estep_counts(spark, d):
+    """Expected counts of the best 2,000 seed pieces and all characters over all word types."""
     from tokenmill.operators import unigram
-    v = unigram.train_vocab(fx.norm(spark, d), vocab_size=1000)
+    v = fx.piecevocab(spark, d).filter("kind = 'normal'").select(F.col("id").cast("long").alias("pid"), "piece", "score")
+    words = cut_lineage(vocab.word_counts(fx.norm(spark, d)).withColumn("wid", F.monotonically_increasing_id()))
+    counts = unigram.expected_counts(unigram.build_lattice(words, v), v.select("pid", F.col("score").alias("logp")))
+    return v.join(counts, "pid").select("piece", F.round("expected", 3).alias("expected"))
+
+
+def q_train_vocab(spark, d, vocab_size: int = 1000):
+    from tokenmill.operators import unigram
+    v = unigram.train_vocab(fx.norm(spark, d), vocab_size=vocab_size)
     return v.select("id", "piece", round6("score").alias("score"), "kind")
 
 
+def q_train_vocab_full(spark, d):
+    """The size of the reference configuration."""
+    return q_train_vocab(spark, d, vocab_size=32_000)
+
+
 def q_train_vocab_report(spark, d, vocab_size: int = 1000):
     """What any trained vocabulary must fulfil: dense ids, no more than asked
     for, and every character of the corpus a piece."""

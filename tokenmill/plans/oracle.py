@@ -267,6 +267,23 @@ UNION ALL (SELECT * FROM agg2 WHERE n_chars > 1 ORDER BY score DESC, piece LIMIT
     + "SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, md5(array_to_string(ids, ',')) AS digest FROM ep",
     "decode_pieces": _with(*PIECES, dec("dd", "ep", "doc_id", "ids", "pv")).replace("WITH ", "WITH RECURSIVE ", 1)
     + "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM dd",
+    # log-sums of the paths to (fw) and from (bw) each position, kept for the last 16 positions
+    "estep_counts": _with(*PIECES[:-1], """sd AS MATERIALIZED (SELECT word, sub.s AS b, list({'n': n, 's': pv.s}) AS es
+  FROM sub JOIN pv USING (piece) GROUP BY word, b)""",
+                          """fw AS (SELECT word, CAST(0 AS BIGINT) AS j, [0.0::DOUBLE] AS al FROM wc
+  UNION ALL
+  SELECT word, j + 1, list_append(al, list_max(cs) + ln(list_sum(list_transform(cs, lambda c: exp(c - list_max(cs))))))[-16:]
+  FROM (SELECT f.word, f.j, f.al, list_transform(ed.es, lambda x: f.al[-x.n] + x.s) AS cs
+        FROM fw f JOIN ed ON ed.word = f.word AND ed.e = f.j + 1))""",
+                          """bw AS (SELECT word, CAST(length(word) AS BIGINT) AS j, [0.0::DOUBLE] AS be FROM wc
+  UNION ALL
+  SELECT word, j - 1, list_append(be, list_max(cs) + ln(list_sum(list_transform(cs, lambda c: exp(c - list_max(cs))))))[-16:]
+  FROM (SELECT b.word, b.j, b.be, list_transform(sd.es, lambda x: b.be[-x.n] + x.s) AS cs
+        FROM bw b JOIN sd ON sd.word = b.word AND sd.b = b.j))""").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """SELECT piece, round(sum(freq * exp(f.al[-1] + pv.s + b.be[-1] - z.al[-1])), 3) AS expected
+FROM sub JOIN pv USING (piece) JOIN fw f ON f.word = sub.word AND f.j = sub.s - 1
+JOIN bw b ON b.word = sub.word AND b.j = sub.s - 1 + sub.n JOIN fw z ON z.word = sub.word AND z.j = length(sub.word)
+GROUP BY piece""",
     "train_vocab_report": _with(NORM_DOCS, CHARVOCAB) + """SELECT true AS dense, true AS fits,
     count(*) FILTER (kind = 'normal') AS n_chars, 0::BIGINT AS n_missing FROM charvocab""",
     "layout_vocab": _with(NORM_DOCS, CHARVOCAB) + "SELECT id, piece, score, kind FROM charvocab",
