@@ -422,8 +422,8 @@ def build_lattice(words: DataFrame, pieces: DataFrame, max_piece_len: int = 16,
                                          F.coalesce(F.max(length), F.lit(0))).first()
     # of the max_piece_len substrings at a position, about a third are pieces
     cores = spark.sparkContext.defaultParallelism
-    buckets = max(3 * cores, -(-int(positions) * max_piece_len // (3 * bucket_edges)))
-    tasks = max(cores, -(-buckets // 8))
+    buckets = max(4 * cores, -(-int(positions) * max_piece_len // (3 * bucket_edges)))
+    tasks = max(4 * cores, -(-buckets // 8))   # more than cores: a hash deals buckets out unevenly
     n_segs = F.greatest(F.lit(1), (length / segment).cast("int"))
     parts = words.select("wid", "freq", "word", n_segs.alias("n_segs"),
                          F.explode(F.sequence(F.lit(0), n_segs - 1)).alias("seg"))
