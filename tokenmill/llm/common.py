@@ -129,15 +129,19 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[
         yield rest
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", task_rows: int | None = None) -> DataFrame:
     """Connected components: ``(node, component)`` for every node on an edge,
     the component being its smallest node.
 
     Alternates large-star and small-star steps; every step is a grouped
     minimum and a join, written to the shared folder, so a hub is no group in
     one task: AQE splits its side of the join. Ends when no edge changes.
+    ``task_rows`` reads the edges in as many partitions as make that many rows
+    each, so that a small graph's steps need no shuffle.
     """
     e = landed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "cc")
+    parts = max(1, -(-e.count() // task_rows)) if task_rows else None
+    e = e.coalesce(parts) if parts else e
     nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     before = None
     while True:
@@ -150,6 +154,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e2 = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")) \
             .filter("u <> v").distinct()
         e = landed(e2, "cc")
+        e = e.coalesce(parts) if parts else e
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

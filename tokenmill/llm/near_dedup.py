@@ -18,7 +18,8 @@ without listing their pairs:
 2. in each bucket every node is compared with the bucket's smallest node;
 3. links make connected components;
 4. in buckets that still hold several components, nodes are compared with two
-   random pivots, again and again, as long as that joins many;
+   random pivots, again and again, as long as that joins many (at most
+   ``PIVOT_TURNS`` times);
 5. in what is left, sizes and sketches (a byte per register) of all nodes of
    different components are compared, a large bucket as pairs of blocks. Sizes
    must allow the similarity, and at least 60 of 100 registers must agree; the
@@ -129,6 +130,8 @@ _SIGNED = "struct<same:long,n:long,bands:array<long>,sketch:binary>"
 BLOCK = 2048      # nodes of a bucket that one task compares with as many others
 AGREE = 0.6       # share of registers that agree at least, at similarity 0.8
 _SLICE = 64
+GRAPH_ROWS = 50_000   # links that one task of a components step reads
+PIVOT_TURNS = 4   # what they leave apart is compared by sketches
 
 
 def signed(df: DataFrame, text: str = "text", registers: int = REGISTERS, rows: int = BAND_ROWS) -> DataFrame:
@@ -207,11 +210,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _with_components(held: DataFrame, comp: DataFrame) -> DataFrame:
-    return held.join(comp, "node", "left").select("key", "c", "node", F.coalesce("component", "node").alias("comp"))
+    return held.join(comp, "node").select("key", "c", "node", F.col("component").alias("comp"))
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    return landed(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "classes")
+    """``comp`` after ``links``: components of the links between components, then one join."""
+    a, b = comp.toDF("a", "ca"), comp.toDF("b", "cb")
+    between = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
+    to = components(between, task_rows=GRAPH_ROWS).toDF("component", "to")
+    return landed(comp.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "classes")
 
 
 def _candidates(t: pa.Table, similarity: float, agree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,9 +303,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = numbered(docs)
     sig = landed(signed(rows.select(F.col(doc_id).alias("id"), "_row", F.col(text).alias("t")), "t", registers,
                         band_rows).drop("t"), "signatures")
-    nodes = sig.filter("s.n > 0").groupBy(F.col("s.same").alias("node")).agg(
+    nodes = landed(sig.filter("s.n > 0").groupBy(F.col("s.same").alias("node")).agg(
         F.min("_row").alias("_row"), F.first("s.bands").alias("bands"), F.first("s.n").alias("n"),
-        F.first("s.sketch").alias("sketch"))
+        F.first("s.sketch").alias("sketch")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("c"), F.count(F.lit(1)).alias("n")) \
         .filter("n > 1").drop("n")
@@ -310,11 +317,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     link = F.col("low") >= F.col("high") * F.lit(similarity) - 1e-9
     star = held.filter("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
     near = landed(verified(star, texts), "star")
-    comp = landed(components(near.filter(link)), "classes")
+    comp = landed(held.select("node").distinct().join(components(near.filter(link), task_rows=GRAPH_ROWS), "node", "left")
+                  .select("node", F.coalesce("component", "node").alias("component")), "classes")
 
     # random pivots join what the centre left apart, as long as they find many links
     turn, tested, joined = 0, 1, 1
-    while joined * 20 >= tested > 0:
+    while joined * 20 >= tested > 0 and turn < PIVOT_TURNS:
         seen = _with_components(held, comp)
         pivots = seen.select("key", F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp").alias("p")) \
             .groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high"))
