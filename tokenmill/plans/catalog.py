@@ -317,11 +317,6 @@ def q_train_vocab(spark, d, vocab_size: int = 1000):
     return v.select("id", "piece", round6("score").alias("score"), "kind")
 
 
-def q_train_vocab_full(spark, d):
-    """The size of the reference configuration."""
-    return q_train_vocab(spark, d, vocab_size=32_000)
-
-
 def q_train_vocab_report(spark, d, vocab_size: int = 1000):
     """What any trained vocabulary must fulfil: dense ids, no more than asked
     for, and every character of the corpus a piece."""
@@ -336,6 +331,11 @@ def q_train_vocab_report(spark, d, vocab_size: int = 1000):
                  missing.select(F.count(F.lit(1))).scalar().alias("n_missing"))
 
 
+def q_train_vocab_full(spark, d):
+    """The same report on a vocabulary of the reference configuration's size."""
+    return q_train_vocab_report(spark, d, vocab_size=32_000)
+
+
 def q_layout_vocab(spark, d):
     return fx.charvocab(spark, d)
 

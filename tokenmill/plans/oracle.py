@@ -286,6 +286,8 @@ JOIN bw b ON b.word = sub.word AND b.j = sub.s - 1 + sub.n JOIN fw z ON z.word =
 GROUP BY piece""",
     "train_vocab_report": _with(NORM_DOCS, CHARVOCAB) + """SELECT true AS dense, true AS fits,
     count(*) FILTER (kind = 'normal') AS n_chars, 0::BIGINT AS n_missing FROM charvocab""",
+    "train_vocab_full": _with(NORM_DOCS, CHARVOCAB) + """SELECT true AS dense, true AS fits,
+    count(*) FILTER (kind = 'normal') AS n_chars, 0::BIGINT AS n_missing FROM charvocab""",
     "layout_vocab": _with(NORM_DOCS, CHARVOCAB) + "SELECT id, piece, score, kind FROM charvocab",
     "tokenizer_info": _with(NORM_DOCS, CHARVOCAB) + """SELECT count(*) AS vocab_size,
     CAST(coalesce(max(CASE WHEN kind = 'unk' THEN id END), -1) AS INTEGER) AS unk_id,
