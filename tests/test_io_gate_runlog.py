@@ -1,5 +1,6 @@
 import datetime
 import os
+import random
 import tempfile
 
 import pandas as pd
@@ -150,3 +151,73 @@ def test_land_if_absent_keeps_first(spark):
     io.land_if_absent(spark.range(3), path)
     io.land_if_absent(spark.range(10), path)
     assert spark.read.parquet(path).count() == 3
+
+
+@pytest.fixture()
+def small_ranges(spark):
+    """Byte ranges of 150 bytes."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "150" if "max" in k else "1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_read_lines_by_ranges_as_text_mode(spark, small_ranges):
+    d = tempfile.mkdtemp(dir="/tmp")
+    rng = random.Random(7)
+    files = ["", "a", "a\n", "\n", "\r", "a\r", "a\r\r\n", "\r\n\r\n", "\ufeffx\ny", "\ufeff\n", "é\u2028z\r\nq"]
+    files += ["".join(rng.choice(["word ", "\n", "\r\n", "\r", "ñ", "\t", "long" * 15]) for _ in range(400)) for _ in range(6)]
+    for k, t in enumerate(files):
+        with open(f"{d}/{k}.txt", "wb") as f:
+            f.write(t.encode())
+    df = io.read_lines(spark, d)
+    got = {}
+    for r in df.collect():
+        got.setdefault(os.path.basename(r.file), {})[r.line_no] = r.line
+    for k in range(len(files)):
+        with open(f"{d}/{k}.txt", encoding="utf-8") as f:
+            want = f.readlines()
+        assert got.get(f"{k}.txt", {}) == dict(enumerate(want)), files[k]
+    assert spark.read.option("lineSep", "\n").text(f"{d}/16.txt").rdd.getNumPartitions() > 4
+
+
+def test_csv_by_ranges_equals_pandas(spark, small_ranges):
+    rng = random.Random(3)
+    cells = ["", "x", "NA", '"', '""', "a,b", "line1\nline2", "\n", '"\n"', " lead ", "back\\slash", "ü" * 9, "t\r\nu",
+             "\n".join(f"row {i}, \"q\"" for i in range(40))]
+    pdf = pd.DataFrame({c: [rng.choice(cells) for _ in range(120)] for c in ("a", "b c")})
+    pdf.insert(0, "id", [str(i) for i in range(120)])
+    d = tempfile.mkdtemp(dir="/tmp")
+    pdf[:80].to_csv(f"{d}/1.csv", index=False)
+    pdf[80:].to_csv(f"{d}/2.csv", index=False, lineterminator="\r\n")
+    want = pd.concat([pd.read_csv(f"{d}/{k}.csv", dtype=str, na_filter=False) for k in (1, 2)])
+    for columns in (None, ["id", "a", "b c"]):
+        df = io.read_text_csv(spark, d, columns=columns)
+        assert df.columns == ["id", "a", "b c"]
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.values.tolist()))
+    one = io.read_csv_records(spark, f"{d}/1.csv")
+    assert one.count() == 81
+
+
+def test_csv_header_only_and_empty_cells(spark):
+    d = tempfile.mkdtemp(dir="/tmp")
+    with open(f"{d}/h.csv", "w") as f:
+        f.write("a,b\n")
+    assert io.read_text_csv(spark, d).count() == 0
+    with open(f"{d}/i.csv", "w") as f:
+        f.write('a,b\n\n"",\n')
+    assert [tuple(r) for r in io.read_text_csv(spark, d).collect()] == [("", "")]
+
+
+def test_land_if_absent_lands_half_written_target_again(spark):
+    path = scratch_path(spark, "t_half")
+    spark.range(5).write.parquet(path)
+    os.unlink(f"{path}/_SUCCESS")           # as a failed job leaves it
+    io.land_if_absent(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3
+    io.land_if_absent(spark.range(10), path)
+    assert spark.read.parquet(path).count() == 3
+    assert [f for f in os.listdir(os.path.dirname(path)) if f.startswith(".t_half")] == []

@@ -57,12 +57,14 @@ def epoch_batches(df: DataFrame, keys: list[str], epochs: int, batch_size: int,
                   seed=42, ids: str = "ids") -> DataFrame:
     """E3 → E4 → G1/G2 → G5 as one plan that moves little data.
 
-    The fixed-length pairs are built once per row (2 × ``seq_len`` ids,
-    whatever the document length), the per-epoch order is computed on the
-    keys alone, and the two meet in one join on the key: token lists are
-    never replicated per epoch before the shuffle.
+    One padded list of ``seq_len + 1`` ids is built per row, whatever the
+    document length, the per-epoch order is computed on the keys alone, and
+    the two meet in one join on the key: token lists are never replicated per epoch
+    before the join, and ``x`` and ``y`` are sliced behind the last exchange.
     """
     from tokenmill.operators.order import assign_batches, epoch_shuffle
-    pairs = shift_pair(df.select(*keys, ids), seq_len, pad_id, ids=ids)
+    padded = pad_or_cut(df.select(*keys, ids), seq_len, pad_id, ids=ids, out="_p").drop(ids)
     plan = assign_batches(epoch_shuffle(df.select(*keys), keys, epochs, seed=seed), batch_size)
-    return build_batches(plan.join(pairs, on=keys, how="inner"), cols=(*keys, "x", "y"))
+    got = build_batches(plan.join(padded, on=keys, how="inner"), cols=(*keys, "_p"))
+    return got.select("epoch", "batch_id", *keys, F.transform("_p", lambda p: F.slice(p, 1, seq_len)).alias("x"),
+                      F.transform("_p", lambda p: F.slice(p, 2, seq_len)).alias("y"), "n_pairs")

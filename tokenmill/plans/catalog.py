@@ -549,10 +549,12 @@ def q_sample_token(spark, d):
 
 
 def q_force_prompt(spark, d):
-    m = decoding.prompt_matrix(_encoded_prompts(spark, d), fx.PAD_ID)
-    m = m.withColumn("cur_pos", F.col("min_len"))
-    m = m.withColumn("_last", F.try_element_at("tokens", F.col("cur_pos").cast("int")).cast("long"))
-    j = m.join(fx.candidates(spark, d).withColumnRenamed("vec_id", "_last"), on="_last", how="left")
+    """The step's candidate is the prompt's own next id: its reply's, or eos."""
+    model = _charvocab_model(spark, d)
+    m = decoding.prompt_matrix(_encoded_prompts(spark, d, model), fx.PAD_ID).withColumn("cur_pos", F.col("min_len"))
+    own = _completed(spark, d, model).select("prompt_id", F.col("tokens").alias("_own"))
+    j = m.join(own, "prompt_id", "left") \
+        .withColumn("candidate", F.try_element_at("_own", (F.col("cur_pos") + 1).cast("int")))
     nxt = decoding.force_prompt("tokens", "is_prompt", "cur_pos", "candidate")
     return j.select("prompt_id", "cur_pos", nxt.cast("int").alias("token"),
                     F.try_element_at("is_prompt", (F.col("cur_pos") + 1).cast("int")).alias("forced"))

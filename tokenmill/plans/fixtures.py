@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.exprs import words_of
 from tokenmill.operators.codec import normalise_text
-from tokenmill.operators.scoring import argmax
 from tokenmill.operators.vocab import char_vocab, layout_vocab, seed_pieces, word_counts
 from tokenmill.session import cut_lineage, table_path
 
@@ -145,12 +144,6 @@ def context_ids():
                    ((F.col("vec_id") * 7) % 64).cast("int"))
 
 
-def candidates(spark, sf_dir) -> DataFrame:
-    """CANDIDATES: each embedding's top id, as the next-token choice of a prompt."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", argmax(F.col("embedding").cast("array<double>")).alias("candidate"))
-
-
 def runlog_steps(spark, sf_dir) -> DataFrame:
     """Step-level metric log from ``events``."""
     e = table(spark, sf_dir, "events")

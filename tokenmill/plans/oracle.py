@@ -376,11 +376,10 @@ GROUP BY epoch, batch_id""",
     CAST(('0x' || substr(md5('42:0:' || CAST(vec_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM kept)""")
     + """SELECT vec_id, CAST(coalesce(arg_min(token_id, rank) FILTER (WHERE cum > u), arg_max(token_id, rank)) AS INTEGER) AS token
 FROM c GROUP BY vec_id""",
-    "force_prompt": _with(*_PROMPT_CTES, """sc AS (SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS candidate
-  FROM embeddings)""") + """SELECT pm.prompt_id, pm.min_len AS cur_pos,
-    CAST(CASE WHEN tokens[min_len + 1] <> 3 THEN tokens[min_len + 1] ELSE sc.candidate END AS INTEGER) AS token,
-    tokens[min_len + 1] <> 3 AS forced
-FROM pm LEFT JOIN sc ON sc.vec_id = tokens[min_len]""",
+    "force_prompt": _with(*_PROMPT_CTES, *_COMP_CTES[2:]) + """SELECT pm.prompt_id, pm.min_len AS cur_pos,
+    CAST(CASE WHEN pm.tokens[min_len + 1] <> 3 THEN pm.tokens[min_len + 1] ELSE comp.tokens[min_len + 1] END AS INTEGER) AS token,
+    pm.tokens[min_len + 1] <> 3 AS forced
+FROM pm LEFT JOIN comp USING (prompt_id)""",
     "stop_ids": _with(*_COMP_CTES) + """SELECT batch_id, bool_and(coalesce(list_has_any(tokens[n_input + 1:],
     (SELECT list(id) FROM charvocab WHERE kind = 'normal' AND piece IN ('.', '!'))), false)) AS stop, count(*) AS n_rows
 FROM comp GROUP BY batch_id""",

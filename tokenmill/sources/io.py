@@ -6,12 +6,15 @@ Readers stay lazy; writers are actions and return the written path.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenmill.sources.ranges import read_csv_records, read_lines
+
 __all__ = [
     "read_text_csv", "write_text_csv", "read_parquet", "write_parquet",
     "read_lines", "write_lines", "read_word_list", "read_tokenized",
@@ -24,6 +27,8 @@ __all__ = [
 _CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
              "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "false",
              "ignoreTrailingWhiteSpace": "false"}
+#: Written last into a folder, so its table is whole.
+_MARKER = "_SUCCESS"
 _CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "false",
               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
               "emptyValue": '""'}
@@ -32,14 +37,21 @@ _CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "false"
 def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A1: header CSV, every column a string, empty cells ``''``, ``NA`` kept.
 
+    Files are read by byte ranges, whatever line ends their cells hold, so one
+    large file is many tasks; each file's first record is its header. Empty
+    lines are skipped, a record of another number of cells is an error, and
+    ``\\r\\n`` ends a record as ``\\n`` does.
     With ``columns`` the schema is fixed up front (no header inference pass).
     """
-    r = spark.read.options(**_CSV_READ)
     if columns is None:
-        header = spark.read.options(**_CSV_READ).csv(path).columns
-        columns = header
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    return r.schema(schema).csv(path).na.fill("")
+        columns = spark.read.options(**_CSV_READ).csv(path).columns
+    ddl = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
+    # the record is whole: its own line ends are content
+    options = {k: v for k, v in _CSV_READ.items() if k not in ("header", "multiLine")}
+    text = F.regexp_replace("text", r"\r\z", "")
+    return (read_csv_records(spark, path).filter("not (block = 0 and seq = 0)").select(text.alias("text"))
+            .filter("text <> ''").select(F.from_csv("text", ddl, {**options, "lineSep": "\u0001"}).alias("r"))
+            .select("r.*").na.fill(""))
 
 
 def write_text_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -70,27 +82,6 @@ def write_lines(df: DataFrame, text_col: str, path: str, mode: str = "overwrite"
     return path
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A3: ``readlines()`` semantics per file: line ends kept.
-
-    Each file is split on ``\\n``; every piece but the last gets its
-    ``\\n`` back; a last piece of ``''`` (file ended with a newline) is
-    dropped. Output ``(file, line_no, line)``; ``line_no`` from 0.
-
-    Files are read whole (one row each, so each file must stay below the
-    2 GB row limit), which is what a line file of prompts is: many small
-    files, one per writer task, read in parallel.
-    """
-    raw = spark.read.text(path, wholetext=True) \
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    parts = raw.select("file", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "piece"),
-                       F.size(F.split("value", "\n", -1)).alias("n_pieces"))
-    last = F.col("line_no") == F.col("n_pieces") - 1
-    return (parts.filter(~(last & (F.col("piece") == "")))
-            .select("file", F.col("line_no").cast("long").alias("line_no"),
-                    F.when(last, F.col("piece")).otherwise(F.concat("piece", F.lit("\n"))).alias("line")))
-
-
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     """A4: header skipped; first field → ``word``, the rest → ``attrs``.
 
@@ -146,8 +137,29 @@ def read_splits(spark: SparkSession, path: str, splits: list[str] | None = None,
 
 
 def land_if_absent(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """A10: write only when the target does not exist yet."""
-    df.write.mode("ignore").format(fmt).save(path)
+    """A10: write only when the target does not exist yet.
+
+    The table is written beside the target and renamed when it is whole, so
+    a target either has its commit marker or is what a failed job left: one
+    without marker is landed again. When two jobs land the same target, the first stays.
+    """
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hadoop(target, _MARKER)):
+        return path
+    name = f".{target.getName()}-{uuid.uuid4().hex[:12]}"
+    staged = hadoop(target.getParent(), name) if target.getParent() else hadoop(name)
+    df.write.format(fmt).save(staged.toString())
+    if not fs.exists(hadoop(staged, _MARKER)):      # the session may write none itself
+        fs.create(hadoop(staged, _MARKER)).close()
+    if fs.exists(target) and not fs.exists(hadoop(target, _MARKER)):
+        fs.delete(target, True)
+    if fs.exists(target) or not fs.rename(staged, target):
+        fs.delete(staged, True)
+        if not fs.exists(hadoop(target, _MARKER)):
+            raise OSError(f"{path}: could not be landed")
     return path
 
 
