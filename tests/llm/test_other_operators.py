@@ -204,3 +204,79 @@ def test_pipeline_stages_on_edge_rows(spark, empty):
 def test_every_operator_is_registered():
     assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_|", k)[0] for k in queries.QUERIES}
     assert "pipeline" in queries.QUERIES and set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+WORDS20 = ("word " * 20).strip()
+ATTRIBUTES = [
+    (f"<article><p title=it's>{WORDS20}</p><p>can't end</p></article>", WORDS20 + "\ncan't end"),
+    (f'<article><p class="x>{WORDS20}</p></article>', WORDS20),
+    (f"<article><p title='a > b' data-x=\"<p class='ad'>\">{WORDS20}</p></article>", WORDS20),
+    (f"<article><p title=\"x class=ad hidden\">{WORDS20}</p></article>", WORDS20),
+    (f"<article><section class='search-results'><p>{WORDS20}</p></section><section class='copyright-law'>law</section></article>",
+     WORDS20 + "\nlaw"),
+    (f"<article><p>{WORDS20} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>", WORDS20 + " x=1"),
+    (f"<article><p>{WORDS20} a < b &lt; c</p><div class='ad-box'>buy</div><div class=cookie_notice_bar>ok</div></article><p cla",
+     WORDS20 + " a < b < c"),
+]
+
+
+def test_pages_attribute_values_and_names(spark):
+    d = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(ATTRIBUTES)], "page_id long, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(d, ({}, {}, (1.0, -0.5))).collect()}
+    assert got == {k: t for k, (_, t) in enumerate(ATTRIBUTES)}
+
+
+def test_pages_stray_tags_and_deep_stacks_take_linear_time():
+    """A quadratic search of the stack would take minutes."""
+    import time
+    n = 100_000
+    start = time.monotonic()
+    for page in ("<div>" * n + "</p>" * n, "<b>" * n + "x </i>" * n, "<p a='>" * n, "<li><div>" + "<b>" * n + "<li></li>" * n):
+        html_text.Page(page)
+    assert time.monotonic() - start < 30
+
+
+def test_best_region_equals_all_ranges():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        tokens = [("word", "p", int(rng.integers(1, 4)), 0, -1) if rng.random() < 0.5 else
+                  ("loose", "div", 1, -1, -1) if rng.random() < 0.05 else ("tag", rng.choice(["p", "b", "/p"]), 1, -1, -1)
+                  for _ in range(rng.integers(0, 25))]
+        words, tags, other = {"p": 0.7}, {"p": -1.0, "/p": -0.25}, (0.5, -0.4)
+        gain = [-html_text.LOOSE_COST if k == "loose" else 0.7 * n if k == "word" else tags.get(f, -0.4) for k, f, n, *_ in tokens]
+        best = max([0.0, *(sum(gain[a:b]) for a in range(len(gain)) for b in range(a + 1, len(gain) + 1))])
+        got, a, b = html_text._best_region(tokens, words, tags, other)
+        assert abs(got - best) < 1e-9 and abs(sum(gain[a:b]) - best) < 1e-9
+
+
+def test_label_sample_is_of_distinct_pages(spark):
+    """However many copies a page has, it counts once, and the sample is the first ones by hash."""
+    pages = [f"<article><p>page {k} text</p></article><p>out {k}</p>" for k in range(30)]
+    d = spark.createDataFrame([(p,) for p in pages + pages[:1] * 50], "html string")
+    one = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert html_text.learn_weights(d) == html_text.learn_weights(one)
+    first = [r.html for r in one.orderBy(F.xxhash64("html")).limit(7).collect()]
+    assert html_text.learn_weights(d, sample=7) == html_text.learn_weights(spark.createDataFrame([(p,) for p in first], "html string"))
+
+
+def test_numbered_rows_that_are_not_file_rows(spark):
+    """An exploded, a united and a filtered scan; columns with clashing names."""
+    from tokenmill.llm.common import numbered
+    scan = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    n = scan.count()
+    for d, rows in ((scan, n), (scan.filter("doc_id >= 0").select("doc_id"), n), (scan.union(scan), 2 * n),
+                    (scan.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")), 2 * n),
+                    (scan.select("doc_id", F.lit(1).alias("_metadata")), n)):
+        got = numbered(d)
+        assert got.columns == [*d.columns, "_row"]
+        assert got.count() == rows == got.select("_row").distinct().count()
+
+
+def test_conversations_with_clashing_columns(spark):
+    d = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    names = ["before", "after", "merged", "closing", "_step", "block", "_metadata", "f", "conv"]
+    more = d.withColumns({c: F.lit(f"own {c}") for c in names}).withColumn("cost", F.lit("gone"))
+    got = chat_format.repaired(more, block_rows=50)
+    assert set(names) <= set(got.columns) and got.filter(" or ".join(f"{c} <> 'own {c}'" for c in names)).isEmpty()
+    cols = ["conv_id", "turn", "role_out", "action", "n_inserted", "cost", "rendered"]
+    assert got.select(cols).exceptAll(chat_format.repaired(d).select(cols)).isEmpty()

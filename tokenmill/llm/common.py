@@ -35,20 +35,47 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bare_scan(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is one row of a file: only columns and filters stand above the scan."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation") or plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def private(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """Add a row's identity: its file (as a hash) and its place in that file.
 
     Unlike generated ids it doesn't depend on how a scan is split into tasks,
     so it stays the same over jobs, retries and lost executors. A table that
-    isn't read from files is written to the shared folder first.
+    isn't read from files row by row (a join, a union, an ``explode``) is written to the
+    shared folder first, as is one with a column named ``_metadata``.
     """
-    try:
-        got = df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"),
-                                           F.col("_metadata.row_index").alias("i")))
-        got.schema  # noqa: B018  resolves the columns
-        return got
-    except AnalysisException:
-        return numbered(landed(df, "rows"), name)
+    meta = next((c for c in df.columns if c.lower() == "_metadata"), None)
+    if meta is None and _bare_scan(df):
+        try:
+            return _with_identity(df, name)
+        except AnalysisException:      # a scan that knows no files
+            pass
+    if meta is None:
+        return _with_identity(landed(df, "rows"), name)
+    other = private(df, "_kept_metadata")
+    return _with_identity(landed(df.withColumnRenamed(meta, other), "rows"), name).withColumnRenamed(other, meta)
+
+
+def _with_identity(df: DataFrame, name: str) -> DataFrame:
+    got = df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"),
+                                       F.col("_metadata.row_index").alias("i")))
+    got.schema  # noqa: B018  resolves the columns
+    return got
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import table
+from tokenmill.llm.common import landed, numbered, table
 from tokenmill.session import ship_code
 
 SAMPLE = 2000
@@ -45,22 +45,29 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup
 option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video select".split())
 NEVER = RAW | frozenset("head nav footer aside form button dialog menu label input datalist".split())
 CONTENT = frozenset(("article", "main"))
+SHELL = frozenset("head nav header menu title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH_ENDS = BLOCKS - {"body", "html"}
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 # words of a class or id that name a part which is never content
-PARTS = re.compile(
+_PART_WORDS = (
     r"(?:^|[-_])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|"
     r"menus?|nav(?:bar|igation)?|breadcrumbs?|sidebars?|side-?bar|aside|footers?|site-?header|page-?header|masthead|topbar|"
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|"
     r"comments?|disqus|replies|(?:share|sharing|social)[-_](?:share|sharing|links?|icons?|media|bar|buttons?|tools?)|"
     r"(?:related|recommended)[-_](?:posts?|articles?|stories|links?|content|news|items?)|"
-    r"login|search(?:box|form|bar)?|pagination|pager|toolbar|widgets?|skip-?link|copyright)(?=$|[-_])", re.I)
+    r"login|search(?:box|form|bar)?|pagination|pager|toolbar|widgets?|skip-?link|copyright)")
+# words of layout that may follow them
+_LAYOUT = (r"(?:[-_](?:box|bar|banner|container|wrapper|wrap|outer|inner|block|widget|form|section|list|area|unit|slot|links?|"
+           r"items?|content|body|top|bottom|left|right|header|footer|main|primary|secondary|text|message|panel|popup|modal|"
+           r"overlay|notice|\d+))*$")
+PARTS = re.compile(_PART_WORDS + _LAYOUT, re.I)
 # words that also name content: they cost points in the scan, and cut nothing
-LOOSE = re.compile(r"(?:^|[-_])(?:responses|discussion|share|sharing|social|related|recommended|recommendations|legal)(?=$|[-_])",
+LOOSE = re.compile(_PART_WORDS + r"(?=$|[-_])|"
+                   r"(?:^|[-_])(?:responses|discussion|share|sharing|social|related|recommended|recommendations|legal)(?=$|[-_])",
                    re.I)
 # names that tell of a part elsewhere, or of a state
 STATES = re.compile(r"(?:has|no|not|non|with|without|is|category|tag|type|format|status)[-_]|"
@@ -69,9 +76,11 @@ STATES = re.compile(r"(?:has|no|not|non|with|without|is|category|tag|type|format
 ASIDES = frozenset("comment comments comment-body reply ad advert advertisement sponsored".split())
 LOOSE_COST = 3 * TAG_COST
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
-                    re.S)
-_ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# a quote opens a value only behind "=", where HTML lets it; a quote that nothing closes is a character of the value
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<\?[^>]*>|"
+                    r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!/][^>]*>|([^<]+|<)", re.S)
+_ATTR = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_KEYS = frozenset("class id role style aria-hidden hidden".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -81,9 +90,9 @@ def _is_part(name: str, attrs: str) -> tuple[bool, bool, bool]:
     sure = named = loose = False
     for m in _ATTR.finditer(attrs):
         key = m[1].lower()
-        if attrs[m.start() - 1:m.start()] not in ("", " ", "\n", "\t", "\r", "/", '"', "'"):
+        if key not in _KEYS:
             continue
-        value = m[2] or m[3] or m[4] or ""
+        value = m[2] or m[3] or (m[4] or "").strip("\"'")
         if key in ("class", "id"):
             for x in _CAMEL.sub("-", value).split():
                 if name in CONTENT:
@@ -119,9 +128,12 @@ class Page:
         self.blocks: list[list[str]] = [[]]
         self.homes: list[int] = [-1]     # content element of each block
         self.contents = 0
-        # name, part that is left out, content element, left out by class or id alone, hint at a part
-        self._stack: list[tuple[str, bool, int, bool, bool]] = []
-        self._out = 0
+        # name, part that is left out, content element, left out by class or id alone, hint at a part, and the
+        # places in the stack of the nearest block and of the nearest block or link, itself included
+        self._stack: list[tuple[str, bool, int, bool, bool, int, int]] = []
+        self._names: Counter = Counter()     # open elements by name, so that no stray tag searches the stack
+        self._out = 0                        # open parts
+        self._hard = 0                       # those that not only a class or id names
 
     def _home(self) -> int:
         return self._stack[-1][2] if self._stack else -1
@@ -134,34 +146,42 @@ class Page:
             self.homes[-1] = self._home()
 
     def _close_to(self, depth: int) -> None:
-        for _, part, home, _, loose in self._stack[depth:]:
+        for name, part, home, soft, loose, *_ in self._stack[depth:]:
+            self._names[name] -= 1
             self._out -= part
+            self._hard -= part and not soft
             if loose and not self._out:
                 self.tokens.append(("loose", "/", 1, -1, home))
         del self._stack[depth:]
 
+    def _push(self, name: str, part: bool, home: int, soft: bool, loose: bool) -> None:
+        at = len(self._stack)
+        block, near = self._stack[-1][5:] if at else (-1, -1)
+        self._stack.append((name, part, home, soft, loose, at if name in BLOCKS else block,
+                            at if name in BLOCKS or name == "a" else near))
+        self._names[name] += 1
+        self._out += part
+        self._hard += part and not soft
+
     def _open(self, name: str, attrs: str) -> None:
         block = name in BLOCKS
         if name in PARAGRAPH_ENDS or name == "li":
             # an open paragraph ends before a block; a list item before the next
-            for k in range(len(self._stack) - 1, -1, -1):
-                if self._stack[k][0] == "p" or name == "li" and self._stack[k][0] == "li":
-                    self._close_to(k)
-                    break
-                if self._stack[k][0] in BLOCKS:
-                    break
-        if name in CONTENT:
+            k = self._stack[-1][5] if self._stack else -1
+            if k >= 0 and (self._stack[k][0] == "p" or name == "li" and self._stack[k][0] == "li"):
+                self._close_to(k)
+        if name in CONTENT and self._out and any(self._names[n] for n in SHELL):
             # a menu or header left open ends where the content starts
             for k, (n, part, *_) in enumerate(self._stack):
-                if part and n in ("head", "nav", "header", "menu", "title"):
+                if part and n in SHELL:
                     self._close_to(k)
                     break
         home = self._home()
         sure, named, loose = _is_part(name, attrs) if attrs else (False, False, False)
-        if name in CONTENT and home < 0 and not sure and (named or self._out) \
-                and all(soft for _, part, _, soft, _ in self._stack if part):
+        if name in CONTENT and home < 0 and not sure and (named or self._out) and not self._hard:
             if name == "main" or self._rescue:
-                self._stack = [(n, part and not soft, h, False, lo) for n, part, h, soft, lo in self._stack]
+                if self._out:
+                    self._stack = [(n, False, h, False, *rest) for n, _, h, _, *rest in self._stack]
                 self._out, named = 0, False
             else:
                 self._missed = True
@@ -176,19 +196,17 @@ class Page:
         loose = loose and not part and home < 0
         if loose and not self._out:
             self.tokens.append(("loose", name, 1, -1, home))
-        entry = (name, part, home, part and not sure, loose)
-        if block and not self._out:
-            if name not in VOID:
-                self._stack.append(entry)
-                self._out += part
+        shown = not self._out
+        if name not in VOID:
+            self._push(name, part, home, part and not sure, loose)
+        if block and shown:
             self._cut()
-        elif name not in VOID:
-            self._stack.append(entry)
-            self._out += part
         if self._out <= part:
             self.tokens.append(("tag", name, 1, -1, home))
 
     def _close(self, name: str) -> None:
+        if not self._names[name]:
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] == name:
                 before = self._out
@@ -204,7 +222,8 @@ class Page:
         self.blocks[-1].append(text)
         n = len(text.split())
         if n:
-            near = next((x[0] for x in reversed(self._stack) if x[0] in BLOCKS or x[0] == "a"), "body")
+            k = self._stack[-1][6] if self._stack else -1
+            near = self._stack[k][0] if k >= 0 else "body"
             self.tokens.append(("word", near, n, len(self.blocks) - 1, self._home()))
 
     def _read(self, page: str) -> None:
@@ -280,11 +299,19 @@ def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_weights(pages: DataFrame, html: str = "html", sample: int = SAMPLE):
-    """Scores of words and costs of tags, from the ``sample`` labelled pages
-    that come first by the hash of their html."""
+    """Scores of words and costs of tags, from the ``sample`` distinct labelled
+    pages that come first by the hash of their html. Only hashes and row
+    identities are ordered, and of them those below a bound that the number
+    of distinct ones gives; the pages chosen are fetched by their identity."""
     ship_code(pages.sparkSession)
-    labelled = pages.filter(F.col(html).rlike(r"(?i)<(article|main)[\s>]")).select(F.col(html).alias("html")) \
-        .orderBy(F.xxhash64("html")).limit(sample)
+    rows = numbered(pages.select(F.col(html).alias("html")))
+    marks = landed(rows.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
+                   .select(F.xxhash64("html").alias("h"), "_row"), "labelled")
+    distinct = marks.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    share = min(1.0, 2 * sample / max(distinct, 1))      # twice as many as needed, so the estimate's error is covered
+    bound = min(2 ** 63 - 1, int(share * 2 ** 64) - 2 ** 63)
+    chosen = marks.filter(F.col("h") <= bound).groupBy("h").agg(F.min("_row").alias("_row")).orderBy("h").limit(sample)
+    labelled = rows.join(F.broadcast(chosen.select("_row")), "_row", "left_semi").select("html")   # ``sample`` rows
     counts = labelled.mapInArrow(_count_pages, "kind string, feature string, inside boolean, n long") \
         .groupBy("kind", "feature").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"),
                                         F.sum("n").alias("n")).collect()
