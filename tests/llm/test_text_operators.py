@@ -212,6 +212,15 @@ def test_secrets_and_ledger(spark):
     assert secrets.scan_new(more, seen).select("blob").distinct().count() == 1
 
 
+def test_secrets_with_clashing_columns(spark):
+    d = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
+    more = d.withColumns({c: F.lit("own") for c in ("found", "blob", "spans", "have", "r")})
+    got = secrets.findings_by_path(more, secrets.scan_new(more))
+    assert {r.doc_id: r.s for r in got.select("doc_id", secrets._joined(F.col("found")).alias("s")).collect()} \
+        == {k: brute_secrets(t) for k, t in enumerate(SECRETS)}
+    assert got.filter("spans = 'own' and have = 'own' and r = 'own'").count() == len(SECRETS)
+
+
 # --- line chunks
 
 def test_line_chunks_edges(docs, empty):

@@ -93,7 +93,7 @@ def findings_by_path(docs: DataFrame, ledger: DataFrame, text: str = "text") ->
     """Every row of ``docs`` with ``found``: all spans of its blob, by start and rule order."""
     per_blob = ledger.filter(F.size("spans") > 0).groupBy("blob") \
         .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
-    return docs.withColumn("blob", blob_id(text)).join(per_blob, "blob", "left") \
+    return docs.drop("found").withColumn("blob", blob_id(text)).join(per_blob, "blob", "left") \
         .withColumn("found", F.coalesce("found", F.array().cast(_SPANS)))
 
 
