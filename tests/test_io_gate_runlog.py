@@ -221,3 +221,33 @@ def test_land_if_absent_lands_half_written_target_again(spark):
     io.land_if_absent(spark.range(10), path)
     assert spark.read.parquet(path).count() == 3
     assert [f for f in os.listdir(os.path.dirname(path)) if f.startswith(".t_half")] == []
+
+
+def test_gate_progress_every_n_prompts(spark):
+    """Steps go on over batches and restarts; a replayed batch writes nothing twice."""
+    rows = [(f"p{i}", "the cat" if i % 3 else f"zebra {i}", i) for i in range(40)]
+    wl = spark.createDataFrame([("the",), ("cat",)], "word string")
+    src, sink, ck = (scratch_path(spark, n) for n in ("t_psrc", "t_psink", "t_pck"))
+    schema = "prompt_id string, text string, part long"
+
+    def more(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        gate_stream.start_gate_stream(spark, src, schema, wl, sink, ck, "prompt_id", every=4).awaitTermination()
+        return gate_stream.read_gate_sink(spark, sink)
+
+    for upto, part in ((17, rows[:17]), (18, rows[17:18]), (40, rows[18:])):      # the middle one has no clear prompt or no flagged one
+        got = more(part)
+        assert got.count() == upto == got.select("prompt_id").distinct().count()
+    flagged = sum(t.startswith("zebra") for _, t, _ in rows)
+    want = {s: [4] * (n // 4) + ([n % 4] if n % 4 else []) for s, n in (("flagged", flagged), ("clear", 40 - flagged))}
+    steps = {s: [r.n_prompts for r in gate_stream.gate_progress(got, 4).filter(F.col("status") == s).orderBy("progress").collect()]
+             for s in want}
+    assert steps == want
+    before = sorted(map(tuple, got.collect()))
+    last = got.agg(F.max("batch_id")).first()[0]
+    assert last == 2
+    gate_stream.write_gate_batch(spark.createDataFrame(rows[18:], schema), last, wl, sink, "prompt_id", every=4)
+    assert sorted(map(tuple, gate_stream.read_gate_sink(spark, sink).collect())) == before
+    gate_stream.write_gate_batch(spark.createDataFrame([], schema), 3, wl, sink, "prompt_id", every=4)
+    gate_stream.write_gate_batch(spark.createDataFrame([("new", "the", 0)], schema), 4, wl, sink, "prompt_id", every=4)
+    assert gate_stream.read_gate_sink(spark, sink).filter("prompt_id = 'new'").first().position == 40 - flagged

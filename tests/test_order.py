@@ -92,3 +92,13 @@ def test_key_order_with_a_hot_first_key(spark):
     got = {(r.score, r.piece): r.idx for r in order.global_index(df, ["score", "piece"]).collect()}
     want = sorted(rows)
     assert [got[k] for k in want] == list(range(len(rows)))
+
+
+def test_buckets_grow_with_the_rows(spark):
+    df = spark.createDataFrame([(0,), (1,), (4096,), (4097,), (10 ** 12,)], "n long")
+    assert [r.d for r in df.select(order.bucket_digits(F.col("n"), 1).alias("d")).collect()] == [3, 3, 3, 4, 8]
+    assert [r.d for r in df.select(order.bucket_digits(F.col("n")).alias("d")).collect()] == [3, 3, 3, 3, 5]
+    rows = spark.range(9000).withColumnRenamed("id", "k").withColumn("g", F.col("k") % 2)
+    fine = order.global_index(rows, ["k"], seed=7, by=["g"], bucket_rows=1)
+    assert fine.exceptAll(order.global_index(rows, ["k"], seed=7, by=["g"], bucket_hex=1)).isEmpty()
+    assert order.global_index(rows.limit(0), ["k"], seed=7).isEmpty()

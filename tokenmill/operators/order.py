@@ -20,6 +20,19 @@ from tokenmill.session import cut_lineage
 _IDX = "idx"
 
 
+#: Rows of a seeded order that one window group ranks, on average.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_digits(rows, bucket_rows: int = BUCKET_ROWS):
+    """Hex digits of the hash for buckets of at most ``bucket_rows`` expected
+    rows: 3 (4,096 buckets) or as many more as it takes."""
+    out = F.lit(3)
+    for k in range(4, 9):
+        out = F.when(F.coalesce(rows, F.lit(0)) > F.lit(bucket_rows * 16 ** (k - 1)), F.lit(k)).otherwise(out)
+    return out
+
+
 def _offsets(counts: DataFrame, by: list[str]) -> DataFrame:
     """Exclusive prefix sums of bucket counts (+ group totals)."""
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -29,18 +42,25 @@ def _offsets(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def global_index(df: DataFrame, keys: list[str], seed=None, by: list[str] | None = None,
-                 idx_col: str = _IDX, bucket_hex: int = 3, with_total: str | None = None) -> DataFrame:
+                 idx_col: str = _IDX, bucket_hex: int | None = None, with_total: str | None = None,
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Dense ``0…n-1`` position under a stated total order.
 
     ``seed`` given → order by ``(md5(seed[:by]:keys), keys)`` (a seeded shuffle);
     ``seed`` None → order by ``keys`` (a total order; any orderable types).
     ``by`` restarts the numbering per group (e.g. per epoch).
+
+    A seeded order is ranked in buckets of about ``bucket_rows`` rows, whatever
+    the table's size: the largest group's rows, counted in the same plan, give the number
+    of hash digits that make a bucket (``bucket_hex`` sets it instead).
     """
     by = list(by or [])
     if seed is None:
         return _range_index(df, keys, by, idx_col, with_total)
     h = md5_key(seed, *by, *keys)
-    d = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"))
+    digits = F.lit(bucket_hex) if bucket_hex else bucket_digits(
+        df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).scalar(), bucket_rows)
+    d = df.withColumn("_h", h).withColumn("_b", F.conv(F.substr("_h", F.lit(1), digits), 16, 10).cast("long"))
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = _offsets(counts, by)
     # Offsets are one row per (group, bucket). The planner broadcasts them if

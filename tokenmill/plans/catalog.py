@@ -619,16 +619,24 @@ def q_flag_prompts(spark, d):
     return f.select("prompt_id", "status", "n_missing")
 
 
-def q_flag_stream(spark, d):
+def _gate_sink(spark, d):
     src = scratch_path(spark, "gate_src")
     p = fx.prompts(spark, d)
     # land the prompts as several files so the stream sees several micro-batches
     p.repartition(4, "batch_id").write.parquet(src)
     sink, ckpt = scratch_path(spark, "gate_sink"), scratch_path(spark, "gate_ckpt")
     q = gate_stream.start_gate_stream(spark, src, p.schema, fx.words(spark, d), sink, ckpt, "prompt_id",
-                                      max_files_per_trigger=1)
+                                      max_files_per_trigger=1, every=B)
     q.awaitTermination()
-    return gate_stream.read_gate_sink(spark, sink).select("prompt_id", "status", "n_missing")
+    return gate_stream.read_gate_sink(spark, sink)
+
+
+def q_flag_stream(spark, d):
+    return _gate_sink(spark, d).select("prompt_id", "status", "n_missing")
+
+
+def q_flag_stream_progress(spark, d):
+    return gate_stream.gate_progress(_gate_sink(spark, d), B)
 
 
 def q_stopword_coverage(spark, d):

@@ -412,3 +412,7 @@ FROM (SELECT prompt_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FR
 ORACLE["flag_stream"] = ORACLE["flag_prompts"]
 ORACLE["normalise_wide"] = ORACLE["normalise_text"]
 ORACLE["sample_sentences_cut"] = ORACLE["sample_sentences"].replace("idx < 1000000", "idx < 2000")
+ORACLE["flag_stream_progress"] = f"""WITH f AS ({ORACLE["flag_prompts"]}),
+c AS (SELECT status, count(*) AS n FROM f GROUP BY status),
+p AS (SELECT status, n, unnest(range(0, (n + 31) // 32)) AS progress FROM c)
+SELECT status, progress, least(32, n - 32 * progress) AS n_prompts, n - 32 * progress >= 32 AS full FROM p"""
