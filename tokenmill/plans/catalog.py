@@ -357,6 +357,16 @@ def q_check_added(spark, d):
     return vocab.check_added(old, new, NEW_TOKENS)
 
 
+def q_encode_added(spark, d):
+    """Question and reply around an added separator, which is one id."""
+    model = codec.CodecModel.from_vocab(vocab.add_tokens(fx.charvocab(spark, d), ["<SEP>"]))
+    t = fx.triples(spark, d).select("id", F.concat("question", F.lit("<SEP>"), "response").alias("text"))
+    sep = model.pieces["<SEP>"][0]
+    return codec.encode(t, model, out="ids", bos=True, eos=True, drop_text=True).select(
+        "id", F.size("ids").cast("long").alias("n"), F.size(F.filter("ids", lambda i: i == sep)).cast("long").alias("n_sep"),
+        ids_digest("ids").alias("digest"))
+
+
 def _encoded_docs(spark, d, model=None, bos=True, eos=True):
     model = model or _charvocab_model(spark, d)
     t = fx.text(spark, d)

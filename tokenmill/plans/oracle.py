@@ -416,3 +416,12 @@ ORACLE["flag_stream_progress"] = f"""WITH f AS ({ORACLE["flag_prompts"]}),
 c AS (SELECT status, count(*) AS n FROM f GROUP BY status),
 p AS (SELECT status, n, unnest(range(0, (n + 31) // 32)) AS progress FROM c)
 SELECT status, progress, least(32, n - 32 * progress) AS n_prompts, n - 32 * progress >= 32 AS full FROM p"""
+# the separator stands as one private character of the vocabulary
+ORACLE["encode_added"] = _with(
+    NORM_DOCS, CHARVOCAB, TRIPLES,
+    """with_sep AS (SELECT id, piece, kind FROM charvocab
+  UNION ALL SELECT CAST(max(id) + 1 AS INTEGER), chr(57344), 'normal' FROM charvocab)""",
+    "joined AS (SELECT id, replace(question || '<SEP>' || response, '<SEP>', chr(57344)) AS text FROM triples)",
+    enc("enc_s", "joined", "id", "text").replace("JOIN charvocab v", "JOIN with_sep v")) + """SELECT id, CAST(len(ids) AS BIGINT) AS n,
+    CAST(len(list_filter(ids, lambda x: x = sep)) AS BIGINT) AS n_sep,
+    md5(array_to_string(ids, ',')) AS digest FROM enc_s, (SELECT max(id) AS sep FROM with_sep)"""
