@@ -1,4 +1,9 @@
+import re
+
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tokenmill.functions.exprs import normalise_ws
@@ -51,6 +56,44 @@ def test_encode_matches_exhaustive_search(spark, model):
         assert got[i] == want, t
 
 
+def best_ids(word, pieces, unk_score, unk_id):
+    """Place by place: the best sum, of equal ones the one with the longer last piece."""
+    best, back = [0.0] + [float("-inf")] * len(word), [None] * (len(word) + 1)
+    for j in range(1, len(word) + 1):
+        for i in range(j):
+            pid, score = pieces.get(word[i:j], (-1, unk_score if j == i + 1 else float("-inf")))
+            if best[i] + score > best[j]:
+                best[j], back[j] = best[i] + score, (i, pid)
+    ids, j = [], len(word)
+    while j:
+        j, pid = back[j]
+        ids.append(pid)
+    ids.reverse()
+    return [unk_id if x < 0 else x for k, x in enumerate(ids) if x >= 0 or not k or ids[k - 1] >= 0]
+
+
+@given(st.lists(st.text("abc▁ é\n", max_size=90), max_size=8), st.dictionaries(
+    st.text("ab▁é", min_size=1, max_size=5), st.integers(-4, 0), max_size=12), st.booleans(), st.booleans())
+@settings(max_examples=150, deadline=None)
+def test_batch_segmentation_equals_brute_force(texts, scores, bos, eos):
+    rows = VOCAB[:4] + [(4 + k, p, float(s), "normal") for k, (p, s) in enumerate(scores.items())]
+    m = codec.CodecModel(rows)
+    seg = codec._Segmenter(m.payload())
+    seg._PLACES, seg._LONG, seg._BYTES = 7, 6, 20
+    want = []
+    for t in texts:
+        norm = re.sub(r"[ \n]+", " ", t).strip(" ").replace(" ", "▁")
+        ids = [best_ids("▁" + w, m.pieces, m.unk_score, 0) for w in norm.split("▁")] if norm else []
+        want.append([1] * bos + sum(ids, []) + [2] * eos)
+    assert seg.batch(pa.array(texts, pa.string()), 1 if bos else None, 2 if eos else None).to_pylist() == want
+
+
+def test_one_long_word(spark, model):
+    df = spark.createDataFrame([(0, "ab" * 200_000)], "k long, text string")
+    ids = codec.encode(df, model).collect()[0].ids
+    assert ids[0] == 8 and set(ids[1:]) == {7} and len(ids) == 200_000
+
+
 def test_encode_ends_empty_and_unknown_runs(spark, model):
     df = spark.createDataFrame([(0, ""), (1, "axyb"), (2, "zz zz")], "k long, text string")
     got = {r.k: list(r.ids) for r in codec.encode(df, model, bos=True, eos=True).collect()}

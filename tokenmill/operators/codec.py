@@ -3,19 +3,22 @@
 * ``normalise_text`` — NFKC (Arrow-batched Python: no JVM built-in) then
   whitespace rules as built-in expressions.
 * ``encode`` — ``mapInArrow`` over the text column with a broadcast
-  vocabulary; best (Viterbi) segmentation computed once per distinct word
-  per Python worker (segmentation never crosses a word start ``▁``).
+  vocabulary as a trie; the best (Viterbi) segmentations of a batch's distinct
+  words are computed together (segmentation never crosses a word start ``▁``).
   No shuffle; the vocabulary is collected only after its size is checked.
 * ``decode`` — pure Spark: id → piece through a constant array, joined.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,11 +62,6 @@ def normalise_text(df: DataFrame, text: str = "text", out: str = "norm", use_nfk
 _WS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-def _normalise_py(t: str) -> str:
-    t = _WS.sub(" ", unicodedata.normalize("NFKC", t)).strip(" ")
-    return SPACE_MARK + t.replace(" ", SPACE_MARK) if t else ""
-
-
 # --------------------------------------------------------------------------
 # vocabulary model (driver side, bounded)
 # --------------------------------------------------------------------------
@@ -109,82 +107,216 @@ class CodecModel:
         return (self._token, self.pieces, self.max_len, self.unk_id, self.unk_score, self.special)
 
 
+class PieceTrie:
+    """The pieces as a trie in flat arrays: the moves of all states, sorted by
+    (state, character). Built by levels, one sort each, without a loop over pieces."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        words = list(pieces)
+        codes, off = _code_points(words)
+        alphabet = np.unique(codes)
+        self.base = len(alphabet) + 1                # the last number: characters of no piece
+        self.number = np.full(0x110000, len(alphabet), np.int32)
+        self.number[alphabet] = np.arange(len(alphabet))
+        sym = self.symbols(codes)
+        size = np.diff(off)
+        at = np.zeros(len(words), np.int64)          # each piece's state so far
+        self.depth = int(size.max(initial=0))
+        keys, states = [], 1
+        for d in range(self.depth):
+            live = np.flatnonzero(size > d)
+            key, where = np.unique(at[live] * self.base + sym[off[live] + d], return_inverse=True)
+            keys.append(key)
+            at[live] = states + where
+            states += len(key)
+        # states are numbered level by level, in the order of their keys
+        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        self.root = np.searchsorted(self.keys, np.arange(self.base))
+        self.piece = np.full(states, -1, np.int32)
+        self.score = np.zeros(states)
+        whole = np.flatnonzero(size > 0)
+        self.piece[at[whole]] = [pieces[words[k]][0] for k in whole]
+        self.score[at[whole]] = [pieces[words[k]][1] for k in whole]
+
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        return self.number[codes].astype(np.int64)
+
+    def edges(self, sym: np.ndarray, stop: np.ndarray):
+        """All occurrences of pieces: ``(start, end, state)``; one from place
+        ``i`` ends at ``stop[i]`` at the latest."""
+        found = []
+        place = np.arange(len(sym))
+        state = np.zeros(len(sym), np.int64)
+        for d in range(self.depth):
+            ok = place + d < stop[place]
+            place, state = place[ok], state[ok]
+            key = state * self.base + sym[place + d]
+            k = self.root[key] if d == 0 else np.searchsorted(self.keys, key)
+            ok = self.keys[np.minimum(k, len(self.keys) - 1)] == key
+            place, state = place[ok], k[ok] + 1
+            if not len(place):
+                break
+            full = self.piece[state] >= 0
+            found.append((place[full], place[full] + d + 1, state[full]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all words and the words' offsets."""
+    off = np.zeros(len(words) + 1, np.int64)
+    np.cumsum([len(w) for w in words], out=off[1:])
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), off
+
+
 class _Segmenter:
-    """Viterbi segmentation of single words, cached per worker."""
+    """Best segmentations of an Arrow batch's distinct words, computed together."""
 
-    _CACHE_LIMIT = 500_000
+    #: Places of short words laid out as arrays at a time, and of one long word.
+    _PLACES = 1_000_000
+    #: Bytes of text whose words are looked at together.
+    _BYTES = 16_000_000
+    #: Words of as many characters are walked place by place, each on its own.
+    _LONG = 64
 
     def __init__(self, payload):
-        self.token, self.pieces, self.max_len, self.unk_id, self.unk_score, self.special = payload
-        self.cache: dict[str, list[int]] = {}
-
-    def word(self, w: str) -> list[int]:
-        hit = self.cache.get(w)
-        if hit is not None:
-            return hit
-        n = len(w)
-        neg = float("-inf")
-        best = [neg] * (n + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        self.token, pieces, _, self.unk_id, self.unk_score, self.special = payload
+        self.trie = PieceTrie(pieces)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after the other, and their numbers; a word is given without its word start."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        long = np.flatnonzero(size >= self._LONG).tolist()
+        got, a = [(np.zeros(0, np.int32), np.zeros(0, np.int64))], 0
+        for b in [*long, len(words)]:
+            block = np.append(0, np.cumsum(size[a:b] + 1)) // self._PLACES
+            cut = [a, *(a + np.flatnonzero(np.diff(block)) + 1).tolist(), b]
+            got += [self._short(words[x:y]) for x, y in itertools.pairwise(cut) if x < y]
+            if b < len(words):
+                got.append(self._long(SPACE_MARK + words[b]))
+            a = b + 1
+        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+    def _edges(self, sym: np.ndarray, stop: np.ndarray):
+        """``(start, end, score, id)`` of all pieces and of unknown characters (id -1)."""
+        start, end, state = self.trie.edges(sym, stop)
+        alone = np.ones(len(sym), bool)
+        alone[start[end == start + 1]] = False
+        lone = np.flatnonzero(alone)
+        return (np.concatenate([start, lone]), np.concatenate([end, lone + 1]),
+                np.concatenate([self.trie.score[state], np.full(len(lone), self.unk_score)]),
+                np.concatenate([self.trie.piece[state], np.full(len(lone), -1, np.int32)]))
+
+    def _short(self, words: list[str]):
+        """All words at once: the k-th step settles the k-th place of every word."""
+        codes, off = _code_points([SPACE_MARK + w for w in words])
+        row = np.repeat(np.arange(len(words)), np.diff(off))
+        start, end, score, pid = self._edges(self.trie.symbols(codes), off[1:][row])
+        # a word's places and one for its end, so that ends are no other word's start
+        word = row[start]
+        a, b, layer = start + word, end + word, end - off[word]
+        nodes = len(codes) + len(words)
+        # by step, end and start: of equal sums the first, with the longer piece, is taken
+        order = np.argsort((layer * nodes + b) * (self.trie.depth + 2) - (b - a))
+        a, b, score, layer = a[order], b[order], score[order], layer[order]
+        best = np.zeros(nodes)
+        via = np.zeros(nodes, np.int64)
+        cut = np.searchsorted(layer, np.arange(1, int(layer[-1]) + 2))
+        for lo, hi in itertools.pairwise(cut.tolist()):
+            total = best[a[lo:hi]] + score[lo:hi]
+            head = np.append(True, b[lo + 1:hi] != b[lo:hi - 1])
+            top = np.maximum.reduceat(total, np.flatnonzero(head))
+            group = np.cumsum(head) - 1
+            hit = np.flatnonzero(total == top[group])
+            hit = hit[np.append(True, group[hit[1:]] != group[hit[:-1]])]
+            at = b[lo + hit]
+            best[at], via[at] = top, lo + hit
+        # back from every word's end at once
+        at = off[1:] + np.arange(len(words))
+        low = off[:-1] + np.arange(len(words))
+        taken = np.zeros(nodes, np.int64)            # the edge taken from a place, plus one
+        while len(at):
+            e = via[at]
+            at = a[e]
+            taken[at] = e + 1
+            at, low = at[at > low], low[at > low]
+        at = np.flatnonzero(taken)
+        return self._joined(pid[order[taken[at] - 1]], np.repeat(np.arange(len(words)), np.diff(off) + 1)[at], len(words))
+
+    def _long(self, word: str) -> list[int]:
+        """One long word, its pieces found for a stretch of places at a time."""
+        n = len(word)
+        sym = self.trie.symbols(_code_points([word])[0])
+        best, back = [float("-inf")] * (n + 1), [(0, 0)] * (n + 1)
         best[0] = 0.0
-        pieces, maxlen = self.pieces, self.max_len
-        for i in range(n):
-            bi = best[i]
-            if bi == neg:
-                continue
-            has_char = False
-            for j in range(i + 1, min(n, i + maxlen) + 1):
-                e = pieces.get(w[i:j])
-                if e is None:
-                    continue
-                if j == i + 1:
-                    has_char = True
-                sc = bi + e[1]
-                if sc > best[j]:
-                    best[j] = sc
-                    back[j] = (i, e[0])
-            if not has_char:
-                sc = bi + self.unk_score
-                if sc > best[i + 1]:
-                    best[i + 1] = sc
-                    back[i + 1] = (i, -1)
-        out: list[int] = []
-        j = n
+        for lo in range(0, n, self._PLACES):
+            hi = min(n, lo + self._PLACES)
+            part = sym[lo:hi + self.trie.depth]
+            cols = self._edges(part, np.full(len(part), len(part)))
+            order = np.lexsort((cols[1], cols[0]))
+            order = order[cols[0][order] < hi - lo]
+            for i, j, s, k in zip(*[c[order].tolist() for c in cols], strict=True):
+                total = best[lo + i] + s
+                if total > best[lo + j]:
+                    best[lo + j], back[lo + j] = total, (lo + i, k)
+        ids, j = [], n
         while j > 0:
-            i, pid = back[j]
-            out.append(pid)
-            j = i
-        out.reverse()
-        # neighbouring unknown characters form one unknown piece
-        ids: list[int] = []
-        for pid in out:
-            if pid == -1:
-                if ids and ids[-1] == -1:
-                    continue
-                ids.append(-1)
-            else:
-                ids.append(pid)
-        ids = [self.unk_id if x == -1 else x for x in ids]
-        if len(self.cache) >= self._CACHE_LIMIT:
-            self.cache.clear()
-        self.cache[w] = ids
-        return ids
-
-    def text(self, t: str) -> list[int]:
-        norm = _normalise_py(t)
-        if not norm:
-            return []
-        out: list[int] = []
-        for w in norm.split(SPACE_MARK)[1:]:
-            out.extend(self.word(SPACE_MARK + w))
-        return out
+            j, k = back[j]
+            ids.append(k)
+        return self._joined(np.array(ids[::-1], np.int32), np.zeros(len(ids), np.int64), 1)
+
+    def _joined(self, ids: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbouring unknown characters of a word form one unknown piece."""
+        keep = np.ones(len(ids), bool)
+        keep[1:] = (ids[1:] >= 0) | (ids[:-1] >= 0) | (word[1:] != word[:-1])
+        ids = ids[keep]
+        return np.where(ids < 0, self.unk_id, ids).astype(np.int32), np.bincount(word[keep], minlength=n)
+
+    def batch(self, texts: pa.Array, bos: int | None, eos: int | None) -> pa.ListArray:
+        """The ids of every text, between the ends asked for; some megabytes of text at a time."""
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // self._BYTES)) + 1
+        return pa.concat_arrays([self._part(texts.slice(a, b - a), bos, eos)
+                                 for a, b in itertools.pairwise([0, *cut.tolist(), len(texts)])])
+
+    def _part(self, texts: pa.Array, bos: int | None, eos: int | None) -> pa.ListArray:
+        norm = pc.utf8_trim(pc.replace_substring_regex(_nfkc_array(texts), _WS.pattern, " "), " ")
+        norm = pc.if_else(pc.equal(norm, ""), None, pc.replace_substring(norm, SPACE_MARK, " "))
+        split = pc.split_pattern(norm, " ")
+        at = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False), out=at[1:])
+        words = split.flatten().dictionary_encode()
+        ids, size = self.words(words.dictionary.to_pylist())
+        index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = [(p, i) for p, i in ((at[:-1], bos), (at[1:], eos)) if i is not None]
+        if ends:
+            # the ends are words too, put in row by row
+            number = len(size) + np.arange(len(ends))
+            index = np.insert(index, np.stack([p for p, _ in ends], 1).ravel(), np.tile(number, len(texts)))
+            at = at + len(ends) * np.arange(len(at))
+            ids = np.append(ids, np.array([i for _, i in ends], np.int32))
+            size = np.append(size, np.ones(len(ends), np.int64))
+        pool = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(ids, pa.int32()))
+        flat = pool.take(pa.array(index)).flatten()
+        off = np.append(0, np.cumsum(size[index]))[at]
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)
+
+
+def _nfkc_array(texts: pa.Array) -> pa.Array:
+    """NFKC of the texts that it may change: those beyond ASCII."""
+    plain = pc.string_is_ascii(texts)
+    if pc.all(plain).as_py() is not False:
+        return texts
+    other = [unicodedata.normalize("NFKC", t) for t in texts.filter(pc.invert(plain)).to_pylist()]
+    return pc.replace_with_mask(texts, pc.invert(plain), pa.array(other, texts.type))
 
 
 _WORKER_MODELS: dict[str, _Segmenter] = {}
 
 
 def _segmenter(bc, token: str) -> _Segmenter:
-    """One segmenter (and word cache) per vocabulary per Python worker."""
+    """One segmenter per vocabulary per Python worker."""
     seg = _WORKER_MODELS.get(token)
     if seg is None:
         _WORKER_MODELS.clear()
@@ -225,20 +357,11 @@ def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out
     def run(batches):
         seg = _segmenter(bc, token)
         for b in batches:
-            texts = b.column(text).to_pylist()
+            texts = b.column(text)
+            if texts.null_count:
+                raise TypeError("encode: input text must be a string, got NULL")
             b = b.drop_columns([c for c in b.schema.names if c in gone])
-            offsets = [0]
-            flat: list[int] = []
-            for t in texts:
-                if t is None:
-                    raise TypeError("encode: input text must be a string, got NULL")
-                if bos_id is not None:
-                    flat.append(bos_id)
-                flat.extend(seg.text(t))
-                if eos_id is not None:
-                    flat.append(eos_id)
-                offsets.append(len(flat))
-            arr = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            arr = seg.batch(texts, bos_id, eos_id)
             # without a column left, a batch could not be appended to
             yield pa.RecordBatch.from_arrays([*b.columns, arr], names=[*b.schema.names, out])
 
