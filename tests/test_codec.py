@@ -200,3 +200,24 @@ def test_learned_vocab_matches_sentencepiece_viterbi(spark):
         else:
             assert sum(score[i] for i in ids) == pytest.approx(sum(score[i] for i in theirs), abs=1e-6)
     assert same >= 0.9 * len(got)
+
+
+def test_trainer_rule_equals_the_public_package(spark):
+    spm = pytest.importorskip("sentencepiece")
+    rule = spm.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, remove_extra_whitespaces=True,
+                                       escape_whitespaces=True)
+    odd = codec.TRAINER_BLANKS + codec.TRAINER_GONE + codec.TRAINER_KEEPS + "\u200d\u00a0\u3000\u0085\u00ad\u2003ﬁＦé漢"
+    texts = ["", " ", odd, "  a  b "] + [f"a{c}b" for c in odd] + [f"{c}a {c}{c} b{c}" for c in odd]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(2)
+    got = {r.k: r.norm for r in codec.normalise_text(df, "text", "norm", rule="trainer").collect()}
+    assert got == {k: rule.normalize(t) for k, t in enumerate(texts)}
+
+
+def test_encode_by_the_trainer_rule_equals_encoding_its_texts(spark):
+    odd = codec.TRAINER_BLANKS + codec.TRAINER_GONE + codec.TRAINER_KEEPS + "\u200dﬁ"
+    df = spark.createDataFrame([(k, f"x{c} y{c}{c}z {c}") for k, c in enumerate(odd)], "k long, text string")
+    norm = codec.normalise_text(df, "text", "norm", rule="trainer")
+    m = codec.CodecModel.from_vocab(vocab.char_vocab(norm))
+    got = {r.k: list(r.ids) for r in codec.encode(df, m, rule="trainer").collect()}
+    plain = {r.k: [m.pieces[c][0] for c in r.norm] for r in norm.collect()}
+    assert got == plain

@@ -30,6 +30,11 @@ from tokenmill.session import ship_code
 MAX_VOCAB_PIECES = 1_000_000
 # Penalty (in log-prob) of the unknown piece below the lowest piece score.
 UNK_PENALTY = 10.0
+# What the trainer's rule reads as a blank, what it removes, and what its NFKC leaves alone.
+TRAINER_BLANKS = "\t\n\f\r\u061c\u1680\u200b\u200c\u200e\u200f\u2028\u2029\u2581\ufeff\ufffd"
+TRAINER_GONE = "\x01\x02\x03\x04\x05\x06\x07\x08\x0b\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f\x7f\x8f\x9f"
+TRAINER_KEEPS = "\uff5e"
+RULES = ("nfkc", "trainer")
 _SPECIAL_KINDS = ("unk", "bos", "eos", "pad")
 
 
@@ -37,24 +42,38 @@ _SPECIAL_KINDS = ("unk", "bos", "eos", "pad")
 # normalisation
 # --------------------------------------------------------------------------
 
-def _nfkc_series(s):
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _nfkc_text(t: str, keeps: str = "") -> str:
+    """NFKC of all but the character ``keeps``, which it meets as a border."""
+    if keeps and keeps in t:
+        return keeps.join(unicodedata.normalize("NFKC", part) for part in t.split(keeps))
+    return unicodedata.normalize("NFKC", t)
 
 
-def nfkc(col) -> "F.Column":
+def nfkc(col, keeps: str = "") -> "F.Column":
     """NFKC through an Arrow-batched pandas UDF. ASCII texts, which NFKC never
     changes, reach Python as nulls and are taken over in the JVM."""
     spark = SparkSession.getActiveSession()
     if spark is not None:
         ship_code(spark)
-    udf = F.pandas_udf(_nfkc_series, T.StringType())
+    udf = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else _nfkc_text(t, keeps)), T.StringType())
     src = F.col(col) if isinstance(col, str) else col
     return F.coalesce(udf(F.when(src.rlike(r"[^\x00-\x7F]"), src)), src)
 
 
-def normalise_text(df: DataFrame, text: str = "text", out: str = "norm", use_nfkc: bool = True) -> DataFrame:
-    """NFKC, collapse whitespace, strip, blank → ``▁``, leading ``▁``."""
-    src = nfkc(text) if use_nfkc else F.col(text)
+def normalise_text(df: DataFrame, text: str = "text", out: str = "norm", use_nfkc: bool = True,
+                   rule: str = "nfkc") -> DataFrame:
+    """NFKC, collapse whitespace, strip, blank → ``▁``, leading ``▁``.
+
+    ``rule="trainer"`` is the vocabulary trainer's default: control characters
+    go, zero-width and other special blanks (and ``▁`` itself) are read as blanks, and the
+    full-width tilde stays. A null text stays null.
+    """
+    if rule not in RULES:
+        raise ValueError(f"unknown normalisation rule {rule!r}")
+    trainer = rule == "trainer"
+    src = nfkc(text, TRAINER_KEEPS if trainer else "") if use_nfkc else F.col(text)
+    if trainer:
+        src = F.translate(src, TRAINER_BLANKS + TRAINER_GONE, " " * len(TRAINER_BLANKS))
     return df.withColumn(out, normalise_ws(src))
 
 
@@ -180,7 +199,8 @@ class _Segmenter:
     #: Words of as many characters are walked place by place, each on its own.
     _LONG = 64
 
-    def __init__(self, payload):
+    def __init__(self, payload, rule: str = "nfkc"):
+        self.trainer = rule == "trainer"
         self.token, pieces, _, self.unk_id, self.unk_score, self.special = payload
         self.trie = PieceTrie(pieces)
 
@@ -281,7 +301,11 @@ class _Segmenter:
                                  for a, b in itertools.pairwise([0, *cut.tolist(), len(texts)])])
 
     def _part(self, texts: pa.Array, bos: int | None, eos: int | None) -> pa.ListArray:
-        norm = pc.utf8_trim(pc.replace_substring_regex(_nfkc_array(texts), _WS.pattern, " "), " ")
+        norm = _nfkc_array(texts, TRAINER_KEEPS if self.trainer else "")
+        if self.trainer:
+            norm = pc.replace_substring_regex(norm, f"[{TRAINER_GONE}]", "")
+            norm = pc.replace_substring_regex(norm, f"[{TRAINER_BLANKS}]", " ")
+        norm = pc.utf8_trim(pc.replace_substring_regex(norm, _WS.pattern, " "), " ")
         norm = pc.if_else(pc.equal(norm, ""), None, pc.replace_substring(norm, SPACE_MARK, " "))
         split = pc.split_pattern(norm, " ")
         at = np.zeros(len(texts) + 1, np.int64)
@@ -303,25 +327,25 @@ class _Segmenter:
         return pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)
 
 
-def _nfkc_array(texts: pa.Array) -> pa.Array:
+def _nfkc_array(texts: pa.Array, keeps: str = "") -> pa.Array:
     """NFKC of the texts that it may change: those beyond ASCII."""
     plain = pc.string_is_ascii(texts)
     if pc.all(plain).as_py() is not False:
         return texts
-    other = [unicodedata.normalize("NFKC", t) for t in texts.filter(pc.invert(plain)).to_pylist()]
+    other = [_nfkc_text(t, keeps) for t in texts.filter(pc.invert(plain)).to_pylist()]
     return pc.replace_with_mask(texts, pc.invert(plain), pa.array(other, texts.type))
 
 
-_WORKER_MODELS: dict[str, _Segmenter] = {}
+_WORKER_MODELS: dict[tuple[str, str], _Segmenter] = {}
 
 
-def _segmenter(bc, token: str) -> _Segmenter:
-    """One segmenter per vocabulary per Python worker."""
-    seg = _WORKER_MODELS.get(token)
+def _segmenter(bc, token: str, rule: str) -> _Segmenter:
+    """One segmenter per vocabulary and rule per Python worker."""
+    seg = _WORKER_MODELS.get((token, rule))
     if seg is None:
         _WORKER_MODELS.clear()
-        seg = _Segmenter(bc.value)
-        _WORKER_MODELS[token] = seg
+        seg = _Segmenter(bc.value, rule)
+        _WORKER_MODELS[token, rule] = seg
     return seg
 
 
@@ -331,7 +355,7 @@ def _segmenter(bc, token: str) -> _Segmenter:
 
 def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out: str = "ids",
            bos: bool = False, eos: bool = False, drop_text: bool = False,
-           partitions: int | None = None) -> DataFrame:
+           partitions: int | None = None, rule: str = "nfkc") -> DataFrame:
     """text → best-segmentation ids, with optional bos / eos ends.
 
     ``''`` → ``[]`` before the ends are added; a NULL text is an error
@@ -339,7 +363,10 @@ def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out
     one with the longer last piece wins. ``drop_text`` keeps the text from
     coming back from Python. ``partitions`` deals the rows out first, for
     inputs of fewer splits than cores; there is no shuffle without it.
+    ``rule`` is that of ``normalise_text``.
     """
+    if rule not in RULES:
+        raise ValueError(f"unknown normalisation rule {rule!r}")
     model = vocab if isinstance(vocab, CodecModel) else CodecModel.from_vocab(vocab)
     ship_code(df.sparkSession)
     sc = df.sparkSession.sparkContext
@@ -355,7 +382,7 @@ def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out
     schema = T.StructType([f for f in df.schema.fields if f.name not in gone] + [field])
 
     def run(batches):
-        seg = _segmenter(bc, token)
+        seg = _segmenter(bc, token, rule)
         for b in batches:
             texts = b.column(text)
             if texts.null_count:

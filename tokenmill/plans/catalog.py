@@ -290,6 +290,15 @@ def q_normalise_wide(spark, d):
     return n.select("doc_id", F.md5("norm").alias("norm_md5"), F.length("norm").cast("long").alias("n_chars"))
 
 
+def q_normalise_trainer(spark, d):
+    """Texts with zero-width blanks, byte-order marks and control characters put in, by the trainer's rule."""
+    marked = F.col("text")
+    for old, new in (("e ", "e\u200b \ufeff"), (", ", "\x01,\x7f\u2028"), ("th", "t\u200ch"), ("o", "o\x0b"), (".", ".\uff5e")):
+        marked = F.replace(marked, F.lit(old), F.lit(new))
+    n = codec.normalise_text(fx.text(spark, d).withColumn("text", marked), "text", "norm", rule="trainer")
+    return n.select("doc_id", F.md5("norm").alias("norm_md5"), F.length("norm").cast("long").alias("n_chars"))
+
+
 def q_word_counts(spark, d):
     return vocab.word_counts(fx.norm(spark, d))
 

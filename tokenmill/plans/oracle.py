@@ -411,6 +411,15 @@ FROM (SELECT prompt_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FR
 }
 ORACLE["flag_stream"] = ORACLE["flag_prompts"]
 ORACLE["normalise_wide"] = ORACLE["normalise_text"]
+_MARKED = "text"
+for _old, _new in (("'e '", "'e' || chr(8203) || ' ' || chr(65279)"), ("', '", "chr(1) || ',' || chr(127) || chr(8232)"),
+                   ("'th'", "'t' || chr(8204) || 'h'"), ("'o'", "'o' || chr(11)"), ("'.'", "'.' || chr(65374)")):
+    _MARKED = f"replace({_MARKED}, {_old}, {_new})"
+# control characters go; special blanks are blanks; the full-width tilde stays
+_RULED = rf"regexp_replace(regexp_replace({_MARKED}, '[\x01-\x08\x0B\x0E-\x1F\x7F\x{{8F}}\x{{9F}}]', '', 'g'), " \
+    rf"'[\t\n\f\r\x{{61C}}\x{{1680}}\x{{200B}}\x{{200C}}\x{{200E}}\x{{200F}}\x{{2028}}\x{{2029}}\x{{2581}}\x{{FEFF}}\x{{FFFD}}]', ' ', 'g')"
+ORACLE["normalise_trainer"] = f"""SELECT doc_id, md5(norm) AS norm_md5, CAST(length(norm) AS BIGINT) AS n_chars
+FROM (SELECT doc_id, {_norm(_RULED)} AS norm FROM documents)"""
 ORACLE["sample_sentences_cut"] = ORACLE["sample_sentences"].replace("idx < 1000000", "idx < 2000")
 ORACLE["flag_stream_progress"] = f"""WITH f AS ({ORACLE["flag_prompts"]}),
 c AS (SELECT status, count(*) AS n FROM f GROUP BY status),
