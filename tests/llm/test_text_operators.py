@@ -98,6 +98,42 @@ def test_decontamination_without_items(docs, spark):
     assert got.count() == docs.count() and got.filter("n_hit > 0 OR contaminated").isEmpty()
 
 
+@pytest.mark.parametrize("block_words", [10, 10_000])
+def test_spans_are_cut_by_length_and_coverage(spark, block_words):
+    item, short = " ".join(f"W{i}" for i in range(40)), " ".join(f"v{i}" for i in range(13))
+    filler = " ".join(f"f{i}" for i in range(900))
+    other = "é漢 ".join(f"g{i}" for i in range(700))
+    texts = [None, "", filler, f"{filler}, ({item}). {other}", f"{filler}\n{short}!\n{other}", f"x {short}? y", item,
+             f"{filler} {item} {short.upper()} {filler} {short}", f"-{item}- {filler}{filler}"]
+    d = spark.createDataFrame([(k, t, "kept", 7) for k, t in enumerate(texts)],
+                              "doc_id long, text string, _found string, n_cut int").repartition(3)
+    b = spark.createDataFrame([("1", item.lower()), ("2", short)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.remove_spans(d, b, block_words=block_words).collect()}
+    assert len(got) == len(texts) and all(r._found == "kept" for r in got.values())
+    for k, t in enumerate(texts):
+        w = list(WORD.finditer(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+        n, n_hit, _ = brute_hits(t, [("1", item), ("2", short)])
+        plain = words(t)
+        hit = [False] * (n + 1)
+        grams = {tuple(words(x)[i:i + 13]) for x in (item, short) for i in range(len(words(x)) - 12)}
+        for i in range(n - 12):
+            if tuple(plain[i:i + 13]) in grams:
+                hit[i:i + 13] = [True] * 13
+        runs, a = [], None
+        for i, h in enumerate(hit):
+            if h and a is None:
+                a = i
+            if not h and a is not None:
+                runs, a = [*runs, (a, i)], None
+        every = n_hit > 0 and 20 * n_hit >= n
+        runs = [(a, b) for a, b in runs if every or b - a >= 26]
+        want = t
+        for a, b in reversed(runs):
+            want = want[:w[a].start()] + want[w[b - 1].end():]
+        assert got[k].text == want and got[k].n_cut == sum(b - a for a, b in runs)
+    assert got[4].n_hit == 13 and got[4].n_cut == 0 and got[3].n_cut == 40 and got[5].text == "x ? y"
+
+
 # --- language identification
 
 def test_code_lengths_are_probabilities(spark):

@@ -9,31 +9,40 @@ computed for a batch at once; only stretches whose neighbouring word pairs all
 occur in some item enter the automaton, since no match can leave them.
 
 Test items are the small side: they are read in blocks of at most
-``block_words`` words, an automaton each, so neither the driver nor a worker
-holds more than a block's automaton at a time, and the documents are streamed
-once per block.
+``block_words`` words, an automaton each (building takes up to 1.6 KB a word,
+so some 300 MB), and the documents are streamed once per block, in tasks of
+their own. So neither the driver nor a worker holds more than a block's
+automaton at a time. The rows that a block hits are few; only these are
+grouped and joined with the documents.
+
+``remove_spans`` cuts from the texts what a length or a coverage limit forbids.
 
 Defined results: null or empty texts have no words and no hits; items without
 words never match; repeated items all count, repeated ids once; a null item id
 takes part as the empty string; an empty item table leaves everything clean.
-Existing columns with the result's names are replaced.
+Existing columns with the result's names are replaced. Cutting leaves a null or
+empty text as it is and never joins two words, since what parts a span from its
+neighbours stays.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tokenmill.llm.common import row_chunks, table, utf8
-from tokenmill.llm.words import fingerprint_words
+from tokenmill.llm.common import numbered, private, row_chunks, table, utf8
+from tokenmill.llm.words import fingerprint_words, word_bytes
 from tokenmill.session import ship_code
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
+SPAN_WORDS = 26      # hit words in a row, two windows full, that are cut whatever their share of the text
 
 
 class SuffixAutomaton:
@@ -194,11 +203,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
     block, size = [], 0
     for r in items.toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1]) // 2 + 1
         if size >= block_words:
             yield block
             block, size = [], 0
+        block.append((r[0], r[1]))
+        size += len(r[1]) // 2 + 1
     yield block
 
 
@@ -228,6 +237,34 @@ def _matched(df: DataFrame, text: str, matcher: Matcher, name: str) -> DataFrame
     return df.withColumn(name, found(F.col(text)))
 
 
+def _matched_blocks(docs: DataFrame, text: str, first: Matcher, blocks: Iterator[list[tuple[str, str]]],
+                    window: int, name: str) -> DataFrame:
+    """As ``_matched``, by several blocks: one pass each over the documents,
+    whose hit rows are united, grouped by row and joined with the first pass."""
+    row = private(docs, "_row")
+    placed = numbered(docs, row)
+    out = _matched(placed, text, first, name)
+    rest = None
+    for block in blocks:
+        hits = _matched(placed.select(row, text), text, Matcher(block, window), name) \
+            .filter(F.size(F.col(name)["spans"]) > 0).select(row, F.col(name)["spans"].alias("s"), F.col(name)["items"].alias("i"))
+        rest = hits if rest is None else rest.unionAll(hits)
+    more = private(docs, "_more")
+    rest = rest.groupBy(row).agg(F.struct(F.flatten(F.collect_list("s")).alias("spans"),
+                                          F.flatten(F.collect_list("i")).alias("items")).alias(more))
+    # sort the spans of all blocks, then merge those that overlap
+    every = F.array_sort(F.concat(F.col(name)["spans"], F.col(more)["spans"]))
+    spans = F.aggregate(every, F.lit([]).cast("array<struct<start:long,end:long>>"), lambda acc, s: F.when(
+        (F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]),
+        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
+            F.element_at(acc, -1)["start"].alias("start"),
+            F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))))
+        .otherwise(F.concat(acc, F.array(s))))
+    hits = F.array_sort(F.array_distinct(F.concat(F.col(name)["items"], F.col(more)["items"])))
+    return out.join(rest, row, "left").withColumn(name, F.when(F.col(more).isNull(), F.col(name)).otherwise(
+        F.struct(F.col(name)["n_words"].alias("n_words"), spans.alias("spans"), hits.alias("items")))).drop(row, more)
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                        item_text: str = "text", window: int = WINDOW, coverage: float = 0.05,
                        block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -235,28 +272,52 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     ``hit_items`` and ``contaminated`` (hits reach ``coverage`` of the words)."""
     ship_code(docs.sparkSession)
     small = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.coalesce(F.col(item_text), F.lit("")))
-    names = []
-    out = docs
-    for k, block in enumerate(_blocks(small, block_words)):
-        names.append(f"_found{k}")
-        out = _matched(out, text, Matcher(block, window), names[-1])
-    if len(names) == 1:
-        spans, hits = F.col(names[0])["spans"], F.col(names[0])["items"]
-    else:  # unite the blocks' spans: sort, then merge those that overlap
-        every = F.array_sort(F.flatten(F.array(*[F.col(n)["spans"] for n in names])))
-        spans = F.aggregate(every, F.lit([]).cast("array<struct<start:long,end:long>>"), lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["start"].alias("start"),
-                F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))))
-            .otherwise(F.concat(acc, F.array(s))))
-        hits = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(n)["items"] for n in names]))))
-    out = out.withColumns({"n_words": F.col(names[0])["n_words"], "hit_spans": spans, "hit_items": hits}).drop(*names)
+    blocks = _blocks(small, block_words)
+    found = private(docs, "_found")
+    first, second = Matcher(next(blocks), window), next(blocks, None)
+    if second is None:
+        out = _matched(docs, text, first, found)
+    else:
+        out = _matched_blocks(docs, text, first, itertools.chain([second], blocks), window, found)
+    out = out.withColumns({"n_words": F.col(found)["n_words"], "hit_spans": F.col(found)["spans"],
+                           "hit_items": F.col(found)["items"]}).drop(found)
     out = out.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"),
                                               lambda acc, s: acc + s["end"] - s["start"]))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * coverage))
 
 
+@F.arrow_udf(T.StringType())
+def _without(col: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts without the bytes from each span's first word to its last."""
+    raw, off = utf8(col)
+    out = []
+    for k, cuts in enumerate(spans.to_pylist()):
+        part = raw[off[k]:off[k + 1]]
+        first, end = word_bytes(part, np.array([0, len(part)]))
+        edges = [0, *(x for s in cuts for x in (int(first[s["start"]]), int(end[s["end"] - 1]))), len(part)]
+        out.append(b"".join(part[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)).decode())
+    return pa.array(out, pa.string())
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", span_words: int = SPAN_WORDS,
+                 coverage: float = 0.05, **options) -> DataFrame:
+    """``find_contamination`` with the hit spans beyond the limits cut from ``text``.
+
+    A span of ``span_words`` words or more exceeds the length limit. If all hits
+    reach ``coverage`` of a document's words, all its spans go. Added:
+    ``cut_spans`` (word ranges of the text given) and ``n_cut`` (words).
+    """
+    got = find_contamination(docs, items, text=text, coverage=coverage, **options)
+    got = got.withColumn("cut_spans", F.when(F.col("contaminated"), F.col("hit_spans")).otherwise(
+        F.filter("hit_spans", lambda s: s["end"] - s["start"] >= span_words)))
+    got = got.withColumn("n_cut", F.aggregate("cut_spans", F.lit(0).cast("long"),
+                                              lambda acc, s: acc + s["end"] - s["start"]))
+    # only texts that lose something reach Python
+    cut = F.when(F.col("n_cut") > 0, F.col(text))
+    spans = F.when(F.col("n_cut") > 0, F.col("cut_spans")).otherwise(F.array().cast("array<struct<start:long,end:long>>"))
+    return got.withColumn(text, F.when(F.col("n_cut") > 0, _without(cut, spans)).otherwise(F.col(text)))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = find_contamination(docs, table(spark, sf_dir, "benchmark"))

@@ -21,12 +21,9 @@ _VALUES = byte_values(3)
 _POWERS = Powers(0x5851F42D4C957F2D)
 
 
-def fingerprint_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit fingerprints of the words of all rows, and each row's word offsets."""
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    low = LOWER[raw]
-    word = low > 0
+def word_bytes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of every word of all rows, and the byte behind its last."""
+    word = LOWER[raw] > 0
     starts, ends = word.copy(), word.copy()
     starts[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
@@ -34,11 +31,18 @@ def fingerprint_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
     cut = cut[(cut > 0) & (cut < len(raw))]
     starts[cut] = word[cut]
     ends[cut - 1] = word[cut - 1]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def fingerprint_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit fingerprints of the words of all rows, and each row's word offsets."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    s, e = word_bytes(raw, off)
     up, down = _POWERS.get(len(raw) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUES[low] * up[:len(raw)], out=total[1:])
+        np.cumsum(_VALUES[LOWER[raw]] * up[:len(raw)], out=total[1:])
         h = (total[e] - total[s]) * down[s]
         h ^= (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return h, np.searchsorted(s, off)
