@@ -248,6 +248,41 @@ def test_secrets_and_ledger(spark):
     assert secrets.scan_new(more, seen).select("blob").distinct().count() == 1
 
 
+def test_persisted_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    d = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
+
+    def found(rows, ledger):
+        return {r.doc_id: r.s for r in secrets.findings_by_path(rows, ledger)
+                .select("doc_id", secrets._joined(F.col("found")).alias("s")).collect()}
+
+    def runs():
+        return {p: spark.read.parquet(str(p)).count() for p in (tmp_path / "ledger").glob("run-*")}
+
+    # an empty table makes an empty ledger; then a part of the rows, then all
+    assert secrets.update_ledger(d.limit(0), path).isEmpty()
+    secrets.update_ledger(d.filter("doc_id < 4"), path)
+    before = runs()
+    ledger = secrets.update_ledger(d.unionAll(d), path)
+    (new,) = [n for p, n in runs().items() if p not in before]
+    assert new == 5 * len(SECRETS[4:]) and found(d, ledger) == {k: brute_secrets(t) for k, t in enumerate(SECRETS)}
+    # nothing unseen: an empty run. A run that died does not count: its pairs are scanned again
+    before = runs()
+    secrets.update_ledger(d, path)
+    (new,) = [n for p, n in runs().items() if p not in before]
+    assert new == 0
+    for p in (tmp_path / "ledger").glob("run-*/_SUCCESS"):
+        p.unlink()
+    assert secrets.read_ledger(spark, path).isEmpty()
+    assert found(d, secrets.update_ledger(d, path)) == {k: brute_secrets(t) for k, t in enumerate(SECRETS)}
+    # a new version of a rule: only its pairs are scanned, and the old version's findings are not reported
+    before = runs()
+    newer = (*secrets.RULES[1:], secrets.Rule("assign", 2, "zzz", 0, 1))
+    ledger = secrets.update_ledger(d, path, rules=newer)
+    (new,) = [n for p, n in runs().items() if p not in before]
+    assert new == len(set(t or "" for t in SECRETS)) and not any("assign" in s for s in found(d, ledger).values())
+
+
 def test_secrets_with_clashing_columns(spark):
     d = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
     more = d.withColumns({c: F.lit("own") for c in ("found", "blob", "spans", "have", "r")})

@@ -7,21 +7,30 @@ it, and joins the findings back to all paths. All of it is DataFrame work:
 texts are hashed, grouped by blob, searched by the JVM's regular expressions,
 and joined; positions follow from the lengths of the parts between matches.
 
+``update_ledger`` keeps the ledger as a table in a folder: each run is landed as a
+whole part, with a commit marker, so a run that died leaves nothing behind and its
+pairs are scanned by the next. The registered query brings the documents in
+as two generations, by source: the second scans only blobs that the first has not seen.
+
 Defined results: null texts count as empty; repeated rows each get their
 findings; an empty table gives no rows; overlapping findings of different
 kinds are all reported, those of one kind are leftmost and do not overlap;
-positions are code points, end exclusive. Existing columns with the result's
+positions are code points, end exclusive. A pair that two runs scanned at the
+same time counts once. Existing columns with the result's
 names are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.llm.common import table, text_or_empty
+from tokenmill.session import scratch_path
+from tokenmill.sources import io
 
 
 @dataclass(frozen=True)
@@ -76,8 +85,7 @@ def scan_new(docs: DataFrame, scanned: DataFrame | None = None, text: str = "tex
     ``scanned(blob, kind, version)`` lacks: each unseen blob is searched once."""
     blobs = docs.select(blob_id(text).alias("blob"), text_or_empty(text).alias("text"))
     if scanned is not None:
-        have = scanned.join(F.broadcast(docs.sparkSession.createDataFrame(
-            [(r.kind, r.version) for r in rules], "kind string, version int")), ["kind", "version"], "left_semi") \
+        have = scanned.join(F.broadcast(_pairs(docs.sparkSession, rules)), ["kind", "version"], "left_semi") \
             .groupBy("blob").agg(F.collect_set("kind").alias("have"))
         blobs = blobs.join(have, "blob", "left").filter(F.coalesce(F.size("have"), F.lit(0)) < len(rules))
     else:
@@ -89,10 +97,35 @@ def scan_new(docs: DataFrame, scanned: DataFrame | None = None, text: str = "tex
     return once.select("blob", F.explode(F.array_compact(F.array(*todo))).alias("r")).select("blob", "r.*")
 
 
+LEDGER = "blob binary, kind string, version int, spans array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All whole runs of the ledger at ``path``; an absent ledger is empty."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    runs = [f.getPath() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    whole = [r.toString() for r in runs if r.getName().startswith("run-") and fs.exists(hadoop(r, "_SUCCESS"))]
+    return spark.read.schema(LEDGER).parquet(*whole) if whole else spark.createDataFrame([], LEDGER)
+
+
+def update_ledger(docs: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan the pairs of ``docs`` and ``rules`` that the ledger at ``path``
+    lacks, add them to it as one run, and return the ledger's rows of ``rules``."""
+    spark = docs.sparkSession
+    io.land_if_absent(scan_new(docs, read_ledger(spark, path), text, rules), f"{path}/run-{uuid.uuid4().hex}")
+    return read_ledger(spark, path).join(F.broadcast(_pairs(spark, rules)), ["kind", "version"], "left_semi")
+
+
+def _pairs(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    return spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+
+
 def findings_by_path(docs: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``found``: all spans of its blob, by start and rule order."""
     per_blob = ledger.filter(F.size("spans") > 0).groupBy("blob") \
-        .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("found"))
     return docs.drop("found").withColumn("blob", blob_id(text)).join(per_blob, "blob", "left") \
         .withColumn("found", F.coalesce("found", F.array().cast(_SPANS)))
 
@@ -107,8 +140,11 @@ def _count(kind: str) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = findings_by_path(docs, scan_new(docs))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    ledger = scratch_path(spark, "ledger")
+    later = F.xxhash64("source") % 2 == 0
+    update_ledger(docs.filter(~later), ledger)
+    got = findings_by_path(docs.select("doc_id", "text"), update_ledger(docs.filter(later), ledger))
     return got.select("doc_id", *[_count(k).alias(f"n_{k}") for k in BASE],
                       F.sha2(_joined(F.filter("found", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"),
                       _joined(F.col("found")).alias("spans"))
