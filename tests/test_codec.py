@@ -221,3 +221,37 @@ def test_encode_by_the_trainer_rule_equals_encoding_its_texts(spark):
     got = {r.k: list(r.ids) for r in codec.encode(df, m, rule="trainer").collect()}
     plain = {r.k: [m.pieces[c][0] for c in r.norm] for r in norm.collect()}
     assert got == plain
+
+
+def test_encoder_memory_does_not_grow_with_the_batch():
+    import tracemalloc
+    texts = pa.array([f"a{i % 977} b{i % 89} " * 60 for i in range(20_000)], pa.string())
+    chars = {c: (i, 0.0) for i, c in enumerate("▁ab0123456789", start=4)}
+    seg = codec._Segmenter(("token", chars, 1, 0, -10.0, {"bos": 1, "eos": 2}))
+    peaks = []
+    for part in (texts.slice(0, 5_000), texts):
+        before = pa.total_allocated_bytes()
+        tracemalloc.start()
+        rows = held = 0
+        for a, n, ids in seg.parts(part, 1, 2):
+            assert a == rows and len(ids) == n
+            rows, held = rows + n, max(held, pa.total_allocated_bytes() - before)
+        peaks.append(tracemalloc.get_traced_memory()[1] + held)
+        tracemalloc.stop()
+        assert rows == len(part)
+    assert peaks[1] < 1.2 * peaks[0] and peaks[1] < 100_000_000
+
+
+def test_stretches_cover_all_rows():
+    for texts in ([], [None], ["", None, "abc"], ["a" * 9, "b", None, "é" * 30, "", "c" * 4] * 5):
+        got = codec._stretches(pa.array(texts, pa.string()), 10)
+        assert [i for a, n in got for i in range(a, a + n)] == list(range(len(texts)))
+    assert len(got) > 5
+
+
+def test_nfkc_over_several_stretches(spark):
+    import unicodedata
+    texts = [None, "", "plain", "ﬁ" * 700_000, "é" * 900_000, "Å x", None, "漢" * 800_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    got = {r.k: r.n for r in df.select("k", codec.nfkc("t").alias("n")).collect()}
+    assert got == {k: t and unicodedata.normalize("NFKC", t) for k, t in enumerate(texts)}

@@ -30,6 +30,8 @@ from tokenmill.session import ship_code
 MAX_VOCAB_PIECES = 1_000_000
 # Penalty (in log-prob) of the unknown piece below the lowest piece score.
 UNK_PENALTY = 10.0
+# Bytes of text that a Python worker normalises or encodes at a time: its memory does not grow with a batch's text.
+STRETCH_BYTES = 2_000_000
 # What the trainer's rule reads as a blank, what it removes, and what its NFKC leaves alone.
 TRAINER_BLANKS = "\t\n\f\r\u061c\u1680\u200b\u200c\u200e\u200f\u2028\u2029\u2581\ufeff\ufffd"
 TRAINER_GONE = "\x01\x02\x03\x04\x05\x06\x07\x08\x0b\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f\x7f\x8f\x9f"
@@ -50,14 +52,27 @@ def _nfkc_text(t: str, keeps: str = "") -> str:
 
 
 def nfkc(col, keeps: str = "") -> "F.Column":
-    """NFKC through an Arrow-batched pandas UDF. ASCII texts, which NFKC never
-    changes, reach Python as nulls and are taken over in the JVM."""
+    """NFKC through an Arrow UDF, some megabytes of text at a time. ASCII texts,
+    which NFKC never changes, reach Python as nulls and are taken over in the JVM."""
     spark = SparkSession.getActiveSession()
     if spark is not None:
         ship_code(spark)
-    udf = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else _nfkc_text(t, keeps)), T.StringType())
+
+    @F.arrow_udf(T.StringType())
+    def normal(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([
+            pa.array([None if t is None else _nfkc_text(t, keeps) for t in texts.slice(a, n).to_pylist()], pa.string())
+            for a, n in _stretches(texts)])
+
     src = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(udf(F.when(src.rlike(r"[^\x00-\x7F]"), src)), src)
+    return F.coalesce(normal(F.when(src.rlike(r"[^\x00-\x7F]"), src)), src)
+
+
+def _stretches(texts: pa.Array, limit: int = STRETCH_BYTES) -> list[tuple[int, int]]:
+    """``(start, rows)`` of neighbouring texts of about ``limit`` bytes (a longer text is alone)."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
+    return [(a, b - a) for a, b in itertools.pairwise([0, *cut.tolist(), len(texts)])]
 
 
 def normalise_text(df: DataFrame, text: str = "text", out: str = "norm", use_nfkc: bool = True,
@@ -193,9 +208,9 @@ class _Segmenter:
     """Best segmentations of an Arrow batch's distinct words, computed together."""
 
     #: Places of short words laid out as arrays at a time, and of one long word.
-    _PLACES = 1_000_000
+    _PLACES = 100_000
     #: Bytes of text whose words are looked at together.
-    _BYTES = 16_000_000
+    _BYTES = STRETCH_BYTES
     #: Words of as many characters are walked place by place, each on its own.
     _LONG = 64
 
@@ -294,11 +309,13 @@ class _Segmenter:
         return np.where(ids < 0, self.unk_id, ids).astype(np.int32), np.bincount(word[keep], minlength=n)
 
     def batch(self, texts: pa.Array, bos: int | None, eos: int | None) -> pa.ListArray:
-        """The ids of every text, between the ends asked for; some megabytes of text at a time."""
-        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        cut = np.flatnonzero(np.diff(np.cumsum(size) // self._BYTES)) + 1
-        return pa.concat_arrays([self._part(texts.slice(a, b - a), bos, eos)
-                                 for a, b in itertools.pairwise([0, *cut.tolist(), len(texts)])])
+        """The ids of every text, between the ends asked for."""
+        return pa.concat_arrays([ids for _, _, ids in self.parts(texts, bos, eos)])
+
+    def parts(self, texts: pa.Array, bos: int | None, eos: int | None):
+        """``(start, rows, ids)`` of stretches of some megabytes of text, one after the other."""
+        for a, n in _stretches(texts, self._BYTES):
+            yield a, n, self._part(texts.slice(a, n), bos, eos)
 
     def _part(self, texts: pa.Array, bos: int | None, eos: int | None) -> pa.ListArray:
         norm = _nfkc_array(texts, TRAINER_KEEPS if self.trainer else "")
@@ -388,9 +405,9 @@ def encode(df: DataFrame, vocab: DataFrame | CodecModel, text: str = "text", out
             if texts.null_count:
                 raise TypeError("encode: input text must be a string, got NULL")
             b = b.drop_columns([c for c in b.schema.names if c in gone])
-            arr = seg.batch(texts, bos_id, eos_id)
-            # without a column left, a batch could not be appended to
-            yield pa.RecordBatch.from_arrays([*b.columns, arr], names=[*b.schema.names, out])
+            for a, n, arr in seg.parts(texts, bos_id, eos_id):
+                # without a column left, a batch could not be appended to
+                yield pa.RecordBatch.from_arrays([*b.slice(a, n).columns, arr], names=[*b.schema.names, out])
 
     return (df.repartition(partitions) if partitions else df).mapInArrow(run, schema)
 
