@@ -68,3 +68,31 @@ def pad_or_cut_expr(ids, seq_len: int, pad_id: int) -> Column:
         F.array_repeat(F.lit(pad_id), F.greatest(F.lit(0), F.lit(width) - F.size(ids))),
     )
 
+
+def once(value: Column, made) -> Column:
+    """``made(value)``, ``value`` being computed once however often it is used there."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
+# Element types that an id list is moved in, with the largest id of each.
+_NARROW = {"tinyint": 127, "smallint": 32767}
+
+
+def pack_ids(ids) -> Column:
+    """An id list to be moved, in the narrowest element type that holds all its
+    ids; a list that neither byte nor short holds is kept as it is, in ``raw``."""
+    def fields(v: Column) -> Column:
+        fits, out = F.lit(False), []
+        for kind, top in _NARROW.items():
+            now = F.coalesce((v["low"] >= -top - 1) & (v["high"] <= top), F.lit(True))
+            out.append(F.when(now & ~fits, v["ids"].cast(f"array<{kind}>")).alias(kind))
+            fits = now
+        return F.struct(*out, F.when(~fits, v["ids"]).alias("raw"))
+
+    seen = once(_c(ids), lambda v: F.struct(v.alias("ids"), F.array_min(v).alias("low"), F.array_max(v).alias("high")))
+    return once(seen, fields)
+
+
+def unpack_ids(packed: Column, kind) -> Column:
+    """The list (of type ``kind``) that ``pack_ids`` packed."""
+    return F.coalesce(*[packed[k].cast(kind) for k in _NARROW], packed["raw"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions.exprs import pad_or_cut_expr
+from tokenmill.functions.exprs import once, pack_ids, pad_or_cut_expr, unpack_ids
 
 
 def pad_or_cut(df: DataFrame, seq_len: int, pad_id: int, ids: str = "ids",
@@ -41,14 +41,19 @@ def check_examples(pairs: DataFrame, seq_len: int, x: str = "x", y: str = "y") -
 
 
 def build_batches(pairs: DataFrame, by=("epoch", "batch_id"), slot: str = "slot",
-                  cols=("doc_id", "x", "y")) -> DataFrame:
+                  cols=("doc_id", "x", "y"), made=None) -> DataFrame:
     """Pairs grouped per batch in slot order.
 
     A batch holds at most ``batch_size`` pairs, so the collected group is
-    bounded by construction.
+    bounded by construction. ``made`` maps columns to functions that make
+    their values from the moved ones behind the exchange.
     """
     st = F.struct(F.col(slot), *[F.col(c) for c in cols])
-    return (pairs.groupBy(*by).agg(F.array_sort(F.collect_list(st)).alias("_items"))
+    items = F.collect_list(st)
+    if made:
+        items = F.transform(items, lambda t: F.struct(t[slot].alias(slot), *[
+            (made[c](t[c]) if c in made else t[c]).alias(c) for c in cols]))
+    return (pairs.groupBy(*by).agg(F.array_sort(items).alias("_items"))
             .select(*by, *[F.col("_items")[c].alias(c) for c in cols],
                     F.size("_items").cast("long").alias("n_pairs")))
 
@@ -57,14 +62,17 @@ def epoch_batches(df: DataFrame, keys: list[str], epochs: int, batch_size: int,
                   seed=42, ids: str = "ids") -> DataFrame:
     """E3 → E4 → G1/G2 → G5 as one plan that moves little data.
 
-    One padded list of ``seq_len + 1`` ids is built per row, whatever the
-    document length, the per-epoch order is computed on the keys alone, and
-    the two meet in one join on the key: token lists are never replicated per epoch
-    before the join, and ``x`` and ``y`` are sliced behind the last exchange.
+    At most ``seq_len + 1`` ids are taken per row, whatever the document
+    length, packed as bytes or shorts if they fit, the per-epoch order is computed on the keys
+    alone, and the two meet in one join on the key: token lists are never replicated per
+    epoch before the join. They are unpacked and padded, and ``x`` and ``y``
+    sliced, behind the last exchange.
     """
     from tokenmill.operators.order import assign_batches, epoch_shuffle
-    padded = pad_or_cut(df.select(*keys, ids), seq_len, pad_id, ids=ids, out="_p").drop(ids)
+    kind = df.schema[ids].dataType
+    packed = df.select(*keys, pack_ids(F.slice(ids, 1, seq_len + 1)).alias("_p"))
     plan = assign_batches(epoch_shuffle(df.select(*keys), keys, epochs, seed=seed), batch_size)
-    got = build_batches(plan.join(padded, on=keys, how="inner"), cols=(*keys, "_p"))
+    got = build_batches(plan.join(packed, on=keys, how="inner"), cols=(*keys, "_p"),
+                        made={"_p": lambda p: once(unpack_ids(p, kind), lambda v: pad_or_cut_expr(v, seq_len, pad_id))})
     return got.select("epoch", "batch_id", *keys, F.transform("_p", lambda p: F.slice(p, 1, seq_len)).alias("x"),
                       F.transform("_p", lambda p: F.slice(p, 2, seq_len)).alias("y"), "n_pairs")
