@@ -55,3 +55,11 @@ def test_fixed2_matches_python_formatting(spark, values):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, v double")
     got = {r.i: r.s for r in with_fixed2(df, "v", "s").collect()}
     assert [got[i] for i in range(len(values))] == [f"{float(v):.2f}" for v in values]
+
+
+def test_fixed2_keeps_the_sign_of_zero(spark):
+    from tokenmill.operators.runlog import with_fixed2
+    values = [-0.0, 0.0, -0.001, -0.004, 0.001, -1.0, float("-inf"), float("inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double")
+    got = {r.i: r.s for r in with_fixed2(df, "v", "s").collect()}
+    assert [got[i] for i in range(len(values))] == [f"{v:.2f}" for v in values]

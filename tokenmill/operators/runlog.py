@@ -65,7 +65,7 @@ def with_fixed2(df: DataFrame, col: str, out: str) -> DataFrame:
     half = (F.when(F.col("_r") * 2 > F.col("_p"), 1).when(F.col("_r") * 2 < F.col("_p"), 0)
             .otherwise(F.col("_q") % 2))
     cents = F.when(a < F.lit(2.0 ** -8), F.lit(0).cast("long")).otherwise(F.col("_q") + half)
-    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    sign = F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))   # -0.0 too
     small = F.concat(sign, (cents / 100).cast("long").cast("string"), F.lit("."),
                      F.lpad((cents % 100).cast("string"), 2, "0"))
     text = (F.when(F.isnan(v), F.lit("nan"))
