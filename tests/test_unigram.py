@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,30 @@ def test_one_very_long_word(spark):
     lattice.drop()
 
 
+def test_pieces_of_a_bucket_move_as_arrays(spark):
+    """Buckets ask for their pieces and scores block by block, not piece by piece; the edges are all occurrences."""
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice("abç😀\u0301") for _ in range(rng.randint(1, 9))) for _ in range(400)})
+    pieces = sorted({t[i:i + n] for t in texts for i in range(len(t)) for n in (1, 2, 3)})[::2]
+    w = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "wid long, word string, freq long")
+    v = spark.createDataFrame([(7 * i, p) for i, p in enumerate(pieces)], "pid long, piece string")
+    for proper in (False, True):
+        lattice = unigram.build_lattice(w, v, max_piece_len=3, bucket_edges=500, proper=proper)
+        got = []
+        rows = lattice.whole.rows.collect()
+        for r in rows:
+            a = {c: np.frombuffer(r[c], t) for c, t in unigram._ARRAYS.items()}
+            word = np.repeat(a["wid"], a["n"])
+            got += zip(word.tolist(), a["st"].tolist(), a["en"].tolist(), a["pids"][a["code"]].tolist())
+        ids = {p: 7 * i for i, p in enumerate(pieces)}
+        assert sorted(got) == sorted((i, s, s + n, ids[t[s:s + n]]) for i, t in enumerate(texts) for s in range(len(t))
+                                     for n in (1, 2, 3) if t[s:s + n] in ids and s + n <= len(t) and not (proper and n == len(t)))
+        used = lattice.whole.used
+        assert used.count() <= len(rows) * lattice.tasks
+        assert used.select(F.sum(F.length("pids") / 8)).first()[0] > used.count()   # more pieces than rows
+        lattice.drop()
+
+
 def test_digamma(spark):
     got = spark.createDataFrame([(x,) for x in (0.5, 1.0, 2.0, 10.0, 1e6)], "x double").select(unigram.digamma(F.col("x")).alias("d")).collect()
     want = [-1.9635100260214235, -0.5772156649015329, 0.42278433509846713, 2.251752589066721, 13.815510057964274]

@@ -3,18 +3,21 @@
 The loop runs on the driver; pieces, scores, counts and lattices are tables:
 
 * **Lattice.** Every occurrence of a candidate piece in every word type is an
-  edge, found by a join on the piece's text, once. The edges of some thousand
-  words are packed into one row (binary columns, each a numpy array) of a
-  bucketed table, so no later pass sorts or shuffles them. Words of two
+  edge, found once: each bucket of some thousand words asks for the distinct
+  fingerprints of its substrings, as one array per block of fingerprints, and
+  a cogroup by block with the pieces answers. A bucket's edges are one row
+  (binary columns, each a numpy array) of a bucketed table, so no later pass
+  sorts or shuffles them. Words of two
   segments or more are cut into segments of ``SEGMENT`` positions, each with
   the edges that start in it.
 * **State.** ``(pid, is_char, c, vfreq)``, rewritten by every E-step. The log
   scores follow from ``c`` and its total (variational M-step,
   ``ψ(c) − ψ(Σc)``) in a projection.
-* **E-step.** The scores that a bucket needs (its distinct pieces joined with
-  the state) meet the bucket in a cogroup; a vectorised numpy
+* **E-step.** Pieces are dealt out to blocks by id. A cogroup by block looks up
+  the scores that each bucket needs and sends them as one array per bucket and
+  block; they meet the bucket in a cogroup. A vectorised numpy
   forward–backward over the bucket's words gives its expected and Viterbi
-  counts, and one aggregation by piece sums them.
+  counts, again as one array per block, which are summed block by block.
 * **Long words.** A segment maps the log-sums of the paths that enter it (at
   its first ``max_piece_len`` positions, as pieces reach over the cut) to those
   that leave it: a small matrix under (log-sum, +), and one under (max, +). A
@@ -179,78 +182,205 @@ def _packed(bucket: int, **arrays: np.ndarray) -> pa.Table:
                     schema=_PACKED_TYPE)
 
 
-def _pack(edges: pa.Table, words: pa.Table) -> pa.Table:
+def _by_block(pids: np.ndarray, blocks: int) -> np.ndarray:
+    """Distinct piece ids by block, then id: the order of a bucket's pieces."""
+    pids = np.unique(pids)
+    return pids[np.argsort(pids % blocks, kind="stable")]
+
+
+def _codes(pids: np.ndarray, pid: np.ndarray) -> np.ndarray:
+    """The place of each ``pid`` in ``pids``."""
+    order = np.argsort(pids, kind="stable")
+    return order[np.searchsorted(pids[order], pid)]
+
+
+def _slices(block: np.ndarray) -> list[tuple[int, int]]:
+    """Ends of the runs of equal blocks."""
+    ends = np.flatnonzero(np.diff(block, append=-1)) + 1
+    return list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if len(block) else []
+
+
+_MIX, _STEP, _LEN = (np.array([x], np.uint64) for x in (0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0x94D049BB133111EB))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX
+    x = (x ^ (x >> np.uint64(27))) * _LEN
+    return x ^ (x >> np.uint64(31))
+
+
+def _prints(texts: list[str], starts: np.ndarray, longest: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of the substrings of 1 to ``longest`` characters at the first ``starts`` positions of each text; also
+    the text's number, and start and length in one integer."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = _mixed(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + _STEP)
+    word = np.repeat(np.arange(len(texts)), starts)
+    st = np.arange(len(word)) - np.repeat(np.cumsum(starts) - starts, starts)
+    pos = (np.cumsum(length) - length)[word] + st
+    room = np.minimum(np.minimum(length[word] - st, longest[word]), max_len)
+    h = np.zeros(len(pos), np.uint64)
+    out = [(h[:0], word[:0], st[:0])]
+    for n in range(1, max_len + 1):
+        live = room >= n
+        if not live.any():
+            break
+        word, st, pos, room = word[live], st[live], pos[live], room[live]
+        h = h[live] * _STEP + chars[pos + n - 1]
+        out.append((_mixed(h + np.uint64(n) * _LEN), word, st << _LENGTH_BITS | n))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _print_block(h: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of a fingerprint: equal ranges, so sorted fingerprints lie block by block."""
+    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
+def _word_prints(words: pa.Table, max_len: int, proper: bool):
+    size, full = _columns(words, "size", "full")
+    return _prints(words.column("text").to_pylist(), size.astype(np.int64), (full - 1 if proper else full).astype(np.int64), max_len)
+
+
+def _ask_fn(max_len: int, proper: bool, blocks: int):
+    """The distinct fingerprints in one bucket, a row per block."""
+    def run(words: pa.Table) -> pa.Table:
+        h = np.unique(_word_prints(words, max_len, proper)[0])
+        block = _print_block(h, blocks)
+        runs = _slices(block)
+        return pa.table({"bucket": pa.array(np.full(len(runs), words.column("bucket")[0].as_py(), np.int64)),
+                         "block": pa.array([block[a] for a, _ in runs], pa.int64()),
+                         "h": pa.array([h[a:b].tobytes() for a, b in runs], pa.binary())})
+    return run
+
+
+def _piece_prints_fn(max_len: int, blocks: int):
+    def run(batches):
+        for b in batches:
+            text, pid = b.column("piece").to_pylist(), b.column("pid").to_numpy()
+            ok = np.array([0 < len(t) <= max_len for t in text], bool)
+            text, pid = [t for t in text if 0 < len(t) <= max_len], pid[ok]
+            length = np.fromiter(map(len, text), np.int64, len(text))
+            h, word, at = _prints(text, np.ones(len(text), np.int64), length, max_len)
+            whole = at == length[word]   # from position 0
+            h, pid = h[whole], pid[word[whole]]
+            yield pa.RecordBatch.from_arrays([pa.array(_print_block(h, blocks)), pa.array(h.view(np.int64)), pa.array(pid, pa.int64())],
+                                             names=["block", "h", "pid"])
+    return run
+
+
+def _matches(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places with ``keys[i] == h[j]``; ``h`` is sorted."""
+    low, high = np.searchsorted(h, keys, "left"), np.searchsorted(h, keys, "right")
+    n = high - low
+    i = np.repeat(np.arange(len(keys)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
+
+
+def _answer(asked: pa.Table, pieces: pa.Table) -> pa.Table:
+    """Of one block: the pieces that each bucket asked for."""
+    h, pid = _columns(pieces, "h", "pid")
+    h = h.view(np.uint64)
+    order = np.argsort(h, kind="stable")
+    h, pid = h[order], pid[order]
+    rows = {"bucket": [], "h": [], "pids": []}
+    for bucket, keys in zip(asked.column("bucket").to_pylist(), asked.column("h").to_pylist(), strict=True):
+        _, j = _matches(np.frombuffer(keys, np.uint64), h)
+        if len(j):
+            for c, x in (("bucket", bucket), ("h", h[j].tobytes()), ("pids", pid[j].tobytes())):
+                rows[c].append(x)
+    return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), "h": pa.array(rows["h"], pa.binary()),
+                     "pids": pa.array(rows["pids"], pa.binary())})
+
+
+def _joined(t: pa.Table, column: str, dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for x in t.column(column).to_pylist())])
+
+
+def _pack_fn(max_len: int, proper: bool, blocks: int):
     """One bucket's edges as one row; words of like length lie together, as passes go position by position."""
-    if not len(edges):
-        return _PACKED_TYPE.empty_table()
-    wid, seg, size, freq = _columns(words, "wid", "seg", "size", "freq")
-    order = np.lexsort((seg, wid, size))
-    wid, seg, size, freq = (x[order] for x in (wid, seg, size, freq))
-    # each edge's word: its place in this order
-    e_wid, e_seg, at, pid = _columns(edges, "wid", "seg", "at", "pid")
-    ids = np.unique(wid)
-    name = np.searchsorted(ids, wid) << 32 | seg
-    by_name = np.argsort(name, kind="stable")
-    word = by_name[np.searchsorted(name[by_name], np.searchsorted(ids, e_wid) << 32 | e_seg)]
-    order = np.lexsort((at, word))
-    word, at, pid = word[order], at[order], pid[order]
-    n = np.bincount(word, minlength=len(wid))
-    pids, code = np.unique(pid, return_inverse=True)
-    st = at >> _LENGTH_BITS
-    used = n > 0
-    return _packed(words.column("bucket")[0].as_py(), st=st, en=st + (at & ((1 << _LENGTH_BITS) - 1)), code=code, pids=pids,
-                   wid=wid[used], seg=seg[used], size=size[used], freq=freq[used], n=n[used])
+    def run(words: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(words) or not len(found):
+            return _PACKED_TYPE.empty_table()
+        wid, seg, size = _columns(words, "wid", "seg", "size")
+        words = words.take(np.lexsort((seg, wid, size)))
+        wid, seg, size, freq = _columns(words, "wid", "seg", "size", "freq")
+        h, own = _joined(found, "h", np.uint64), _joined(found, "pids", np.int64)
+        order = np.argsort(h, kind="stable")
+        keys, word, at = _word_prints(words, max_len, proper)
+        i, j = _matches(keys, h[order])
+        word, at, pid = word[i], at[i], own[order][j]
+        order = np.lexsort((at, word))
+        word, at, pid = word[order], at[order], pid[order]
+        n = np.bincount(word, minlength=len(wid))
+        used = n > 0
+        # a piece's own row goes with it
+        pids = _by_block(np.concatenate([pid, wid[used]]) if proper else pid, blocks)
+        st = at >> _LENGTH_BITS
+        return _packed(words.column("bucket")[0].as_py(), st=st, en=st + (at & ((1 << _LENGTH_BITS) - 1)), code=_codes(pids, pid), pids=pids,
+                       wid=wid[used], seg=seg[used], size=size[used], freq=freq[used], n=n[used])
+    return run
+
+
+def _values(scores: pa.Table) -> np.ndarray:
+    """The scores of a bucket's pieces, in their order; -inf for dead ones."""
+    return _joined(scores.take(np.argsort(scores.column("block").to_numpy(), kind="stable")), "logp", np.float64)
 
 
 def _words_of(row: pa.Table, scores: pa.Table) -> tuple[np.ndarray, _Words, np.ndarray]:
     """Piece ids by local code, the words, and the (wid, seg) of each. Edges of dead pieces have score -inf."""
     a = {c: np.frombuffer(row.column(c)[0].as_py(), t) for c, t in _ARRAYS.items()}
-    pid, logp = _columns(scores, "pid", "logp")
-    value = np.full(len(a["pids"]), _NEG)
-    at = np.minimum(np.searchsorted(a["pids"], pid), len(a["pids"]) - 1)
-    own = a["pids"][at] == pid
-    value[at[own]] = logp[own]
+    value = _values(scores)
     code = a["code"].astype(np.int64)
     w = _Words(np.repeat(np.arange(len(a["n"])), a["n"]), a["st"].astype(np.int64), a["en"].astype(np.int64), code, value[code],
                a["size"].astype(np.int64), a["freq"].astype(np.float64))
     return a["pids"], w, np.stack([a["wid"], a["seg"]])
 
 
-def _compact_fn(piece_rows: bool):
+def _compact_fn(piece_rows: bool, blocks: int):
     def run(row: pa.Table, scores: pa.Table) -> pa.Table:
         a = {c: np.frombuffer(row.column(c)[0].as_py(), t) for c, t in _ARRAYS.items()} if len(row) else None
         if a is None:
             return _PACKED_TYPE.empty_table()
-        alive = np.sort(scores.column("pid").to_numpy())
-        live = lambda x: np.isin(x, alive)
-        words = live(a["wid"]) if piece_rows else np.ones(len(a["wid"]), bool)
-        pieces = live(a["pids"])
+        pieces = _values(scores) > _NEG
+        words = pieces[_codes(a["pids"], a["wid"])] if piece_rows else np.ones(len(a["wid"]), bool)
         widx = np.repeat(np.arange(len(a["n"])), a["n"])
         keep = pieces[a["code"]] & words[widx]
         n = np.bincount(widx[keep], minlength=len(a["n"]))
         words = n > 0
         if not keep.any():
             return _PACKED_TYPE.empty_table()
-        pids, code = np.unique(a["pids"][a["code"][keep]], return_inverse=True)
-        return _packed(row.column("bucket")[0].as_py(), st=a["st"][keep], en=a["en"][keep], code=code, pids=pids, n=n[words],
+        pid = a["pids"][a["code"][keep]]
+        pids = _by_block(np.concatenate([pid, a["wid"][words]]) if piece_rows else pid, blocks)
+        return _packed(row.column("bucket")[0].as_py(), st=a["st"][keep], en=a["en"][keep], code=_codes(pids, pid), pids=pids, n=n[words],
                        **{c: a[c][words] for c in ("wid", "seg", "size", "freq")})
     return run
 
 
-_COUNTS = "pid long, expected double, vfreq double"
+_COUNTS = "block long, pids binary, expected binary, vfreq binary"
 
 
-def _counted(pid: np.ndarray, expected: np.ndarray, vfreq: np.ndarray) -> pa.Table:
+def _counted(pid: np.ndarray, expected: np.ndarray, vfreq: np.ndarray, blocks: int) -> pa.Table:
+    """A bucket's counts, a row per block; ``pid`` lies block by block."""
     use = (expected != 0) | (vfreq != 0)
-    return pa.table({"pid": pid[use].astype(np.int64), "expected": expected[use], "vfreq": vfreq[use]})
+    pid, expected, vfreq = pid[use].astype(np.int64), expected[use], vfreq[use]
+    block = pid % blocks
+    runs = _slices(block)
+    return pa.table({"block": pa.array([block[a] for a, _ in runs], pa.int64()),
+                     **{c: pa.array([x[a:b].tobytes() for a, b in runs], pa.binary())
+                        for c, x in (("pids", pid), ("expected", expected), ("vfreq", vfreq))}})
+
+
+def _summed(counts: pa.Table) -> pa.Table:
+    """The counts of one block's pieces over all buckets."""
+    pid, at = np.unique(_joined(counts, "pids", np.int64), return_inverse=True)
+    return pa.table({"pid": pid, **{c: np.bincount(at, _joined(counts, c, np.float64), len(pid)) for c in ("expected", "vfreq")}})
 
 
-def _counts_fn(viterbi: bool):
+def _counts_fn(viterbi: bool, blocks: int):
     def run(row: pa.Table, scores: pa.Table) -> pa.Table:
         if not len(row):
-            return _counted(*np.zeros((3, 0)))
+            return _counted(*np.zeros((3, 0)), blocks)
         pid, w, _ = _words_of(row, scores)
-        return _counted(pid, w.expected(len(pid)), w.viterbi(len(pid)) if viterbi else np.zeros(len(pid)))
+        return _counted(pid, w.expected(len(pid)), w.viterbi(len(pid)) if viterbi else np.zeros(len(pid)), blocks)
     return run
 
 
@@ -336,7 +466,7 @@ def _compose_fn(k: int):
     return run
 
 
-def _long_counts_fn(k: int, viterbi: bool):
+def _long_counts_fn(k: int, viterbi: bool, blocks: int):
     def run(edges: pa.Table, right: pa.Table) -> pa.Table:
         kind = right.column("wid").is_null().to_numpy()
         scores, ends = right.filter(pa.array(kind)), right.filter(pa.array(~kind))
@@ -346,10 +476,10 @@ def _long_counts_fn(k: int, viterbi: bool):
         enter, leave = (np.array(ends.column(c).to_pylist(), np.float64)[row] for c in ("enter", "leave"))
         expected = _framed(w, enter, leave).expected(len(pid))
         if not viterbi:
-            return _counted(pid, expected, np.zeros(len(pid)))
+            return _counted(pid, expected, np.zeros(len(pid)), blocks)
         one = np.arange(k)[None, :]
         gate = [np.where(one == ends.column(c).to_numpy()[row][:, None], 0.0, _NEG) for c in ("best_in", "best_out")]
-        return _counted(pid, expected, _framed(w, *gate).viterbi(len(pid)))
+        return _counted(pid, expected, _framed(w, *gate).viterbi(len(pid)), blocks)
     return run
 
 
@@ -359,14 +489,16 @@ def _long_counts_fn(k: int, viterbi: bool):
 
 @dataclass
 class Part:
-    """Packed rows as a table bucketed by ``bucket``, and the pieces of each bucket."""
+    """Packed rows as a table bucketed by ``bucket``; the pieces of each bucket, packed by block, as one bucketed by ``block``."""
     rows: DataFrame
     used: DataFrame
-    name: str
+    names: list[str]
     paths: list[str]
+    blocks: int
 
     def drop(self) -> None:
-        self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for n in self.names:
+            self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {n}")
         for p in self.paths:
             drop_path(self.rows.sparkSession, p)
 
@@ -385,23 +517,30 @@ class Lattice:
             p.drop()
 
 
-def _written(rows: DataFrame, tasks: int, proper: bool) -> Part:
+def _bucketed(rows: DataFrame, tasks: int, key: str, name: str) -> tuple[str, str]:
+    """A table's name and path."""
+    name, path = f"{name}_{uuid.uuid4().hex[:12]}", scratch_path(rows.sparkSession, name)
+    rows.repartition(tasks, key).write.bucketBy(tasks, key).option("path", path).saveAsTable(name)
+    return name, path
+
+
+def _written(rows: DataFrame, tasks: int) -> Part:
     spark = rows.sparkSession
-    name, path = f"lattice_{uuid.uuid4().hex[:12]}", scratch_path(spark, "lattice")
-    rows.repartition(tasks, "bucket").write.bucketBy(tasks, "bucket").option("path", path).saveAsTable(name)
-    table = spark.table(name)
+    name, path = _bucketed(rows, tasks, "bucket", "lattice")
 
     def pieces(batches):
         for b in batches:
-            for bucket, pids, wid in zip(*(b.column(c).to_pylist() for c in ("bucket", "pids", "wid")), strict=True):
+            for bucket, pids in zip(b.column("bucket").to_pylist(), b.column("pids").to_pylist(), strict=True):
                 ids = np.frombuffer(pids, np.int64)
-                if proper:   # a piece's own row goes with it
-                    ids = np.union1d(ids, np.frombuffer(wid, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket)), pa.array(ids)], names=["bucket", "pid"])
+                block = ids % tasks
+                runs = _slices(block)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), bucket, np.int64)), pa.array([block[x] for x, _ in runs], pa.int64()),
+                                                  pa.array([ids[x:y].tobytes() for x, y in runs], pa.binary())],
+                                                 names=["bucket", "block", "pids"])
 
-    used = scratch_path(spark, "used")
-    table.select("bucket", "pids", "wid").mapInArrow(pieces, "bucket long, pid long").write.parquet(used)
-    return Part(table, spark.read.parquet(used), name, [path, used])
+    used, used_path = _bucketed(spark.table(name).select("bucket", "pids")
+                                .mapInArrow(pieces, "bucket long, block long, pids binary"), tasks, "block", "used")
+    return Part(spark.table(name), spark.table(used), [name, used], [path, used_path], tasks)
 
 
 def build_lattice(words: DataFrame, pieces: DataFrame, max_piece_len: int = 16, segment: int = SEGMENT,
@@ -432,26 +571,15 @@ def build_lattice(words: DataFrame, pieces: DataFrame, max_piece_len: int = 16,
                          F.when(F.col("seg") == F.col("n_segs") - 1, length - begin).otherwise(F.lit(segment)).alias("size"),
                          F.substring("word", begin + 1, F.lit(2 * segment + max_piece_len)).alias("text"))
     parts = parts.withColumn("bucket", F.pmod(F.xxhash64("wid", "seg"), F.lit(buckets)))
-    starts = parts.select("wid", "seg", "n_segs", "full", "text", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("st"))
-    subs = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_piece_len), F.length("text") - F.col("st")))))
-    if proper:
-        subs = subs.filter(F.col("n") < F.col("full"))
-    # only numbers move: a fingerprint of the text, compared with its length
-    subs = subs.select("wid", "seg", "n_segs", "n", F.xxhash64(F.substring("text", F.col("st") + 1, F.col("n"))).alias("h"),
-                       F.shiftleft("st", _LENGTH_BITS).bitwiseOR(F.col("n")).alias("at"))
-    named = pieces.select("pid", F.xxhash64("piece").alias("h"), F.length("piece").alias("n"))
-    # the planner sees neither explode, so it would broadcast the substrings
-    edges = subs.join(named.hint("shuffle_hash"), ["h", "n"]) \
-        .select(F.pmod(F.xxhash64("wid", "seg"), F.lit(buckets)).alias("bucket"), "wid", "seg", "n_segs", "at", "pid")
+    named = pieces.select("pid", "piece").filter("piece is not null") \
+        .mapInArrow(_piece_prints_fn(max_piece_len, tasks), "block long, h long, pid long")
     has_long = longest >= 2 * segment
-    if has_long:   # both parts read the edges
-        edges = _stored(edges, "edges")
 
     def pack(which: str) -> Part:
-        own = edges.filter(which).drop("n_segs")
-        words_of = parts.filter(which).select("bucket", "wid", "seg", "size", "freq") \
-            .toDF("bucket", "wid", "seg", "size", "freq")
-        return _written(own.groupBy("bucket").cogroup(words_of.groupBy("bucket")).applyInArrow(_pack, _PACKED), tasks, proper)
+        own = parts.filter(which).drop("n_segs").groupBy("bucket")
+        asked = own.applyInArrow(_ask_fn(max_piece_len, proper, tasks), "bucket long, block long, h binary")
+        found = asked.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_answer, "bucket long, h binary, pids binary")
+        return _written(own.cogroup(found.groupBy("bucket")).applyInArrow(_pack_fn(max_piece_len, proper, tasks), _PACKED), tasks)
 
     return Lattice(pack("n_segs = 1"), pack("n_segs > 1") if has_long else None, max_piece_len, tasks, proper)
 
@@ -459,15 +587,29 @@ def build_lattice(words: DataFrame, pieces: DataFrame, max_piece_len: int = 16,
 def compact_lattice(lattice: Lattice, state: DataFrame) -> Lattice:
     """The lattice without the edges of removed pieces (and, of pieces, without removed pieces' own rows)."""
     alive = state.select("pid", F.lit(0.0).alias("logp"))
-    parts = [p and _written(_meet(p, alive, _compact_fn(lattice.proper), _PACKED), lattice.tasks, lattice.proper)
+    parts = [p and _written(_meet(p, alive, _compact_fn(lattice.proper, p.blocks), _PACKED), lattice.tasks)
              for p in (lattice.whole, lattice.cut)]
     lattice.drop()
     return Lattice(*parts, lattice.max_piece_len, lattice.tasks, lattice.proper)
 
 
+def _lookup(used: pa.Table, scores: pa.Table) -> pa.Table:
+    """Of one block: the scores of the pieces that each bucket uses, -inf for dead ones."""
+    pid, logp = _columns(scores, "pid", "logp")
+    order = np.argsort(pid, kind="stable")
+    pid, logp = np.append(pid[order], 0), np.append(logp[order], _NEG)   # the last for ids behind all others
+    values = []
+    for ids in used.column("pids").to_pylist():
+        ids = np.frombuffer(ids, np.int64)
+        at = np.searchsorted(pid[:-1], ids)
+        values.append(np.where(pid[at] == ids, logp[at], _NEG).astype(np.float64).tobytes())
+    return pa.table({"bucket": used.column("bucket"), "block": used.column("block"), "logp": pa.array(values, pa.binary())})
+
+
 def _meet(part: Part, scores: DataFrame, fn, schema: str, more: DataFrame | None = None) -> DataFrame:
-    """Each bucket with the scores of its pieces; the lattice is bucketed, so only the other side moves."""
-    need = part.used.join(scores.select("pid", "logp"), "pid").select("bucket", "pid", "logp")
+    """Each bucket with the scores of its pieces; the lattice is bucketed, so only scores move, as arrays."""
+    scores = scores.select("pid", "logp", F.pmod(F.col("pid").cast("long"), F.lit(part.blocks).cast("long")).alias("block"))
+    need = part.used.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(_lookup, "bucket long, block long, logp binary")
     if more is not None:
         need = need.unionByName(more, allowMissingColumns=True)
     return part.rows.groupBy("bucket").cogroup(need.groupBy("bucket")).applyInArrow(fn, schema)
@@ -484,13 +626,14 @@ def _segment_names(batches):
 def expected_counts(lattice: Lattice, scores: DataFrame, viterbi: bool = False) -> DataFrame:
     """E-step: ``pid, expected, vfreq`` under ``scores(pid, logp)``."""
     k = lattice.max_piece_len
-    counts = _meet(lattice.whole, scores, _counts_fn(viterbi), _COUNTS)
+    counts = _meet(lattice.whole, scores, _counts_fn(viterbi, lattice.whole.blocks), _COUNTS)
     if lattice.cut:
         matrices = _meet(lattice.cut, scores, _matrices_fn(k), "wid long, seg int, sums array<double>, best array<double>")
         ends = _stored(matrices.groupBy("wid").applyInPandas(_compose_fn(k), _ENDS), "ends")
         names = lattice.cut.rows.select("bucket", "wid", "seg").mapInArrow(_segment_names, "bucket long, wid long, seg int")
-        counts = counts.unionByName(_meet(lattice.cut, scores, _long_counts_fn(k, viterbi), _COUNTS, ends.join(names, ["wid", "seg"])))
-    return counts.groupBy("pid").agg(F.sum("expected").alias("expected"), F.sum("vfreq").alias("vfreq"))
+        counts = counts.unionByName(_meet(lattice.cut, scores, _long_counts_fn(k, viterbi, lattice.cut.blocks), _COUNTS,
+                                          ends.join(names, ["wid", "seg"])))
+    return counts.groupBy("block").applyInArrow(_summed, "pid long, expected double, vfreq double")
 
 
 # --------------------------------------------------------------------------
