@@ -66,9 +66,9 @@ _FEW = 20_000
 
 def _seg_logsumexp(vals: np.ndarray, seg_starts: np.ndarray) -> np.ndarray:
     m = np.maximum.reduceat(vals, seg_starts)
-    m_rep = np.repeat(m, np.diff(np.append(seg_starts, len(vals))))
+    base = np.where(np.isfinite(m), m, 0.0)
     with np.errstate(invalid="ignore", divide="ignore"):
-        s = np.add.reduceat(np.exp(vals - np.where(np.isfinite(m_rep), m_rep, 0.0)), seg_starts)
+        s = np.add.reduceat(np.exp(vals - np.repeat(base, np.diff(np.append(seg_starts, len(vals))))), seg_starts)
         out = np.where(np.isfinite(m), m + np.log(s), _NEG)
     return out
 
@@ -326,11 +326,13 @@ def _values(scores: pa.Table) -> np.ndarray:
 
 
 def _words_of(row: pa.Table, scores: pa.Table) -> tuple[np.ndarray, _Words, np.ndarray]:
-    """Piece ids by local code, the words, and the (wid, seg) of each. Edges of dead pieces have score -inf."""
+    """Piece ids by local code, the words with their live edges, and the (wid, seg) of each."""
     a = {c: np.frombuffer(row.column(c)[0].as_py(), t) for c, t in _ARRAYS.items()}
     value = _values(scores)
     code = a["code"].astype(np.int64)
-    w = _Words(np.repeat(np.arange(len(a["n"])), a["n"]), a["st"].astype(np.int64), a["en"].astype(np.int64), code, value[code],
+    lp, widx = value[code], np.repeat(np.arange(len(a["n"])), a["n"])
+    live = slice(None) if (value > _NEG).all() else lp > _NEG   # no path takes a dead edge
+    w = _Words(widx[live], a["st"].astype(np.int64)[live], a["en"].astype(np.int64)[live], code[live], lp[live],
                a["size"].astype(np.int64), a["freq"].astype(np.float64))
     return a["pids"], w, np.stack([a["wid"], a["seg"]])
 
