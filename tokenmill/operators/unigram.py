@@ -26,7 +26,7 @@ The loop runs on the driver; pieces, scores, counts and lattices are tables:
 * **Pruning** needs each piece's best split without itself: the same lattice
   over the pieces, without each piece's own edge. The cut is a distributed
   threshold: a histogram of costs, refined until the k-th is isolated.
-* Whenever the live pieces have halved, the lattices are rewritten without the
+* Whenever a quarter of the pieces is left, the lattices are rewritten without the
   dead edges, so passes shrink with the vocabulary.
 
 Pieces with an expected count below 0.5 are dropped; after ``em_iters``
@@ -39,13 +39,14 @@ pieces or the text.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tokenmill.operators.order import sample_lines
@@ -55,9 +56,12 @@ from tokenmill.session import cut_lineage, drop_path, scratch_path, ship_code
 _NEG = float("-inf")
 #: Positions of a long word's segment; edges of a bucket (one cogroup); bins of a histogram; rows sorted at its end.
 SEGMENT = 4096
+#: Positions of a word that is read as cells (their lengths fit 8 bits), and words that are read together.
+SHORT = 32
+_TOGETHER = 16_384
 BUCKET_EDGES = 1_000_000
 _BINS = 512
-_FEW = 20_000
+_FEW = 200_000
 
 
 # --------------------------------------------------------------------------
@@ -165,9 +169,109 @@ class _Words:
         return counts[:n]
 
 
+class _Cells:
+    """Words of at most ``SHORT`` positions, by ascending size, as cells: one for every word, end and length.
+
+    The cells of one end and length are a run over the words that reach this
+    end (the last ones), so a pass takes a whole run at a time. Sums are of
+    plain products: ``fits`` tells for which words none can leave the range."""
+
+    @staticmethod
+    def fits(size: np.ndarray, value: np.ndarray) -> int:
+        """How many of the first words."""
+        most = np.abs(value[np.isfinite(value)]).max(initial=1.0)
+        return int(np.searchsorted(size, min(SHORT, 650.0 / most), "right"))
+
+    def __init__(self, size: np.ndarray, widx: np.ndarray, st: np.ndarray, en: np.ndarray, code: np.ndarray):
+        self.size, self.code = size, code
+        self.top = int(size[-1])
+        n = en.astype(np.int64) - st
+        longest = int(n.max(initial=0))
+        self.first = np.searchsorted(size, np.arange(self.top + 2))
+        self.reach = len(size) - self.first      # words that reach an end
+        kind = en * np.int64(longest + 1) + n
+        live = np.bincount(kind, minlength=(self.top + 1) * (longest + 1)).reshape(self.top + 1, longest + 1) > 0
+        run = np.where(live, self.reach[:-1, None], 0)
+        start = (np.cumsum(run) - run.ravel()).reshape(run.shape)
+        self.cells = int(run.sum())
+        self.base = start - self.first[:-1, None]
+        self.cell = self.base.ravel()[kind] + widx
+        # by end: the lengths that occur, longest first, and their runs
+        self.runs = [[(int(k), slice(int(start[j, k]), int(start[j, k] + self.reach[j]))) for k in np.flatnonzero(live[j])[::-1]]
+                     for j in range(self.top + 1)]
+
+    def unique(self) -> bool:
+        """Whether no two pieces are the same substring; edges come in the order of their words, starts and lengths."""
+        return not (self.cell[1:] == self.cell[:-1]).any()
+
+    def at_end(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The value at each word's last position."""
+        return np.concatenate([rows[j][:self.first[j + 1] - self.first[j]] for j in range(self.top + 1)])
+
+    def expected(self, value: np.ndarray, freq: np.ndarray, n: int) -> np.ndarray:
+        p = np.zeros(self.cells)
+        p[self.cell] = np.exp(value)[self.code]
+        alpha = [np.ones(len(self.size))]
+        for j in range(1, self.top + 1):
+            m = self.reach[j]
+            at = np.zeros(m)
+            for k, run in self.runs[j]:
+                at += alpha[j - k][-m:] * p[run]
+            alpha.append(at)
+        z = self.at_end(alpha)
+        weight = np.divide(freq, z, out=np.zeros(len(z)), where=z > 0)
+        beta = []
+        for j in range(self.top + 1):
+            at = np.zeros(self.reach[j])
+            ends = self.first[j + 1] - self.first[j]
+            at[:ends] = weight[self.first[j]:self.first[j + 1]]
+            beta.append(at)
+        for j in range(self.top, 0, -1):   # all that leaves j has come by then
+            m = self.reach[j]
+            for k, run in self.runs[j]:
+                out = p[run] * beta[j]
+                beta[j - k][-m:] += out
+                p[run] = out * alpha[j - k][-m:]
+        return np.bincount(self.code, p[self.cell], n)
+
+    def best(self, value: np.ndarray, back: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Best log score of each word; with ``back``, also the length of the last piece of the best path to each position
+        (the longest of several)."""
+        lp = np.full(self.cells, _NEG)
+        lp[self.cell] = value[self.code]
+        rows, last = [np.zeros(len(self.size))], [np.zeros(len(self.size), np.int8)]
+        for j in range(1, self.top + 1):
+            m = self.reach[j]
+            at, by = np.full(m, _NEG), np.zeros(m if back else 0, np.int8)
+            for k, run in self.runs[j]:
+                path = rows[j - k][-m:] + lp[run]
+                if back:
+                    np.copyto(by, np.int8(k), where=path > at)
+                np.maximum(at, path, out=at)
+            rows.append(at)
+            last.append(by)
+        return self.at_end(rows), last
+
+    def viterbi(self, value: np.ndarray, freq: np.ndarray, n: int) -> np.ndarray:
+        z, last = self.best(value, back=True)
+        code = np.zeros(self.cells, np.int64)
+        code[self.cell] = self.code
+        start = np.cumsum(self.reach[:-1]) - self.reach[:-1] - self.first[:-1]
+        last = np.concatenate(last)
+        word = np.flatnonzero(np.isfinite(z) & (self.size > 0))
+        at, used, times = self.size[word].astype(np.int64), [code[:0]], [freq[:0]]
+        while len(word):
+            k = last[start[at] + word].astype(np.int64)
+            used.append(code[self.base[at, k] + word])
+            times.append(freq[word])
+            at -= k
+            word, at = word[at > 0], at[at > 0]
+        return np.bincount(np.concatenate(used), np.concatenate(times), n)
+
+
 #: An edge's start and length in one integer.
 _LENGTH_BITS = 10
-_ARRAYS = {"st": np.int32, "en": np.int32, "code": np.int32, "pids": np.int64, "wid": np.int64, "seg": np.int32,
+_ARRAYS = {"st": np.int16, "en": np.int16, "code": np.int32, "pids": np.int64, "wid": np.int64, "seg": np.int32,
            "size": np.int32, "freq": np.int64, "n": np.int32}
 _PACKED = "bucket long, " + ", ".join(f"{c} binary" for c in _ARRAYS)
 _PACKED_TYPE = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in _ARRAYS)])
@@ -304,18 +408,19 @@ def _pack_fn(max_len: int, proper: bool, blocks: int):
         words = words.take(np.lexsort((seg, wid, size)))
         wid, seg, size, freq = _columns(words, "wid", "seg", "size", "freq")
         h, own = _joined(found, "h", np.uint64), _joined(found, "pids", np.int64)
-        order = np.argsort(h, kind="stable")
         keys, word, at = _word_prints(words, max_len, proper)
-        i, j = _matches(keys, h[order])
-        word, at, pid = word[i], at[i], own[order][j]
-        order = np.lexsort((at, word))
-        word, at, pid = word[order], at[order], pid[order]
+        sort = np.argsort(keys)
+        j, i = _matches(h, keys[sort])
+        i = sort[i]
+        order = np.argsort(word[i] << 32 | at[i], kind="stable")   # by word, start and length
+        i, j = i[order], j[order]
+        word, at = word[i], at[i]
         n = np.bincount(word, minlength=len(wid))
         used = n > 0
         # a piece's own row goes with it
-        pids = _by_block(np.concatenate([pid, wid[used]]) if proper else pid, blocks)
+        pids = _by_block(np.concatenate([own, wid[used]]) if proper else own, blocks)
         st = at >> _LENGTH_BITS
-        return _packed(words.column("bucket")[0].as_py(), st=st, en=st + (at & ((1 << _LENGTH_BITS) - 1)), code=_codes(pids, pid), pids=pids,
+        return _packed(words.column("bucket")[0].as_py(), st=st, en=st + (at & ((1 << _LENGTH_BITS) - 1)), code=_codes(pids, own)[j], pids=pids,
                        wid=wid[used], seg=seg[used], size=size[used], freq=freq[used], n=n[used])
     return run
 
@@ -325,24 +430,46 @@ def _values(scores: pa.Table) -> np.ndarray:
     return _joined(scores.take(np.argsort(scores.column("block").to_numpy(), kind="stable")), "logp", np.float64)
 
 
+def _bucket(row: pa.Table, scores: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The arrays of a bucket and the scores of its pieces."""
+    return {c: np.frombuffer(row.column(c)[0].as_py(), t) for c, t in _ARRAYS.items()}, _values(scores)
+
+
+def _edges(a: dict[str, np.ndarray], value: np.ndarray, start: int = 0) -> _Words:
+    """The words from number ``start`` on with their live edges."""
+    n = a["n"][start:]
+    code = a["code"][len(a["code"]) - n.sum():].astype(np.int64)
+    lp, widx = value[code], np.repeat(np.arange(len(n)), n)
+    live = slice(None) if (value > _NEG).all() else lp > _NEG   # no path takes a dead edge
+    st, en = (a[c][len(a[c]) - len(code):].astype(np.int64)[live] for c in ("st", "en"))
+    return _Words(widx[live], st, en, code[live], lp[live], a["size"][start:].astype(np.int64), a["freq"][start:].astype(np.float64))
+
+
 def _words_of(row: pa.Table, scores: pa.Table) -> tuple[np.ndarray, _Words, np.ndarray]:
     """Piece ids by local code, the words with their live edges, and the (wid, seg) of each."""
-    a = {c: np.frombuffer(row.column(c)[0].as_py(), t) for c, t in _ARRAYS.items()}
-    value = _values(scores)
-    code = a["code"].astype(np.int64)
-    lp, widx = value[code], np.repeat(np.arange(len(a["n"])), a["n"])
-    live = slice(None) if (value > _NEG).all() else lp > _NEG   # no path takes a dead edge
-    w = _Words(widx[live], a["st"].astype(np.int64)[live], a["en"].astype(np.int64)[live], code[live], lp[live],
-               a["size"].astype(np.int64), a["freq"].astype(np.float64))
-    return a["pids"], w, np.stack([a["wid"], a["seg"]])
+    a, value = _bucket(row, scores)
+    return a["pids"], _edges(a, value), np.stack([a["wid"], a["seg"]])
+
+
+def _short_words(a: dict[str, np.ndarray], value: np.ndarray):
+    """A bucket's first words as cells, some thousand at a time: ``(start, end, cells)``. The rest are to be read as edges."""
+    upto = np.concatenate([[0], np.cumsum(a["n"])])
+    fit = _Cells.fits(a["size"], value)
+    for x in range(0, fit, _TOGETHER):
+        y = min(x + _TOGETHER, fit)
+        own = slice(upto[x], upto[y])
+        cells = _Cells(a["size"][x:y], np.repeat(np.arange(y - x), a["n"][x:y]), a["st"][own], a["en"][own], a["code"][own])
+        if not cells.unique():
+            return
+        yield x, y, cells
 
 
-def _compact_fn(piece_rows: bool, blocks: int):
+def _compact_fn(piece_rows: bool):
     def run(row: pa.Table, scores: pa.Table) -> pa.Table:
-        a = {c: np.frombuffer(row.column(c)[0].as_py(), t) for c, t in _ARRAYS.items()} if len(row) else None
-        if a is None:
+        if not len(row):
             return _PACKED_TYPE.empty_table()
-        pieces = _values(scores) > _NEG
+        a, value = _bucket(row, scores)
+        pieces = value > _NEG
         words = pieces[_codes(a["pids"], a["wid"])] if piece_rows else np.ones(len(a["wid"]), bool)
         widx = np.repeat(np.arange(len(a["n"])), a["n"])
         keep = pieces[a["code"]] & words[widx]
@@ -350,9 +477,12 @@ def _compact_fn(piece_rows: bool, blocks: int):
         words = n > 0
         if not keep.any():
             return _PACKED_TYPE.empty_table()
-        pid = a["pids"][a["code"][keep]]
-        pids = _by_block(np.concatenate([pid, a["wid"][words]]) if piece_rows else pid, blocks)
-        return _packed(row.column("bucket")[0].as_py(), st=a["st"][keep], en=a["en"][keep], code=_codes(pids, pid), pids=pids, n=n[words],
+        used = np.zeros(len(pieces), bool)
+        used[a["code"][keep]] = True
+        if piece_rows:
+            used[_codes(a["pids"], a["wid"][words])] = True
+        place = np.cumsum(used) - 1
+        return _packed(row.column("bucket")[0].as_py(), st=a["st"][keep], en=a["en"][keep], code=place[a["code"][keep]], pids=a["pids"][used], n=n[words],
                        **{c: a[c][words] for c in ("wid", "seg", "size", "freq")})
     return run
 
@@ -360,15 +490,18 @@ def _compact_fn(piece_rows: bool, blocks: int):
 _COUNTS = "block long, pids binary, expected binary, vfreq binary"
 
 
-def _counted(pid: np.ndarray, expected: np.ndarray, vfreq: np.ndarray, blocks: int) -> pa.Table:
-    """A bucket's counts, a row per block; ``pid`` lies block by block."""
-    use = (expected != 0) | (vfreq != 0)
-    pid, expected, vfreq = pid[use].astype(np.int64), expected[use], vfreq[use]
+def _by_runs(pid: np.ndarray, blocks: int, **values: np.ndarray) -> pa.Table:
+    """A row per block; ``pid`` lies block by block."""
     block = pid % blocks
     runs = _slices(block)
     return pa.table({"block": pa.array([block[a] for a, _ in runs], pa.int64()),
-                     **{c: pa.array([x[a:b].tobytes() for a, b in runs], pa.binary())
-                        for c, x in (("pids", pid), ("expected", expected), ("vfreq", vfreq))}})
+                     **{c: pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for c, x in {"pids": pid, **values}.items()}})
+
+
+def _counted(pid: np.ndarray, expected: np.ndarray, vfreq: np.ndarray, blocks: int) -> pa.Table:
+    """A bucket's counts, a row per block; ``pid`` lies block by block."""
+    use = (expected != 0) | (vfreq != 0)
+    return _by_runs(pid[use].astype(np.int64), blocks, expected=expected[use], vfreq=vfreq[use])
 
 
 def _summed(counts: pa.Table) -> pa.Table:
@@ -381,17 +514,37 @@ def _counts_fn(viterbi: bool, blocks: int):
     def run(row: pa.Table, scores: pa.Table) -> pa.Table:
         if not len(row):
             return _counted(*np.zeros((3, 0)), blocks)
-        pid, w, _ = _words_of(row, scores)
-        return _counted(pid, w.expected(len(pid)), w.viterbi(len(pid)) if viterbi else np.zeros(len(pid)), blocks)
+        a, value = _bucket(row, scores)
+        n, freq, rest = len(value), a["freq"].astype(np.float64), 0
+        expected, vfreq = np.zeros(n), np.zeros(n)
+        for x, rest, cells in _short_words(a, value):
+            expected += cells.expected(value, freq[x:rest], n)
+            if viterbi:
+                vfreq += cells.viterbi(value, freq[x:rest], n)
+        if rest < len(freq):
+            w = _edges(a, value, rest)
+            expected += w.expected(n)
+            if viterbi:
+                vfreq += w.viterbi(n)
+        return _counted(a["pids"], expected, vfreq, blocks)
     return run
 
 
-def _best_fn(row: pa.Table, scores: pa.Table) -> pa.Table:
+def _best_fn(blocks: int):
     """Best log score of every word (here: of every piece without itself)."""
-    if not len(row):
-        return pa.table({"pid": pa.array([], pa.int64()), "alt": pa.array([], pa.float64())})
-    _, w, name = _words_of(row, scores)
-    return pa.table({"pid": name[0].astype(np.int64), "alt": w.forward(best=True)[w.last]})
+    def run(row: pa.Table, scores: pa.Table) -> pa.Table:
+        if not len(row):
+            return _by_runs(np.zeros(0, np.int64), blocks, alt=np.zeros(0))
+        a, value = _bucket(row, scores)
+        rest, best = 0, [np.zeros(0)]
+        for _, rest, cells in _short_words(a, value):
+            best.append(cells.best(value)[0])
+        if rest < len(a["size"]):
+            w = _edges(a, value, rest)
+            best.append(w.forward(best=True)[w.last])
+        order = np.argsort(a["wid"] % blocks, kind="stable")
+        return _by_runs(a["wid"][order], blocks, alt=np.concatenate(best)[order])
+    return run
 
 
 # --------------------------------------------------------------------------
@@ -519,45 +672,44 @@ class Lattice:
             p.drop()
 
 
-def _bucketed(rows: DataFrame, tasks: int, key: str, name: str) -> tuple[str, str]:
+def _bucketed(rows: DataFrame, n: int, key: str, name: str) -> tuple[str, str]:
     """A table's name and path."""
     name, path = f"{name}_{uuid.uuid4().hex[:12]}", scratch_path(rows.sparkSession, name)
-    rows.repartition(tasks, key).write.bucketBy(tasks, key).option("path", path).saveAsTable(name)
+    rows.write.bucketBy(n, key).option("path", path).saveAsTable(name)
     return name, path
 
 
-def _written(rows: DataFrame, tasks: int) -> Part:
+def _written(rows: DataFrame, tasks: int, blocks: int) -> Part:
+    """``rows`` come by bucket, so a task writes few files."""
     spark = rows.sparkSession
     name, path = _bucketed(rows, tasks, "bucket", "lattice")
 
     def pieces(batches):
         for b in batches:
             for bucket, pids in zip(b.column("bucket").to_pylist(), b.column("pids").to_pylist(), strict=True):
-                ids = np.frombuffer(pids, np.int64)
-                block = ids % tasks
-                runs = _slices(block)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), bucket, np.int64)), pa.array([block[x] for x, _ in runs], pa.int64()),
-                                                  pa.array([ids[x:y].tobytes() for x, y in runs], pa.binary())],
-                                                 names=["bucket", "block", "pids"])
+                runs = _by_runs(np.frombuffer(pids, np.int64), blocks)
+                runs = runs.add_column(0, "bucket", pa.array(np.full(len(runs), bucket, np.int64)))
+                yield from runs.to_batches()
 
-    used, used_path = _bucketed(spark.table(name).select("bucket", "pids")
-                                .mapInArrow(pieces, "bucket long, block long, pids binary"), tasks, "block", "used")
-    return Part(spark.table(name), spark.table(used), [name, used], [path, used_path], tasks)
+    used, used_path = _bucketed(spark.table(name).select("bucket", "pids").mapInArrow(pieces, "bucket long, block long, pids binary")
+                                .repartition(blocks, "block"), blocks, "block", "used")
+    return Part(spark.table(name), spark.table(used), [name, used], [path, used_path], blocks)
 
 
 def build_lattice(words: DataFrame, pieces: DataFrame, max_piece_len: int = 16, segment: int = SEGMENT,
-                  bucket_edges: int = BUCKET_EDGES, proper: bool = False) -> Lattice:
+                  bucket_edges: int = BUCKET_EDGES, proper: bool = False, blocks: int | None = None) -> Lattice:
     """Every occurrence of a piece (``pid, piece``) in every word (``wid, word, freq``), written once.
 
     ``proper`` leaves out a word's edge over its whole length (a piece is not
     its own alternative). Segments hold at least ``segment`` positions, which
-    must not be less than ``max_piece_len``.
+    must not be less than ``max_piece_len``. ``blocks`` of pieces meet the
+    buckets (by default as many as there are tasks).
     """
     if max_piece_len >= 1 << _LENGTH_BITS:
         raise ValueError(f"pieces of at most {(1 << _LENGTH_BITS) - 1} characters")
     spark = words.sparkSession
     ship_code(spark)
-    segment = max(segment, max_piece_len)
+    segment = max(min(segment, 15_000), max_piece_len)   # positions are kept in 16 bits
     length = F.length("word")
     rows, positions, longest = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0)),
                                          F.coalesce(F.max(length), F.lit(0))).first()
@@ -565,6 +717,7 @@ def build_lattice(words: DataFrame, pieces: DataFrame, max_piece_len: int = 16,
     cores = spark.sparkContext.defaultParallelism
     buckets = max(4 * cores, -(-int(positions) * max_piece_len // (3 * bucket_edges)))
     tasks = max(4 * cores, -(-buckets // 8))   # more than cores: a hash deals buckets out unevenly
+    blocks = blocks or tasks
     n_segs = F.greatest(F.lit(1), (length / segment).cast("int"))
     parts = words.select("wid", "freq", "word", n_segs.alias("n_segs"),
                          F.explode(F.sequence(F.lit(0), n_segs - 1)).alias("seg"))
@@ -574,44 +727,48 @@ def build_lattice(words: DataFrame, pieces: DataFrame, max_piece_len: int = 16,
                          F.substring("word", begin + 1, F.lit(2 * segment + max_piece_len)).alias("text"))
     parts = parts.withColumn("bucket", F.pmod(F.xxhash64("wid", "seg"), F.lit(buckets)))
     named = pieces.select("pid", "piece").filter("piece is not null") \
-        .mapInArrow(_piece_prints_fn(max_piece_len, tasks), "block long, h long, pid long")
+        .mapInArrow(_piece_prints_fn(max_piece_len, blocks), "block long, h long, pid long")
     has_long = longest >= 2 * segment
 
     def pack(which: str) -> Part:
-        own = parts.filter(which).drop("n_segs").groupBy("bucket")
-        asked = own.applyInArrow(_ask_fn(max_piece_len, proper, tasks), "bucket long, block long, h binary")
+        own = parts.filter(which).drop("n_segs").repartition(tasks, "bucket").groupBy("bucket")
+        asked = own.applyInArrow(_ask_fn(max_piece_len, proper, blocks), "bucket long, block long, h binary")
         found = asked.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_answer, "bucket long, h binary, pids binary")
-        return _written(own.cogroup(found.groupBy("bucket")).applyInArrow(_pack_fn(max_piece_len, proper, tasks), _PACKED), tasks)
+        return _written(own.cogroup(found.groupBy("bucket")).applyInArrow(_pack_fn(max_piece_len, proper, blocks), _PACKED), tasks, blocks)
 
     return Lattice(pack("n_segs = 1"), pack("n_segs > 1") if has_long else None, max_piece_len, tasks, proper)
 
 
-def compact_lattice(lattice: Lattice, state: DataFrame) -> Lattice:
+def compact_lattice(lattice: Lattice, state: Pieces) -> Lattice:
     """The lattice without the edges of removed pieces (and, of pieces, without removed pieces' own rows)."""
-    alive = state.select("pid", F.lit(0.0).alias("logp"))
-    parts = [p and _written(_meet(p, alive, _compact_fn(lattice.proper, p.blocks), _PACKED), lattice.tasks)
+    parts = [p and _written(_meet(p, state, _compact_fn(lattice.proper), _PACKED), lattice.tasks, p.blocks)
              for p in (lattice.whole, lattice.cut)]
     lattice.drop()
     return Lattice(*parts, lattice.max_piece_len, lattice.tasks, lattice.proper)
 
 
-def _lookup(used: pa.Table, scores: pa.Table) -> pa.Table:
-    """Of one block: the scores of the pieces that each bucket uses, -inf for dead ones."""
-    pid, logp = _columns(scores, "pid", "logp")
-    order = np.argsort(pid, kind="stable")
-    pid, logp = np.append(pid[order], 0), np.append(logp[order], _NEG)   # the last for ids behind all others
-    values = []
-    for ids in used.column("pids").to_pylist():
-        ids = np.frombuffer(ids, np.int64)
-        at = np.searchsorted(pid[:-1], ids)
-        values.append(np.where(pid[at] == ids, logp[at], _NEG).astype(np.float64).tobytes())
-    return pa.table({"bucket": used.column("bucket"), "block": used.column("block"), "logp": pa.array(values, pa.binary())})
+def _lookup_fn(read):
+    """Of one block: the scores of the pieces that each bucket uses, -inf for dead ones. ``read`` gives their ids and scores."""
+    def run(used: pa.Table, scores: pa.Table) -> pa.Table:
+        pid, logp = read(scores)
+        order = np.argsort(pid, kind="stable")
+        pid, logp = np.append(pid[order], 0), np.append(logp[order], _NEG)   # the last for ids behind all others
+        values = []
+        for ids in used.column("pids").to_pylist():
+            ids = np.frombuffer(ids, np.int64)
+            at = np.searchsorted(pid[:-1], ids)
+            values.append(np.where(pid[at] == ids, logp[at], _NEG).astype(np.float64).tobytes())
+        return pa.table({"bucket": used.column("bucket"), "block": used.column("block"), "logp": pa.array(values, pa.binary())})
+    return run
 
 
-def _meet(part: Part, scores: DataFrame, fn, schema: str, more: DataFrame | None = None) -> DataFrame:
+def _meet(part: Part, scores: DataFrame | Pieces, fn, schema: str, more: DataFrame | None = None) -> DataFrame:
     """Each bucket with the scores of its pieces; the lattice is bucketed, so only scores move, as arrays."""
-    scores = scores.select("pid", "logp", F.pmod(F.col("pid").cast("long"), F.lit(part.blocks).cast("long")).alias("block"))
-    need = part.used.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(_lookup, "bucket long, block long, logp binary")
+    if isinstance(scores, Pieces):
+        rows, read = scores.rows, scores.reader()
+    else:
+        rows, read = scores.select("pid", "logp", _block(part.blocks)), lambda t: _columns(t, "pid", "logp")
+    need = part.used.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_lookup_fn(read), "bucket long, block long, logp binary")
     if more is not None:
         need = need.unionByName(more, allowMissingColumns=True)
     return part.rows.groupBy("bucket").cogroup(need.groupBy("bucket")).applyInArrow(fn, schema)
@@ -625,8 +782,8 @@ def _segment_names(batches):
                                              names=["bucket", "wid", "seg"])
 
 
-def expected_counts(lattice: Lattice, scores: DataFrame, viterbi: bool = False) -> DataFrame:
-    """E-step: ``pid, expected, vfreq`` under ``scores(pid, logp)``."""
+def _block_counts(lattice: Lattice, scores: DataFrame | Pieces, viterbi: bool) -> DataFrame:
+    """The E-step's counts, a row per bucket and block."""
     k = lattice.max_piece_len
     counts = _meet(lattice.whole, scores, _counts_fn(viterbi, lattice.whole.blocks), _COUNTS)
     if lattice.cut:
@@ -635,21 +792,25 @@ def expected_counts(lattice: Lattice, scores: DataFrame, viterbi: bool = False)
         names = lattice.cut.rows.select("bucket", "wid", "seg").mapInArrow(_segment_names, "bucket long, wid long, seg int")
         counts = counts.unionByName(_meet(lattice.cut, scores, _long_counts_fn(k, viterbi, lattice.cut.blocks), _COUNTS,
                                           ends.join(names, ["wid", "seg"])))
-    return counts.groupBy("block").applyInArrow(_summed, "pid long, expected double, vfreq double")
+    return counts
+
+
+def expected_counts(lattice: Lattice, scores: DataFrame, viterbi: bool = False) -> DataFrame:
+    """E-step: ``pid, expected, vfreq`` under ``scores(pid, logp)``."""
+    return _block_counts(lattice, scores, viterbi).groupBy("block").applyInArrow(_summed, "pid long, expected double, vfreq double")
 
 
 # --------------------------------------------------------------------------
 # piece table
 # --------------------------------------------------------------------------
 
-def digamma(x: Column) -> Column:
-    """ψ(x) for x > 0: the recurrence up to x + 6, then the asymptotic series."""
+def digamma(x, log=F.log):
+    """ψ(x) for x > 0 (a column; or, with their ``log``, an array or number): the recurrence up to x + 6, then the asymptotic series."""
     y = x + 6
-    f = F.lit(1.0) / (y * y)
-    series = F.log(y) - F.lit(0.5) / y - f * (F.lit(1.0 / 12) - f * (F.lit(1.0 / 120) - f * (F.lit(1.0 / 252) - f * (
-        F.lit(1.0 / 240) - f * F.lit(1.0 / 132)))))
+    f = 1.0 / (y * y)
+    series = log(y) - 0.5 / y - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (1.0 / 240 - f * (1.0 / 132)))))
     for k in range(6):
-        series = series - F.lit(1.0) / (x + k)
+        series = series - 1.0 / (x + k)
     return series
 
 
@@ -660,39 +821,118 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _m_step(state: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
-    """The next state ``(pid, is_char, vfreq, logp)`` and its size."""
-    c = F.coalesce("expected", F.lit(0.0))
-    joined = _stored(state.select("pid", "is_char").join(counts, "pid", "left")
-                     .select("pid", "is_char", F.coalesce("vfreq", F.lit(0.0)).alias("vfreq"),
-                             F.when(F.col("is_char"), F.greatest(c, F.lit(0.5))).otherwise(c).alias("c"))
-                     .filter("c >= 0.5"), "pieces")
-    n, total = joined.agg(F.count(F.lit(1)), F.sum("c")).first()
-    if not n:
-        return joined.withColumn("logp", F.lit(0.0)), 0
-    return joined.select("pid", "is_char", "vfreq", (digamma(F.col("c")) - digamma(F.lit(float(total)))).alias("logp")), n
+#: Pieces of one block, by id; each binary column is a numpy array.
+_STATE = {"pid": np.int64, "is_char": np.bool_, "vfreq": np.float64, "logp": np.float64, "cost": np.float64}
+_STATE_TYPE = "block long, " + ", ".join(f"{c} binary" for c in _STATE) + ", n long, total double"
 
 
-def best_rows(df: DataFrame, key: str, k: int) -> DataFrame:
-    """The ``k`` rows with the largest ``key`` (a finite double), ties by ascending ``pid`` (unique).
+def _block(blocks: int) -> Column:
+    return F.pmod(F.col("pid").cast("long"), F.lit(blocks).cast("long")).alias("block")
+
+
+def _state_row(block: int, total: float = 0.0, **arrays: np.ndarray) -> pa.Table:
+    n = len(arrays["pid"])
+    return pa.table({"block": pa.array([block], pa.int64()),
+                     **{c: pa.array([arrays.get(c, np.zeros(n)).astype(t).tobytes()], pa.binary()) for c, t in _STATE.items()},
+                     "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.float64())})
+
+
+def _state_fn(block: pa.Table) -> pa.Table:
+    """A block of the first state."""
+    block = block.sort_by("pid")
+    pid, is_char, logp = (block.column(c).to_numpy() for c in ("pid", "is_char", "logp"))
+    return _state_row(block.column("block")[0].as_py(), pid=pid, is_char=is_char, logp=logp)
+
+
+@dataclass
+class Pieces:
+    """The live pieces: a row per block, whose log scores are ``logp - shift``. With a ``cut``, of the pieces that are no
+    characters only those of a higher cost, or of the same and up to this id, live."""
+    rows: DataFrame
+    shift: float = 0.0
+    cut: tuple[float, int] | None = None
+
+    def arrays(self):
+        """Reads a block: its live pieces' arrays."""
+        shift, cut = self.shift, self.cut
+
+        def read(t: pa.Table) -> dict[str, np.ndarray]:
+            a = {c: _joined(t, c, dtype) for c, dtype in _STATE.items()}
+            if cut is not None:
+                live = a["is_char"] | (a["cost"] > cut[0]) | ((a["cost"] == cut[0]) & (a["pid"] <= cut[1]))
+                a = {c: x[live] for c, x in a.items()}
+            return a | {"logp": a["logp"] - shift}
+        return read
+
+    def reader(self):
+        """Reads a block: ids and log scores."""
+        read = self.arrays()
+
+        def scores(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            a = read(t)
+            return a["pid"], a["logp"]
+        return scores
+
+    def table(self) -> DataFrame:
+        """A row per piece: ``pid, is_char, logp``."""
+        read = self.arrays()
+
+        def rows(batches):
+            for b in batches:
+                a = read(pa.Table.from_batches([b]))
+                yield pa.RecordBatch.from_arrays([pa.array(a[c]) for c in ("pid", "is_char", "logp")], names=["pid", "is_char", "logp"])
+        return self.rows.mapInArrow(rows, "pid long, is_char boolean, logp double")
+
+
+def _m_step_fn(read):
+    """Of one block: the counts of all buckets make the next state; ``logp`` lacks the total's share."""
+    def run(state: pa.Table, counts: pa.Table) -> pa.Table:
+        a = read(state)
+        if not len(a["pid"]):
+            return _state_row(0, pid=a["pid"]).slice(0, 0)
+        ids = _joined(counts, "pids", np.int64)
+        at = np.minimum(np.searchsorted(a["pid"], ids), len(a["pid"]) - 1)
+        own = a["pid"][at] == ids
+        c, vfreq = (np.bincount(at[own], _joined(counts, x, np.float64)[own], len(a["pid"])) for x in ("expected", "vfreq"))
+        c = np.where(a["is_char"], np.maximum(c, 0.5), c)
+        keep = c >= 0.5
+        c = c[keep]
+        return _state_row(state.column("block")[0].as_py(), c.sum(), pid=a["pid"][keep], is_char=a["is_char"][keep], vfreq=vfreq[keep],
+                          logp=digamma(c, np.log))
+    return run
+
+
+def _m_step(state: Pieces, counts: DataFrame) -> tuple[Pieces, int]:
+    """The next state and its size."""
+    seen = Observation()
+    rows = state.rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_m_step_fn(state.arrays()), _STATE_TYPE)
+    rows = _stored(rows.observe(seen, F.sum("n").alias("n"), F.sum("total").alias("total")), "pieces")
+    n, total = (seen.get[c] or 0 for c in ("n", "total"))
+    return Pieces(rows, digamma(float(total), math.log) if n else 0.0), n
+
+
+_ALL = (_NEG, 2 ** 63 - 1)
+
+
+def best_cut(df: DataFrame, key: str, k: int) -> tuple[float, int]:
+    """The last of the ``k`` rows with the largest ``key`` (a finite double), ties by ascending ``pid`` (unique): a value and
+    an id, such that the rows above this value, and those of this value up to this id, are the ``k``.
 
     A histogram between the extremes finds the bin with the k-th row and is
     refined there until few rows, or only ties, are left.
     """
     if k <= 0:
-        return df.limit(0)
+        return -_NEG, -1
     part, value, left = df, F.col(key), k
-    ties = False
+    tie = None
     while True:
         n, low, high = part.agg(F.count(F.lit(1)), F.min(value), F.max(value)).first()
-        if n <= left:
-            cut = None
-            break
+        if n <= left:      # the bin's rows all belong to the best
+            return _ALL if not n else (low, _ALL[1]) if tie is None else (tie, int(-low))
         if n <= _FEW:
-            cut = part.orderBy(F.desc(key), "pid").limit(left).orderBy(F.asc(key), F.desc("pid")).select(key, "pid").first()
-            break
+            return tuple(part.orderBy(F.desc(key), "pid").limit(left).orderBy(F.asc(key), F.desc("pid")).select(key, "pid").first())
         if low == high:    # only ties are left: by id
-            value, ties = -F.col("pid").cast("double"), True
+            value, tie = -F.col("pid").cast("double"), low
             continue
         at = F.least(F.floor((value - low) / F.lit(high - low) * _BINS), F.lit(_BINS - 1))
         bins = part.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")) \
@@ -702,24 +942,42 @@ def best_rows(df: DataFrame, key: str, k: int) -> DataFrame:
                 part = part.filter((value >= b.low) & (value <= b.high))
                 break
             left -= b.n
-    if cut is None:        # the bin's rows all belong to the best
-        low = part.agg(F.min(value)).first()[0]
-        if not ties:
-            return df.filter(F.col(key) >= low)
-        tie = part.select(key).first()[0]
-        return df.filter((F.col(key) > tie) | ((F.col(key) == tie) & (-F.col("pid").cast("double") >= low)))
-    return df.filter((F.col(key) > cut[0]) | ((F.col(key) == cut[0]) & (F.col("pid") <= cut[1])))
 
 
-def _prune(state: DataFrame, pieces: Lattice, n_chars: int, target: int) -> DataFrame:
+def best_rows(df: DataFrame, key: str, k: int) -> DataFrame:
+    """The ``k`` rows with the largest ``key``, as in ``best_cut``."""
+    value, pid = best_cut(df, key, k)
+    return df.filter((F.col(key) > value) | ((F.col(key) == value) & (F.col("pid") <= pid)))
+
+
+def _costs_fn(read):
+    """Of one block: what each piece's removal costs; beside the state, as lists, for those that are no characters."""
+    def run(state: pa.Table, best: pa.Table) -> pa.Table:
+        a = read(state)
+        alt = np.full(len(a["pid"]), _NEG)
+        if len(alt):
+            ids = _joined(best, "pids", np.int64)
+            at = np.minimum(np.searchsorted(a["pid"], ids), len(alt) - 1)
+            own = a["pid"][at] == ids
+            alt[at[own]] = _joined(best, "alt", np.float64)[own]
+        with np.errstate(invalid="ignore"):
+            cost = np.where(alt > _NEG, a["vfreq"] * (a["logp"] - alt), 1e300)
+        multi = ~a["is_char"]
+        out = _state_row(state.column("block")[0].as_py() if len(state) else 0, **(a | {"cost": cost}))
+        return out.append_column("ids", pa.array([a["pid"][multi]], pa.list_(pa.int64()))) \
+            .append_column("costs", pa.array([cost[multi]], pa.list_(pa.float64()))).slice(0, min(1, len(state)))
+    return run
+
+
+def _prune(state: Pieces, pieces: Lattice, n_chars: int, target: int) -> Pieces:
     """Keep the ``target`` pieces whose removal costs most likelihood (Viterbi
     frequency × (log p − log p of the best split without it)); single
     characters are always kept."""
-    alt = _meet(pieces.whole, state, _best_fn, "pid long, alt double")
-    cost = F.when(F.col("alt") > F.lit(_NEG), F.col("vfreq") * (F.col("logp") - F.col("alt"))).otherwise(F.lit(1e300))
-    costs = _stored(state.join(alt, "pid", "left").withColumn("cost", cost).drop("alt"), "costs")
-    kept = best_rows(costs.filter(~F.col("is_char")), "cost", target - n_chars)
-    return costs.filter("is_char").unionByName(kept).drop("cost")
+    alt = _meet(pieces.whole, state, _best_fn(pieces.whole.blocks), "block long, pids binary, alt binary")
+    costs = _stored(state.rows.groupBy("block").cogroup(alt.groupBy("block"))
+                    .applyInArrow(_costs_fn(state.arrays()), _STATE_TYPE + ", ids array<long>, costs array<double>"), "costs")
+    flat = costs.select(F.explode(F.arrays_zip(F.col("ids").alias("pid"), F.col("costs").alias("cost"))).alias("x")).select("x.pid", "x.cost")
+    return Pieces(costs.select(*state.rows.columns), 0.0, best_cut(flat, "cost", target - n_chars))
 
 
 def _without_rare(seeds: DataFrame, coverage: float) -> DataFrame:
@@ -760,31 +1018,35 @@ def train_vocab(norm_df: DataFrame, vocab_size: int = 32000, norm: str = "norm",
     alive, n_chars, total = seeds.agg(F.count(F.lit(1)), F.count(F.when(F.col("n_chars") == 1, 1)), F.sum("score")).first()
     n_special = len(SPECIALS) if with_pad else len(SPECIALS) - 1
     goal = max(vocab_size - n_special, n_chars)
-    state = seeds.select("pid", (F.col("n_chars") == 1).alias("is_char"), F.lit(0.0).alias("vfreq"),
-                         F.log(F.col("score") / F.lit(float(total or 1))).alias("logp"))
-    if alive:
+    first = seeds.select("pid", (F.col("n_chars") == 1).alias("is_char"), F.log(F.col("score") / F.lit(float(total or 1))).alias("logp"))
+    if not alive:
+        chosen = first
+    else:
         lattice = build_lattice(words, seeds, max_piece_len, segment)
+        blocks = lattice.whole.blocks
+        state = Pieces(_stored(first.withColumn("block", _block(blocks)).groupBy("block").applyInArrow(_state_fn, _STATE_TYPE), "pieces"))
         whole = None   # built over the pieces that the first round leaves
         # train down to 110 % of the goal, then keep the best-scoring pieces
         desired = int(goal * 1.1)
         compacted_at = alive
         while True:
             for it in range(em_iters):
-                if alive * 2 <= compacted_at:
+                if alive * 4 <= compacted_at:
                     lattice, whole = compact_lattice(lattice, state), whole and compact_lattice(whole, state)
                     compacted_at = alive
-                state, alive = _m_step(state, expected_counts(lattice, state, it == em_iters - 1))
+                state, alive = _m_step(state, _block_counts(lattice, state, it == em_iters - 1))
             if alive <= desired:
                 break
             if whole is None:
-                left = seeds.join(state.select("pid"), "pid", "left_semi")
+                left = seeds.join(state.table().select("pid"), "pid", "left_semi")
                 whole = build_lattice(left.select(F.col("pid").alias("wid"), F.col("piece").alias("word"),
-                                                  F.lit(1).cast("long").alias("freq")), left, max_piece_len, proper=True)
+                                                  F.lit(1).cast("long").alias("freq")), left, max_piece_len, proper=True, blocks=blocks)
             alive = max(desired, int(alive * shrink))
             state = _prune(state, whole, n_chars, alive)
         for t in filter(None, (lattice, whole)):
             t.drop()
+        chosen = state.table()
     # final: the best `goal` pieces by score, characters always kept
-    chosen = state.filter("is_char").unionByName(best_rows(state.filter(~F.col("is_char")), "logp", goal - n_chars))
+    chosen = chosen.filter("is_char").unionByName(best_rows(chosen.filter(~F.col("is_char")), "logp", goal - n_chars))
     final = cut_lineage(chosen.join(all_seeds.select("pid", "piece"), "pid").select("piece", F.col("logp").alias("score")), spark)
     return layout_vocab(final, score="score", with_pad=with_pad)
