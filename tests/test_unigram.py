@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,75 @@ def test_pieces_of_a_bucket_move_as_arrays(spark):
         lattice.drop()
 
 
+def _lattice_row(rng, texts, pieces):
+    """One bucket's arrays: the words by size, their edges by start and length, pieces by id."""
+    texts = sorted(texts, key=len)
+    edges = [[(i, i + n, pieces[t[i:i + n]]) for i in range(len(t)) for n in range(1, 5) if t[i:i + n] in pieces and i + n <= len(t)] for t in texts]
+    st, en, code = (np.array([e[c] for w in edges for e in w], np.int64) for c in range(3))
+    return {"st": st, "en": en, "code": code, "n": np.array([len(w) for w in edges]), "size": np.array([len(t) for t in texts], np.int32),
+            "freq": np.array([rng.randint(1, 9) for _ in texts], np.int64), "wid": np.arange(len(texts)), "seg": np.zeros(len(texts), np.int32),
+            "pids": np.arange(max(pieces.values()) + 1)}
+
+
+@pytest.mark.parametrize("worst", [3.0, 90.0])
+def test_short_words_as_cells(worst):
+    """Cells give the counts, best paths and best scores of the edges, for all words that fit; dead pieces have no part."""
+    rng = random.Random(7)
+    texts = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(300)}
+    pieces = {p: i for i, p in enumerate(["a", "b", "c", "ab", "bc", "cab", "abca", "aa", "bbbb", "ca", "x"])}
+    row = _lattice_row(rng, texts, pieces)
+    value = np.array([-worst * rng.random() for _ in pieces])
+    value[[2, 7]] = -np.inf   # words with a "c" outside "bc", "cab", "abca", "ca" have no path
+    value[0] = -worst
+    got, seen, scale = [np.zeros(len(value)), np.zeros(len(value)), []], 0, row["freq"].astype(float)
+    for x, y, cells in unigram._short_words(row, value):
+        assert x == seen
+        seen = y
+        got[0] += cells.expected(value, scale[x:y], len(value))
+        got[1] += cells.viterbi(value, scale[x:y], len(value))
+        got[2] += cells.best(value)[0].tolist()
+    assert seen == (row["size"] <= min(32, 650 / worst)).sum() and 0 < seen < len(texts)
+    rest, every = unigram._edges(row, value, seen), unigram._edges(row, value)
+    assert got[0] == pytest.approx(every.expected(len(value)) - rest.expected(len(value)), rel=1e-9, abs=1e-6)
+    assert (got[1] == every.viterbi(len(value)) - rest.viterbi(len(value))).all()
+    assert got[2] == every.forward(best=True)[every.last][:seen].tolist()
+
+
+def test_equal_pieces_are_read_as_edges():
+    """Cells hold one piece each; words with two pieces of the same text are left to the edges."""
+    row = _lattice_row(random.Random(1), ["ab"], {"a": 0, "b": 1})
+    row = row | {"st": np.array([0, 0, 1]), "en": np.array([1, 1, 2]), "code": np.array([0, 2, 1]), "n": np.array([3]), "pids": np.arange(3)}
+    assert list(unigram._short_words(row, np.array([-1.0, -1.0, -2.0]))) == []
+    assert unigram._edges(row, np.array([-1.0, -1.0, -2.0])).expected(3).sum() == pytest.approx(2.0 * row["freq"][0])
+
+
+def test_state_is_a_row_per_block(spark):
+    """A step reads and writes arrays of pieces, and starts no job of its own for their number and total."""
+    pieces = ["a", "b", "ab", "aba", "ba", "x"]
+    w = spark.createDataFrame([(0, "abab", 4), (1, "aba", 3), (2, "b", 1)], "wid long, word string, freq long")
+    v = spark.createDataFrame([(i, p, len(p) == 1, -1.0 - i / 10) for i, p in enumerate(pieces)], "pid long, piece string, is_char boolean, logp double")
+    lattice = unigram.build_lattice(w, v, max_piece_len=3, blocks=2)
+    state = unigram.Pieces(v.drop("piece").withColumn("block", unigram._block(2)).groupBy("block")
+                           .applyInArrow(unigram._state_fn, unigram._STATE_TYPE))
+    assert state.rows.count() == 2
+    want = {r.pid: r.expected for r in unigram.expected_counts(lattice, v).collect()}
+    after, n = unigram._m_step(state, unigram._block_counts(lattice, state, True))
+    assert after.rows.count() <= 2
+    kept = {i: max(want.get(i, 0.0), 0.5) if len(p) == 1 else want.get(i, 0.0) for i, p in enumerate(pieces)}
+    kept = {i: c for i, c in kept.items() if c >= 0.5}
+    got = {r.pid: r.logp for r in after.table().collect()}
+    assert set(got) == set(kept) and n == len(kept) and 5 in kept   # a character without counts stays
+    total = unigram.digamma(sum(kept.values()), math.log)
+    assert all(got[i] == pytest.approx(unigram.digamma(c, math.log) - total) for i, c in kept.items())
+    # of the others, those above the cut and, at its value, up to its id
+    cost = {"a": 0.0, "b": 0.0, "x": 0.0, "ab": 2.0, "aba": 2.0, "ba": 1.0}
+    rows = [unigram._state_row(b, **{c: np.array([x[j] for x in own]) for j, c in enumerate(("pid", "is_char", "logp", "cost"))})
+            for b in (0, 1) for own in [[(i, len(p) == 1, -1.0, cost[p]) for i, p in enumerate(pieces) if i % 2 == b]]]
+    cut = unigram.Pieces(spark.createDataFrame(pa.concat_tables(rows).to_pandas(), unigram._STATE_TYPE), 0.0, (2.0, 2))
+    assert {pieces[r.pid] for r in cut.table().collect()} == {"a", "b", "x", "ab"}
+    lattice.drop()
+
+
 def test_digamma(spark):
     got = spark.createDataFrame([(x,) for x in (0.5, 1.0, 2.0, 10.0, 1e6)], "x double").select(unigram.digamma(F.col("x")).alias("d")).collect()
     want = [-1.9635100260214235, -0.5772156649015329, 0.42278433509846713, 2.251752589066721, 13.815510057964274]
