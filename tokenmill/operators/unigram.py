@@ -733,7 +733,8 @@ def build_lattice(words: DataFrame, pieces: DataFrame, max_piece_len: int = 16,
     # of the max_piece_len substrings at a position, about a third are pieces
     cores = spark.sparkContext.defaultParallelism
     buckets = max(4 * cores, -(-int(positions) * max_piece_len // (3 * bucket_edges)))
-    tasks = max(4 * cores, -(-buckets // 8))   # more than cores: a hash deals buckets out unevenly
+    # more than cores, as a hash deals buckets out unevenly; for small buckets a task's fixed cost tells more
+    tasks = max(4 * cores, -(-buckets // 8)) if buckets > 4 * cores else cores
     blocks = blocks or tasks
     n_segs = F.greatest(F.lit(1), (length / segment).cast("int"))
     parts = words.select("wid", "freq", "word", n_segs.alias("n_segs"),
