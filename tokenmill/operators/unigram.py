@@ -10,14 +10,18 @@ The loop runs on the driver; pieces, scores, counts and lattices are tables:
   sorts or shuffles them. Words of two
   segments or more are cut into segments of ``SEGMENT`` positions, each with
   the edges that start in it.
-* **State.** ``(pid, is_char, c, vfreq)``, rewritten by every E-step. The log
-  scores follow from ``c`` and its total (variational M-step,
-  ``ψ(c) − ψ(Σc)``) in a projection.
-* **E-step.** Pieces are dealt out to blocks by id. A cogroup by block looks up
-  the scores that each bucket needs and sends them as one array per bucket and
-  block; they meet the bucket in a cogroup. A vectorised numpy
-  forward–backward over the bucket's words gives its expected and Viterbi
-  counts, again as one array per block, which are summed block by block.
+* **State.** Pieces are dealt out to blocks by id; a block's live pieces are one
+  row of arrays (id, log score, Viterbi count, cost), rewritten by every step.
+  The total, ``ψ(Σc)`` of the variational M-step's ``ψ(c) − ψ(Σc)``, and the cut
+  of a pruning are numbers that the next reader applies.
+* **E-step.** A cogroup by block looks up the scores that each bucket needs and
+  sends them as one array per bucket and block; they meet the bucket in a
+  cogroup. A vectorised numpy forward–backward over the bucket's words gives
+  its expected and Viterbi counts, again as one array per block, which meet
+  the block's state. Words of up to ``SHORT`` positions, unless scores are so
+  low that a product of them could leave the range of a double, are passed as
+  cells: plain sums of products, a run of words at a time. The others are
+  passed edge by edge, in logs.
 * **Long words.** A segment maps the log-sums of the paths that enter it (at
   its first ``max_piece_len`` positions, as pieces reach over the cut) to those
   that leave it: a small matrix under (log-sum, +), and one under (max, +). A
